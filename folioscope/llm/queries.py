@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm import langid
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -21,6 +22,18 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def held_out(column: str = "doc_id") -> Column:
+    """Whether a document is kept out of training: crc32 of its id, as text, mod 3 is 1."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~held_out()))
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -33,6 +46,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
 }
