@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import langid
+from folioscope.llm import langid, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -34,6 +34,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _digests(found: str, names: tuple[str, ...], base: int) -> list[Column]:
+    """Counts of the base kinds, the hash of the base spans, and all spans."""
+    kept = F.filter(found, lambda s: s["kind"] < base)
+    counts = [spans.count(F.col(found), k).alias(f"n_{names[k]}") for k in range(base)]
+    return [*counts, F.sha2(spans.joined(kept, names), 256).alias("base_sha256"), spans.joined(F.col(found), names).alias("spans")]
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = secrets.fit(secrets.labelled_sample(spark))
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), models)
+    return found.select("doc_id", *_digests("secrets", secrets.KINDS, 3))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -47,6 +60,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
 }
