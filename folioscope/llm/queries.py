@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import langid, secrets, spans
+from folioscope.llm import langid, pii, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -57,12 +57,19 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.fit(documents))
+    return found.select("doc_id", *_digests("pii", pii.KINDS, pii.BASE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {}
