@@ -14,9 +14,8 @@ Steps, all of which grow with the documents rather than with pairs of them:
    the confirmed links give first components: a large group of copies costs one comparison
    for each member;
 4. only pairs that share a bucket and are still in different components could be missed.
-   Families that meet in a bucket are cut into blocks of bounded size, and blocks are
-   compared on full sets.  A comparison of blocks returns at most one link for each member,
-   never its pairs.
+   Families that meet in a bucket are compared on full sets, in units of bounded size.  A
+   unit returns at most one link for each member, never its pairs.
 """
 
 from __future__ import annotations
@@ -247,6 +246,32 @@ def _compare_blocks(shipped: DataFrame, percent: int) -> DataFrame:
     return small_batches(shipped.select("unit", "side", "component", "shingles")).mapInArrow(run, "a long, b long")
 
 
+def _units(member: DataFrame, slots: DataFrame, percent: int) -> DataFrame:
+    """(unit, side, node, component): the classes that are compared with each other.
+
+    Of two families that meet, the larger one is cut into blocks and the smaller one joins
+    the larger one's partners, which are cut into chunks.  A unit is a block (side 0) with a
+    chunk (side 1).  The part of a family that its centre has gathered (``in_main``) has
+    blocks of its own and meets no member of its own component.
+    """
+    total = member.groupBy("family").agg(F.sum("n").alias("total"))
+    part = member.groupBy("family", "in_main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("main").alias("main"))
+    meeting = slots.join(member.select("node", "family"), "node").select("key", "family").distinct().join(total, "family")
+    other = meeting.select("key", F.col("family").alias("partner"), F.col("total").alias("total2"))
+    larger = "total > total2 or (total = total2 and family <= partner)"
+    pairs = meeting.join(other, "key").where(larger).select("family", "partner").distinct()
+    partners = member.select(F.col("family").alias("partner"), F.col("in_main").alias("in_main2"), "node", "n", "component")
+    side1 = pairs.join(part, "family").join(partners, "partner")
+    side1 = side1.where("not (in_main and component = main) and not (not in_main and family = partner and in_main2)")
+    side1 = side1.where(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
+    side1 = side1.select("family", "in_main", "blocks", "node", "n", "component").distinct()
+    chunks = side1.groupBy("family", "in_main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
+    side1 = side1.join(chunks, ["family", "in_main"]).select("family", "in_main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(1).alias("side"), "node", "component")
+    side0 = member.join(part.select("family", "in_main", "blocks"), ["family", "in_main"]).join(chunks, ["family", "in_main"])
+    side0 = side0.select("family", "in_main", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", "component")
+    return side0.union(side1).select(F.xxhash64("family", "in_main", "block", "chunk").alias("unit"), "side", "node", "component")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (``id_col``, ``n_shingles``, ``component_id``, ``kept``), one for each input row.
 
@@ -281,19 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = family.select("node", "n").join(member, "node").join(middle, "family", "left")
     member = checkpointed(member.withColumn("in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))))
 
-    cuts = member.groupBy("family", "in_main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cuts"))
-    member = member.join(cuts, ["family", "in_main"]).withColumn("block", F.pmod(F.xxhash64("node"), "cuts"))
-    block = member.groupBy("family", "in_main", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    meeting = slots.select("node", "key").join(family.select("node", "family"), "node").select("key", "family").distinct()
-    other = meeting.select("key", F.col("family").alias("family2"))
-    pairs = meeting.join(other, "key").where("family <= family2").select("family", "family2").distinct()
-    second = block.select(*(F.col(c).alias(f"{c}2") for c in block.columns))
-    units = pairs.join(block, "family").join(second, "family2")
-    units = units.where("not (c0 = c1 and c0 = c02 and c0 = c12)").where(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least")
-    units = units.where("family < family2 or struct(in_main, block) <= struct(in_main2, block2)")
-    units = units.withColumn("unit", F.xxhash64("family", "in_main", "block", "family2", "in_main2", "block2"))
-    sides = units.select("unit", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"family{t}").alias("family"), F.col(f"in_main{t}").alias("in_main"), F.col(f"block{t}").alias("block")) for k, t in ((0, ""), (1, "2"))))).alias("s")).select("unit", "s.*")
-    shipped = sides.join(member.select("family", "in_main", "block", "node", "component"), ["family", "in_main", "block"]).join(sets, "node")
+    shipped = _units(member, slots.select("node", "key"), percent).join(sets, "node")
     shipped = shipped.select("unit", "side", "component", "shingles").repartition("unit").sortWithinPartitions("unit", "side")
     more = _compare_blocks(shipped, percent)
 
