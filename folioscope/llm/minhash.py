@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm import textscan
+from folioscope.llm import families, textscan
 from folioscope.llm.batches import small_batches
 from folioscope.operators.components import checkpointed, connected_components
 
@@ -246,32 +246,6 @@ def _compare_blocks(shipped: DataFrame, percent: int) -> DataFrame:
     return small_batches(shipped.select("unit", "side", "component", "shingles")).mapInArrow(run, "a long, b long")
 
 
-def _units(member: DataFrame, slots: DataFrame, percent: int) -> DataFrame:
-    """(unit, side, node, component): the classes that are compared with each other.
-
-    Of two families that meet, the larger one is cut into blocks and the smaller one joins
-    the larger one's partners, which are cut into chunks.  A unit is a block (side 0) with a
-    chunk (side 1).  The part of a family that its centre has gathered (``in_main``) has
-    blocks of its own and meets no member of its own component.
-    """
-    total = member.groupBy("family").agg(F.sum("n").alias("total"))
-    part = member.groupBy("family", "in_main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("main").alias("main"))
-    meeting = slots.join(member.select("node", "family"), "node").select("key", "family").distinct().join(total, "family")
-    other = meeting.select("key", F.col("family").alias("partner"), F.col("total").alias("total2"))
-    larger = "total > total2 or (total = total2 and family <= partner)"
-    pairs = meeting.join(other, "key").where(larger).select("family", "partner").distinct()
-    partners = member.select(F.col("family").alias("partner"), F.col("in_main").alias("in_main2"), "node", "n", "component")
-    side1 = pairs.join(part, "family").join(partners, "partner")
-    side1 = side1.where("not (in_main and component = main) and not (not in_main and family = partner and in_main2)")
-    side1 = side1.where(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
-    side1 = side1.select("family", "in_main", "blocks", "node", "n", "component").distinct()
-    chunks = side1.groupBy("family", "in_main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
-    side1 = side1.join(chunks, ["family", "in_main"]).select("family", "in_main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(1).alias("side"), "node", "component")
-    side0 = member.join(part.select("family", "in_main", "blocks"), ["family", "in_main"]).join(chunks, ["family", "in_main"])
-    side0 = side0.select("family", "in_main", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", "component")
-    return side0.union(side1).select(F.xxhash64("family", "in_main", "block", "chunk").alias("unit"), "side", "node", "component")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (``id_col``, ``n_shingles``, ``component_id``, ``kept``), one for each input row.
 
@@ -287,14 +261,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digest = ["n_shingles", "digest", "digest2"]
     full = sketch.where("n_shingles > 0 and id is not null")
     classes = checkpointed(full.groupBy(*digest).agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
-    slots = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    sizes = slots.groupBy("key").agg(F.count("*").alias("in_key")).where("in_key > 1")
-    slots = checkpointed(slots.join(sizes, "key"))
-    weights = slots.groupBy("node").agg(F.sum("in_key").alias("weight"))
-    slots = slots.join(weights, "node")
-    centres = slots.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("family"))
-    meets = slots.join(centres, "key").groupBy("node", "n", "family").agg(F.count("*").alias("times"))
-    family = checkpointed(meets.groupBy("node", "n").agg(F.max_by("family", F.struct("times", -F.col("family"))).alias("family")))
+    slots = families.meeting_slots(classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")))
+    family = families.families(slots)
     sets = checkpointed(_sets(df, id_col, text_col, words, family.select("node")).where("length(shingles) > 0").groupBy("node").agg(F.min("shingles").alias("shingles")))
 
     star = family.where("node <> family").join(sets.withColumnRenamed("shingles", "x"), "node")
@@ -306,7 +274,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = family.select("node", "n").join(member, "node").join(middle, "family", "left")
     member = checkpointed(member.withColumn("in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))))
 
-    shipped = _units(member, slots.select("node", "key"), percent).join(sets, "node")
+    skip = "(in_main and component = main) or (not in_main and family = partner and in_main2)"
+    alike = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
+    shipped = families.units(member, slots, BLOCK_SHINGLES, skip, alike).join(sets, "node")
     shipped = shipped.select("unit", "side", "component", "shingles").repartition("unit").sortWithinPartitions("unit", "side")
     more = _compare_blocks(shipped, percent)
 
