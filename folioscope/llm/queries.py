@@ -12,6 +12,7 @@ from folioscope.llm import embeddedup, langid, mixing, pii, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
+from folioscope.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_digests("pii", pii.KINDS, pii.BASE))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("embedding").cast("array<double>")
+    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = F.when(finite, F.transform(value, lambda x: F.floor(x * 64)))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
+    return top_k(vectors, "vec_id % 20 = 0", k=20)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at least once, and small sources up to twice."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -81,7 +90,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_pii": op8_pii,
+    "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_topk": """
+with v as (
+    select vec_id, [floor(64 * cast(x as double)) for x in embedding] as e
+    from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+    from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+    from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+}
