@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddedup, langid, mixing, pii, secrets, spans
+from folioscope.llm import embeddedup, htmltext, langid, mixing, pii, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -62,6 +62,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "title", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.fit(documents))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_html_text": op7_html_text,
     "op8_pii": op8_pii,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
