@@ -268,11 +268,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = family.where("node <> family").join(sets.withColumnRenamed("shingles", "x"), "node")
     star = star.join(sets.select(F.col("node").alias("family"), F.col("shingles").alias("y")), "family")
     links = checkpointed(_confirm(star.select(F.col("node").alias("a"), F.col("family").alias("b"), "x", "y"), percent))
-    first = connected_components(links)
-    member = family.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("n")
-    middle = member.where("node = family").select("family", F.col("component").alias("main"))
-    member = family.select("node", "n").join(member, "node").join(middle, "family", "left")
-    member = checkpointed(member.withColumn("in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))))
+    gathered = links.select(F.col("a").alias("node"), F.lit(True).alias("linked"))
+    member = family.join(gathered, "node", "left").withColumn("in_main", F.coalesce("linked", F.col("node") == F.col("family")))
+    component = F.when(F.col("in_main"), F.col("family")).otherwise(F.col("node"))
+    member = checkpointed(member.select("node", "n", "family", "in_main", F.col("family").alias("main"), component.alias("component")))
 
     skip = "(in_main and component = main) or (not in_main and family = partner and in_main2)"
     alike = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
