@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         smaller = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         roots = smaller.groupBy("u").agg(F.min("v").alias("m"))
         small = smaller.join(roots, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
