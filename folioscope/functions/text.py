@@ -44,7 +44,7 @@ def inverted_index_text(index: Column) -> Column:
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     placed = F.array_sort(pairs)
     n = F.size(placed)
-    whole = F.forall(F.sequence(F.lit(0), n - 1), lambda i: F.get(placed, i)["p"] == i)
+    whole = F.transform(placed, lambda x: x["p"]) == F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     return F.when(n == 0, "").when(whole, F.array_join(F.transform(placed, lambda x: x["w"]), " "))
 
 

@@ -46,11 +46,8 @@ def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
 
 
 def _occurs(found: Column, words: list[str]) -> Column:
-    if len(words) == 1:
-        return F.array_contains(found, words[0])
-    wanted = F.array(*(F.lit(w) for w in words))
-    last = F.size(found) - len(words)
-    return F.when(last < 0, False).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.slice(found, i, F.lit(len(words))) == wanted))
+    """Stems hold no blank, so a phrase is a piece of the stems joined by blanks."""
+    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def matches(text: Column, query: str) -> Column:

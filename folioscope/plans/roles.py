@@ -97,7 +97,12 @@ sources as (
 
 def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source events: ordering tuple, kind (errors are tombstones), payload."""
-    return table(spark, sf_dir, "events").select(
+    return as_source_events(table(spark, sf_dir, "events"))
+
+
+def as_source_events(events: DataFrame) -> DataFrame:
+    """Rows of the events table, batch or stream, in the role of source events."""
+    return events.select(
         F.col("event_id"),
         F.col("user_id").cast("string").alias("event_key"),
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("event_kind"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.operators import state
-from folioscope.operators.components import connected_components
+from folioscope.operators.components import connected_components, shared_checkpoint_dir
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import SOURCE_EVENTS, table
+from folioscope.streaming.state_stream import StateTable, follow
 
 LATEST = """
 latest as (
@@ -273,3 +276,20 @@ def multi_source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("source"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("source"))
     return suppliers.unionByName(customers, allowMissingColumns=True)
+
+
+@query("select event_key, event_kind, tie_break_key, event_id, value from latest", SOURCE_EVENTS, LATEST)
+def stream_state_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state as ``source_state_latest``, by a stream over the table's files."""
+    folder = f"{shared_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
+    states = StateTable(spark, f"{folder}/state", ["event_key"])
+    follow(roles.as_source_events(stream), states, f"{folder}/checkpoint")
+    return states.read().select("event_key", "event_kind", "tie_break_key", "event_id", "value")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
