@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 
 #: Rows that a bucket of the permutation holds about.
 BUCKET_ROWS = 2000
+#: Sources up to which their plan is broadcast (a few MB); beyond it the join is shuffled.
+BROADCAST_SOURCES = 50_000
 #: Steps of the bisection; the exponent is then known to 1 in 10**12.
 STEPS = 40
 
@@ -93,6 +95,8 @@ def mix(df: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str =
         [(r["_source"], spent * weights.get(r["_source"], 0.0), float(have[r["_source"]]), max(1, math.ceil(r["n"] / BUCKET_ROWS))) for r in totals],
         "_source string, _goal double, _have double, _buckets int",
     )
+    if len(totals) <= BROADCAST_SOURCES:
+        goals = F.broadcast(goals)
     # a row of one pass more than whole ones is taken while the source's budget lasts
     passes = F.when(F.col("_have") > 0, F.floor(F.col("_goal") / F.col("_have") + 1e-9)).otherwise(1).cast("int")
     spread = rows.join(goals, "_source").withColumn("_whole", passes).withColumn("_left", F.when(F.col("_have") > 0, F.greatest(F.lit(0.0), F.col("_goal") - F.col("_whole") * F.col("_have"))).otherwise(0.0))

@@ -61,7 +61,7 @@ THRESHOLD = 0.9
 #: Worth of the prior belief in each labeler, in votes; and rounds.
 PRIOR, ROUNDS = 20.0, 50
 
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _well_formed(kind: int, hit: Column) -> Column:

@@ -54,8 +54,7 @@ def labelled_sample(spark: SparkSession, size: int = 4000) -> DataFrame:
                 F.upper(F.concat_ws("_", pick(15), pick(16), pick(17), number)),
                 F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit("t")), F.lit(2_000_000_000))), "yyyy-MM-dd-HH-mm-ss"),
                 F.concat(pick(18), F.lit("="), pick(19), F.lit("-"), pick(20), number),
-                F.lpad(number, 20, "0"),
-                F.repeat(F.substring("h", 1, 2), 12),
+                F.concat(pick(1), F.lit("-"), F.lpad(number, 12, "0")),
             )
         ).alias("text"),
         F.lit(False).alias("random"),
@@ -81,12 +80,13 @@ class MarkovModels:
         return F.when(F.char_length(token) > 1, total / F.greatest(F.size(steps), F.lit(1))).otherwise(0.0)
 
 
-def fit(sample: DataFrame, recall: float = 0.02) -> MarkovModels:
+def fit(sample: DataFrame, missed: float = 0.02) -> MarkovModels:
     """Models from labelled rows (text string, random boolean).
 
     Pair counts are aggregated by Spark; at most (alphabet + 1) squared pairs for each label
-    reach the driver.  The threshold is the score that all but ``recall`` of the random
-    strings exceed, or the highest ordinary score where that is larger.  Null texts or labels
+    reach the driver.  The threshold lies halfway between the score that all but ``missed``
+    of the random strings exceed and the one that 99.9 % of the ordinary ones stay below,
+    but not below 0, where both models are equally likely.  Null texts or labels
     are passed over; without samples every ratio is 0 and nothing is ever found.
     """
     size = len(ALPHABET) + 1
@@ -106,8 +106,9 @@ def fit(sample: DataFrame, recall: float = 0.02) -> MarkovModels:
     if not counted:
         return MarkovModels(ratios, float("inf"))
     scored = rows.select("random", MarkovModels(ratios, 0.0).score(F.col("text")).alias("s"))
-    cut = scored.agg(F.percentile(F.when(F.col("random"), F.col("s")), F.lit(recall)).alias("low"), F.percentile(F.when(~F.col("random"), F.col("s")), F.lit(0.999)).alias("high")).first()
-    return MarkovModels(ratios, max(x for x in (cut["low"], cut["high"], 0.0) if x is not None))
+    cut = scored.agg(F.percentile(F.when(F.col("random"), F.col("s")), F.lit(missed)).alias("low"), F.percentile(F.when(~F.col("random"), F.col("s")), F.lit(0.999)).alias("high")).first()
+    found = [x for x in (cut["low"], cut["high"]) if x is not None]
+    return MarkovModels(ratios, max(0.0, sum(found) / len(found)))
 
 
 def scan(df: DataFrame, models: MarkovModels, text_col: str = "text", to: str = "secrets") -> DataFrame:
