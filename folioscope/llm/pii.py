@@ -23,19 +23,21 @@ from folioscope.llm import spans
 KINDS = ("email", "ip", "card", "phone", "mail_words", "phone_local", "ssn", "iban")
 BASE = 4
 #: The patterns start only where a leftmost match can (after the last match, or where the
-#: run of characters begins), which spares a retry at each character of a long run.
+#: run of characters begins), which spares a retry at each character of a long run; a look
+#: at the first character comes before anything dearer.  Groups repeat possessively, which
+#: takes no stack however long the match.
 PATTERNS = (
-    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    r"(?=[A-Za-z0-9._%+-])(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9](?:[\x20-]?[0-9]){11,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,24}+",
-    r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    r"(?=[(0-9])(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 )
-#: A string that each match of the pattern holds, for texts that needn't be searched.
-HOLDS = ("@", ".", None, "+", None, None, "-", None)
+#: A plainer pattern that is in every text with a match of the pattern, for a quick look.
+HOLDS = ("@", None, None, r"\+", r"[\[(](?:at|AT)[\])]", None, "[0-9]-[0-9]", None)
 #: Fixed lists: public suffixes that mail is often sent to, issuer prefixes of payment cards,
 #: country codes of phone numbers, countries of bank accounts.
 MAIL_SUFFIXES = r"\.(?:com|net|org|edu|gov|info|biz|io|co|us|uk|de|fr|es|it|nl|ch|at|be|eu)$"

@@ -16,11 +16,12 @@ def empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def matches(text: Column, pattern: str, kind: int, if_contains: str | None = None) -> Column:
+def matches(text: Column, pattern: str, kind: int, if_found: str | None = None) -> Column:
     """All leftmost, non-overlapping matches of a Java pattern that can't match nothing.
 
     The text between matches gives their places: both come from one search order.
-    ``if_contains`` is a string that every match holds; other texts aren't searched.
+    ``if_found`` is a plainer pattern that every text with a match holds; texts without it
+    aren't searched.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
@@ -34,8 +35,7 @@ def matches(text: Column, pattern: str, kind: int, if_contains: str | None = Non
 
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
     found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    there = text.rlike(pattern) if if_contains is None else text.contains(if_contains)
-    return F.when(there, found).otherwise(empty())
+    return F.when(text.rlike(if_found or pattern), found).otherwise(empty())
 
 
 def ordered(*arrays: Column) -> Column:

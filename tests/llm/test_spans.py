@@ -103,3 +103,14 @@ def test_odd_rows(spark, odd, none, models):
     clash = odd.withColumn("secrets", F.lit(1)).withColumn("pii", F.lit(1))
     assert dict(secrets.scan(clash, models).dtypes)["secrets"] == f"array<{spans.SPAN}>"
     assert dict(pii.find(clash, model).dtypes)["pii"] == f"array<{spans.SPAN}>"
+
+
+def test_very_long_runs_take_neither_stack_nor_squared_time(spark, models):
+    texts = ["1 " * 150_000 + "x", "a@" + "b." * 150_000 + "c", "x" * 300_000, "7" * 300_000 + ".1", "+1" + "(" * 300_000, "token=" + "a" * 300_000, "AKIA" * 75_000, "0f" * 150_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(df)
+    for r in secrets.scan(df, models).collect():
+        assert [(s["start"], s["kind"], s["end"]) for s in r["secrets"] if s["kind"] < 3] == secret_base(r["text"])
+    for r in pii.find(df, model).collect():
+        found = [(s["start"], s["kind"], s["end"]) for s in r["pii"] if s["kind"] < pii.BASE]
+        assert found == ([(0, 0, 300_003)] if r["doc_id"] == 1 else [])
