@@ -25,7 +25,7 @@ from folioscope.llm.batches import small_batches
 #: Length of a hashed vector.
 DIMENSIONS = 4096
 #: Labelled texts that a model is fitted on at most: of a language, in all; and languages.
-SAMPLE, TOTAL, LANGUAGES = 400, 4000, 256
+SAMPLE, TOTAL, LANGUAGES = 300, 3000, 256
 #: Centroids of each language.
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this part of the sample's lowest percentile.
@@ -131,25 +131,26 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, letters = gram_counts(batch.column(1).to_pylist()) if len(batch) else (np.zeros((0, DIMENSIONS)), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(letters), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "k", "letters", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(letters), pa.array([x.tobytes() for x in np.minimum(found, 65535).astype(np.uint16)], pa.binary())], names=["label", "k", "letters", "counts"])
 
     sampled = small_batches(drawn).mapInArrow(count, "label string, k int, letters long, counts binary").where("letters > 0")
-    sampled = sorted(sampled.collect(), key=lambda r: (r["label"], r["k"]))
-    if not sampled:
+    held: dict[str, list[tuple[int, bytes]]] = {}
+    for r in sampled.toLocalIterator():
+        held.setdefault(r["label"], []).append((r["k"], bytes(r["counts"])))
+    if not held:
         return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros(0))
-    labels = [r["label"] for r in sampled]
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in sampled])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    of = {label: np.stack([np.frombuffer(c, np.uint16) for _, c in sorted(held.pop(label))]) for label in sorted(held)}
+    documents = sum(len(x) for x in of.values())
+    idf = (np.log((1 + documents) / (1 + sum((x > 0).sum(axis=0) for x in of.values()))) + 1).astype(np.float32)
     names, centres, radius = [], [], []
-    vectors = _unit(np.log1p(counts) * idf)
-    for label in sorted(set(labels)):
-        own = vectors[np.array([x == label for x in labels])]
+    for label, counted in of.items():
+        own = _unit(np.log1p(counted.astype(np.float32)) * idf)
         found = _kmeans(own, centroids)
         limit = TOLERANCE * float(np.percentile((own @ found.T).max(axis=1), 1))
         names += [label] * len(found)
         centres.append(found)
         radius += [limit] * len(found)
-    return LanguageModel(names, np.concatenate(centres).astype(np.float32), idf.astype(np.float32), np.array(radius))
+    return LanguageModel(names, np.concatenate(centres).astype(np.float32), idf, np.array(radius))
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
