@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import identifiers, text, tristate
+from folioscope.functions import documents, identifiers, text, tristate
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import PAPERS, table
@@ -223,3 +223,53 @@ def exclusive_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = F.col("quality").isNotNull().cast("int") + F.col("toxic").isNotNull().cast("int")
     joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return joined.select("doc_id", F.when(there == 2, "both").when(there == 0, "none").otherwise("one").alias("assertion_count"), (there == 1).alias("exclusive"))
+
+
+@query("select event_id, '{\"a\":\"' || event_type || '\",\"k\":' || event_id || '}' as canonical, event_id % 5 <> 0 as valid from events")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in order; a repeated key makes a value invalid."""
+    k, kind = F.col("event_id").cast("string"), F.col("event_type")
+    raw = F.concat(F.lit('{ "k" : '), k, F.lit(', "a" : "'), kind, F.lit('" }'))
+    twice = F.concat(F.lit('{"k": 1, "k": '), k, F.lit("}"))
+    given = F.when(F.col("event_id") % 5 == 0, twice).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", documents.canonical_json(raw).alias("canonical"), documents.canonical_json(given).isNotNull().alias("valid"))
+
+
+@query("select event_id, case event_id % 6 when 0 then 'object' when 1 then 'array' when 2 then 'string' when 3 then 'number' when 4 then 'boolean' else 'invalid' end as kind from events")
+def json_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, props = F.col("event_id") % 6, F.col("props")
+    raw = F.when(k == 0, props).when(k == 1, F.concat(F.lit("["), props, F.lit("]"))).when(k == 2, '"x"').when(k == 3, "1.5").when(k == 4, "true").otherwise(F.concat(props, F.lit("x")))
+    return table(spark, sf_dir, "events").select("event_id", documents.json_kind(raw).alias("kind"))
+
+
+@query("select p_partkey, p_brand || ' & co' || chr(10) || p_name || ' < ' || p_type as abstract from part")
+def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("<jats:sec><jats:title>"), F.col("p_brand"), F.lit(" &amp; <b>co</b></jats:title><jats:p>\n "), F.col("p_name"), F.lit("  &lt; "), F.col("p_type"), F.lit("</jats:p></jats:sec>"))
+    return table(spark, sf_dir, "part").select("p_partkey", documents.jats_text(raw).alias("abstract"))
+
+
+@query(
+    """
+select p_partkey, array_to_string(list_sort(list_distinct([p_brand, p_type])), ',') as normalised,
+    array_to_string(list_sort([x for x in ['Brand#11', 'growth', 'zeta'] if x <> p_brand]), ',') as undeclared from part"""
+)
+def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists without blanks and repeats, and what is required but not declared."""
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    listed = F.array(F.concat(F.lit(" "), kind), brand, F.lit(" "), F.concat(brand, F.lit("  ")), kind)
+    required = F.array(F.lit("zeta"), F.lit("growth"), F.lit("Brand#11"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(documents.normalised_list(listed), ",").alias("normalised"), F.array_join(documents.undeclared(required, F.array(brand)), ",").alias("undeclared"))
+
+
+@query("select page_id, base64(encode(url)) as payload from pages")
+def payload_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrapped = F.base64(F.col("url").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(wrapped, "[\r\n]", "").alias("payload"))
+
+
+@query("select conv_id, string_agg(role, ',' order by first_turn) as labels from (select conv_id, role, min(turn) as first_turn from conversations group by 1, 2) group by 1")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels in the order of their first occurrence."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("t", "role"))), lambda x: x["role"])
+    return first.groupBy("conv_id").agg(F.array_join(listed, ",").alias("labels"))
