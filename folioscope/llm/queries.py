@@ -100,6 +100,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": """
+with recursive w as (
+    select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] as words
+    from documents),
+sets as (
+    select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+        else list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)]) end as s
+    from w),
+sized as (select doc_id, len(s) as n from sets),
+held as (select doc_id, unnest(s) as shingle from sets),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from held a join held b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join sized p on x = p.doc_id join sized q on y = q.doc_id where 100 * c >= 85 * (p.n + q.n - c)),
+edges as (select x, y from links union select y, x from links union select doc_id, doc_id from sized),
+reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x),
+found as (select x as doc_id, min(y) as component_id from reach group by 1)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sized join found using (doc_id)
+""",
+    "op5_embedding_dedup": """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+edges as (select x, y from links union select vec_id, vec_id from embeddings),
+reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x),
+found as (select x as vec_id, min(y) as component_id from reach group by 1),
+counted as (select x as vec_id, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from found left join counted using (vec_id)
+""",
     "op9_exact_topk": """
 with v as (
     select vec_id, [floor(64 * cast(x as double)) for x in embedding] as e
