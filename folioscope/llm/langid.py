@@ -3,14 +3,14 @@
 Method: a text becomes a normalised TF-IDF vector of hashed character n-grams (one to
 three letters, words padded with a blank).  Each language has several centroids, found by
 spherical k-means over a bounded sample of its labelled texts.  The language of the
-nearest centroid by cosine is predicted; a text that is further from all centroids than a
-distance learned from the sample is rejected.
+nearest centroid by cosine is predicted; a text that is further from that centroid than
+texts of about its length are, as learned from the sample, is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,14 @@ DIMENSIONS = 4096
 SAMPLE, TOTAL, LANGUAGES = 300, 3000, 256
 #: Centroids of each language.
 CENTROIDS = 4
-#: A text is rejected if its cosine is below this part of the sample's lowest percentile.
-TOLERANCE = 0.25
-#: A text of fewer letters says too little of its distance to be rejected for it.
-LETTERS = 40
+#: A text is rejected if its cosine is below this part of the lowest percentile of held-out texts.
+TOLERANCE = 0.75
+#: Limits are learned for texts of so many letters and more, up to the next number; junk comes no nearer beyond.
+BANDS = 2 ** np.arange(1, 9)
+#: Cosines that the limit of a band needs, or it is that of the band before.
+ENOUGH = 20
+#: Parts of the sample; each is held against centroids of the others to learn limits.
+FOLDS = 5
 UNKNOWN = "und"
 
 
@@ -70,7 +74,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Fitted centroids. ``labels[i]`` is the language of row i of ``centroids``."""
+    """Fitted centroids. ``labels[i]`` is the language of row i of ``centroids``, and row i of ``radius`` has its lowest cosine for each of ``BANDS``."""
 
     labels: list[str]
     centroids: np.ndarray
@@ -91,7 +95,8 @@ class LanguageModel:
         best = np.argmax(cosine, axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
         none = letters == 0
-        far = none | ((letters >= LETTERS) & (score < self.radius[best]))
+        band = np.searchsorted(BANDS, letters, side="right") - 1
+        far = none | ((band >= 0) & (score < self.radius[best, np.maximum(band, 0)]))
         return [(UNKNOWN, 0.0, True) if n else (self.labels[b], float(s), bool(f)) for b, s, f, n in zip(best, score, far, none, strict=True)]
 
 
@@ -113,14 +118,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     The sample is bounded: ``sample`` texts a label, the ``LANGUAGES`` commonest labels, and
     ``TOTAL`` texts in all.  Executors turn whole texts into counts of fixed length, which
-    are brought to the driver; statistics of the model are those of the sample.  Rows
-    without text or label are passed over.  With no labelled row at all, the model rejects
-    every text.
+    are brought to the driver; statistics of the model are those of the sample.  Limits of
+    distance come from ``FOLDS`` parts of the sample, each held against centroids of the
+    others, whole and cut to the shorter lengths of ``BANDS``; one text in a hundred may be
+    mislabelled junk.  Rows without text or label are passed over.  With no labelled row at all, the
+    model rejects every text.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
     common = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
     if not common:
-        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros(0))
+        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(BANDS))))
     sample = min(sample, TOTAL // len(common))
     chance = F.create_map(*(F.lit(x) for r in common for x in (r["label"], min(1.0, 4 * sample / r["n"]))))[F.col("label")]
     order = F.xxhash64("id", F.lit("language sample"))
@@ -138,19 +145,62 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     for r in sampled.toLocalIterator():
         held.setdefault(r["label"], []).append((r["k"], bytes(r["counts"])))
     if not held:
-        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros(0))
+        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(BANDS))))
+    places = {label: np.array([k for k, _ in sorted(rows)]) for label, rows in held.items()}
     of = {label: np.stack([np.frombuffer(c, np.uint16) for _, c in sorted(held.pop(label))]) for label in sorted(held)}
     documents = sum(len(x) for x in of.values())
     idf = (np.log((1 + documents) / (1 + sum((x > 0).sum(axis=0) for x in of.values()))) + 1).astype(np.float32)
-    names, centres, radius = [], [], []
+    names: list[str] = []
+    centres: list[np.ndarray] = []
+    others: list[list[np.ndarray]] = [[] for _ in range(FOLDS)]
     for label, counted in of.items():
         own = _unit(np.log1p(counted.astype(np.float32)) * idf)
         found = _kmeans(own, centroids)
-        limit = TOLERANCE * float(np.percentile((own @ found.T).max(axis=1), 1))
         names += [label] * len(found)
         centres.append(found)
-        radius += [limit] * len(found)
-    return LanguageModel(names, np.concatenate(centres).astype(np.float32), idf, np.array(radius))
+        for fold, held_out in enumerate(others):
+            part = own[places[label] % FOLDS != fold]
+            held_out.append(_kmeans(part, centroids) if len(part) else found)
+    of.clear()
+    model = LanguageModel(names, np.concatenate(centres).astype(np.float32), idf, np.zeros((len(names), len(BANDS))))
+    return replace(model, radius=_limits(drawn, model, [np.concatenate(c).astype(np.float32) for c in others]))
+
+
+def _cuts(text: str) -> list[tuple[int, str]]:
+    """A text cut to each number of letters in ``BANDS`` but the last that it has, and the whole, each with its band."""
+    cp, _ = textscan.code_points([text])
+    at = np.flatnonzero(textscan.character_classes()[cp] == textscan.LETTER)
+    bands = int(np.searchsorted(BANDS, len(at), side="right"))
+    return [*((i, text[: at[BANDS[i] - 1] + 1]) for i in range(min(bands, len(BANDS) - 1))), *([(bands - 1, text)] if bands else [])]
+
+
+def _limits(drawn: DataFrame, model: LanguageModel, others: list[np.ndarray]) -> np.ndarray:
+    """The lowest cosine of each centroid and band, from held-out texts of its language and of all, whichever are lower."""
+    shared = drawn.sparkSession.sparkContext.broadcast((model, others))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, others = shared.value
+        for batch in batches:
+            pieces = [(label, k % FOLDS, band, cut) for label, text, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) for band, cut in _cuts(text)]
+            for a, b in textscan.blocks(np.fromiter((len(p[3]) + 2000 for p in pieces), np.int64, len(pieces)), 1_000_000):
+                label, fold, band, cut = zip(*pieces[a:b])
+                vectors = model.vectors(gram_counts(list(cut))[0])
+                cosine = [float((others[f] @ v).max()) for f, v in zip(fold, vectors, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(band, pa.int32()), pa.array(cosine, pa.float32())], names=["label", "band", "cosine"])
+
+    rows = small_batches(drawn).mapInArrow(score, "label string, band int, cosine float").groupBy("label", "band").agg(F.collect_list("cosine").alias("cosines")).collect()
+    found = {(r["label"], r["band"]): np.array(r["cosines"]) for r in rows}
+    radius = np.zeros((len(model.labels), len(BANDS)))
+    for band in range(len(BANDS)):
+        held = [v for (_, b), v in found.items() if b == band]
+        if sum(map(len, held)) < ENOUGH:
+            radius[:, band] = radius[:, band - 1] if band else 0
+            continue
+        lowest = np.percentile(np.concatenate(held), 1)
+        for i, label in enumerate(model.labels):
+            own = found.get((label, band))
+            radius[i, band] = TOLERANCE * min(lowest, lowest if own is None else np.percentile(own, 1))
+    return radius
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

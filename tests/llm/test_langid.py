@@ -1,3 +1,6 @@
+import base64
+import random
+import re
 import zlib
 
 from folioscope.llm import langid
@@ -37,3 +40,25 @@ def test_odd_rows(odd, none):
     assert langid.identify(none, model).count() == 0
     blank = langid.fit(none)
     assert all(r["rejected"] for r in langid.identify(odd, blank).collect())
+
+
+def test_junk_and_unlearned_languages_are_rejected_at_any_length(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(documents.where("doc_id % 2 = 0"))
+    r = random.Random(7)
+
+    def words(letters, n):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+
+    latin, cyrillic, greek = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+    junk = [words(a, n) for a in (latin, "bcdfghjklmnpqrstvwxz", cyrillic, greek) for n in (20, 300, 1500, 10_000)]
+    junk += [base64.b64encode(r.randbytes(n)).decode() for n in (150, 2250, 30_000)]
+    for text in (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ",
+    ):
+        junk += [text, text * 40]
+    assert [t[:30] for t, found in zip(junk, model.predict(junk), strict=True) if not found[2]] == []
+    clean = [r["text"] for r in documents.where("doc_id % 2 = 1").collect() if re.search(r"[^\W\d_]", r["text"] or "")]
+    assert sum(found[2] for found in model.predict(clean)) <= len(clean) // 200
