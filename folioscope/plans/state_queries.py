@@ -222,12 +222,40 @@ from comp left join orders on node = o_orderkey group by component"""
 )
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components, the records in each, and whether those disagree in one scheme."""
-    found = identity_components(spark, sf_dir)
+    return _conflicts(spark, sf_dir, identity_components(spark, sf_dir))
+
+
+def _conflicts(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority")
     agg = found.join(kinds, "node", "left").groupBy("component")
     return agg.agg(F.count_if(F.col("node") > 0).alias("records"), (F.count_distinct("o_orderpriority") > 1).alias("conflict"))
 
 
+WHOLE_IDENTITIES = """
+recursive edges as (select distinct l_orderkey as a, -l_partkey as b from lineitem where l_orderkey is not null and l_partkey is not null),
+    both_ways as (select a, b from edges union select b, a from edges),
+    comp(node, component) using key (node) as (
+        select distinct a, a from both_ways union
+        select e.b, min(c.component) from comp c join both_ways e on c.node = e.a join recurring.comp r on r.node = e.b where c.component < r.component group by e.b)"""
+
+
+@query("select node, component from comp", WHOLE_IDENTITIES)
+def identity_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identity_components`` over every link of a record to an identifier."""
+    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b")))
+
+
+@query(
+    """
+select component, count(*) filter (node > 0) as records, count(distinct o_orderpriority) > 1 as conflict
+from comp left join orders on node = o_orderkey group by component""",
+    WHOLE_IDENTITIES,
+)
+def identity_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identity_conflicts`` over every link of a record to an identifier."""
+    return _conflicts(spark, sf_dir, identity_components_whole(spark, sf_dir))
+
+
 @query(
     """
 with stored as (select o_orderkey, o_orderstatus, o_totalprice from orders),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import analytics, catalog, search, state
 from folioscope.operators.components import connected_components
+from folioscope.plans import state_queries
 
 
 def one(spark, *columns):
@@ -75,6 +76,25 @@ def test_components(spark):
     assert {r["component"] for r in connected_components(chain).collect()} == {0}
 
 
+def test_components_of_every_link(spark, tmp_path):
+    links = [(1, 10, 50.0), (2, 10, 5.0), (2, 11, 46.0), (3, 12, 1.0), (4, 12, 49.0), (5, 13, 2.0), (3, 11, 45.0), (6, 14, 45.0)]
+    spark.createDataFrame(links, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "HIGH" if k == 4 else "LOW") for k in range(1, 7)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for record, identifier, _ in links:
+        high, low = sorted((root(record), root(-identifier)), reverse=True)
+        parent[high] = low
+    assert {tuple(r) for r in state_queries.identity_components_whole(spark, str(tmp_path)).collect()} == {(x, root(x)) for x in list(parent)}
+    rows = {r["component"]: (r["records"], r["conflict"]) for r in state_queries.identity_conflicts_whole(spark, str(tmp_path)).collect()}
+    assert rows == {-12: (4, True), -13: (1, False), -14: (1, False)}
+
+
 def catalog_rows(spark):
     known = lambda v: ("known", v)
     rows = [
