@@ -21,7 +21,7 @@ from folioscope.llm.batches import small_batches
 
 #: Fixed lists of elements, after the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math select datalist canvas audio video title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe object select datalist canvas audio video title meta link base".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -41,16 +41,30 @@ CLOSES = {
     "tbody": (frozenset("thead tbody tfoot tr td th".split()), frozenset({"table"})),
     "tfoot": (frozenset("thead tbody tfoot tr td th".split()), frozenset({"table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
+    "caption": (frozenset("caption thead tbody tfoot tr td th".split()), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: What an opening part of a table leaves open at most.
+CONTEXT = {
+    **dict.fromkeys(("td", "th"), frozenset("table thead tbody tfoot tr".split())),
+    "tr": frozenset("table thead tbody tfoot".split()),
+    **dict.fromkeys("thead tbody tfoot caption colgroup".split(), frozenset({"table"})),
+}
+#: Where content outside cells is moved before the table, and what stays.
+TABLE_PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
+#: What doesn't end the head.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Parts of drawings and formulas that aren't drawn.
+NOT_DRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
 #: An opening block closes a paragraph that is open in the same container.
 ENDS_PARAGRAPH = (frozenset({"p"}), frozenset("table td th li dd div section article blockquote button object caption".split()))
 
 #: Elements that are open at once at most; content further down belongs to the last of them.
 DEPTH = 150
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"'][^\s>]*|[^>])*+)>|<[!?/][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -83,9 +97,21 @@ def parse(page: str) -> Element:
             if stack[depth].name in stop:
                 return
 
+    def add(child: Element | str) -> None:
+        """Into the innermost element, or before the table whose cells it is outside of."""
+        if stack[-1].name in TABLE_PARTS and (child.strip() if isinstance(child, str) else child.name not in IN_TABLE):
+            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].name == "table"), 0)
+            if depth:
+                around = stack[depth - 1].children
+                around.insert(next(i for i in range(len(around) - 1, -1, -1) if around[i] is stack[depth]), child)
+                return
+        stack[-1].children.append(child)
+
     def text(value: str) -> None:
         if value:
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
+            if stack[-1].name == "head" and value.strip():
+                stack.pop()
+            add(html.unescape(value) if "&" in value else value)
 
     at, end = 0, len(page)
     while at < end:
@@ -102,7 +128,7 @@ def parse(page: str) -> Element:
             continue
         if m[1]:
             if name in ("p", "br") and not any(e.name == name for e in stack):
-                stack[-1].children.append(Element(name))
+                add(Element(name))
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
@@ -115,14 +141,26 @@ def parse(page: str) -> Element:
             close(*CLOSES[name])
         if name in BLOCK:
             close(*ENDS_PARAGRAPH)
-            if stack[-1].name == "head":
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
+        if name in CONTEXT and any(e.name == "table" for e in stack):
+            while stack[-1].name not in CONTEXT[name]:
                 stack.pop()
+        if stack[-1].name in TABLE_PARTS and any(e.name == "table" for e in stack):
+            if name == "form":
+                continue
+            if name == "table":
+                while stack.pop().name != "table":
+                    pass
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Element("tr")
             stack[-1].children.append(row)
             stack.append(row)
         element = Element(name, _attributes(m[3]))
-        stack[-1].children.append(element)
+        for drawing, parts in NOT_DRAWN.items():
+            if name in parts and any(e.name == drawing for e in stack):
+                element.attributes["hidden"] = ""
+        add(element)
         if name in VOID or m[3].endswith("/") or (len(stack) >= DEPTH and name not in RAW):
             continue
         if name in RAW:
@@ -172,6 +210,13 @@ def _table(table: Element) -> list[str]:
     """Rows of a table with their cells in aligned columns."""
     rows: list[list[list[str]]] = []
     captions: list[str] = []
+    below: dict[int, int] = {}
+
+    def skip(cells: list[list[str]]) -> None:
+        """Leaves room for cells that reach down from rows above."""
+        while below.get(len(cells), 0) > 0:
+            below[len(cells)] -= 1
+            cells.append([])
 
     def walk(e: Element) -> None:
         for child in e.children:
@@ -181,14 +226,21 @@ def _table(table: Element) -> list[str]:
                 cells: list[list[str]] = []
                 for c in child.children:
                     if isinstance(c, Element) and c.name in ("td", "th") and c.shown():
+                        skip(cells)
+                        at = len(cells)
                         cells.append(lines_of(c))
-                        span = c.attributes.get("colspan", "1")
-                        cells += [[]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
+                        span, down = (c.attributes.get(a, "1") for a in ("colspan", "rowspan"))
+                        cells += [[]] * (min(int(span), 1000) - 1 if span.isdecimal() else 0)
+                        if down.isdecimal() and int(down) != 1:
+                            below.update(dict.fromkeys(range(at, len(cells)), min(int(down) or 65534, 65534) - 1))
+                skip(cells)
                 rows.append(cells)
             elif child.name == "caption":
                 captions.extend(lines_of(child))
             else:
                 walk(child)
+                if child.name in ("thead", "tbody", "tfoot"):
+                    below.clear()
 
     walk(table)
     widths: dict[int, int] = {}

@@ -20,6 +20,30 @@ def test_implied_and_broken_markup():
     assert render("<pre>  x\n   y</pre>z") == "  x\n   y\n\nz"
 
 
+def test_text_outside_cells_is_shown_before_the_table():
+    assert render("<table>one<tr>two<td>a</td></tr><tbody><div>three</div><tr><td>b</table>four") == "onetwo\nthree\n\na\nb\n\nfour"
+    assert render("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a  b"
+    assert render("<table><tr><b><td>a</td></b><td>b</td></tr></table>") == "a  b"
+    assert render("<table><caption>c<tr><td>a<table><tr><td>in</table></table>z") == "c\na\n\nin\n\nz"
+
+
+def test_quotes_within_unquoted_values():
+    assert render("<p title=it's>visible one</p><p>that's two</p>") == "visible one\n\nthat's two"
+    assert render("<p title=a=\"b>one</p><p title='x > y' id=\">\">two</p>") == "one\n\ntwo"
+    assert render("<p title=it's hidden>no</p>yes") == "yes"
+
+
+def test_head_ends_at_the_first_content():
+    assert render("<head><title>t</title>text <b>bold</b><p>more") == "text bold\n\nmore"
+    assert render("<head><title>t</title><b>bold<div>more</div>") == "bold\nmore"
+    assert render("<head><style>s</style> <meta x><script>y</script></head><p>z") == "z"
+
+
+def test_drawings_formulas_and_rowspan():
+    assert render("x <svg><title>no</title><defs><text>no</text></defs><text>drawn</text></svg> <math><mi>y</mi><annotation>no</annotation></math>") == "x drawn y"
+    assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "", None, None), (None, "<p>x" * 30000, "u", "t"), (2, "", None, None)], "page_id long, html string, url string, text string")
     rows = extract(df).collect()
