@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions import text, tristate
+from folioscope.functions import identifiers, text, tristate
 from folioscope.operators import state
 from folioscope.operators.components import connected_components
 
@@ -20,7 +20,7 @@ def events_of(records: DataFrame) -> DataFrame:
         F.col("raw_hash").alias("tie_break_key"),
         F.lit(1).cast("long").alias("position"),
         F.xxhash64("raw_hash", "source", "record_id").alias("event_id"),
-        F.struct("doi", "title", "published", "authors", "issns", "urls", "retracted", "record_id").alias("record"),
+        F.struct("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id").alias("record"),
     )
 
 
@@ -30,25 +30,28 @@ def current_records(events: DataFrame) -> DataFrame:
 
 
 def works(records: DataFrame) -> DataFrame:
-    """Records with the work they belong to: those that share a DOI hang together."""
+    """Records with the work they belong to: those that share an identifier of any scheme hang together."""
     numbered = records.withColumn("node", F.xxhash64("event_key"))
-    edges = numbered.where("record.doi is not null").select(F.col("node").alias("a"), F.xxhash64(F.lit("doi"), F.col("record.doi")).alias("b"))
+    edges = numbered.select(F.col("node").alias("a"), F.explode("record.identifiers").alias("i")).select("a", F.xxhash64("i.scheme", "i.value").alias("b"))
     found = connected_components(edges)
     return numbered.join(found, "node", "left").withColumn("work_id", F.coalesce("component", "node")).drop("component", "node")
 
 
 def papers(resolved: DataFrame) -> DataFrame:
-    """One wide row per work: the winner's fields, all sources, and whether sources disagree."""
+    """One wide row per work: the winner's fields, all sources, and whether they disagree in a scheme."""
     winner = F.max_by(F.struct("record", "event_key"), F.struct(*state.ORDER)).alias("w")
     sources = F.array_sort(F.collect_set("source")).alias("source_names")
     doi = F.min("record.doi").alias("doi")
-    grouped = resolved.groupBy("work_id").agg(winner, sources, doi, F.bool_or("record.retracted").alias("retracted"), (F.count_distinct("record.doi") > 1).alias("conflict"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("record.identifiers")))).alias("found")
+    grouped = resolved.groupBy("work_id").agg(winner, sources, doi, F.bool_or("record.retracted").alias("retracted"), found)
+    values = lambda scheme: F.transform(F.filter("found", lambda x: x["scheme"] == scheme), lambda x: x["value"])
+    grouped = grouped.withColumn("identity", identifiers.canonical_identity({s: values(s) for s in identifiers.SCHEMES})).withColumn("conflict", F.size("found") > F.size(F.array_distinct("found.scheme")))
     record = F.col("w.record")
     at = record["published"]["at"]
     state_of, value_of = tristate.known(at)
     code = F.size(record["urls"]) > 0
     return grouped.select(
-        F.coalesce(F.concat(F.lit("doi:"), "doi"), F.col("w.event_key")).alias("canonical_key"),
+        F.coalesce(F.concat("identity.scheme", F.lit(":"), "identity.value"), F.col("w.event_key")).alias("canonical_key"),
         record["title"].alias("title"),
         state_of.alias("published_at_state"),
         value_of.alias("published_at_value"),

@@ -1,7 +1,8 @@
 """Source records from files: works in JSON, articles in XML, metrics in CSV.
 
 Every reader has an explicit schema and gives rows of one shape:
-source, record_id, doi, title, published, authors, issns, urls, updated_at, raw, raw_hash.
+source, record_id, doi, identifiers, title, published, authors, issns, urls, retracted, updated_at,
+raw, raw_hash; identifiers are (scheme, value), in every controlled scheme.
 Network access is left to whoever brings the files; a page of an interface is a file here.
 """
 
@@ -33,10 +34,19 @@ METRICS = "title string, issn_l string, issn string, eissn string, metric_year i
 
 
 def _shape(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
-    names = ("record_id", "doi", "title", "published", "authors", "issns", "urls", "retracted", "updated_at")
+    names = ("record_id", "doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "updated_at")
     return rows.select(F.lit(source).alias("source"), *(columns[n].alias(n) for n in names), F.col("raw"), F.sha2("raw", 256).alias("raw_hash"))
 
 
+def _identifiers(**found: Column) -> Column:
+    """array of struct(scheme, value) of arrays of normalised values by scheme, without null ones."""
+
+    def pairs(scheme: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(F.lit(scheme).alias("scheme"), x.alias("value")))
+
+    return F.array_distinct(F.filter(F.concat(*(pairs(s, v) for s, v in found.items())), lambda x: x["value"].isNotNull()))
+
+
 def _pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row (raw, r) for each element of each page's array of works."""
     pages = spark.read.text(path, wholetext=True)
@@ -55,6 +65,13 @@ def openalex(spark: SparkSession, path: str) -> DataFrame:
         "openalex",
         record_id=identifiers.openalex_work(F.col("r.id")),
         doi=identifiers.doi(F.coalesce("r.doi", "r.ids.doi")),
+        identifiers=_identifiers(
+            doi=F.array(identifiers.doi(F.col("r.doi")), identifiers.doi(F.col("r.ids.doi"))),
+            arxiv=F.array(identifiers.arxiv(F.col("r.ids.arxiv"))),
+            openalex=F.array(identifiers.openalex_work(F.col("r.id")), identifiers.openalex_work(F.col("r.ids.openalex"))),
+            pmid=F.array(identifiers.pmid(F.col("r.ids.pmid"))),
+            pmcid=F.array(identifiers.pmcid(F.col("r.ids.pmcid"))),
+        ),
         title=text.collapse_space(F.coalesce("r.title", "r.display_name")),
         published=text.partial_date(*(F.try_to_number(F.substring("r.publication_date", a, n), F.lit("9" * n)).cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))),
         authors=F.transform("r.authorships", lambda a: a["author"]["display_name"]),
@@ -75,6 +92,7 @@ def crossref(spark: SparkSession, path: str) -> DataFrame:
         "crossref",
         record_id=identifiers.doi(F.col("r.DOI")),
         doi=identifiers.doi(F.col("r.DOI")),
+        identifiers=_identifiers(doi=F.array(identifiers.doi(F.col("r.DOI")))),
         title=text.collapse_space(F.get("r.title", F.lit(0))),
         published=text.partial_date(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))),
         authors=F.filter(names, lambda n: n.isNotNull()),
@@ -92,6 +110,7 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
     date = F.col("m.Article.Journal.JournalIssue.PubDate")
     digits = lambda c: F.when(c.rlike("^[0-9]{1,4}$"), c.cast("int"))
     found = F.filter("d.ArticleIdList.ArticleId", lambda x: x["_IdType"] == "doi")
+    values = lambda kind, norm: F.transform(F.filter("d.ArticleIdList.ArticleId", lambda x: x["_IdType"] == kind), lambda x: norm(x["_VALUE"]))
     names = F.transform("m.Article.AuthorList.Author", lambda a: text.person_name(a["ForeName"], a["LastName"], a["CollectiveName"]))
     year = F.coalesce(digits(date["Year"]), digits(F.regexp_extract(date["MedlineDate"], "([0-9]{4})", 1)))
     return _shape(
@@ -99,6 +118,10 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
         "pubmed",
         record_id=identifiers.pmid(F.col("m.PMID")),
         doi=identifiers.doi(F.get(found, F.lit(0))["_VALUE"]),
+        identifiers=F.array_union(
+            _identifiers(doi=values("doi", identifiers.doi), pmid=values("pubmed", identifiers.pmid), pmcid=values("pmc", identifiers.pmcid)),
+            _identifiers(pmid=F.array(identifiers.pmid(F.col("m.PMID")))),
+        ),
         title=text.collapse_space(F.col("m.Article.ArticleTitle")),
         published=text.partial_date(year, text.month_number(date["Month"]), digits(date["Day"])),
         authors=F.filter(names, lambda n: n.isNotNull()),

@@ -48,6 +48,25 @@ def test_two_sources_converge_and_publish(spark, read, tmp_path):
         revision(papers.union(papers), "canonical_key", "v1")
 
 
+def test_records_without_a_doi_meet_by_other_identifiers(spark, tmp_path):
+    works = [
+        {"id": "https://openalex.org/W2", "title": "Mice", "ids": {"pmid": "https://pubmed.ncbi.nlm.nih.gov/42", "arxiv": "arXiv:2101.00001v2"}},
+        {"id": "https://openalex.org/W3", "title": "Mice", "ids": {"arxiv": "https://arxiv.org/abs/2101.00001"}},
+        {"id": "https://openalex.org/W4", "title": "Rats", "ids": {"pmcid": "PMC77"}},
+        {"id": "https://openalex.org/W5", "title": "Alone"},
+    ]
+    (tmp_path / "oa.json").write_text(json.dumps({"results": works}))
+    article = '<PubmedArticle><MedlineCitation><PMID>{0}</PMID><Article><ArticleTitle>x</ArticleTitle></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pubmed">{0}</ArticleId>{1}</ArticleIdList></PubmedData></PubmedArticle>'
+    (tmp_path / "pm.xml").write_text("<PubmedArticleSet>" + article.format(42, "") + article.format(43, '<ArticleId IdType="pmc">PMC77</ArticleId>') + "</PubmedArticleSet>")
+    events = publication.events_of(records.openalex(spark, str(tmp_path / "oa.json")).unionByName(records.pubmed(spark, str(tmp_path / "pm.xml"))))
+    rows = publication.papers(publication.works(publication.current_records(events))).collect()
+    assert {r["canonical_key"]: (r["source_names"], r["conflict"]) for r in rows} == {
+        "arxiv:2101.00001": (["openalex", "pubmed"], True),
+        "openalex:W4": (["openalex", "pubmed"], False),
+        "openalex:W5": (["openalex"], False),
+    }
+
+
 def test_metrics_are_checked(spark, tmp_path):
     (tmp_path / "m.csv").write_text("title,issn_l,issn,eissn,metric_year,category,jif,quartile,status,source\nA,0378-5955,,,2025,x,12.5,Q1,known,s\nB,0378-5954,,,2025,x,1,Q2,known,s\nC,0378-5955,,,2025,y,,,unknown,s\nD,0378-5955,,,2025,z,,,known,s\n")
     assert [r["problem"] for r in records.metrics(spark, str(tmp_path / "m.csv")).orderBy("title").collect()] == [None, "issn_l", None, "known_without_value"]
