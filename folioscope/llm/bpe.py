@@ -8,6 +8,7 @@ its lowest-ranked pair; only pairs beside a merge are looked up again.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,13 +59,30 @@ class BpeModel:
 
         ``data`` has the bytes of the words one after the other, ``lengths`` their numbers.
         """
+        done = list(self._merged(data, lengths))
+        symbols = np.concatenate([self.byte_ids[:0], *(s for s, _ in done)])
+        word = np.concatenate([np.zeros(0, np.int32), *(w for _, w in done)])
+        order = np.argsort(word, kind="stable")
+        symbols, word = symbols[order], word[order]
+        offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(np.bincount(word, minlength=len(lengths)), out=offsets[1:])
+        return symbols, offsets
+
+    def count_pieces(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of pieces of each word; their ids are dropped as words are finished."""
+        counts = np.zeros(len(lengths), dtype=np.int64)
+        for _, word in self._merged(data, lengths):
+            counts += np.bincount(word, minlength=len(lengths))
+        return counts
+
+    def _merged(self, data: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Symbols, with their words, of those words that no merge applies to any more, round by round."""
         count = len(lengths)
         symbols = self.byte_ids[data]
         if self.suffix:
             tails = np.cumsum(lengths)[lengths > 0] - 1
             symbols[tails] = self.last_ids[data[tails]]
         word = np.repeat(np.arange(count, dtype=np.int32), lengths)
-        done_symbols, done_words = [symbols[:0]], [word[:0]]
         rank = np.full(len(symbols), NO_RANK, dtype=np.int32)
         into = np.zeros(len(symbols), dtype=np.int32)
         inner = np.flatnonzero(word[1:] == word[:-1])
@@ -76,8 +94,7 @@ class BpeModel:
             live = best != NO_RANK
             if not live.all():
                 keep = np.repeat(live, sizes)
-                done_symbols.append(symbols[~keep])
-                done_words.append(word[~keep])
+                yield symbols[~keep], word[~keep]
                 symbols, word, rank, into = symbols[keep], word[keep], rank[keep], into[keep]
                 best, sizes = best[live], sizes[live]
                 if not len(symbols):
@@ -101,12 +118,6 @@ class BpeModel:
             rank[look[~inside]] = NO_RANK
             look = look[inside]
             rank[look], into[look] = self._ranks(symbols[look], symbols[look + 1])
-        symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
-        order = np.argsort(word, kind="stable")
-        symbols, word = symbols[order], word[order]
-        offsets = np.zeros(count + 1, dtype=np.int64)
-        np.cumsum(np.bincount(word, minlength=count), out=offsets[1:])
-        return symbols, offsets
 
 
 def _alternate(chosen: np.ndarray) -> np.ndarray:

@@ -72,15 +72,18 @@ class Encoder:
         starts, ends = textscan.word_tokens(cp, offsets)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        codes, hashes, where = textscan.distinct(textscan.span_hashes(cp, starts, ends))
+        data, begin, lengths = textscan.byte_spans(cp, "".join(segments).encode(), starts, ends)
+        codes, hashes, where = textscan.distinct(data, begin, lengths)
+        begin, lengths = begin[where], lengths[where]
         if self.number.full():
             self.forget()
-        known, numbers = self.number.find(hashes)
+        known, numbers = self.number.find(hashes, data, begin, lengths)
         if not known.all():
             new = ~known
             numbers[new] = len(self.decoded) + np.arange(int(new.sum()))
-            self._learn(*textscan.word_bytes(cp, "".join(segments).encode(), starts[where[new]], ends[where[new]]))
-            self.number.add(hashes[new], numbers[new])
+            packed = data[textscan.ragged(begin[new], lengths[new])]
+            self._learn(packed, lengths[new])
+            self.number.add(hashes[new], packed, lengths[new], numbers[new])
         return numbers[codes], np.searchsorted(starts, offsets)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:

@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.llm import families, textscan
-from folioscope.llm.batches import small_batches
+from folioscope.llm.batches import matrix, runs, small_batches
 from folioscope.operators.components import checkpointed, connected_components
 
 #: Tables, hashes of a table's bucket, and buckets of a table that a vector lies in. A pair
-#: at cosine 0.95 in 64 dimensions shares none in fewer than one of 5,000 cases.
-TABLES, HASHES, PROBES = 8, 3, 4
+#: at cosine 0.95 in 64 dimensions shares none in fewer than one of 5,000 cases; two chance
+#: vectors share one in some 70,000. Tables of many more vectors want more hashes and tables.
+TABLES, HASHES, PROBES = 12, 4, 4
 #: Vectors of a block of a comparison.
 BLOCK = 1024
 
@@ -80,103 +82,64 @@ def bucket_keys(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES,
     return out
 
 
-def _stacked(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
-
-
 def _keyed(classes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
-    """(node, n, keys) of classes (node, v)."""
+    """(node, keys) of classes (node, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column(1)], dtype=np.int64)
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for length in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == length)
-                keys = bucket_keys(_stacked(batch.column(1).take(pa.array(rows))), tables, hashes, probes)
+                keys = bucket_keys(matrix(batch.column(1).take(pa.array(rows))), tables, hashes, probes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(np.ones(len(rows), dtype=np.int64)), lists], names=["node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), lists], names=["node", "keys"])
+
+    return small_batches(classes.select("node", "v")).mapInArrow(run, "node long, keys array<long>")
+
 
-    return small_batches(classes.select("node", "v")).mapInArrow(run, "node long, n long, keys array<long>")
+def _units(batches: Iterator[pa.RecordBatch], vector: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of each unit before the vectors, and its vectors scaled to 1; those of one length at a time."""
+    for unit in runs(batches):
+        sizes = pc.list_value_length(unit.column(vector)).to_numpy()
+        for length in np.unique(sizes).tolist():
+            own = unit.take(pa.array(np.flatnonzero(sizes == length)))
+            vectors = matrix(own.column(vector))
+            yield [c.to_numpy() for c in own.columns[:vector]], vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _angles(pairs: DataFrame) -> DataFrame:
-    """(node, family, cosine) of rows (node, family, x, y)."""
+def _angles(shipped: DataFrame) -> DataFrame:
+    """(node, cosine) of members (side 1) and their unit's centre (side 0), from rows (unit, side, node, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if len(x) == len(y):
-                    p, q = np.array(x), np.array(y)
-                    out[i] = p @ q / (np.linalg.norm(p) * np.linalg.norm(q))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["node", "family", "cosine"])
+        for (_, side, node), vectors in _units(batches, 3):
+            if (side == 0).any():
+                cosine = vectors[side == 1] @ vectors[side == 0][0]
+                yield pa.RecordBatch.from_arrays([pa.array(node[side == 1]), pa.array(cosine)], names=["node", "cosine"])
 
-    return small_batches(pairs).mapInArrow(run, "node long, family long, cosine double")
+    return small_batches(shipped.select("unit", "side", "node", "v")).mapInArrow(run, "node long, cosine double")
 
 
 def _compare(shipped: DataFrame, threshold: float) -> DataFrame:
     """Per unit, rows (node, links, other): numbers of links, and links that span components."""
 
-    def unit_rows(side: list[int], own: list[bool], node: list[int], copies: list[int], vectors: list[list[float]]) -> Iterator[tuple[int, int, int]]:
-        for length in {len(v) for v in vectors}:
-            left = [i for i, s in enumerate(side) if s == 0 and len(vectors[i]) == length]
-            right = [i for i, s in enumerate(side) if s == 1 and len(vectors[i]) == length]
-            if not left or not right:
-                continue
-            x, y = np.array([vectors[i] for i in left]), np.array([vectors[i] for i in right])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
-            a, b = np.array([node[i] for i in left]), np.array([node[i] for i in right])
-            linked = (x @ y.T >= threshold) & (a[:, None] != b[None, :])
-            once = ~np.array([own[i] for i in right])
-            forth = linked @ np.array([copies[i] for i in right], dtype=np.int64)
-            back = np.array([copies[i] for i in left], dtype=np.int64) @ linked * once
-            yield from zip(a.tolist(), forth.tolist(), a.tolist(), strict=True)
-            yield from zip(b.tolist(), back.tolist(), b.tolist(), strict=True)
-            yield from ((p, 0, q) for p, q in _spanning(linked, a, b))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, ([], [], [], [], [])
-        for batch in batches:
-            rows: list[tuple[int, int, int]] = []
-            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
-                    rows += unit_rows(*held)
-                    unit, held = u, ([], [], [], [], [])
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-            yield _batch(rows)
-        yield _batch(list(unit_rows(*held)))
+        for (_, side, own, node, copies), vectors in _units(batches, 5):
+            left, right = side == 0, side == 1
+            a, b = node[left], node[right]
+            linked = (vectors[left] @ vectors[right].T >= threshold) & (a[:, None] != b[None, :])
+            forth = linked @ copies[right]
+            back = copies[left] @ linked * ~own[right]
+            p, q = families.joining(*(x[k] for x, k in zip((a, b), np.nonzero(linked), strict=True)))
+            yield from (
+                pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), pa.array(y)], names=["node", "links", "other"])
+                for x, n, y in ((a[forth > 0], forth[forth > 0], a[forth > 0]), (b[back > 0], back[back > 0], b[back > 0]), (p, np.zeros(len(p), dtype=np.int64), q))
+                if len(x)
+            )
 
     return small_batches(shipped.select("unit", "side", "own", "node", "copies", "v")).mapInArrow(run, "node long, links long, other long")
 
 
-def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    rows = [r for r in rows if r[1] or r[0] != r[2]]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["node", "links", "other"])
-
-
-def _spanning(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the same components as all links of the unit, fewer than its nodes."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = parent.get(y, y)
-            x = y
-        return x
-
-    out = []
-    for i in np.flatnonzero(linked.any(axis=1)).tolist():
-        for j in np.flatnonzero(linked[i]).tolist():
-            p, q = root(int(a[i])), root(int(b[j]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((int(a[i]), int(b[j])))
-    return out
-
-
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
     """Rows (``id_col``, ``n_links``, ``component_id``, ``kept``), one for each input row.
 
@@ -201,28 +164,28 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     named = classes.withColumn("turn", turn)
     nodes = checkpointed(named.select(F.when(F.col("turn") == 1, F.col("first_id")).otherwise(F.xxhash64("first_id", "turn")).alias("node"), "first_id", "copies", "v"))
     keyed = _keyed(nodes, tables, hashes, probes)
-    slots = families.meeting_slots(keyed.select("node", "n", F.explode(F.array_distinct("keys")).alias("key")))
+    slots = families.meeting_slots(keyed.select("node", F.explode(F.array_distinct("keys")).alias("key")))
     family = families.families(slots)
     vectors = nodes.select("node", "v")
-    star = family.where("node <> family").select("node", "family").join(vectors.withColumnRenamed("v", "x"), "node")
-    star = star.join(vectors.select(F.col("node").alias("family"), F.col("v").alias("y")), "family")
-    angle = checkpointed(_angles(star.select("node", "family", "x", "y")))
+    stars = families.merged(families.stars(family, BLOCK), vectors, "node").repartition("unit").sortWithinPartitions("unit", "side")
+    angle = checkpointed(_angles(stars))
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     near = angle.where(F.col("cosine") >= half).select("node", F.lit(True).alias("near"))
-    member = family.join(near, "node", "left").withColumn("in_main", F.coalesce("near", F.col("node") == F.col("family")))
-    member = checkpointed(member.select("node", "n", "family", "in_main", F.lit(0).alias("main"), F.col("node").alias("component")))
+    member = families.merged(family, near, "node", "left").withColumn("in_main", F.coalesce("near", F.col("node") == F.col("family")))
+    member = checkpointed(member.select("node", F.lit(1).alias("n"), "family", "in_main", F.lit(0).alias("main"), F.col("node").alias("component")))
     shipped = families.units(member, slots, BLOCK, "family = partner and in_main2").select("unit", "side", "own", "node")
-    shipped = shipped.join(nodes.select("node", "copies", "v"), "node").repartition("unit").sortWithinPartitions("unit", "side")
+    shipped = families.merged(shipped, nodes.select("node", "copies", "v"), "node").repartition("unit").sortWithinPartitions("unit", "side")
     compared = checkpointed(_compare(shipped, threshold))
 
-    sized = member.where("in_main").join(nodes.select("node", "copies"), "node")
+    sized = families.merged(member.where("in_main"), nodes.select("node", "copies"), "node")
     ball = sized.groupBy("family").agg(F.sum("copies").alias("ball"))
-    inside = sized.join(ball, "family").select("node", (F.col("ball") - F.col("copies")).alias("links"))
+    inside = families.merged(sized, ball, "family").select("node", (F.col("ball") - F.col("copies")).alias("links"))
     links = compared.select("node", "links").union(inside).groupBy("node").agg(F.sum("links").alias("links"))
     edges = compared.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).union(member.where("in_main and node <> family").select("node", "family"))
-    found = nodes.join(links, "node", "left").join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = families.merged(families.merged(nodes, links, "node", "left"), connected_components(edges), "node", "left")
+    found = checkpointed(found).withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = found.join(least, "component").select(F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.withColumn("w", F.when(F.col("valid"), vector)).join(found, "w", "left")
+    found = families.merged(found, least, "component").select(F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.withColumn("w", F.when(F.col("valid"), vector)).join(found.hint("merge"), "w", "left")
     component_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(False)).alias("kept"))

@@ -29,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import families, textscan
-from folioscope.llm.batches import small_batches
+from folioscope.llm.batches import runs, small_batches
 from folioscope.operators.components import checkpointed, connected_components
 
 #: Bands of the signature and values in a band. A pair at similarity 0.85 shares a band but
 #: once in four million.
 BANDS, ROWS = 26, 5
-#: Shingles of the members of one block, of which two are compared at once.
+#: Shingles of the members of one block, of which two are compared at once; a block also
+#: holds ``families.MEMBERS`` members at most, about.
 BLOCK_SHINGLES = 200_000
+#: Members that are compared with a copy of their family's centre.
+STAR = 500
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -44,38 +47,50 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each UTF-8 text in one array, and offsets.
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each UTF-8 text as two independent 64-bit hashes each, and offsets.
 
     Words are separated by ASCII white space; A-Z count as a-z.  A text with fewer than
     ``words`` words has its whole sequence as one shingle; one without words has none.
+    Shingles are told apart by both hashes; those of a text are in order of the first one.
     """
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
     inside = ~_SEPARATOR[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    hashes = textscan.span_hashes(data, starts, ends)
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
     first = np.searchsorted(starts, offsets)
     counts = np.diff(first)
     grams = np.maximum(counts - words + 1, (counts > 0).astype(np.int64))
     at = textscan.ragged(first[:-1], grams)
-    document = np.repeat(np.arange(len(texts)), grams)
-    left = counts[document] - (at - first[document])
+    document = np.repeat(np.arange(len(texts), dtype=np.uint64), grams)
+    left = np.repeat(counts, grams) - (at - np.repeat(first[:-1], grams))
+    whole = len(left) == 0 or int(left.min()) >= words
+    lanes = []
     with np.errstate(over="ignore"):
-        mixed = np.full(len(at), np.uint64(0x51ED270B7A1F4C21))
-        for k in range(words):
-            here = left > k
-            value = np.where(here, hashes[np.where(here, at + k, 0)], np.uint64(k))
-            mixed = textscan.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + value)
-    # one sort of (text, hash) packed into 64 bits: 14 for the text, 50 for the hash
-    packed = np.sort((document.astype(np.uint64) << np.uint64(50)) | (mixed >> np.uint64(14)))
-    packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
-    document, mixed = (packed >> np.uint64(50)).astype(np.int64), packed & np.uint64((1 << 50) - 1)
+        for seed in (1, 2):
+            hashes = textscan.span_hashes(data, starts, lengths, seed)
+            mixed = np.full(len(at), np.uint64(0x51ED270B7A1F4C21 + seed))
+            for k in range(words):
+                value = hashes[at + k] if whole else np.where(left > k, hashes[np.where(left > k, at + k, 0)], np.uint64(k))
+                mixed = textscan.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + value)
+            lanes.append(mixed)
+    # one sort of (text, hash) packed into 64 bits
+    bits = np.uint64(max(1, (len(texts) - 1).bit_length()))
+    packed = (document << (np.uint64(64) - bits)) | (lanes[0] >> bits)
+    order = np.argsort(packed)
+    a, b, packed = lanes[0][order], lanes[1][order], packed[order]
+    equal = packed[1:] == packed[:-1]
+    same = equal & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    if (equal & ~same).any():
+        order = np.lexsort((lanes[1], lanes[0], document))
+        a, b = lanes[0][order], lanes[1][order]
+        same = (document[order][1:] == document[order][:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    keep = np.append(True, ~same)[: len(order)]
     out = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum(np.bincount(document, minlength=len(texts)), out=out[1:])
-    return mixed, out
+    np.cumsum(np.bincount(document[order][keep].astype(np.int64), minlength=len(texts)), out=out[1:])
+    return a[keep], b[keep], out
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -108,15 +123,14 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, r
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in textscan.blocks(np.fromiter(map(len, texts), np.int64, len(texts))):
-                sets, at = shingle_sets(texts[a:b], words)
+                *lanes, at = shingle_sets(texts[a:b], words)
                 sizes = np.diff(at)
                 full = np.flatnonzero(sizes)
-                keys = signatures(sets, at, bands, rows)
+                keys = signatures(lanes[0], at, bands, rows)
                 digests = np.zeros((2, b - a), dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(2):
-                        if len(full):
-                            digests[k, full] = np.add.reduceat(textscan.mix(sets ^ np.uint64(0xA5A5A5A5 + 977 * k)), at[full])
+                for k, lane in enumerate(lanes):
+                    if len(full):
+                        digests[k, full] = np.add.reduceat(textscan.mix(lane ^ np.uint64(0xA5A5A5A5)), at[full])
                 key_at = np.zeros(b - a + 1, dtype=np.int32)
                 np.cumsum((sizes > 0) * bands, out=key_at[1:])
                 yield pa.RecordBatch.from_arrays(
@@ -133,117 +147,106 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, r
     return small_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of equal items of two sorted arrays without repeats."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    return int((b[at] == a).sum()) if len(b) else 0
+def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the documents whose ids are in column ``node`` of ``wanted``."""
+    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where(_HAS_WORD)
+    return families.merged(docs, wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents whose ids are in column ``node`` of ``wanted``."""
-    schema = "node long, shingles binary"
+#: A text with a word in it.
+_HAS_WORD = r"text rlike '[^\\x20\\x09-\\x0D]'"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in textscan.blocks(np.fromiter(map(len, texts), np.int64, len(texts))):
-                sets, at = shingle_sets(texts[a:b], words)
-                raw, at = sets.tobytes(), (8 * at).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=["node", "shingles"])
 
-    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(docs.join(wanted, "node", "left_semi")).mapInArrow(run, schema)
+def codes(lanes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A number from 0 for each shingle, equal where both of its hashes are."""
+    first, values = pd.factorize(lanes[0])
+    other = np.zeros(len(values), dtype=np.uint64)
+    other[first[::-1]] = lanes[1][::-1]
+    if (other[first] == lanes[1]).all():
+        return first
+    return np.unique(np.stack(lanes, axis=1), axis=0, return_inverse=True)[1].reshape(-1)
 
 
-def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of rows (a, b, x, y) with shingle sets x and y, the (a, b) that are similar enough."""
+def _stars(shipped: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of rows (unit, side, node, text) sorted by unit and side, (node, centre) of those similar enough to the unit's side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, unit = (0, b""), None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = common(p, q)
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return small_batches(pairs.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long")
-
-
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
-    sets = [*left, *right]
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    codes = pd.factorize(np.concatenate(sets))[0] if len(owner) else owner
-    counts = np.bincount(codes)
+            units, sides, nodes = (c.to_pylist() for c in batch.columns[:3])
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            for a, b in textscan.blocks(np.fromiter(map(len, texts), np.int64, len(texts))):
+                # the centre of the first rows came before this block
+                held, of, members = [centre], [], []
+                for i in range(a, b):
+                    if sides[i] == 0:
+                        centre, unit = (nodes[i], texts[i]), units[i]
+                        held.append(centre)
+                    elif units[i] == unit:
+                        of.append(len(held) - 1)
+                        members.append(i)
+                *lanes, at = shingle_sets([*(t for _, t in held), *(texts[i] for i in members)], words)
+                code, sizes = codes(tuple(lanes)), np.diff(at)
+                split = at[len(held)]
+                top = int(code.max(initial=0)) + 1
+                place = np.repeat(np.arange(len(held)), sizes[: len(held)]) * top + code[:split]
+                wanted = np.repeat(np.array(of, dtype=np.int64), sizes[len(held) :]) * top + code[split:]
+                both = np.bincount(np.repeat(np.arange(len(members)), sizes[len(held) :])[np.isin(wanted, place)], minlength=len(members))
+                centres = np.array(of, dtype=np.int64)
+                linked = 100 * both >= percent * (sizes[len(held) :] + sizes[centres] - both)
+                pairs = [(nodes[i], held[k][0]) for i, k, yes in zip(members, of, linked.tolist(), strict=True) if yes]
+                yield _links(pairs)
+
+    return small_batches(shipped.select("unit", "side", "node", "text")).mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def shared_counts(owner: np.ndarray, code: np.ndarray, left: int, right: int, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of the first ``left`` sets with each of the next ``right``.
+
+    ``owner`` and ``code`` tell which set holds which number.
+    """
+    counts = np.bincount(code)
     column = np.cumsum(counts > 1) - 1
-    keep = counts[codes] > 1
-    owner, codes = owner[keep], column[codes[keep]]
-    order = np.argsort(codes, kind="stable")
-    owner, codes = owner[order], codes[order]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    for begin in range(0, int(codes[-1]) + 1 if len(codes) else 0, step):
-        a, b = np.searchsorted(codes, [begin, begin + step])
-        dense = np.zeros((len(sets), step), dtype=np.float32)
-        dense[owner[a:b], codes[a:b] - begin] = 1
-        out += dense[: len(left)] @ dense[len(left) :].T
+    keep = counts[code] > 1
+    owner, code = owner[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((left, right), dtype=np.float32)
+    for begin in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        a, b = np.searchsorted(code, [begin, begin + step])
+        dense = np.zeros((left + right, step), dtype=np.float32)
+        dense[owner[a:b], code[a:b] - begin] = 1
+        out += dense[:left] @ dense[left:].T
     return out
 
 
-def _unit_links(side: list[int], component: list[int], shingles: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of two blocks, one less than there are joined at most."""
-    sets = [np.frombuffer(x, np.uint64) for x in shingles]
-    left, right = ([i for i, s in enumerate(side) if s == k] for k in (0, 1))
-    size = np.array([len(x) for x in sets], dtype=np.float64)
-    both = shared_counts([sets[i] for i in left], [sets[i] for i in right])
-    linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-    labels = np.array(component)
-    linked &= labels[left][:, None] != labels[right][None, :]
-    parent: dict[int, int] = {}
+def _unit_links(side: np.ndarray, component: np.ndarray, texts: list[bytes], words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of two blocks, fewer than there are components; side 0 comes first."""
+    left = int((side == 0).sum())
+    *lanes, at = shingle_sets(texts, words)
+    size = np.diff(at).astype(np.float64)
+    both = shared_counts(np.repeat(np.arange(len(texts)), np.diff(at)), codes(tuple(lanes)), left, len(texts) - left)
+    linked = 100 * both >= percent * (size[:left, None] + size[None, left:] - both)
+    linked &= component[:left, None] != component[None, left:]
+    i, j = np.nonzero(linked)
+    return families.joining(component[i], component[left + j])
 
-    def root(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = parent.get(y, y)
-            x = y
-        return x
 
-    found = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        p, q = root(component[left[i]]), root(component[right[j]])
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            found.append((p, q))
-    return found
-
-
-def _compare_blocks(shipped: DataFrame, percent: int) -> DataFrame:
-    """Links between components from rows (unit, side, component, shingles), sorted by unit."""
+def _compare_blocks(shipped: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components from rows (unit, side, component, text), sorted by unit and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, ([], [], [])
-        links: list[tuple[int, int]] = []
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*links) if links else ((), ())
-            links.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for unit in runs(batches):
+            texts = unit.column(3).cast(pa.binary()).to_pylist()
+            a, b = _unit_links(unit.column(1).to_numpy(), unit.column(2).to_numpy(), texts, words, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
-                    if held[0]:
-                        links += _unit_links(*held, percent)
-                    unit, held = u, ([], [], [])
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-            yield out()
-        if held[0]:
-            links += _unit_links(*held, percent)
-        yield out()
-
-    return small_batches(shipped.select("unit", "side", "component", "shingles")).mapInArrow(run, "a long, b long")
+    return small_batches(shipped.select("unit", "side", "component", "text")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -261,26 +264,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     digest = ["n_shingles", "digest", "digest2"]
     full = sketch.where("n_shingles > 0 and id is not null")
     classes = checkpointed(full.groupBy(*digest).agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
-    slots = families.meeting_slots(classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")))
+    slots = families.meeting_slots(classes.select("node", F.explode("keys").alias("key")))
     family = families.families(slots)
-    sets = checkpointed(_sets(df, id_col, text_col, words, family.select("node")).where("length(shingles) > 0").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    texts = checkpointed(_texts(df, id_col, text_col, family.select("node")))
+
+    stars = families.merged(families.stars(family, STAR), texts, "node")
+    links = checkpointed(_stars(stars.repartition("unit").sortWithinPartitions("unit", "side"), words, percent))
 
-    star = family.where("node <> family").join(sets.withColumnRenamed("shingles", "x"), "node")
-    star = star.join(sets.select(F.col("node").alias("family"), F.col("shingles").alias("y")), "family")
-    links = checkpointed(_confirm(star.select(F.col("node").alias("a"), F.col("family").alias("b"), "x", "y"), percent))
     gathered = links.select(F.col("a").alias("node"), F.lit(True).alias("linked"))
-    member = family.join(gathered, "node", "left").withColumn("in_main", F.coalesce("linked", F.col("node") == F.col("family")))
+    member = families.merged(families.merged(family, gathered, "node", "left"), full.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
+    member = member.withColumn("in_main", F.coalesce("linked", F.col("node") == F.col("family")))
     component = F.when(F.col("in_main"), F.col("family")).otherwise(F.col("node"))
     member = checkpointed(member.select("node", "n", "family", "in_main", F.col("family").alias("main"), component.alias("component")))
 
     skip = "(in_main and component = main) or (not in_main and family = partner and in_main2)"
     alike = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
-    shipped = families.units(member, slots, BLOCK_SHINGLES, skip, alike).join(sets, "node")
-    shipped = shipped.select("unit", "side", "component", "shingles").repartition("unit").sortWithinPartitions("unit", "side")
-    more = _compare_blocks(shipped, percent)
+    shipped = families.merged(families.units(member, slots, BLOCK_SHINGLES, skip, alike), texts, "node")
+    shipped = shipped.select("unit", "side", "component", "text").repartition("unit").sortWithinPartitions("unit", "side")
+    more = checkpointed(_compare_blocks(shipped, words, percent))
 
     component = connected_components(links.union(more))
-    labelled = classes.select(*digest, "node").join(component, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in digest), F.coalesce("component", "node").alias("component_id"))
-    out = sketch.select("id", *digest).join(labelled, [F.col(c) == F.col(f"_{c}") for c in digest], "left")
+    labelled = families.merged(classes.select(*digest, "node"), component, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in digest), F.coalesce("component", "node").alias("component_id"))
+    out = sketch.select("id", *digest).join(labelled.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in digest], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))

@@ -1,12 +1,14 @@
 """Vectorised scanning of many texts at once, shared by the token operators.
 
 A block of texts is laid out as one array of code points (or UTF-8 bytes).  Token
-boundaries are found with array comparisons and every token gets a 64-bit polynomial
-hash from prefix sums, so that no Python code runs per character or per token.
+boundaries are found with array comparisons and every token gets a 64-bit hash, so that no
+Python code runs per character or per token.  Tokens of equal hash are compared byte by
+byte before they count as equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,8 +18,12 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Characters of text that one block holds at most; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
 
+#: Bytes of a span from which it is hashed by itself.
+LONG = 64
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The low bytes of a word, by their number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -35,40 +41,48 @@ def character_classes() -> np.ndarray:
     return table
 
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown to the longest block seen."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            steps = np.full(size, _ODD, dtype=np.uint64)
-            back = np.full(size, _ODD_INVERSE, dtype=np.uint64)
-            steps[0] = back[0] = 1
-            with np.errstate(over="ignore"):
-                self.up, self.down = np.cumprod(steps), np.cumprod(back)
-        return self.up[:n], self.down[:n]
+def padded(data: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit word that begins at each byte; beyond the end there are zeros."""
+    room = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", room, strides=(1,))
 
 
-_powers = Powers()
+def span_hashes(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes ``data[begin : begin + length]`` of each span.
 
-
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``symbols[start:end]`` for each span, equal for equal spans."""
-    up, down = _powers.upto(len(symbols) + 1)
+    Eight bytes at a time go through a bijective mixer, so that spans of up to eight bytes
+    and one length never collide; spans beyond ``LONG`` bytes get a keyed BLAKE2 digest.
+    Different seeds give independent hashes.
+    """
+    words, left = padded(data), lengths.astype(np.int64)
     with np.errstate(over="ignore"):
-        values = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        values ^= values >> np.uint64(32)
-        values *= np.uint64(0xC2B2AE3D27D4EB4F)
-        values ^= values >> np.uint64(29)
-        values *= up[:-1]
-        prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values, out=prefix[1:])
-        hashes = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(hashes + (ends - starts).astype(np.uint64))
+        hashes = mix(left.astype(np.uint64) * _ODD + np.uint64(seed))
+        here, at = np.arange(len(left)), 0
+        while len(here):
+            size = np.minimum(left[here] - at, 8)
+            hashes[here] = mix((hashes[here] ^ (words[begin[here] + at] & _MASKS[np.maximum(size, 0)])) * _ODD + np.uint64(seed))
+            at += 8
+            here = here[(left[here] > at) & (left[here] <= LONG)]
+    key = int(seed).to_bytes(8, "little")
+    for i in np.flatnonzero(left > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : begin[i] + left[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return hashes
+
+
+def equal_spans(a: np.ndarray, a_begin: np.ndarray, b: np.ndarray, b_begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes of span i of ``a`` are those of span i of ``b``; both have ``lengths[i]`` bytes."""
+    x, y = padded(a), padded(b)
+    same = np.ones(len(lengths), dtype=bool)
+    here, at = np.flatnonzero(lengths > 0), 0
+    while len(here):
+        size = np.minimum(lengths[here] - at, 8)
+        same[here] &= ((x[a_begin[here] + at] ^ y[b_begin[here] + at]) & _MASKS[size]) == 0
+        at += 8
+        here = here[(lengths[here] > at) & (lengths[here] <= LONG) & same[here]]
+    for i in np.flatnonzero((lengths > LONG) & same).tolist():
+        n = lengths[i]
+        same[i] = np.array_equal(a[a_begin[i] : a_begin[i] + n], b[b_begin[i] : b_begin[i] + n])
+    return same
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,28 +185,39 @@ def word_tokens(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[keep], ends[keep]
 
 
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of each hash, the distinct hashes, and where each occurs first."""
+def distinct(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each span of bytes, the hash of each code, and the span where it occurs first.
+
+    Spans have one code if and only if their bytes are equal, whatever their hashes.
+    """
     import pandas as pd
 
-    codes, values = pd.factorize(hashes)
+    codes, values = pd.factorize(span_hashes(data, begin, lengths))
     where = np.empty(len(values), dtype=np.int64)
     where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    first = where[codes]
+    other = lengths != lengths[first]
+    other[~other] = ~equal_spans(data, begin[~other], data, begin[first[~other]], lengths[~other])
+    if other.any():
+        hashes, own, more = values[codes], {}, []
+        for i in np.flatnonzero(other).tolist():
+            span = data[begin[i] : begin[i] + lengths[i]].tobytes()
+            if span not in own:
+                own[span] = len(values) + len(more)
+                more.append(i)
+            codes[i] = own[span]
+        values, where = np.append(values, hashes[more]), np.append(where, more)
     return codes, values, where
 
 
-def word_bytes(cp: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of spans of code points one after the other, and their numbers.
-
-    ``text`` is the UTF-8 form of all of ``cp``.
-    """
+def byte_spans(cp: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all of ``cp`` (which ``text`` holds), and where spans of it begin and their lengths."""
+    data = np.frombuffer(text, dtype=np.uint8)
     if len(text) == len(cp):
-        begin, lengths = starts, ends - starts
-    else:
-        at = np.zeros(len(cp) + 1, dtype=np.int64)
-        np.cumsum(1 + (cp >= 0x80).astype(np.uint8) + (cp >= 0x800) + (cp >= 0x10000), out=at[1:])
-        begin, lengths = at[starts], at[ends] - at[starts]
-    return np.frombuffer(text, dtype=np.uint8)[ragged(begin, lengths)], lengths
+        return data, starts, ends - starts
+    at = np.zeros(len(cp) + 1, dtype=np.int64)
+    np.cumsum(1 + (cp >= 0x80).astype(np.uint8) + (cp >= 0x800) + (cp >= 0x10000), out=at[1:])
+    return data, at[starts], at[ends] - at[starts]
 
 
 def ragged(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -202,25 +227,41 @@ def ragged(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Numbers remembered by 64-bit hash, in sorted arrays; forgets all beyond ``limit``."""
+    """Numbers remembered by spans of bytes, found by hash; full beyond ``limit`` spans or ``room`` bytes.
 
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
+    A span whose hash a different one holds already isn't found, however often it is added.
+    """
+
+    def __init__(self, limit: int, room: int = 64 * 2**20) -> None:
+        self.limit, self.room = limit, room
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.values = np.zeros(0, dtype=np.int64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.data = np.zeros(1 << 16, dtype=np.uint8)
+        self.used = 0
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are known, and the values of those (others: any number)."""
+    def find(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which spans of ``data`` are known, and the values of those (others: any number)."""
         if not len(self.hashes):
             return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] == hashes, self.values[at]
-
-    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        """Adds hashes that aren't known."""
+        known = (self.hashes[at] == hashes) & (self.lengths[at] == lengths)
+        here = at[known]
+        known[known] = equal_spans(data, begin[known], self.data, self.begin[here], lengths[known])
+        return known, self.values[at]
+
+    def add(self, hashes: np.ndarray, packed: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> None:
+        """Adds spans that aren't known, whose bytes lie in ``packed`` one after the other."""
+        while self.used + len(packed) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(packed)] = packed
+        begin = self.used + np.cumsum(lengths) - lengths
+        self.used += len(packed)
         merged = np.concatenate([self.hashes, hashes])
         order = np.argsort(merged, kind="stable")
         self.hashes, self.values = merged[order], np.concatenate([self.values, values])[order]
+        self.begin, self.lengths = np.concatenate([self.begin, begin])[order], np.concatenate([self.lengths, lengths])[order]
 
     def full(self) -> bool:
-        return len(self.hashes) > self.limit
+        return len(self.hashes) > self.limit or self.used > self.room

@@ -1,9 +1,12 @@
 """Token counts of texts without materialising token ids.
 
-Method: the texts of a block are split into pre-tokens, the distinct pre-tokens are found
-by hash, the pieces of each distinct pre-token are counted once, and the counts are joined
-to the per-document pre-token frequencies and summed.  A task remembers the counts of
-pre-tokens it has met, so each is counted once per task; nothing is shuffled.
+Method: a block of texts is split into pre-tokens, which are counted into a table
+(document, distinct pre-token, frequency).  The pieces of each distinct pre-token are
+counted once, by merges that keep numbers only; that table is joined to the frequencies by
+pre-token, and pieces times frequency are summed for each document.  A task remembers the
+counts of pre-tokens that it has met, each compared byte by byte.  The join runs within
+tasks: over the cluster it would shuffle the pre-tokens of every document, and the commonest
+ones would meet in one task.
 """
 
 from __future__ import annotations
@@ -45,16 +48,16 @@ class PieceCounter:
         self.model = model
         self.known = textscan.Memo(REMEMBERED)
 
-    def _piece_counts(self, cp: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Pieces of distinct pre-tokens, of which new ones are encoded together."""
+    def _piece_counts(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Pieces of distinct pre-tokens, of which new ones are merged together."""
         if self.known.full():
             self.known = textscan.Memo(REMEMBERED)
-        known, values = self.known.find(hashes)
+        known, values = self.known.find(hashes, data, begin, lengths)
         if not known.all():
             new = ~known
-            _, offsets = self.model.encode_words(*textscan.word_bytes(cp, text, starts[new], ends[new]))
-            values[new] = np.diff(offsets)
-            self.known.add(hashes[new], values[new])
+            packed = data[textscan.ragged(begin[new], lengths[new])]
+            values[new] = self.model.count_pieces(packed, lengths[new])
+            self.known.add(hashes[new], packed, lengths[new], values[new])
         return values
 
     def count(self, texts: list[str]) -> np.ndarray:
@@ -74,10 +77,14 @@ class PieceCounter:
         starts, ends = textscan.spaced_tokens(cp, offsets)
         if not len(starts):
             return totals
-        codes, hashes, where = textscan.distinct(textscan.span_hashes(cp, starts, ends))
-        pieces = self._piece_counts(cp, "".join(segments).encode(), starts[where], ends[where], hashes)
+        data, begin, lengths = textscan.byte_spans(cp, "".join(segments).encode(), starts, ends)
+        token, hashes, where = textscan.distinct(data, begin, lengths)
+        pieces = self._piece_counts(hashes, data, begin[where], lengths[where])
         document = owner[np.searchsorted(offsets, starts, side="right") - 1]
-        totals += np.bincount(document, weights=pieces[codes], minlength=len(texts)).astype(np.int64)
+        # the table (document, token, frequency), joined to the pieces by token
+        pairs, frequency = np.unique(document * len(where) + token, return_counts=True)
+        document, token = np.divmod(pairs, len(where))
+        np.add.at(totals, document, pieces[token] * frequency)
         return totals
 
 

@@ -48,6 +48,8 @@ def test_query_equals_brute_force(spark, sf):
 def test_hot_group_in_many_units(spark, monkeypatch):
     """A large group of copies, near copies of all degrees, and blocks so small that they split."""
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(minhash, "STAR", 7)
+    monkeypatch.setattr(families, "MEMBERS", 5)
     random.seed(3)
     words = [f"w{i}" for i in range(3000)]
     origin = random.choices(words, k=80)
@@ -75,19 +77,61 @@ def test_odd_rows(odd, none):
 
 def test_shared_counts_equal_sets():
     random.seed(1)
-    sets = [np.unique(np.array(random.choices(range(40), k=k), dtype=np.uint64)) for k in (0, 1, 7, 30, 30, 12)]
+    sets = [np.unique(np.array(random.choices(range(40), k=k), dtype=np.int64)) for k in (0, 1, 7, 30, 30, 12)]
     expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
-    assert minhash.shared_counts(sets, sets, step=8).tolist() == expected
+    owner = np.repeat(np.arange(12), [len(s) for s in sets] * 2)
+    assert minhash.shared_counts(owner, np.concatenate(sets + sets), 6, 6, step=8).tolist() == expected
 
 
 def test_signature_values_estimate_similarity():
     rng = np.random.default_rng(0)
-    pool = rng.integers(0, 2**50, 1150).astype(np.uint64)
+    pool = rng.integers(0, 2**63, 1150).astype(np.uint64)
     a, b = np.sort(pool[:1000]), np.sort(pool[150:])
     keys = minhash.signatures(np.concatenate([a, b]), np.array([0, 1000, 2000]), 200, 1)
     assert abs((keys[0] == keys[1]).mean() - 850 / 1150) < 0.1
 
 
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y z"), (4, f"{other} x y z"), (5, word)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert results(minhash.near_duplicates(df, words=3, percent=85)) == brute(rows, 3, 85)
+
+
+def test_shingles_with_one_equal_hash_count_apart():
+    a = np.array([5, 5, 7, 5], dtype=np.uint64)
+    b = np.array([1, 2, 1, 1], dtype=np.uint64)
+    code = minhash.codes((a, b))
+    assert code[0] == code[3] and len(set(code.tolist())) == 3
+
+
+def test_short_hashes_are_told_apart_by_the_second_one(monkeypatch):
+    """With the first hash cut to two bits, sets stay the same."""
+    real = minhash.textscan.span_hashes
+    texts = [t.encode() for t in ("a b c d e f g h a b c d", "one", "", "p q r s t u v w x y z p q")]
+    sizes = np.diff(minhash.shingle_sets(texts, 3)[2]).tolist()
+    monkeypatch.setattr(minhash.textscan, "span_hashes", lambda d, b, n, seed=0: real(d, b, n, seed) & np.uint64(3 if seed == 1 else 2**64 - 1))
+    assert np.diff(minhash.shingle_sets(texts, 3)[2]).tolist() == sizes == [len(shingles(t.decode(), 3)) for t in texts]
+
+
+def test_joining_keeps_components_with_few_pairs():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    p, q = families.joining(a, b)
+
+    def roots(x, y):
+        parent = list(range(300))
+        find = lambda i: i if parent[i] == i else find(parent[i])
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            i, j = find(i), find(j)
+            parent[max(i, j)] = min(i, j)
+        return [find(i) for i in range(300)]
+
+    assert roots(a, b) == roots(p, q) and len(p) < 300
+
+
 def test_meeting_slots_drop_lone_keys(spark):
-    df = spark.createDataFrame([(1, 1, 5), (2, 1, 5), (3, 1, 6)], "node long, n long, key long")
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "node long, key long")
     assert {r["node"] for r in families.meeting_slots(df).collect()} == {1, 2}

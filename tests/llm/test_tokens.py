@@ -54,6 +54,19 @@ def test_memory_is_bounded_without_changing_results(words_library, monkeypatch):
     assert got == [words_library.encode(t, add_special_tokens=False).ids for t in sample]
 
 
+def test_equal_hashes_of_different_words_change_nothing(bytes_library, words_library, monkeypatch):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    sample = [word, word.translate(str.maketrans("ab", "ba")), *texts(300), "y" * 70 + " " + "z" * 70, "y" * 70]
+    real = textscan.span_hashes
+    for bits in (64, 8, 1):
+        monkeypatch.setattr(textscan, "span_hashes", lambda *a, bits=bits: real(*a) & np.uint64(2**bits - 1))
+        counter, encoder = PieceCounter(bpe.load(BYTES)), Encoder(bpe.load(WORDS))
+        for part in (sample[:100], sample[100:], sample):
+            assert counter.count(part).tolist() == [len(bytes_library.encode(t, add_special_tokens=False).ids) for t in part]
+            ids = encoder.encode(part)[0]
+            assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [words_library.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_blocks_cover_all_texts():
     assert list(textscan.blocks(np.array([5, 1, 1, 9, 1]), 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
     assert list(textscan.blocks(np.array([], dtype=int))) == []
