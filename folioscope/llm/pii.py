@@ -11,6 +11,7 @@ and IP addresses, card and phone numbers) always stay; the classifier adds other
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,7 +57,7 @@ FOR = (
     r"iban|account|bank|konto|cuenta|compte",
 )
 AGAINST = r"version|isbn|order|invoice|serial|build|release|part no|sku"
-#: Characters before a span that the context labeler reads.
+#: Characters before a span that the context labeler reads, back to the candidate before it.
 CONTEXT = 32
 #: Posterior from which a candidate that is no base span is added.
 THRESHOLD = 0.9
@@ -94,10 +95,9 @@ def _gazetteer(kind: int, hit: Column) -> Column:
     return F.when(wrong, -1).when(known, 1).otherwise(0)
 
 
-def _features(kind: int, text: Column, s: Column) -> Column:
+def _features(kind: int, s: Column) -> Column:
     """Votes of the labelers and features of a span: small whole numbers."""
-    before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
-    last = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0))
+    before, last = F.lower(s["before"]), F.substring(s["before"], -1, 1)
     return F.struct(
         F.lit(kind).alias("kind"),
         F.when(_well_formed(kind, s["hit"]), 1).otherwise(-1).alias("v_format"),
@@ -134,16 +134,16 @@ def _formed(kind: int) -> Callable[[Column], Column]:
     return lambda s: _well_formed(kind, s["hit"])
 
 
-def _featured(kind: int, text: Column) -> Callable[[Column], Column]:
-    return lambda s: _features(kind, text, s)
+def _featured(kind: int) -> Callable[[Column], Column]:
+    return lambda s: _features(kind, s)
 
 
-def _likely(model: PiiModel, kind: int, text: Column, threshold: float) -> Callable[[Column], Column]:
-    return lambda s: model.probability(_features(kind, text, s), kind) >= threshold
+def _likely(model: PiiModel, kind: int, threshold: float) -> Callable[[Column], Column]:
+    return lambda s: model.probability(_features(kind, s), kind) >= threshold
 
 
 def _candidates(text: Column) -> list[Column]:
-    return [spans.matches(text, pattern, k, HOLDS[k]) for k, pattern in enumerate(PATTERNS)]
+    return [spans.matches(text, pattern, k, HOLDS[k], CONTEXT) for k, pattern in enumerate(PATTERNS)]
 
 
 def estimate(counts: list[tuple[dict[str, int], float]]) -> tuple[list[float], dict[str, float]]:
@@ -181,8 +181,8 @@ def fit(df: DataFrame, text_col: str = "text") -> PiiModel:
     (fewer than 5,000 combinations, whatever the size of ``df``) are all that is collected.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = df.select(text.alias("t")).select("t", *(c.alias(f"c{k}") for k, c in enumerate(_candidates(F.col("t")))))
-    rows = found.select(F.concat(*(F.transform(F.col(f"c{k}"), _featured(k, F.col("t"))) for k in range(len(KINDS)))).alias("f"))
+    found = df.select(text.alias("t")).select(*(c.alias(f"c{k}") for k, c in enumerate(_candidates(F.col("t")))))
+    rows = found.select(F.concat(*(F.transform(F.col(f"c{k}"), _featured(k)) for k in range(len(KINDS)))).alias("f"))
     counted = rows.select(F.explode("f").alias("f")).groupBy("f.kind", "f.v_format", "f.v_list", "f.v_context", "f.f_length", "f.f_left").agg(F.count("*").alias("n")).collect()
     cells = sorted((r.asDict() for r in counted), key=lambda r: [r[k] for k in sorted(r) if k != "n"])
     posterior, accuracy = estimate([(r, r["n"]) for r in cells])
@@ -210,7 +210,7 @@ def find(df: DataFrame, model: PiiModel, text_col: str = "text", to: str = "pii"
     base = F.concat(*(F.filter(F.col(to)[f"c{k}"], _formed(k)) for k in range(BASE)))
     found = found.withColumn(to, F.struct(base.alias("base"), *(F.col(to)[f"c{k}"].alias(f"c{k}") for k in range(BASE, len(KINDS)))))
     more = [
-        F.filter(F.filter(spans.outside(F.col(to)[f"c{k}"], F.col(to)["base"]), _formed(k)), _likely(model, k, text, threshold))
+        F.filter(F.filter(spans.outside(F.col(to)[f"c{k}"], F.col(to)["base"]), _formed(k)), _likely(model, k, threshold))
         for k in range(BASE, len(KINDS))
     ]
     return found.withColumn(to, spans.ordered(F.col(to)["base"], *more))
@@ -219,7 +219,9 @@ def find(df: DataFrame, model: PiiModel, text_col: str = "text", to: str = "pii"
 def redact(df: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
     """``df`` with each span of personal data in its texts replaced by ``<KIND>``.
 
-    A null text stays null; a text without personal data stays as it is.
+    A null text stays null; a text without personal data stays as it is.  Other columns stay,
+    whatever their names.
     """
-    found = find(df, model, text_col, "_pii")
-    return found.withColumn(text_col, spans.replaced(F.col(text_col), F.col("_pii"), KINDS)).drop("_pii")
+    own = f"pii {uuid.uuid4().hex}"
+    found = find(df, model, text_col, own)
+    return found.withColumn(text_col, spans.replaced(F.col(text_col), F.col(own), KINDS)).drop(own)

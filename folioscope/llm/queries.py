@@ -43,8 +43,9 @@ def _digests(found: str, names: tuple[str, ...], base: int) -> list[Column]:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = secrets.fit(secrets.labelled_sample(spark))
-    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), models)
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = secrets.fit(secrets.labelled_sample(spark).union(secrets.ordinary_identifiers(documents)))
+    found = secrets.scan(documents, models)
     return found.select("doc_id", *_digests("secrets", secrets.KINDS, 3))
 
 

@@ -26,7 +26,7 @@ HEX = r"[0-9a-f]{16,}"
 #: Candidates for the models: 20 characters or more, a digit among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Parts of ordinary identifiers in the default labelled sample.
+#: Parts of ordinary identifiers of programs in the default labelled sample.
 WORDS = (
     "get set user name file path index count value list item data table row column key "
     "config option server client request response header body error message handler "
@@ -36,8 +36,42 @@ WORDS = (
 ).split()
 
 
+#: Texts that ordinary identifiers are drawn from at most, and identifiers of each.
+TEXTS, EACH = 2000, 16
+
+
+def ordinary_identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TEXTS, each: int = EACH) -> DataFrame:
+    """Rows (text, random = false): words of ``df``'s own texts, joined as identifiers are.
+
+    A bounded sample: about ``texts`` rows, chosen by a hash of their id and text, and
+    ``each`` identifiers of three words from each, spread over the whole text; words have 3 to
+    12 ASCII letters.
+    """
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    order = F.xxhash64(F.lit("identifiers"), "id", F.substring("t", 1, 200))
+    drawn = rows.select("t", order.alias("o")).orderBy("o", "t").limit(texts)
+    words = drawn.select("o", F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.char_length(w).between(3, 12)).alias("w")).where("size(w) >= 3")
+    step = F.greatest(F.lit(1), F.floor((F.size("w") - 2) / each)).cast("int")
+    places = words.select("o", "w", F.explode(F.slice(F.sequence(F.lit(1), F.size("w") - 2, step), F.lit(1), F.lit(each))).alias("i"))
+    three = F.transform(F.slice("w", F.col("i"), F.lit(3)), F.lower)
+    number = F.pmod(F.xxhash64("o", "i"), F.lit(2000))
+    titled = F.transform(three, F.initcap)
+    forms = (
+        F.concat(F.array_join(three, "_"), F.lit("_"), number),
+        F.concat(F.array_join(titled, ""), number),
+        F.concat(F.array_join(three, "-"), F.lit("-"), number),
+        F.concat(F.array_join(three, "/"), F.lit("/"), number),
+        F.upper(F.concat(F.array_join(three, "_"), number)),
+    )
+    form = F.element_at(F.array(*forms), (F.pmod(F.xxhash64("i", "o"), F.lit(len(forms))) + 1).cast("int"))
+    return places.select(form.alias("text"), F.lit(False).alias("random"))
+
+
 def labelled_sample(spark: SparkSession, size: int = 4000) -> DataFrame:
-    """Default labelled sample (text, random): hashes in several codings, and identifiers."""
+    """Default labelled sample (text, random): hashes in several codings, and identifiers of programs.
+
+    ``ordinary_identifiers`` adds those that the words of a corpus make.
+    """
     words = F.array(*(F.lit(w) for w in WORDS))
     raw = spark.range(size).select(F.col("id"), F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512).alias("h"))
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))

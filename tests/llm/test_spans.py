@@ -1,7 +1,9 @@
 import hashlib
+import math
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from folioscope.llm import pii, secrets, spans
@@ -69,6 +71,138 @@ def test_queries_equal_brute_force_on_whole_tables(spark, sf):
             assert set(filter(None, told(found, names).split(","))) <= set(r["spans"].split(","))
 
 
+def free(found, base):
+    return [m for m in found if not any(m.start() < b and a < m.end() for a, _, b in base)]
+
+
+def secret_extra(t, models):
+    """Spans of tokens that the models find likelier to be random, by plain Python."""
+    size, out = len(secrets.ALPHABET) + 1, []
+    for m in free(regex.finditer(secrets.CANDIDATE, t), secret_base(t)):
+        codes = [k if (k := secrets.ALPHABET.find(c)) >= 0 else size - 1 for c in m[0]]
+        ratio = [round(models.ratios[a * size + b], 5) for a, b in zip(codes, codes[1:])]
+        if math.fsum(ratio) / len(ratio) >= models.threshold:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+FEATURES = ("v_format", "v_list", "v_context", "f_length", "f_left")
+
+
+def formed(kind, hit):
+    if kind < pii.BASE:
+        return valid(kind, hit)
+    return not re.search("^(000|666|9)|-00-|-0000$", hit) if kind == 6 else 15 <= len(hit.replace(" ", "")) <= 34 if kind == 7 else True
+
+
+def features(kind, hit, before):
+    digits = re.sub("[^0-9]", "", hit)
+    known, wrong = {
+        0: (re.search(pii.MAIL_SUFFIXES, hit.lower()), None), 1: (None, re.search(r"^0*(?:0|127|255)\.", hit)),
+        2: (re.search(pii.CARD_PREFIXES, digits), re.search(r"^([0-9])\1+$", digits)), 3: (re.search(pii.COUNTRY_CODES, hit), re.search(r"^\+0", hit)),
+        5: (re.search("^[2-9][0-9]{2}[2-9]", digits), re.search("^[01]", digits)), 7: (re.search(pii.IBAN_COUNTRIES, hit), None),
+    }.get(kind, (None, None))
+    last, before = before[-1:], before.lower()
+    left = 0 if last == "" else 1 if re.match(r"[ \t\n\x0b\f\r]", last) else 2 if re.match("[A-Za-z0-9]", last) else 3
+    context = 1 if re.search(pii.FOR[kind], before, re.A) else -1 if re.search(pii.AGAINST, before, re.A) else 0
+    return dict(zip(FEATURES, (1 if formed(kind, hit) else -1, -1 if wrong else 1 if known else 0, context, min(len(hit) // 6, 5), left), strict=True))
+
+
+def candidates(t):
+    for kind, pattern in enumerate(pii.PATTERNS):
+        end = 0
+        for m in regex.finditer(pattern, t):
+            yield kind, m, features(kind, m[0], t[end : m.start()][-pii.CONTEXT :])
+            end = m.end()
+
+
+def test_all_spans_of_whole_tables_equal_brute_force(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    models = secrets.fit(secrets.labelled_sample(spark).union(secrets.ordinary_identifiers(documents)))
+    for r in op3_secret_scan(spark, sf).collect():
+        t = texts[r["doc_id"]]
+        assert r["spans"] == told(sorted(secret_base(t) + secret_extra(t, models)), secrets.KINDS)
+    model = pii.fit(documents)
+    # the model from the same counts, taken in Python
+    cells = {}
+    for t in texts.values():
+        for kind, _, f in candidates(t):
+            key = (kind, *f.values())
+            cells[key] = cells.get(key, 0) + 1
+    counts = [({"kind": key[0], **dict(zip(FEATURES, key[1:], strict=True))}, n) for key, n in sorted(cells.items())]
+    posterior, accuracy = pii.estimate(counts)
+    assert {k: round(x, 9) for k, x in accuracy.items()} == {k: round(x, 9) for k, x in model.reliability.items()}
+    mass, prior = {}, {}
+    for (v, n), q in zip(counts, posterior, strict=True):
+        for side, part in ((1, q), (0, 1 - q)):
+            prior.setdefault(v["kind"], [1, 1])[side] += part * n
+            for name in FEATURES:
+                mass.setdefault((name, v["kind"], v[name]), [1, 1])[side] += part * n
+    extra = 0
+    for r in op8_pii(spark, sf).collect():
+        t = texts[r["doc_id"]]
+        found = base = personal_base(t)
+        for kind, m, f in candidates(t):
+            if kind >= pii.BASE and formed(kind, m[0]) and not any(m.start() < b and a < m.end() for a, _, b in base):
+                odds = math.log(prior[kind][1] / prior[kind][0]) + sum(math.log(mass[n, kind, f[n]][1] / prior[kind][1]) - math.log(mass[n, kind, f[n]][0] / prior[kind][0]) for n in FEATURES)
+                if 1 / (1 + math.exp(-odds)) >= pii.THRESHOLD:
+                    found = [*found, (m.start(), kind, m.end())]
+                    extra += 1
+        assert r["spans"] == told(sorted(found), pii.KINDS)
+
+
+def test_the_classifier_adds_what_the_labelers_agree_on(spark):
+    rows = [f"my phone is 415-555-0{100 + i} ok" for i in range(60)] + [f"order no. 001-100-1{100 + i} shipped" for i in range(60)] + [f"ssn 123-45-{1000 + i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["pii"]] for r in pii.find(df, pii.fit(df)).collect()}
+    assert all(found[i] == ["phone_local"] for i in range(60)) and all(found[i] == [] for i in range(60, 120)) and all(found[i] == ["ssn"] for i in range(120, 160))
+
+
+def test_ordinary_identifiers_come_from_the_corpus(spark, none):
+    df = spark.createDataFrame([(1, "Zebra quokka wombat, 12 ab !"), (2, None), (3, "")], "doc_id long, text string")
+    rows = secrets.ordinary_identifiers(df).collect()
+    assert len(rows) == 1 and "quokka" in rows[0]["text"].lower() and rows[0]["random"] is False
+    assert secrets.ordinary_identifiers(none).count() == 0
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark, models):
+    n = 200_000
+    secret, mail = "token=abcdefghijkl ", "a@b.cd 415-555-0123, "
+    df = spark.createDataFrame([(1, secret * n), (2, mail * n)], "doc_id long, text string")
+    found = secrets.scan(df.where("doc_id = 1"), models).select(F.size("secrets").alias("n"), F.element_at("secrets", -1).alias("last")).first()
+    assert (found["n"], found["last"]["end"]) == (n, n * len(secret) - 1)
+    model = pii.fit(df.limit(0))
+    out = pii.redact(df.where("doc_id = 2"), model).first()["text"]
+    assert out == "<EMAIL> 415-555-0123, " * n
+    both = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit(1).alias("kind"), (i * 4).alias("start"), (i * 4 + 2).alias("end"), F.lit("").alias("hit"))).alias("a"))
+    apart = both.select(spans.outside(F.col("a"), F.transform("a", lambda s: F.struct(s["kind"].alias("kind"), (s["start"] * 2 + 1).alias("start"), (s["start"] * 2 + 3).alias("end"), s["hit"].alias("hit")))).alias("o"))
+    assert apart.select(F.size("o")).first()[0] == n // 2
+
+
+def test_spans_outside_others_equal_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(spans, "BLOCK", 3)
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        a = [(0, s, s + r.randint(1, 6), "") for s in sorted(r.sample(range(80), r.randint(0, 9)))]
+        b = [(1, s, s + r.randint(1, 6), "") for s in sorted(r.sample(range(80), r.randint(0, 9)))]
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, f"id long, a array<{spans.SPAN}>, b array<{spans.SPAN}>")
+    text = "".join(chr(0x100 + k) for k in range(90))
+    out = df.select("a", "b", spans.outside(F.col("a"), F.col("b")).alias("o"), spans.replaced(F.lit(text), F.col("a"), ("x", "y")).alias("t")).collect()
+    for row in out:
+        assert row["o"] == [s for s in row["a"] if not any(s["start"] < o["end"] and o["start"] < s["end"] for o in row["b"])]
+        expected, at = "", 0
+        for s in row["a"]:
+            if s["start"] >= at:
+                expected += text[at : s["start"]] + "<X>"
+            at = max(at, s["end"])
+        assert row["t"] == expected + text[at:]
+
+
 def test_markov_models_tell_random_from_ordinary(spark, models):
     held = secrets.labelled_sample(spark.newSession(), 900).where(F.crc32(F.col("text").cast("binary")) % 3 == 0)
     scored = held.withColumn("hit", models.score(F.col("text")) >= models.threshold).groupBy("random").agg(F.avg(F.col("hit").cast("int")).alias("share"))
