@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioscope.llm import textscan
-from folioscope.llm.batches import small_batches
+from folioscope.llm.batches import runs, small_batches
+from folioscope.operators.components import checkpointed
 
 #: Length of a hashed vector.
 DIMENSIONS = 4096
-#: Labelled texts that a model is fitted on at most: of a language, in all; and languages.
-SAMPLE, TOTAL, LANGUAGES = 300, 3000, 256
+#: Labelled texts of a language that its centroids are fitted on at most.
+SAMPLE = 400
 #: Centroids of each language.
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this part of the lowest percentile of held-out texts.
@@ -90,7 +91,7 @@ class LanguageModel:
             return []
         counts, letters = gram_counts(texts)
         if not len(self.labels):
-            return [(UNKNOWN, 0.0, True)] * len(texts)
+            return [(UNKNOWN, 0.0, bool(n == 0)) for n in letters]
         cosine = self.vectors(counts) @ self.centroids.T
         best = np.argmax(cosine, axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
@@ -113,57 +114,81 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _blank() -> LanguageModel:
+    return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(BANDS))))
+
+
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts (column 0) with a letter, and of those with each hashed n-gram; every text counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # cell 0 counts texts, the others n-grams
+        held = np.zeros(DIMENSIONS + 1, dtype=np.int64)
+        for batch in batches:
+            own = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in textscan.blocks(np.fromiter((len(t) + 2000 for t in own), np.int64, len(own)), 1_000_000):
+                found, letters = gram_counts(own[a:b])
+                held[0] += int((letters > 0).sum())
+                held[1:] += (found[letters > 0] > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["cell", "n"])
+
+    summed = small_batches(texts).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(DIMENSIONS + 1, dtype=np.int64)
+    for r in summed:
+        out[r["cell"]] = r["n"]
+    return int(out[0]), out[1:]
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel:
-    """A model fitted on at most ``sample`` texts of each label, chosen by a hash of the id.
-
-    The sample is bounded: ``sample`` texts a label, the ``LANGUAGES`` commonest labels, and
-    ``TOTAL`` texts in all.  Executors turn whole texts into counts of fixed length, which
-    are brought to the driver; statistics of the model are those of the sample.  Limits of
-    distance come from ``FOLDS`` parts of the sample, each held against centroids of the
-    others, whole and cut to the shorter lengths of ``BANDS``; one text in a hundred may be
-    mislabelled junk.  Rows without text or label are passed over.  With no labelled row at all, the
-    model rejects every text.
+    """A model of every label: its centroids, from ``sample`` of its texts at most, chosen by a hash of the id.
+
+    Inverse document frequencies are those of all labelled texts.  The centroids of a label
+    are found in one task, from counts of fixed length of its bounded sample; the driver gets
+    centroids only, some 0.4 MB a label.  Limits of distance come from ``FOLDS`` parts of the
+    sample, each held against centroids of the others, whole and cut to the shorter lengths
+    of ``BANDS``; one text in a hundred may be mislabelled junk.  Rows without text or label
+    are passed over.  With no labelled row at all, the model knows no language and rejects
+    only texts without a letter.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
-    common = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
-    if not common:
-        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(BANDS))))
-    sample = min(sample, TOTAL // len(common))
-    chance = F.create_map(*(F.lit(x) for r in common for x in (r["label"], min(1.0, 4 * sample / r["n"]))))[F.col("label")]
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
+    documents, having = document_frequencies(rows.select("text"))
+    if not documents:
+        return _blank()
+    idf = (np.log((1 + documents) / (1 + having)) + 1).astype(np.float32)
     order = F.xxhash64("id", F.lit("language sample"))
-    drawn = rows.where(F.col("label").isin([r["label"] for r in common])).where(F.pmod(order, F.lit(1_000_000)) < chance * 1_000_000)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "of")
+    # a first cut by the hash alone leaves some four times the sample to rank
+    drawn = rows.join(sizes, F.col("label") == F.col("of")).where(F.pmod(order, F.lit(1_000_000)) < F.lit(4_000_000.0 * sample) / F.col("n"))
     window = Window.partitionBy("label").orderBy(order, "id", F.md5("text"))
-    drawn = drawn.select("label", "text", F.row_number().over(window).alias("k")).where(F.col("k") <= sample)
+    drawn = checkpointed(drawn.select("label", "text", F.row_number().over(window).alias("k")).where(F.col("k") <= sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, letters = gram_counts(batch.column(1).to_pylist()) if len(batch) else (np.zeros((0, DIMENSIONS)), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(letters), pa.array([x.tobytes() for x in np.minimum(found, 65535).astype(np.uint16)], pa.binary())], names=["label", "k", "letters", "counts"])
-
-    sampled = small_batches(drawn).mapInArrow(count, "label string, k int, letters long, counts binary").where("letters > 0")
-    held: dict[str, list[tuple[int, bytes]]] = {}
-    for r in sampled.toLocalIterator():
-        held.setdefault(r["label"], []).append((r["k"], bytes(r["counts"])))
-    if not held:
-        return LanguageModel([], np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, len(BANDS))))
-    places = {label: np.array([k for k, _ in sorted(rows)]) for label, rows in held.items()}
-    of = {label: np.stack([np.frombuffer(c, np.uint16) for _, c in sorted(held.pop(label))]) for label in sorted(held)}
-    documents = sum(len(x) for x in of.values())
-    idf = (np.log((1 + documents) / (1 + sum((x > 0).sum(axis=0) for x in of.values()))) + 1).astype(np.float32)
-    names: list[str] = []
-    centres: list[np.ndarray] = []
-    others: list[list[np.ndarray]] = [[] for _ in range(FOLDS)]
-    for label, counted in of.items():
-        own = _unit(np.log1p(counted.astype(np.float32)) * idf)
-        found = _kmeans(own, centroids)
-        names += [label] * len(found)
-        centres.append(found)
-        for fold, held_out in enumerate(others):
-            part = own[places[label] % FOLDS != fold]
-            held_out.append(_kmeans(part, centroids) if len(part) else found)
-    of.clear()
-    model = LanguageModel(names, np.concatenate(centres).astype(np.float32), idf, np.zeros((len(names), len(BANDS))))
-    return replace(model, radius=_limits(drawn, model, [np.concatenate(c).astype(np.float32) for c in others]))
+            texts = batch.column(1).to_pylist()
+            for a, b in textscan.blocks(np.fromiter((len(t) + 2000 for t in texts), np.int64, len(texts)), 1_000_000):
+                found, letters = gram_counts(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(letters), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "k", "letters", "counts"])
+
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in runs(batches):
+            place = own.column("k").to_numpy()
+            counted = np.stack([np.frombuffer(c, np.float32) for c in own.column("counts").to_pylist()])
+            vectors = _unit(np.log1p(counted) * idf)
+            whole = _kmeans(vectors, centroids)
+            parts = [whole] + [_kmeans(vectors[place % FOLDS != f], centroids) if (place % FOLDS != f).any() else whole for f in range(FOLDS)]
+            names = ["label", "fold", "centroids"]
+            yield pa.RecordBatch.from_arrays([pa.array([own.column(0)[0].as_py()] * len(parts)), pa.array(range(-1, FOLDS), pa.int32()), pa.array([c.astype(np.float32).tobytes() for c in parts], pa.binary())], names=names)
+
+    counted = small_batches(drawn).mapInArrow(count, "label string, k int, letters long, counts binary").where("letters > 0")
+    found = small_batches(counted.repartition("label").sortWithinPartitions("label", "k")).mapInArrow(centred, "label string, fold int, centroids binary").collect()
+    held = {(r["label"], r["fold"]): np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMENSIONS) for r in found}
+    labels = sorted({label for label, _ in held})
+    if not labels:
+        return _blank()
+    of_fold = [np.concatenate([held[label, fold] for label in labels]) for fold in range(-1, FOLDS)]
+    names = [label for label in labels for _ in held[label, -1]]
+    model = LanguageModel(names, of_fold[0], idf, np.zeros((len(names), len(BANDS))))
+    return replace(model, radius=_limits(drawn, model, of_fold[1:]))
 
 
 def _cuts(text: str) -> list[tuple[int, str]]:

@@ -14,17 +14,21 @@ that no source, however large, is sorted in one task.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.operators.components import checkpointed
+
 #: Rows that a bucket of the permutation holds about.
 BUCKET_ROWS = 2000
 #: Sources up to which their plan is broadcast (a few MB); beyond it the join is shuffled.
 BROADCAST_SOURCES = 50_000
-#: Steps of the bisection; the exponent is then known to 1 in 10**12.
-STEPS = 40
+#: Parts that a pass of the bisection halves an interval into, and passes; the exponent is
+#: then known to 1 in 10**14.
+FAN, ROUNDS = 64, 8
 
 
 def word_count(text: Column) -> Column:
@@ -32,40 +36,51 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    """Weights in proportion to shares to the power of ``exponent``."""
-    raised = {s: p**exponent for s, p in shares.items() if p > 0}
-    total = math.fsum(raised[s] for s in sorted(raised))
-    return {s: r / total for s, r in raised.items()}
+@dataclass(frozen=True)
+class Shares:
+    """Sources with tokens: the smallest and the largest share of the tokens, and their sum."""
+
+    least: float
+    most: float
+    total: int
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -math.fsum(w * math.log(w) for _, w in sorted(weights.items()) if w > 0)
+def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent a, the sums over sources of p**a and of p**a * ln p, in one pass."""
+    columns = []
+    for i, a in enumerate(exponents):
+        raised = F.pow("share", F.lit(a))
+        columns += [F.sum(raised).alias(f"z{i}"), F.sum(raised * F.log("share")).alias(f"s{i}")]
+    row = shares.agg(*columns).first()
+    return [(row[f"z{i}"], row[f"s{i}"]) for i in range(len(exponents))]
 
 
-def exponent_for(tokens: dict[str, int], budget: float, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
+def exponent_for(shares: DataFrame, of: Shares, budget: float | None, target_entropy: float | None, max_repeats: float | None) -> float:
     """The exponent in [0, 1] nearest to 0 that meets the target, by bisection.
 
     With ``target_entropy`` (in nats), the exponent at which the weights have that entropy;
     0 or 1 where the target is out of reach.  With ``max_repeats``, the smallest exponent at
-    which ``budget * weight`` is at most ``max_repeats`` times each source's tokens; 1, the
-    sources' own shares, where even these repeat more.
+    which no source is repeated more often; 1, the sources' own shares, where even these
+    repeat more.  Halvings are taken ``FAN`` points at a time, each batch in one pass over
+    the shares, so that no table of sources comes to the driver.
     """
-    total = sum(tokens.values())
-    shares = {s: n / total for s, n in tokens.items() if n > 0}
 
-    def even_enough(a: float) -> bool:
-        weights = tempered(shares, a)
+    def enough(points: list[float]) -> list[bool]:
+        if target_entropy is None and budget is None:
+            # the source with the least repetition passes once, so Z cancels out
+            return [(of.most / of.least) ** (1 - a) <= max_repeats for a in points]
+        sums = _sums(shares, points)
         if target_entropy is not None:
-            return entropy(weights) <= target_entropy
-        return max(budget * w / tokens[s] for s, w in weights.items()) <= max_repeats
+            return [math.log(z) - a * s / z <= target_entropy for a, (z, s) in zip(points, sums, strict=True)]
+        return [budget * of.least ** (a - 1) / (z * of.total) <= max_repeats for a, (z, _) in zip(points, sums, strict=True)]
 
-    if not shares or even_enough(0.0):
+    if enough([0.0])[0]:
         return 0.0
     low, high = 0.0, 1.0
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if even_enough(middle) else (middle, high)
+    for _ in range(ROUNDS):
+        points = [low + (high - low) * k / FAN for k in range(1, FAN)]
+        first = next((k for k, yes in enumerate(enough(points)) if yes), len(points))
+        low, high = (points[first - 1] if first else low), (points[first] if first < len(points) else high)
     return high
 
 
@@ -74,64 +89,52 @@ def mix(df: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str =
 
     Columns added: ``mix_tokens`` (of the row), ``mix_pass`` (from 0) and ``mix_end`` (running
     sum of tokens of the source in its pass).  Of columns with those names in ``df`` the
-    mixture's stay.  ``budget`` is the mixture's number of tokens; by default that at which
-    the source with the least repetition passes exactly once, so that every row is taken.
-    Totals of sources are collected (a row a source); one source may hold any part of the rows.  A null
-    source counts as a source of its own; rows without tokens are taken in every whole pass.
-    Rows with equal id and tokens are interchangeable.  An empty table gives an empty one.
+    mixture's stay; other columns stay, whatever their names.  ``budget`` is the mixture's
+    number of tokens; by default that at which the source with the least repetition passes
+    exactly once, so that every row is taken.  Sources may be any number, and one may hold
+    any part of the rows.  A null source counts as a source of its own; rows without tokens
+    are taken in every whole pass.  Rows with equal id and tokens are interchangeable.  An
+    empty table gives an empty one.
     """
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
     own = df.drop("mix_tokens", "mix_pass", "mix_end").columns
-    rows = df.select(*own, name.alias("_source"), tokens.cast("long").alias("mix_tokens"))
-    totals = rows.groupBy("_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    have = {r["_source"]: int(r["tokens"] or 0) for r in totals}
-    total = sum(have.values())
+    # the caller's columns travel in a struct, so that no name of theirs meets one of these
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), F.col(id_col).alias("id"), name.alias("source"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("mix_tokens"))
+    totals = checkpointed(rows.groupBy("source").agg(F.sum("mix_tokens").cast("long").alias("have"), F.count("*").alias("n")))
     if target_entropy is None and max_repeats is None:
         max_repeats = 1.0
-    exponent, spent = plan(have, budget, target_entropy, max_repeats)
-    weights = tempered({s: n / total for s, n in have.items() if n > 0}, exponent) if total else {}
-    spark = df.sparkSession
-    goals = spark.createDataFrame(
-        [(r["_source"], spent * weights.get(r["_source"], 0.0), float(have[r["_source"]]), max(1, math.ceil(r["n"] / BUCKET_ROWS))) for r in totals],
-        "_source string, _goal double, _have double, _buckets int",
-    )
-    if len(totals) <= BROADCAST_SOURCES:
+    goals = plan(totals, budget, target_entropy, max_repeats)
+    if totals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
     # a row of one pass more than whole ones is taken while the source's budget lasts
-    passes = F.when(F.col("_have") > 0, F.floor(F.col("_goal") / F.col("_have") + 1e-9)).otherwise(1).cast("int")
-    spread = rows.join(goals, "_source").withColumn("_whole", passes).withColumn("_left", F.when(F.col("_have") > 0, F.greatest(F.lit(0.0), F.col("_goal") - F.col("_whole") * F.col("_have"))).otherwise(0.0))
-    spread = spread.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.when(F.col("_left") > 0, F.col("_whole")).otherwise(F.col("_whole") - 1))))
-    key = F.xxhash64(F.col(id_col), F.lit(seed), F.col("mix_pass"))
-    spread = spread.withColumn("_key", key).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_key", 20), F.col("_buckets").cast("long")).cast("int"))
-    place = ["_source", "mix_pass", "_bucket"]
-    sums = spread.groupBy(*place).agg(F.sum("mix_tokens").alias("_sum"))
-    before = Window.partitionBy("_source", "mix_pass").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*place, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*place).orderBy("_key", id_col, "mix_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = spread.withColumn("mix_end", F.sum("mix_tokens").over(within)).join(sums, place).withColumn("mix_end", F.col("mix_end") + F.col("_before"))
-    return running.where((F.col("mix_pass") < F.col("_whole")) | (F.col("mix_end") <= F.col("_left"))).select(*own, "mix_tokens", "mix_pass", "mix_end")
-
-
-def plan(have: dict[str, int], budget: float | None, target_entropy: float | None, max_repeats: float | None) -> tuple[float, float]:
-    """The exponent and the number of tokens of the mixture (see ``mix``)."""
-    total = sum(have.values())
-    if not total:
-        return 1.0, 0.0
-
-    def least(exponent: float) -> float:
-        weights = tempered({s: n / total for s, n in have.items() if n > 0}, exponent)
-        return max(have[s] / w for s, w in weights.items())
-
-    if budget is not None:
-        return exponent_for(have, budget, target_entropy, max_repeats), budget
-    if target_entropy is not None:
-        exponent = exponent_for(have, float(total), target_entropy)
-        return exponent, least(exponent)
-    low, high = 0.0, 1.0
-    repeats = lambda a: max(least(a) * w / have[s] for s, w in tempered({s: n / total for s, n in have.items() if n > 0}, a).items())
-    if repeats(0.0) <= max_repeats:
-        return 0.0, least(0.0)
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if repeats(middle) <= max_repeats else (middle, high)
-    return high, least(high)
+    passes = F.when(F.col("have") > 0, F.floor(F.col("goal") / F.col("have") + 1e-9)).otherwise(1).cast("int")
+    spread = rows.join(goals, "source").withColumn("whole", passes).withColumn("left", F.when(F.col("have") > 0, F.greatest(F.lit(0.0), F.col("goal") - F.col("whole") * F.col("have"))).otherwise(0.0))
+    last = F.when(F.col("left") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
+    spread = spread.where(last >= 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), last)))
+    key = F.xxhash64("id", F.lit(seed), F.col("mix_pass"))
+    spread = spread.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.col("buckets").cast("long")).cast("int"))
+    place = ["source", "mix_pass", "bucket"]
+    sums = spread.groupBy(*place).agg(F.sum("mix_tokens").alias("held"))
+    before = Window.partitionBy("source", "mix_pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*place, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*place).orderBy("key", "id", "mix_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = spread.withColumn("mix_end", F.sum("mix_tokens").over(within)).join(sums, place).withColumn("mix_end", F.col("mix_end") + F.col("before"))
+    taken = running.where((F.col("mix_pass") < F.col("whole")) | (F.col("mix_end") <= F.col("left")))
+    return taken.select(*(F.col("own").getField(c).alias(c) for c in own), "mix_tokens", "mix_pass", "mix_end")
+
+
+def plan(totals: DataFrame, budget: float | None, target_entropy: float | None, max_repeats: float | None) -> DataFrame:
+    """(source, have, goal, buckets) of (source, have, n): the tokens that a source is to give (see ``mix``)."""
+    found = totals.where("have > 0").agg(F.min("have").alias("least"), F.max("have").alias("most"), F.sum("have").alias("total")).first()
+    goal = F.lit(0.0)
+    if found["total"]:
+        total = int(found["total"])
+        of = Shares(found["least"] / total, found["most"] / total, total)
+        share = F.col("have") / F.lit(float(total))
+        shares = totals.where("have > 0").select(share.alias("share"))
+        exponent = exponent_for(shares, of, budget, target_entropy, max_repeats)
+        z = _sums(shares, [exponent])[0][0]
+        spent = total * z * of.most ** (1 - exponent) if budget is None else budget
+        goal = F.when(F.col("have") > 0, F.lit(float(spent)) * F.pow(share, F.lit(exponent)) / F.lit(z)).otherwise(0.0)
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("int")
+    return totals.select("source", F.col("have").cast("double").alias("have"), goal.alias("goal"), buckets.alias("buckets"))

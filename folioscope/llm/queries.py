@@ -24,8 +24,8 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(column: str = "doc_id") -> Column:
-    """Whether a document is kept out of training: crc32 of its id, as text, mod 3 is 1."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
+    """Whether a document is kept out of training: crc32 of its id, as text, mod 3 is 1; not so without an id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

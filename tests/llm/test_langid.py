@@ -3,8 +3,11 @@ import random
 import re
 import zlib
 
-from folioscope.llm import langid
-from folioscope.llm.queries import op2_language_id
+import numpy as np
+from pyspark.sql import functions as F
+
+from folioscope.llm import langid, textscan
+from folioscope.llm.queries import held_out, op2_language_id
 
 LETTERLESS = {3, 4, 5}
 
@@ -21,6 +24,45 @@ def test_held_out_accuracy(spark):
     assert not any(r["rejected"] for r in rows if truth[r["doc_id"]]["n_chars"] > 200 and r["lang_pred"] == truth[r["doc_id"]]["lang"] and r["score"] > 0.5)
 
 
+def plain_counts(text):
+    """Hashed n-grams by a loop over characters."""
+    classes, out = textscan.character_classes(), np.zeros(langid.DIMENSIONS)
+    symbols = [c if classes[ord(c)] == textscan.LETTER else " " for c in text.lower() + " "]
+    for i, c in enumerate(symbols):
+        b = symbols[i - 1] if i else " "
+        a = symbols[i - 2] if i > 1 else " "
+        for n, gram in ((1, c), (2, b + c), (3, a + b + c)):
+            if (n == 1 and c != " ") or (n == 2 and gram != "  ") or (n == 3 and b != " "):
+                value = sum(ord(x) << 21 * k for k, x in enumerate(reversed(gram)))
+                out[int(textscan.mix(np.array([value * 4 + n], dtype=np.uint64))[0] % np.uint64(langid.DIMENSIONS))] += 1
+    return out
+
+
+def test_query_equals_nearest_centroid_by_plain_loops(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = documents.collect()
+    train = [r for r in rows if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    counts = {r["doc_id"]: plain_counts(r["text"] or "") for r in rows}
+    having = sum((counts[r["doc_id"]] > 0).astype(int) for r in train if counts[r["doc_id"]].any())
+    idf = np.log((1 + sum(counts[r["doc_id"]].any() for r in train)) / (1 + having)) + 1
+    model = langid.fit(documents.where(held_out() == F.lit(False)))
+    assert np.allclose(model.idf, idf, rtol=1e-5) and set(model.labels) == {r["lang"] for r in train}
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+    for r in op2_language_id(spark, sf).collect():
+        v = np.log1p(counts[r["doc_id"]]) * idf
+        letters = sum(textscan.character_classes()[ord(c)] == textscan.LETTER for c in texts[r["doc_id"]].lower())
+        if not letters:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        cosine = model.centroids.astype(float) @ v / np.linalg.norm(v)
+        assert abs(r["score"] - cosine.max()) < 1e-4 and cosine[[n == r["lang_pred"] for n in model.labels]].max() > cosine.max() - 1e-5
+
+
+def test_every_label_is_learned(spark):
+    df = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(set(langid.fit(df).labels)) == 300
+
+
 def test_far_texts_are_rejected(spark):
     df = spark.createDataFrame([(i, "the cat and the dog went over there with another one " * 3, "en") for i in range(20)], "doc_id long, text string, lang string")
     model = langid.fit(df)
@@ -39,7 +81,8 @@ def test_odd_rows(odd, none):
             assert r["lang_pred"] in ("en", "fr")
     assert langid.identify(none, model).count() == 0
     blank = langid.fit(none)
-    assert all(r["rejected"] for r in langid.identify(odd, blank).collect())
+    for r in langid.identify(odd, blank).collect():
+        assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, r["doc_id"] in LETTERLESS)
 
 
 def test_junk_and_unlearned_languages_are_rejected_at_any_length(spark):

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,15 +9,36 @@ from folioscope.llm import mixing
 from folioscope.llm.queries import op10_source_mixing
 
 
-def test_exponent_meets_the_target():
+def tempered(shares, exponent):
+    raised = {s: p**exponent for s, p in shares.items() if p > 0}
+    return {s: r / math.fsum(raised.values()) for s, r in raised.items()}
+
+
+def entropy(weights):
+    return -math.fsum(w * math.log(w) for w in weights.values())
+
+
+def planned(spark, tokens, **target):
+    """Goals by source, and the exponent that gave them."""
+    totals = spark.createDataFrame([(s, n, 1) for s, n in tokens.items()], "source string, have long, n long")
+    args = {"budget": None, "target_entropy": None, "max_repeats": None, **target}
+    total = sum(tokens.values())
+    shares = totals.selectExpr(f"have / {float(total)} as share")
+    of = mixing.Shares(min(tokens.values()) / total, max(tokens.values()) / total, total)
+    return {r["source"]: r["goal"] for r in mixing.plan(totals, **args).collect()}, mixing.exponent_for(shares, of, **args)
+
+
+def test_exponent_meets_the_target(spark):
     tokens = {"a": 8000, "b": 1000, "c": 1000}
     shares = {s: n / 10_000 for s, n in tokens.items()}
-    a = mixing.exponent_for(tokens, 10_000, target_entropy=0.9)
-    assert abs(mixing.entropy(mixing.tempered(shares, a)) - 0.9) < 1e-9
-    b = mixing.exponent_for(tokens, 10_000, max_repeats=1.5)
-    assert abs(max(10_000 * w / tokens[s] for s, w in mixing.tempered(shares, b).items()) - 1.5) < 1e-9
-    assert mixing.exponent_for(tokens, 10_000, target_entropy=math.log(3) + 1) == 0.0
-    assert mixing.exponent_for({}, 1, max_repeats=1) == 0.0
+    goals, a = planned(spark, tokens, budget=10_000.0, target_entropy=0.9)
+    assert abs(entropy(tempered(shares, a)) - 0.9) < 1e-9 and abs(sum(goals.values()) - 10_000) < 1e-6
+    goals, _ = planned(spark, tokens, budget=10_000.0, max_repeats=1.5)
+    assert abs(max(goals[s] / tokens[s] for s in tokens) - 1.5) < 1e-9
+    goals, a = planned(spark, tokens, max_repeats=2.0)
+    assert abs(goals["a"] - 8000) < 1e-6 and abs(goals["b"] - 2000) < 1e-6 and abs(goals["a"] / goals["b"] - 8**a) < 1e-6
+    assert planned(spark, tokens, budget=10_000.0, target_entropy=math.log(3) + 1)[1] == 0.0
+    assert mixing.plan(spark.createDataFrame([], "source string, have long, n long"), None, None, 1.0).count() == 0
 
 
 def passes(rows):
@@ -34,8 +56,14 @@ def test_budgets_and_passes(spark, monkeypatch, bucket_rows):
     budget = 1600.0
     got = passes(mixing.mix(df, F.col("words"), budget=budget, max_repeats=3.0).collect())
     have = {s: sum(w for _, x, w in rows if x == s) for s in ("big", "small")}
-    exponent = mixing.exponent_for({f"s:{s}": n for s, n in have.items()}, budget, max_repeats=3.0)
-    weights = mixing.tempered({s: n / sum(have.values()) for s, n in have.items()}, exponent)
+    # bisection by plain arithmetic
+    low, high = 0.0, 1.0
+    shares = {s: n / sum(have.values()) for s, n in have.items()}
+    repeats = lambda a: max(budget * w / have[s] for s, w in tempered(shares, a).items())
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if repeats(middle) <= 3.0 else (middle, high)
+    weights = tempered(shares, 0.0 if repeats(0.0) <= 3.0 else high)
     for source, total in have.items():
         ids = {i for i, s, _ in rows if s == source}
         goal, spent = budget * weights[source], 0
@@ -67,6 +95,40 @@ def test_odd_rows(odd, none):
     assert mixing.mix(none, mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_internal_names_may_clash(spark):
+    names = ("own", "id", "have", "goal", "buckets", "whole", "left", "key", "bucket", "held", "before", "n", "_source", "_goal")
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", 2, *("x",) * len(names)) for i in range(30)], "doc_id long, source string, words long, " + ", ".join(f"{n} string" for n in names))
+    rows = mixing.mix(df, F.col("words"), max_repeats=1.0).collect()
+    assert len(rows) == 30 and all(r[n] == "x" for r in rows for n in names) and rows[0].asDict().keys() == {*df.columns, "mix_tokens", "mix_pass", "mix_end"}
+
+
+def test_whole_query_equals_brute_force(spark, sf):
+    """Budgets, orders and running sums of every row of the table, by plain Python."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(0), F.lit(0)).alias("k0"), F.xxhash64("doc_id", F.lit(0), F.lit(1)).alias("k1"), F.xxhash64("doc_id", F.lit(0), F.lit(2)).alias("k2")).collect()
+    words = {r["doc_id"]: len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"] or "")) for r in documents}
+    by_source = defaultdict(list)
+    for r in documents:
+        by_source[r["source"]].append(r)
+    have = {s: sum(words[r["doc_id"]] for r in rows) for s, rows in by_source.items()}
+    most, least = max(have.values()), min(n for n in have.values() if n)
+    exponent = 0.0 if most / least <= 2 else 1 - math.log(2) / math.log(most / least)
+    expected = set()
+    for s, rows in by_source.items():
+        goal = most * (have[s] / most) ** exponent
+        whole = int(goal / have[s] + 1e-9)
+        left = max(0.0, goal - whole * have[s])
+        buckets = max(1, math.ceil(len(rows) / mixing.BUCKET_ROWS))
+        for number in range(whole + (left > 1e-6)):
+            key = f"k{number}"
+            at = 0
+            for r in sorted(rows, key=lambda r: ((r[key] % 2**64 >> 20) % buckets, r[key], r["doc_id"])):
+                at += words[r["doc_id"]]
+                if number < whole or at <= left:
+                    expected.add((r["doc_id"], s, words[r["doc_id"]], number, at))
+    got = [(r["doc_id"], r["source"], r["mix_tokens"], r["mix_pass"], r["mix_end"]) for r in op10_source_mixing(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_query_keeps_every_document(spark, sf):
     rows = op10_source_mixing(spark, sf).collect()
     first = [r["doc_id"] for r in rows if r["mix_pass"] == 0]

@@ -4,6 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from folioscope.llm.queries import op8_pii
 from tests.llm.test_minhash import brute
 
 
@@ -38,3 +39,31 @@ def test_stages_on_all_documents(spark, sf):
 
 def test_run_gives_the_last_stage(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def test_clean_documents_at_the_edges_stay(spark):
+    """Rows without ids, with one id and several texts, repeated rows, and no language at all."""
+    rows = [(1, "a clean text about trees and rivers", None, "s", 35), (1, "another text under the same id", None, "s", 30), (2, "repeated row of words", None, "s", 21), (2, "repeated row of words", None, "s", 21), (None, "no id but clean", None, "s", 15), (None, "no id but clean", None, None, 15), (3, "12 34", None, "s", 5), (4, "a clean text about trees and rivers", None, "t", 35)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t, *_ in rows if t != "12 34")
+    one = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert one == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (0, rows[4][1]), (0, rows[4][1]), (3, "12 34")])
+
+
+def test_the_pii_stage_equals_brute_force(spark, sf):
+    """Texts with the spans of op8 (tested against plain Python) replaced, run by run."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    after = {r["doc_id"]: r for r in corpus_pipeline.without_personal_data(spark, docs, sf).collect()}
+    found = {r["doc_id"]: r["spans"] for r in op8_pii(spark, sf).collect()}
+    for r in docs.collect():
+        expected, at = "", 0
+        for span in filter(None, found[r["doc_id"]].split(",")):
+            kind, start, end = span.split(":")
+            if int(start) >= at:
+                expected += f"{r['text'][at:int(start)]}<{kind.upper()}>"
+            at = max(at, int(end))
+        expected += (r["text"] or "")[at:]
+        got = after[r["doc_id"]]
+        assert (got["text"] or "") == expected and got["n_chars"] == len(expected)
+        assert (got["lang"], got["source"]) == (r["lang"], r["source"])
