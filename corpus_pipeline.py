@@ -23,16 +23,25 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: far from every language, or without letters.
 
-    A kept document without a language gets the predicted one.
+    A kept document without a language gets the predicted one.  Where no document has a
+    language, only those without letters go.
     """
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
     return found.where(~F.col("rejected")).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five words, similarity of 0.8."""
+    """Keeps one document of each group of near-duplicates: five words, similarity of 0.8.
+
+    Documents without an id take no part and stay.  Rows that share id and text are one
+    document, of which the least by its other columns stays; rows that share an id but not
+    the text stay or go together.
+    """
     kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    own = docs.select(*COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = own.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return once.select("doc_id", "text", *(F.col(f"rest.{c}").alias(c) for c in rest)).select(*COLUMNS).union(own.where("doc_id is null"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
