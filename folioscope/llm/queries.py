@@ -76,7 +76,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.when(finite, F.transform(value, lambda x: F.floor(x * 64)))
+    # floor gives the largest long for what is beyond it, which would be another vector
+    within = F.forall(value, lambda x: F.abs(x * 64) < F.lit(2.0**63))
+    whole = F.when(finite, F.when(within, F.transform(value, lambda x: F.floor(x * 64))).otherwise(F.raise_error(F.lit("a component times 64 is beyond the range of long")).cast("array<bigint>")))
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
     return top_k(vectors, "vec_id % 20 = 0", k=20)
 

@@ -1,16 +1,21 @@
 """Exact top-k search by inner product with Fagin's threshold algorithm.
 
-Method: the candidates of a chunk are sorted by each dimension.  All lists are read from
-both ends to the same depth (a query with a negative weight reads a list from its low end),
-the vectors met are scored in full, and a query stops once no unmet vector can beat its kth
-result: its bound is the sum over dimensions of its weight times the value at that depth.
-The best results so far carry over from chunk to chunk, so later chunks stop sooner.
-
-Queries and candidates meet in units of a block of queries and a group of candidates.
+Method: the candidates of a group are sorted by each dimension.  A query reads each
+dimension's list from the end that its weight asks for, in steps of growing depth; vectors
+met are scored in full, and it stops once no unmet vector can beat its kth result: the bound
+is the sum over dimensions of its weight times the value at that depth.  With the kth result
+that it has, a query knows how deep it has to go.  One whose lists hold as many entries down
+to there as the group has vectors would meet nearly all of them: it meets the rest at once,
+in a block of such queries.
+
+Queries and candidates meet in units of a block of queries and a group of candidates.  A
+unit has some 2**22 pairs in a small table and 2**31 at most, so that vectors are shipped
+once for every 16,384 queries or 131,072 candidates of a large one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,152 +24,189 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.llm.batches import small_batches
+from folioscope.llm.batches import matrix, runs, small_batches
 
-#: Queries of a block, candidates of a group, and candidates whose lists are sorted at once.
-QUERIES, CANDIDATES, CHUNK = 1024, 16384, 4096
+#: Queries of a block and candidates of a group at most.
+QUERIES, CANDIDATES = 16_384, 131_072
+#: Units of a search at least, unless they would have fewer pairs than this.
+UNITS, PAIRS = 256, 1 << 22
 #: Depth of the first step over the lists, and by how much each step is deeper.
-FIRST_DEPTH, DEEPER = 32, 4
+FIRST_DEPTH, DEEPER = 2, 2
+#: Queries and candidates of a tile that is scored at once.
+TILE = 1024, 8192
+#: Whole numbers below this are exact in double precision.
+EXACT = 2**53
 
 
 class TopK:
     """The k best candidates of each query of a block so far."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.ids, self.queries, self.k = ids, queries, k
-        self.scores = np.full((len(ids), 0), 0, dtype=np.float64)
-        self.found = np.zeros((len(ids), 0), dtype=np.int64)
-        self.high, self.low = np.maximum(queries, 0), np.minimum(queries, 0)
-
-    def kth(self) -> np.ndarray:
-        """Score of the kth result of each query; minus infinity where there are fewer."""
-        if self.scores.shape[1] < self.k:
-            return np.full(len(self.ids), -np.inf)
-        return self.scores[:, self.k - 1]
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray) -> int:
-        """Takes in a chunk of candidates; returns how many of them were scored in full."""
-        m = len(ids)
+        self.ids, self.k = ids, k
+        self.queries = queries
+        self.scores = np.zeros((len(ids), k), dtype=np.int64)
+        self.found = np.zeros((len(ids), k), dtype=np.int64)
+        self.count = np.zeros(len(ids), dtype=np.int64)
+        self.scored = 0
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Takes in a group of candidates; ``scored`` counts the pairs that were scored."""
+        m, d = vectors.shape
+        reach = int(np.abs(self.queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * d
+        if reach >= 2**63:
+            raise ValueError("an inner product may be beyond the range of long")
+        self.kind = np.float64 if reach < EXACT else np.int64
+        queries, vectors = self.queries.astype(self.kind), vectors.astype(self.kind)
         order = np.argsort(vectors, axis=0, kind="stable")
         value = np.take_along_axis(vectors, order, axis=0)
-        seen = np.zeros(m, dtype=bool)
-        active = np.arange(len(self.ids))
-        depth, scored = 0, 0
-        while True:
-            bound = self.high[active] @ value[m - 1 - depth] + self.low[active] @ value[depth]
+        whole = []
+        for q in range(len(self.ids)):
+            if self._threshold(q, queries[q], ids, vectors, order, value):
+                whole.append(q)
+        for a in range(0, len(whole), TILE[0]):
+            block = np.array(whole[a : a + TILE[0]])
+            for b in range(0, m, TILE[1]):
+                self._take(block, ids[b : b + TILE[1]], queries[block] @ vectors[b : b + TILE[1]].T)
+                self.scored += len(block) * min(TILE[1], m - b)
+
+    def _bound(self, query: np.ndarray, value: np.ndarray, depth: int) -> int | float:
+        """What no vector beats that is met in none of the first ``depth`` places of the query's lists."""
+        return (np.maximum(query, 0) * value[len(value) - 1 - depth] + np.minimum(query, 0) * value[depth]).sum()
+
+    def _threshold(self, q: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, value: np.ndarray) -> bool:
+        """Reads one query's lists until it may stop; true if it rather meets all candidates."""
+        m = len(ids)
+        asked = np.flatnonzero(query)
+        up = query[asked] > 0
+        depth, met = 0, None
+        before = self.count[q], self.scores[q].copy(), self.found[q].copy()
+        while depth < m:
             # an unmet vector with an equal score may still have the smaller id
-            active = active[self.kth()[active] <= bound]
-            if not len(active):
-                break
+            if self.count[q] == self.k:
+                kth = self.scores[q, self.k - 1]
+                if self._bound(query, value, depth) < kth:
+                    return False
+                if len(asked) == 0 or len(asked) * self._needed(query, value, depth, kth) >= m:
+                    break
             deeper = min(m, max(FIRST_DEPTH, depth * DEEPER))
-            fresh = np.zeros(m, dtype=bool)
-            fresh[order[depth:deeper].ravel()] = True
-            fresh[order[m - deeper : m - depth].ravel()] = True
-            fresh &= ~seen
-            seen |= fresh
-            if fresh.any():
-                self._take(active, ids[fresh], self.queries[active] @ vectors[fresh].T)
-                scored += int(fresh.sum())
-            depth = deeper
-            if depth >= m or seen.all():
+            if len(asked) * deeper >= m:
                 break
-        return scored
-
-    def _take(self, active: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        own = self.ids[active][:, None] == ids[None, :]
-        scores = np.where(own, -np.inf, scores)
-        scores = np.concatenate([self.scores[active], scores], axis=1)
-        width = self.scores.shape[1]
-        if scores.shape[1] > self.k:
-            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            places = np.where(up, m - deeper, depth)[None, :] + np.arange(deeper - depth)[:, None]
+            fresh = np.unique(order[places, asked[None, :]])
+            if met is None:
+                met = np.zeros(m, dtype=bool)
+            fresh = fresh[~met[fresh]]
+            met[fresh] = True
+            self._take(np.array([q]), ids[fresh], (vectors[fresh] @ query)[None, :])
+            self.scored += len(fresh)
+            depth = deeper
+        if depth >= m:
+            return False
+        # what this group gave so far comes again with the rest
+        self.count[q], self.scores[q], self.found[q] = before
+        return True
+
+    def _needed(self, query: np.ndarray, value: np.ndarray, depth: int, kth: int) -> int:
+        """The depth at which the bound falls below ``kth``: the bound only falls, so it is halved."""
+        low, high = depth, len(value)
+        while low < high:
+            middle = (low + high) // 2
+            if self._bound(query, value, middle) < kth:
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
+    def _take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merges scored candidates into the best so far, by score downwards and id upwards."""
+        width = scores.shape[1]
+        own = self.ids[rows][:, None] == ids[None, :]
+        if own.any():
+            scores = np.where(own, scores.min(), scores)
+        if width > self.k:
+            keep = scores >= np.partition(scores, width - self.k, axis=1)[:, width - self.k, None]
         else:
-            least = np.full(len(active), -np.inf)
-        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        old = column < width
-        found = np.where(old, self.found[active[row], np.where(old, column, 0)] if width else 0, ids[np.where(old, 0, column - width)])
-        score = scores[row, column]
-        order = np.lexsort((found, -score, row))
-        row, score, found = row[order], score[order], found[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < self.k
-        row, score, found, place = row[keep], score[keep], found[keep], place[keep]
-        if width < self.k:
-            grown = np.full((len(self.ids), self.k), -np.inf)
-            grown[:, :width] = self.scores
-            ids_grown = np.zeros((len(self.ids), self.k), dtype=np.int64)
-            ids_grown[:, :width] = self.found
-            self.scores, self.found = grown, ids_grown
-        self.scores[active] = -np.inf
-        self.scores[active[row], place], self.found[active[row], place] = score, found
-
-    def results(self) -> Iterator[tuple[int, int, int]]:
-        for q, ids, scores in zip(self.ids.tolist(), self.found.tolist(), self.scores.tolist(), strict=True):
-            yield from ((q, i, int(s)) for i, s in zip(ids, scores, strict=True) if s > float("-inf"))
+            keep = np.ones(scores.shape, dtype=bool)
+        full = self.count[rows] == self.k
+        keep &= ~full[:, None] | (scores >= self.scores[rows, self.k - 1][:, None])
+        row, column = np.nonzero(keep & ~own)
+        held = np.arange(self.k)[None, :] < self.count[rows][:, None]
+        old_row, old_column = np.nonzero(held)
+        all_rows = np.concatenate([old_row, row])
+        all_scores = np.concatenate([self.scores[rows[old_row], old_column], scores[row, column].astype(np.int64)])
+        all_ids = np.concatenate([self.found[rows[old_row], old_column], ids[column]])
+        order = np.lexsort((all_ids, -all_scores, all_rows))
+        all_rows, all_scores, all_ids = all_rows[order], all_scores[order], all_ids[order]
+        place = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
+        best = place < self.k
+        at = rows[all_rows[best]], place[best]
+        self.scores[at], self.found[at] = all_scores[best], all_ids[best]
+        self.count[rows] = np.minimum(np.bincount(all_rows, minlength=len(rows)), self.k)
+
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query in its block, candidate and score of all results."""
+        held = np.arange(self.k)[None, :] < self.count[:, None]
+        return np.nonzero(held)[0], self.found[held], self.scores[held]
 
 
 def _search_units(rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): k best at most of each unit, from rows (unit, side, id, v)."""
+    """(ask, query_id, id, score, scored): k best at most of each query of a unit, from rows (unit, side, ask, id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, queries, held, top = None, [], [], None
-
-        def finish() -> list[tuple[int, int, int]]:
-            nonlocal top
-            flush()
-            out = list(top.results()) if top else []
-            top = None
-            return out
-
-        def flush() -> None:
-            nonlocal top, held
-            if not held:
-                return
-            if top is None and queries:
-                top = TopK(np.array([i for i, _ in queries]), np.array([v for _, v in queries], dtype=np.float64), k)
-            if top is not None:
-                top.search(np.array([i for i, _ in held]), np.array([v for _, v in held], dtype=np.float64))
-            held = []
-
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for u, side, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
-                    out += finish()
-                    unit, queries = u, []
-                if side == 0:
-                    queries.append((i, v))
-                else:
-                    held.append((i, v))
-                    if len(held) >= CHUNK:
-                        flush()
-            yield _batch(out)
-        yield _batch(finish())
-
-    return small_batches(rows.select("unit", "side", "id", "v")).mapInArrow(run, "query_id long, id long, score long")
-
-
-def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["query_id", "id", "score"])
+        for unit in runs(batches):
+            side = unit.column(1).to_numpy()
+            asks, ids, vectors = unit.column(2).to_numpy(), unit.column(3).to_numpy(), matrix(unit.column(4))
+            if (side == 0).all() or (side == 1).all():
+                continue
+            top = TopK(ids[side == 0], vectors[side == 0], k)
+            top.search(ids[side == 1], vectors[side == 1])
+            query, found, score = top.results()
+            share = np.full(len(query), top.scored / max(1, len(query)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asks[side == 0][query], ids[side == 0][query], found, score, share)], names=["ask", "query_id", "id", "score", "scored"])
+
+    return small_batches(rows.select("unit", "side", "ask", "id", "v")).mapInArrow(run, "ask long, query_id long, id long, score long, scored double")
+
+
+def grid(candidates: int, queries: int) -> tuple[int, int]:
+    """Blocks of queries and groups of candidates: square units of bounded size."""
+    pairs = max(1, candidates) * max(1, queries)
+    units = max(1, min(UNITS, pairs // PAIRS), pairs // (QUERIES * CANDIDATES))
+    side = math.sqrt(pairs / units)
+    blocks = max(1, round(queries / side), -(-queries // QUERIES))
+    return blocks, max(1, -(-units // blocks), -(-candidates // CANDIDATES))
 
 
 def top_k(df: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """Rows (query_id, rank int from 1, ``id_col``, score long): each query's k best candidates.
 
-    ``vector_col`` holds arrays of whole numbers (long), small enough that inner products
-    stay below 2**53.  Queries are the rows that the SQL condition ``is_query`` selects;
-    candidates are all rows but those with the query's own id.  The score is the inner
-    product; ties go to the smaller id.  Fewer than k candidates give fewer rows.  Rows with
-    a null id, a null or empty vector or a null component take no part; vectors meet only
-    those of their own length.  Of query rows with one id, the smallest vector asks;
-    candidates with one id each count.  An empty table gives an empty one.
+    ``vector_col`` holds arrays of whole numbers (long); scores are exact, and an error says
+    if one might be beyond the range of long.  Queries are the rows that the SQL condition
+    ``is_query`` selects; candidates are all rows but those with the query's own id.  The
+    score is the inner product; ties go to the smaller id.  Fewer than k candidates give
+    fewer rows.  Rows with a null id, a null or empty vector or a null component take no
+    part; vectors meet only those of their own length.  Several query rows of one id ask
+    each for itself, in order of their vectors if told apart by nothing else; candidates of
+    one id each count.  An empty table gives an empty one.
+    """
+    found = searched(df, is_query, k, id_col, vector_col)
+    best = Window.partitionBy("ask", "query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def searched(df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+    """(ask, query_id, id, score, scored): results of all units before they are ranked.
+
+    ``scored`` sums to the number of pairs that were scored in full.
     """
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"), F.expr(is_query).alias("asks")).where(good)
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    blocks, groups = max(1, -(-counts["q"] // QUERIES)), max(1, -(-counts["n"] // CANDIDATES))
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("side"), "id", "v")
-    offered = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("side"), "id", "v")
-    units = asked.union(offered).withColumn("unit", F.struct("block", "group", F.size("v"))).withColumn("unit", F.xxhash64("unit"))
-    found = _search_units(units.repartition(max(1, blocks * groups), "unit").sortWithinPartitions("unit", "side"), k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    blocks, groups = grid(counts["n"], counts["q"])
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # rows of one id and vector ask for one result each, told apart by their number
+    asked = rows.where("asks").groupBy("id", "v").agg(F.count("*").alias("times"))
+    asked = asked.withColumn("ask", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("times")), lambda t: F.xxhash64("v", t))))
+    asked = asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), to(groups).alias("group"), F.lit(0).alias("side"), "ask", "id", "v")
+    offered = rows.select(to(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("ask"), "id", "v")
+    units = asked.union(offered).withColumn("unit", F.xxhash64("block", "group", F.size("v")))
+    return _search_units(units.repartition(max(1, blocks * groups), "unit").sortWithinPartitions("unit", "side"), k)

@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 
 from folioscope.llm import embeddedup
 from folioscope.llm.queries import op5_embedding_dedup, op9_exact_topk
-from folioscope.llm.topk import TopK, top_k
+from folioscope.llm.topk import CANDIDATES, QUERIES, UNITS, TopK, grid, searched, top_k
 
 
 def brute(rows, threshold):
@@ -94,14 +95,60 @@ def test_top_k_equals_brute_force_with_ties(spark):
 
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(3)
-    vectors = rng.integers(-2, 3, (4000, 8)).astype(float)
+    vectors = rng.integers(-2, 3, (4000, 8))
     vectors[:30] *= 60
-    search = TopK(np.array([-1]), np.array([[1.0, 1, 0, 0, 0, 0, 0, 0]]), 5)
-    scored = search.search(np.arange(4000), vectors)
+    search = TopK(np.array([-1]), np.array([[1, 1, 0, 0, 0, 0, 0, 0]]), 5)
+    search.search(np.arange(4000), vectors)
     best = np.lexsort((np.arange(4000), -(vectors[:, 0] + vectors[:, 1])))[:5]
-    assert search.found[0].tolist() == best.tolist() and scored < 2000
-
-
-def test_query_shape(spark, sf):
-    rows = op9_exact_topk(spark, sf)
-    assert rows.columns == ["query_id", "rank", "vec_id", "score"] and rows.count() == 500
+    assert search.found[0].tolist() == best.tolist() and search.scored < 100
+
+
+def test_few_pairs_are_scored_where_dimensions_are_few():
+    """Skewed values in few dimensions: the bound bites, and results stay exact."""
+    rng = np.random.default_rng(8)
+    vectors = (rng.standard_t(2, (20_000, 6)) * 50).astype(np.int64)
+    queries = (rng.normal(size=(50, 6)) * 20).astype(np.int64)
+    search = TopK(-1 - np.arange(50), queries, 20)
+    for part in np.array_split(np.arange(20_000), 3):
+        search.search(part, vectors[part])
+    scores = queries @ vectors.T
+    for q in range(50):
+        assert search.found[q].tolist() == np.lexsort((np.arange(20_000), -scores[q]))[:20].tolist()
+    assert search.scored < 0.2 * 50 * 20_000
+
+
+def test_all_pairs_are_scored_where_no_direction_stands_out(spark):
+    """Of 64 alike dimensions, lists must be read so deep that they hold every vector: the share that is scored is reported."""
+    embeddings = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "transform(embedding, x -> floor(64 * double(x))) as vector")
+    n, q = embeddings.count(), embeddings.where("vec_id % 20 = 0").count()
+    scored = searched(embeddings, "vec_id % 20 = 0", 20).agg({"scored": "sum"}).first()[0]
+    assert n * q <= round(scored) <= 2 * n * q
+
+
+def test_large_scores_are_exact_or_an_error():
+    search = TopK(np.array([-1]), np.array([[2**40, 2**20]]), 2)
+    search.search(np.array([5, 6]), np.array([[2**20, 0], [2**20, 1]]))
+    assert search.found[0].tolist() == [6, 5] and search.scores[0].tolist() == [2**60 + 2**20, 2**60]
+    with pytest.raises(ValueError, match="range of long"):
+        TopK(np.array([-1]), np.array([[2**40, 0]]), 2).search(np.array([5]), np.array([[2**40, 0]]))
+
+
+def test_query_rows_of_one_id_ask_each_for_itself(spark):
+    df = spark.createDataFrame([(20, [1, 0]), (20, [0, 1]), (20, [0, 1]), (21, [5, 1]), (22, [1, 9])], "vec_id long, vector array<long>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in top_k(df, "vec_id % 20 = 0", k=1).collect())
+    assert got == [(1, 21, 5), (1, 22, 9), (1, 22, 9)]
+    many = spark.createDataFrame([(20, [9, 9])] * 30 + [(i, [i, 0]) for i in range(30, 50)], "vec_id long, vector array<long>")
+    assert {(r["rank"], r["vec_id"]) for r in top_k(many, "vec_id = 20", k=3).collect()} == {(1, 49), (2, 48), (3, 47)}
+
+
+def test_units_are_bounded():
+    for n, q in ((0, 0), (1, 1), (51_300, 2_565), (10**6, 50_000), (10**9, 5 * 10**7)):
+        blocks, groups = grid(n, q)
+        assert q <= blocks * QUERIES and n <= groups * CANDIDATES and blocks * groups <= max(2 * UNITS, 3 * n * q / (QUERIES * CANDIDATES))
+
+
+def test_top_query_equals_brute_force(spark, sf):
+    rows = [(r["vec_id"], np.floor(64 * np.array(r["embedding"], float)).astype(int).tolist()) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = op9_exact_topk(spark, sf)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert {tuple(r) for r in got.collect()} == expected_top(rows, 20, lambda i: i % 20 == 0)
