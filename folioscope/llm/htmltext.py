@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,6 +27,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split()
 )
+LISTS = frozenset({"ul", "ol", "menu", "dir"})
 #: Blocks with a blank line around them.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 #: What an opening tag closes first, and the elements beyond which nothing is closed.
@@ -57,15 +58,18 @@ IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script sty
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of drawings and formulas that aren't drawn.
 NOT_DRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
+#: Elements in which a closing slash counts.
+FOREIGN = frozenset({"svg", "math"})
 #: An opening block closes a paragraph that is open in the same container.
 ENDS_PARAGRAPH = (frozenset({"p"}), frozenset("table td th li dd div section article blockquote button object caption".split()))
 
-#: Elements that are open at once at most; content further down belongs to the last of them.
-DEPTH = 150
-
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"'][^\s>]*|[^>])*+)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+INVISIBLE = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Rules of style sheets whose selector is one name, class or id, or a name with one of those.
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9]*|\*)?([.#][A-Za-z_-][A-Za-z0-9_-]*)?\Z")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -75,9 +79,29 @@ class Element:
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
 
-    def shown(self) -> bool:
+    def shown(self, hiding: frozenset[str] = frozenset()) -> bool:
+        """Whether the page shows it; ``hiding`` has selectors of its style sheets that hide."""
         a = self.attributes
-        return not (self.name in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or INVISIBLE.search(a.get("style", "")) or (self.name == "input"))
+        if self.name in HIDDEN or self.name == "input" or "hidden" in a or (self.name == "dialog" and "open" not in a):
+            return False
+        style = a.get("style", "")
+        if style and INVISIBLE.search(style):
+            return False
+        if hiding:
+            names = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
+            return not any(f"{e}{n}" in hiding for e in ("", self.name) for n in names if e or n)
+        return True
+
+
+def hiding_selectors(sheets: list[str]) -> frozenset[str]:
+    """Simple selectors of style rules that hide what they match; other rules are passed over."""
+    out = set()
+    for sheet in sheets:
+        for selectors, rule in RULE.findall(COMMENT.sub(" ", sheet)):
+            if INVISIBLE.search(rule):
+                found = (SELECTOR.match(x.strip()) for x in selectors.split(","))
+                out |= {f"{'' if m[1] in (None, '*') else m[1].lower()}{m[2] or ''}" for m in found if m and m[0]}
+    return frozenset(out - {""})
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -161,7 +185,7 @@ def parse(page: str) -> Element:
             if name in parts and any(e.name == drawing for e in stack):
                 element.attributes["hidden"] = ""
         add(element)
-        if name in VOID or m[3].endswith("/") or (len(stack) >= DEPTH and name not in RAW):
+        if name in VOID or (m[3].endswith("/") and (name in FOREIGN or any(e.name in FOREIGN for e in stack))):
             continue
         if name in RAW:
             closing = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -206,72 +230,122 @@ class Layout:
         self.gap = max(self.gap, 1 if blank else 0)
 
 
-def _table(table: Element) -> list[str]:
-    """Rows of a table with their cells in aligned columns."""
-    rows: list[list[list[str]]] = []
-    captions: list[str] = []
-    below: dict[int, int] = {}
-
-    def skip(cells: list[list[str]]) -> None:
-        """Leaves room for cells that reach down from rows above."""
-        while below.get(len(cells), 0) > 0:
-            below[len(cells)] -= 1
-            cells.append([])
-
-    def walk(e: Element) -> None:
-        for child in e.children:
-            if not isinstance(child, Element) or not child.shown():
-                continue
-            if child.name == "tr":
-                cells: list[list[str]] = []
-                for c in child.children:
-                    if isinstance(c, Element) and c.name in ("td", "th") and c.shown():
-                        skip(cells)
-                        at = len(cells)
-                        cells.append(lines_of(c))
-                        span, down = (c.attributes.get(a, "1") for a in ("colspan", "rowspan"))
-                        cells += [[]] * (min(int(span), 1000) - 1 if span.isdecimal() else 0)
-                        if down.isdecimal() and int(down) != 1:
-                            below.update(dict.fromkeys(range(at, len(cells)), min(int(down) or 65534, 65534) - 1))
-                skip(cells)
-                rows.append(cells)
-            elif child.name == "caption":
-                captions.extend(lines_of(child))
-            else:
-                walk(child)
-                if child.name in ("thead", "tbody", "tfoot"):
-                    below.clear()
-
-    walk(table)
-    widths: dict[int, int] = {}
-    for row in rows:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths.get(i, 0), max(map(len, cell), default=0))
-    out = captions
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            parts = [(cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)]
-            out.append("  ".join(parts).rstrip(" "))
-    return out
+class Cells:
+    """Rows of a table that is being walked; ``below`` has columns taken by cells from rows above."""
 
+    def __init__(self) -> None:
+        self.rows: list[list[list[str]]] = []
+        self.captions: list[str] = []
+        self.below: dict[int, int] = {}
 
-def lines_of(e: Element) -> list[str]:
-    """The rendered lines of an element's content."""
-    layout = Layout()
-    _render(e, layout)
-    layout.end_line()
-    return layout.lines
-
+    def skip(self, cells: list[list[str]]) -> None:
+        while self.below.get(len(cells), 0) > 0:
+            self.below[len(cells)] -= 1
+            cells.append([])
 
-def _render(e: Element, layout: Layout) -> None:
-    number = int(e.attributes["start"]) if e.name == "ol" and e.attributes.get("start", "").lstrip("-").isdigit() else 1
-    for child in e.children:
+    def put(self, element: Element, lines: list[str]) -> None:
+        cells = self.rows[-1]
+        self.skip(cells)
+        at = len(cells)
+        cells.append(lines)
+        span, down = (element.attributes.get(a, "1") for a in ("colspan", "rowspan"))
+        # limits of the HTML standard
+        cells += [[]] * (min(int(span), 1000) - 1 if span.isdecimal() else 0)
+        if down.isdecimal() and int(down) != 1:
+            self.below.update(dict.fromkeys(range(at, len(cells)), min(int(down) or 65534, 65534) - 1))
+
+    def lines(self) -> list[str]:
+        """The rows with their cells in aligned columns, after the caption."""
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            for i, cell in enumerate(row):
+                widths[i] = max(widths.get(i, 0), max(map(len, cell), default=0))
+        out = list(self.captions)
+        for row in self.rows:
+            for k in range(max((len(c) for c in row), default=0)):
+                parts = [(cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)]
+                out.append("  ".join(parts).rstrip(" "))
+        return out
+
+
+def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
+    """The rendered lines of an element's content.
+
+    Content is walked with a stack of its own, so that elements may nest to any depth.  The
+    stack holds elements still to come and what is to be done after an element's content:
+    (layout, element, parent) or (None, action, None).
+    """
+    top = Layout()
+    todo: list[tuple] = []
+    numbers: dict[int, int] = {}
+
+    def later(action: Callable[[], None]) -> None:
+        todo.append((None, action, None))
+
+    def inside(e: Element, layout: Layout) -> None:
+        todo.extend((layout, child, e) for child in reversed(e.children))
+
+    def block(e: Element, layout: Layout, blank: bool, shape: Callable[[list[str]], list[str]]) -> None:
+        """The content of ``e`` as lines of its own, put into ``layout`` once they are known."""
+        layout.space(blank)
+        inner = Layout()
+
+        def done() -> None:
+            inner.end_line()
+            layout.put(shape(inner.lines))
+            layout.space(blank)
+
+        later(done)
+        inside(e, inner)
+
+    def rows_of(e: Element, cells: Cells) -> None:
+        for child in reversed(e.children):
+            if isinstance(child, Element) and child.shown(hiding):
+                todo.append((cells, child, e))
+
+    def table_part(cells: Cells, e: Element, parent: Element) -> None:
+        if e.name in ("td", "th") and parent.name == "tr":
+            inner = Layout()
+
+            def done() -> None:
+                inner.end_line()
+                cells.put(e, inner.lines)
+
+            later(done)
+            inside(e, inner)
+        elif e.name == "tr":
+            cells.rows.append([])
+            later(lambda: cells.skip(cells.rows[-1]))
+            rows_of(e, cells)
+        elif e.name == "caption":
+            inner = Layout()
+
+            def captioned() -> None:
+                inner.end_line()
+                cells.captions.extend(inner.lines)
+
+            later(captioned)
+            inside(e, inner)
+        else:
+            if e.name in ("thead", "tbody", "tfoot"):
+                later(cells.below.clear)
+            rows_of(e, cells)
+
+    inside(root, top)
+    while todo:
+        layout, child, parent = todo.pop()
+        if layout is None:
+            child()
+            continue
+        if isinstance(layout, Cells):
+            table_part(layout, child, parent)
+            continue
         if isinstance(child, str):
             layout.inline(child)
             continue
-        name = child.name
-        if not child.shown():
+        if not child.shown(hiding):
             continue
+        name = child.name
         if name == "br":
             layout.end_line(force=True)
         elif name == "hr":
@@ -282,40 +356,68 @@ def _render(e: Element, layout: Layout) -> None:
             layout.inline(child.attributes.get("alt", ""))
         elif name == "pre":
             layout.space(True)
-            layout.put(_plain(child).strip("\n").split("\n"))
+            layout.put(_plain(child, hiding).strip("\n").split("\n"))
             layout.space(True)
         elif name == "table":
             layout.space(True)
-            layout.put(_table(child))
-            layout.space(True)
+            cells = Cells()
+
+            def tabled(cells: Cells = cells, layout: Layout = layout) -> None:
+                layout.put(cells.lines())
+                layout.space(True)
+
+            later(tabled)
+            rows_of(child, cells)
         elif name == "li":
-            layout.space(False)
-            mark = f"{number}. " if e.name == "ol" else "- "
-            number += 1
-            inner = lines_of(child)
-            layout.put([(mark if k == 0 else " " * len(mark)) + line if line or k == 0 else "" for k, line in enumerate(inner or [""])])
-            layout.space(False)
+            number = numbers.get(id(parent))
+            if number is None:
+                number = int(parent.attributes["start"]) if parent.name == "ol" and re.fullmatch("-?[0-9]+", parent.attributes.get("start", "")) else 1
+            numbers[id(parent)] = number + 1
+            mark = f"{number}. " if parent.name == "ol" else "- "
+            block(child, layout, False, lambda lines, mark=mark: [(mark if k == 0 else " " * len(mark)) + line if line or k == 0 else "" for k, line in enumerate(lines or [""])])
         elif name in ("blockquote", "dd"):
-            layout.space(name in SPACED)
-            layout.put(["    " + line if line else "" for line in lines_of(child)])
-            layout.space(name in SPACED)
+            block(child, layout, name in SPACED, lambda lines: ["    " + line if line else "" for line in lines])
         elif name in BLOCK:
-            inside_list = name in ("ul", "ol", "menu", "dir") and e.name == "li"
-            layout.space(name in SPACED and not inside_list)
-            inner = lines_of(child)
-            layout.put(inner)
-            layout.space(name in SPACED and not inside_list)
+            blank = name in SPACED and not (name in LISTS and parent.name == "li")
+            layout.space(blank)
+            later(lambda layout=layout, blank=blank: layout.space(blank))
+            inside(child, layout)
         else:
-            _render(child, layout)
-
-
-def _plain(e: Element) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else _plain(c) if c.shown() else "" for c in e.children)
+            inside(child, layout)
+    top.end_line()
+    return top.lines
+
+
+def _plain(root: Element, hiding: frozenset[str]) -> str:
+    out: list[str] = []
+    todo: list[Element | str] = root.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.name == "br":
+            out.append("\n")
+        elif c.shown(hiding):
+            todo.extend(reversed(c.children))
+    return "".join(out)
+
+
+def style_sheets(root: Element) -> list[str]:
+    """The text of all style elements."""
+    out: list[str] = []
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if e.name == "style":
+            out += [c for c in e.children if isinstance(c, str)]
+        todo.extend(c for c in e.children if isinstance(c, Element))
+    return out
 
 
 def render(page: str) -> str:
     """The visible text of a page."""
-    lines = [line.rstrip(" ") for line in lines_of(parse(page))]
+    tree = parse(page)
+    lines = [line.rstrip(" ") for line in lines_of(tree, hiding_selectors(style_sheets(tree)))]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
@@ -328,8 +430,8 @@ def extract(df: DataFrame, html_col: str = "html", into: tuple[str, str] = ("tit
     """``df`` without its HTML, with each page's title and visible text.
 
     A null page gives null title and text; an empty one, or one that shows nothing, an empty
-    text.  Markup that ends early or nests wrongly is mended as far as the tree goes; depth
-    beyond ``DEPTH`` elements is flattened.  Rows, repeated or not, keep their other columns;
+    text.  Markup that ends early or nests wrongly is mended as far as the tree goes; elements
+    may nest to any depth.  Rows, repeated or not, keep their other columns;
     a column with the name of a new one is replaced.  An empty table gives an empty one.
     """
     kept = df.drop(*(c for c in into if c != html_col))

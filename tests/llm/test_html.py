@@ -1,3 +1,6 @@
+import random
+import re
+
 from folioscope.llm.htmltext import extract, render
 from folioscope.llm.queries import op7_html_text
 
@@ -8,7 +11,7 @@ def test_blocks_lists_and_tables():
 
 
 def test_what_is_not_shown():
-    assert render("a<script>b</p></script><p hidden>c</p><p style='color:red; display: none'>d</p><span aria-hidden=true>e</span><!-- f --><template>g</template>h") == "ah"
+    assert render("a<script>b</p></script><p hidden>c</p><p style='color:red; display: none'>d</p><span aria-hidden=true>e</span><!-- f --><template>g</template>h") == "aeh"
 
 
 def test_implied_and_broken_markup():
@@ -44,6 +47,95 @@ def test_drawings_formulas_and_rowspan():
     assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
 
 
+def test_hidden_at_any_depth_and_by_style_rules():
+    assert render("<div>" * 160 + "<div hidden>secret</div>x") == "x"
+    assert render("<ul><li>" * 300 + "a").endswith("- a")
+    assert render("<table><tr><td>" * 300 + "deep") == "deep"
+    page = "<style>/* .k{} */ .h, p.x {color:red; display:none} #i{visibility:hidden} div > .k{display:none} @media print{.m{color:red}}</style>"
+    assert render(page + "<b class='a h'>1</b><p class=x>2<div class=x>3</div><div id=i>4</div><div class=k>5</div><div class=m>6</div>") == "3\n5\n6"
+    assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert render("<div/>a<b/>b") == "ab"
+
+
+def tree(r, depth=0):
+    """A random well-formed piece of a page: nested (name, children), or text."""
+    if depth > 4 or r.random() < 0.35:
+        return r.choice(["one two", "x", "long words here", " y "])
+    name = r.choice(["p", "div", "b", "span", "ul", "section", "hidden", "table", "blockquote"])
+    if name == "ul":
+        return name, [("li", [tree(r, depth + 1) for _ in range(r.randint(1, 2))]) for _ in range(r.randint(1, 3))]
+    if name == "table":
+        return name, [("tr", [("td", [tree(r, 9)]) for _ in range(r.randint(1, 3))]) for _ in range(r.randint(1, 3))]
+    inline = name in ("b", "span", "p")
+    return name, [tree(r, 9 if inline else depth + 1) for _ in range(r.randint(1, 3))]
+
+
+def written(node):
+    if isinstance(node, str):
+        return node
+    name = node[0].replace("hidden", "div hidden")
+    return f"<{name}>{''.join(map(written, node[1]))}</{name.split()[0]}>"
+
+
+def flowed(nodes, inside=""):
+    """Text and breaks (0: new line, 1: blank line) in order; lists, tables and quotes as lines."""
+    for node in nodes:
+        if isinstance(node, str):
+            yield node
+            continue
+        name, children = node
+        if name == "hidden":
+            continue
+        if name in ("b", "span"):
+            yield from flowed(children)
+            continue
+        blank = int(name in ("p", "ul", "table", "blockquote") and not (name == "ul" and inside == "li"))
+        yield blank
+        if name == "ul":
+            for _, own in children:
+                yield 0
+                for k, line in enumerate(expected_lines(own, "li") or [""]):
+                    yield [("- " if k == 0 else "  ") + line if line or k == 0 else ""]
+                yield 0
+        elif name == "table":
+            rows = [[" ".join(expected_lines(c[1])) for c in row[1]] for row in children]
+            widths = [max((len(row[k]) for row in rows if len(row) > k), default=0) for k in range(3)]
+            for row in rows:
+                yield ["  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip()]
+        elif name == "blockquote":
+            for line in expected_lines(children):
+                yield ["    " + line if line else ""]
+        else:
+            yield from flowed(children)
+        yield blank
+
+
+def expected_lines(nodes, inside=""):
+    lines, text, gap = [], "", 0
+    for x in [*flowed(nodes, inside), 0]:
+        if isinstance(x, str):
+            text += x
+            continue
+        line = " ".join(text.split())
+        text = ""
+        for own in ([line] if line else []), (x if isinstance(x, list) else []):
+            if own:
+                lines += [""] * (gap if lines else 0) + own
+                gap = 0
+        if not isinstance(x, list):
+            gap = max(gap, x)
+    return lines
+
+
+def test_random_pages_equal_an_independent_layout():
+    r = random.Random(11)
+    for _ in range(3000):
+        nodes = [tree(r) for _ in range(r.randint(1, 4))]
+        page = "".join(map(written, nodes))
+        expected = re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in expected_lines(nodes))).strip("\n")
+        assert render(page) == expected, page
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "", None, None), (None, "<p>x" * 30000, "u", "t"), (2, "", None, None)], "page_id long, html string, url string, text string")
     rows = extract(df).collect()
