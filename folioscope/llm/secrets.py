@@ -43,13 +43,15 @@ TEXTS, EACH = 2000, 16
 def ordinary_identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = TEXTS, each: int = EACH) -> DataFrame:
     """Rows (text, random = false): words of ``df``'s own texts, joined as identifiers are.
 
-    A bounded sample: about ``texts`` rows, chosen by a hash of their id and text, and
-    ``each`` identifiers of three words from each, spread over the whole text; words have 3 to
-    12 ASCII letters.
+    A bounded sample: the ``texts`` rows with the smallest hashes of id and text (repeats of
+    the last one included), and ``each`` identifiers of three words from each, spread over
+    the whole text; words have 3 to 12 ASCII letters.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     order = F.xxhash64(F.lit("identifiers"), "id", F.substring("t", 1, 200))
-    drawn = rows.select("t", order.alias("o")).orderBy("o", "t").limit(texts)
+    # the hashes are ranked without the texts
+    last = rows.select(order.alias("o")).orderBy("o").limit(texts).agg(F.max("o")).first()[0]
+    drawn = rows.select("t", order.alias("o")).where(F.col("o") <= F.lit(last))
     words = drawn.select("o", F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.char_length(w).between(3, 12)).alias("w")).where("size(w) >= 3")
     step = F.greatest(F.lit(1), F.floor((F.size("w") - 2) / each)).cast("int")
     places = words.select("o", "w", F.explode(F.slice(F.sequence(F.lit(1), F.size("w") - 2, step), F.lit(1), F.lit(each))).alias("i"))
