@@ -86,11 +86,16 @@ def _digits(v: Column, count: int) -> list[Column]:
 
 
 def issn(raw: Column) -> Column:
-    """``NNNN-NNNC`` with a valid check digit (weights 8 to 2, modulo 11)."""
-    v = F.upper(F.regexp_replace(trim_space(raw), "-", ""))
-    total = sum((d * (8 - i) for i, d in enumerate(_digits(v, 8))), F.lit(0))
-    valid = F.when(v.rlike(r"^[0-9]{7}[0-9X]$"), total % 11 == 0).otherwise(False)
-    return _if(valid, F.concat(F.substring(v, 1, 4), F.lit("-"), F.substring(v, 5, 4)))
+    """``NNNN-NNNC``, hyphen included, with a valid check digit (weights 8 to 2, modulo 11)."""
+    v = F.upper(trim_space(raw))
+    total = sum((d * (8 - i) for i, d in enumerate(_digits(F.replace(v, F.lit("-"), F.lit("")), 8))), F.lit(0))
+    return _if(F.when(v.rlike(r"^[0-9]{4}-[0-9]{3}[0-9X]$"), total % 11 == 0).otherwise(False), v)
+
+
+def openalex_entity(raw: Column, prefix: str) -> Column:
+    """An entity's id of one kind: ``A`` authors, ``I`` institutions, ``S`` sources, ``T`` topics, ``W`` works."""
+    v = F.upper(trim_space(F.regexp_replace(trim_space(raw), r"^(?i)https?://openalex\.org/", "")))
+    return _if(v.rlike(rf"^{prefix}[1-9][0-9]*$"), v)
 
 
 def orcid(raw: Column) -> Column:

@@ -43,10 +43,11 @@ def consistent(name: str) -> Column:
 def ratio(name: str) -> list[Column]:
     """Aggregates: state, count of true, count of all, share of true where all are known.
 
-    The state is known only if every row's is, missing only if every row's is, else unknown.
+    The state is known only if every row's is and has a value, missing only if every row's
+    is, else unknown.
     """
     n = F.count(F.lit(1))
-    all_known = F.coalesce(F.bool_and(is_known(name)), F.lit(False))
+    all_known = F.coalesce(F.bool_and(is_known(name) & value(name).isNotNull()), F.lit(False))
     all_missing = F.coalesce(F.bool_and(state(name) == MISSING), F.lit(False))
     hits = F.count_if(equals(name, True))
     return [
@@ -55,3 +56,9 @@ def ratio(name: str) -> list[Column]:
         n.alias(f"{name}_total"),
         F.when(all_known & (n > 0), hits / n).alias(f"{name}_ratio"),
     ]
+
+
+def presented(s: Column, v: Column, unknown: str = "not covered", absent: str = "missing", suffix: str = "") -> Column:
+    """A value as text: a label of its state, yes or no, or the value with a suffix."""
+    shown = F.when(v.cast("string") == "true", "yes").when(v.cast("string") == "false", "no").otherwise(F.concat(v.cast("string"), F.lit(suffix)))
+    return F.when(s == KNOWN, shown).when(s == UNKNOWN, unknown).otherwise(absent)

@@ -33,7 +33,7 @@ def _outcome(checks: list[tuple[Column, str]]) -> Column:
 
 
 def missing(fields: dict[str, Column]) -> Column:
-    """Names of the fields that are null, in order, joined by commas."""
+    """Names of the fields that are null, in order, joined by commas: what ``missing_signal`` is about."""
     return F.array_join(F.array_compact(F.array(*(F.when(c.isNull(), F.lit(n)) for n, c in fields.items()))), ",")
 
 
@@ -51,22 +51,36 @@ def code_growth(start: Column, end: Column, start_at: Column, end_at: Column) ->
     return status, F.when(status == "ok", quotient(end - start, start))
 
 
-def topic_growth(baseline: Column, current: Column) -> tuple[Column, Column]:
-    """Growth from a baseline window to an equally long later one."""
-    status = _outcome([(baseline.isNull() | current.isNull(), "missing_signal"), ((baseline < 0) | (current < 0), "invalid_metric"), (baseline == 0, "zero_denominator")])
-    return status, F.when(status == "ok", quotient(current - baseline, baseline))
+#: Start and end of a baseline window and of a current one.
+Windows = tuple[Column, Column, Column, Column]
+
 
+def window_checks(windows: Windows | None) -> list[tuple[Column, str]]:
+    """What is wrong with two windows that are to be compared: both must be as long, one after the other."""
+    if windows is None:
+        return []
+    b0, b1, c0, c1 = windows
+    return [
+        (b0.isNull() | b1.isNull() | c0.isNull() | c1.isNull(), "missing_signal"),
+        ((b1 < b0) | (c1 < c0), "reversed_time"),
+        ((b1 == b0) | (c1 == c0), "zero_denominator"),
+        (c0 < b0, "reversed_time"),
+        ((c0 < b1) | ((_micros(b1) - _micros(b0)) != (_micros(c1) - _micros(c0))), "window_mismatch"),
+    ]
 
-def comparable_windows(b0: Column, b1: Column, c0: Column, c1: Column) -> Column:
-    """Two windows of equal, positive length, the baseline ending before the other begins."""
-    return (b1 > b0) & (c1 > c0) & (b1 <= c0) & ((_micros(b1) - _micros(b0)) == (_micros(c1) - _micros(c0)))
+
+def topic_growth(baseline: Column, current: Column, windows: Windows | None = None) -> tuple[Column, Column]:
+    """Growth from a baseline window to an equally long later one."""
+    checks = [(baseline.isNull() | current.isNull(), "missing_signal"), *window_checks(windows)]
+    status = _outcome([*checks, ((baseline < 0) | (current < 0), "invalid_metric"), (baseline == 0, "zero_denominator")])
+    return status, F.when(status == "ok", quotient(current - baseline, baseline))
 
 
-def method_adoption(b_adopted: Column, b_total: Column, c_adopted: Column, c_total: Column) -> tuple[Column, Column]:
+def method_adoption(b_adopted: Column, b_total: Column, c_adopted: Column, c_total: Column, windows: Windows | None = None) -> tuple[Column, Column]:
     """Difference of two shares, over a common denominator, rounded once."""
     absent = b_adopted.isNull() | b_total.isNull() | c_adopted.isNull() | c_total.isNull()
     wrong = (b_adopted < 0) | (b_total < 0) | (c_adopted < 0) | (c_total < 0) | (b_adopted > b_total) | (c_adopted > c_total)
-    status = _outcome([(absent, "missing_signal"), ((b_total == 0) | (c_total == 0), "zero_denominator"), (wrong, "invalid_metric")])
+    status = _outcome([(absent, "missing_signal"), *window_checks(windows), ((b_total == 0) | (c_total == 0), "zero_denominator"), (wrong, "invalid_metric")])
     return status, F.when(status == "ok", quotient(c_adopted * b_total - b_adopted * c_total, c_total * b_total))
 
 
@@ -84,21 +98,52 @@ def citation_percentile(works: DataFrame, cohort: list[str], value: str) -> Data
     return joined.withColumn("cohort_size", F.col("_all") - 1).withColumn("percentile", F.when(F.col("_all") > 1, quotient((F.col("_upto") - 1) * 100, F.col("_all") - 1))).drop("_upto", "_all")
 
 
+#: The inputs of an assessment.
+SIGNALS = ("evidence_paper_ids", "growth_window", "growth_score", "competition_density", "data_availability", "reproducibility", "confidence")
+
+
+def assessment_problem(topic_id: Column, name: Column, generated_at: Column, shares: list[Column], papers: Column, missing_signals: Column, start: Column, end: Column) -> Column:
+    """What is wrong with an assessment, the first of all checks; null if nothing is.
+
+    Id and name must be there and trimmed, shares lie from 0 to 1, papers not be null, missing
+    signals be known ones, and the growth window be ordered unless it is what is missing.
+    """
+    trimmed = lambda c: F.coalesce((F.trim(c) != "") & (F.trim(c) == c), F.lit(False))
+    window = F.array_contains(missing_signals, "growth_window") | F.coalesce(start < end, F.lit(False))
+    outside = F.lit(False)
+    for share in shares:
+        outside = outside | ~F.coalesce(share.between(0, 1), F.lit(False))
+    return (
+        F.when(~trimmed(topic_id), "topic_id")
+        .when(~trimmed(name), "topic_name")
+        .when(generated_at.isNull(), "generated_at")
+        .when(outside, "share")
+        .when(F.exists(papers, lambda p: p.isNull()), "paper_id")
+        .when(F.size(F.array_except(missing_signals, F.array(*(F.lit(s) for s in SIGNALS)))) > 0, "signal")
+        .when(~window, "growth_window")
+    )
+
+
 @dataclass(frozen=True)
 class OpportunityPolicy:
-    """Thresholds; the two regions mustn't touch."""
+    """Versioned thresholds; the two regions must be apart in one dimension at least."""
 
+    version: str = "v1"
     coverage: float = 0.8
     worth: tuple[float, float, float, float, float] = (0.25, 0.4, 0.7, 0.6, 0.75)
     avoid: tuple[float, float, float, float, float] = (-0.1, 0.8, 0.3, 0.2, 0.7)
-    required: tuple[str, ...] = ("growth", "density", "data", "reproducibility")
+    required: tuple[str, ...] = SIGNALS
 
     def validate(self) -> None:
+        if not self.version.strip():
+            raise ValueError("a policy needs a version")
+        if sorted(self.required) != sorted(SIGNALS):
+            raise ValueError("a policy requires each signal once")
         units = (self.coverage, *self.worth[1:], *self.avoid[1:])
         if not all(0 <= x <= 1 for x in units):
             raise ValueError("a threshold isn't from 0 to 1")
         w, a = self.worth, self.avoid
-        if not (a[0] < w[0] and w[1] < a[1] and a[2] < w[2] and a[3] < w[3]):
+        if not (w[0] > a[0] or w[1] < a[1] or w[2] > a[2] or w[3] > a[3]):
             raise ValueError("the regions aren't separate")
 
 

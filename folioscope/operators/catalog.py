@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from folioscope.functions import tristate as ts
 from folioscope.operators import search
 
-PAPER_TYPES = ("research_article", "preprint", "review", "survey", "dataset", "benchmark", "other")
-LIFECYCLES = ("active", "retracted", "withdrawn", "superseded")
+#: Fixed values.
+PAPER_TYPES = ("research_article", "review", "preprint", "dataset", "benchmark")
+LIFECYCLES = ("active", "withdrawn", "retracted", "rejected", "superseded")
+SOURCES = ("crossref", "arxiv", "openreview", "s2", "pubmed", "pmc", "openalex", "springer_nature", "elsevier", "manual")
 SORTS = ("published_at_desc", "citations_desc", "trend_desc", "relevance")
 DEFAULT_LIMIT, MAX_LIMIT, MAX_TEXT, MAX_CURSOR = 20, 100, 300, 2048
 SLUG = re.compile(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
@@ -52,7 +54,7 @@ class PaperQuery:
             raise InvalidQuery("q is too long")
         if self.published_from and self.published_to and self.published_from > self.published_to:
             raise InvalidQuery("published_from is after published_to")
-        for name, allowed in (("paper_type", PAPER_TYPES), ("lifecycle", LIFECYCLES), ("sort", SORTS)):
+        for name, allowed in (("paper_type", PAPER_TYPES), ("source", SOURCES), ("lifecycle", LIFECYCLES), ("sort", SORTS)):
             if getattr(self, name) is not None and getattr(self, name) not in allowed:
                 raise InvalidQuery(f"{name} isn't one of {', '.join(allowed)}")
         for name in ("topic", "method"):
@@ -175,22 +177,49 @@ def facets(papers: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def pair_facet(pairs: DataFrame, papers: DataFrame, paper: str, key: str) -> DataFrame:
+    """Papers of each key, from (paper, key) rows of the papers that a filter leaves."""
+    kept = pairs.select(paper, key).join(papers.select(paper), paper, "left_semi").distinct()
+    return kept.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("papers")).orderBy(F.desc("papers"), "key")
+
+
 def taxonomy(pairs: DataFrame, paper: str, slug: str, name: str) -> DataFrame:
-    """Papers of each taxon, and whether its rows disagree about its name."""
-    return pairs.groupBy(slug).agg(F.count_distinct(paper).alias("paper_count"), F.min(name).alias("name"), (F.count_distinct(name) > 1).alias("conflict"))
+    """Papers of each taxon, and whether its rows disagree about its name.
+
+    Rows of a paper and taxon are merged first, so that no row is counted twice or expanded.
+    """
+    each = pairs.groupBy(slug, paper).agg(F.min(name).alias("least"), F.max(name).alias("most"))
+    return each.groupBy(slug).agg(F.count("*").alias("paper_count"), F.min("least").alias("name"), (F.min("least") != F.max("most")).alias("conflict"))
+
+
+def lookup(rows: DataFrame, key: str, wanted: object, pattern: re.Pattern[str] | None = None) -> DataFrame:
+    """The row of a key, or none: a malformed key, a null one and an absent one look alike."""
+    if wanted is None or (pattern and not pattern.match(str(wanted))):
+        return rows.limit(0)
+    return rows.where(F.col(key) == F.lit(wanted)).limit(1)
+
+
+def rankable(status: Column, excluded: Column) -> Column:
+    """Only active works that aren't excluded are ranked."""
+    return F.coalesce((status == "active") & ~excluded, F.lit(False))
+
 
+def statistics(papers: DataFrame, now: Column, topics: DataFrame | None = None, methods: DataFrame | None = None) -> DataFrame:
+    """One row: totals, tri-state ratios and papers of the last seven days.
 
-def statistics(papers: DataFrame, now: Column) -> DataFrame:
-    """One row: totals, tri-state ratios and papers of the last seven days."""
+    ``topics`` and ``methods`` are rows with a ``slug``, of which each counts once.
+    """
+    taxa = {f"{name}_total": rows.select(F.count_distinct("slug")).scalar() for name, rows in (("topics", topics), ("methods", methods)) if rows is not None}
     recent = F.count_if(ts.is_known("published_at") & ts.value("published_at").between(now - F.expr("interval 7 days"), now))
     all_dated = F.coalesce(F.bool_and(ts.is_known("published_at")), F.lit(False))
     return papers.agg(
         F.count("*").alias("papers"),
         *ts.ratio("has_code"),
         *ts.ratio("has_data"),
+        *(ts.ratio("has_benchmark") if "has_benchmark_state" in papers.columns else []),
         F.when(all_dated, ts.KNOWN).otherwise(ts.UNKNOWN).alias("recent_state"),
         F.when(all_dated, recent).alias("papers_last_7_days"),
-    )
+    ).select("*", *(n.alias(name) for name, n in taxa.items()))
 
 
 class CursorSigner:

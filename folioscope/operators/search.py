@@ -9,6 +9,7 @@ text's words that the query names, damped by length; it isn't comparable with ot
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,23 +48,43 @@ def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
 
 def _occurs(found: Column, words: list[str]) -> Column:
     """Stems hold no blank, so a phrase is a piece of the stems joined by blanks."""
+    if len(words) == 1:
+        return F.array_contains(found, words[0])
     return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def matches(text: Column, query: str) -> Column:
     """Whether a text meets a query; a query of stop words only is met by nothing."""
-    found, any_of = stems(text), F.lit(False)
+    return F.coalesce(_once(stems(text), lambda found: _meets(found, query)), F.lit(False))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _meets(found: Column, query: str) -> Column:
+    any_of = F.lit(False)
     for conjunction in parse(query):
         all_of = F.lit(True)
         for wanted, words in conjunction:
             hit = _occurs(found, words)
             all_of = all_of & (hit if wanted else ~hit)
         any_of = any_of | all_of
-    return F.coalesce(any_of, F.lit(False))
+    return any_of
 
 
 def relevance(text: Column, query: str) -> Column:
-    found = stems(text)
+    """Rank of a text for a query; of stems that are stored already, see ``stored_relevance``."""
+    return _once(stems(text), lambda found: stored_relevance(found, query))
+
+
+def stored_matches(found: Column, query: str) -> Column:
+    """``matches`` over a column of stems, written once at publication."""
+    return F.coalesce(_meets(found, query), F.lit(False))
+
+
+def stored_relevance(found: Column, query: str) -> Column:
     named = sorted({w for c in parse(query) for wanted, words in c if wanted for w in words})
     hits = F.size(F.filter(found, lambda w: w.isin(*named))) if named else F.lit(0)
     return F.round(hits / (F.lit(1.0) + F.log(F.lit(1.0) + F.size(found))), 6)

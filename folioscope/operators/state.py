@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ORDER = ("source_time", "tie_break_key", "position", "event_id")
-TERMINAL = ("retracted", "withdrawn", "deleted")
+#: Statuses of a work, the first of which may be left.
+STATUSES = ("active", "withdrawn", "retracted", "rejected", "superseded")
+TERMINAL = STATUSES[1:]
 
 
 class ConflictError(ValueError):
@@ -25,7 +26,7 @@ def latest_by(events: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER
 
 
 def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key (the first by ordering tuple), with how often it was seen."""
+    """One row of each key (the first by position and event), with how often it was seen."""
     rest = [c for c in events.columns if c not in keys]
     agg = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("position", "event_id")).alias("_r"), F.count("*").alias("times_seen"))
     return agg.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest), "times_seen")
@@ -48,15 +49,19 @@ def monotonic_status(events: DataFrame, work: str) -> DataFrame:
 
 
 def allowed_transition(before: Column, after: Column) -> Column:
-    """Active goes anywhere; a terminal status only to itself."""
-    return (before == "active") | (before == after)
+    """Active goes to any status; a terminal one only to itself; what is no status goes nowhere."""
+    return F.coalesce(before.isin(*STATUSES) & after.isin(*STATUSES) & ((before == "active") | (before == after)), F.lit(False))
 
 
 def latest_assertions(assertions: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """Latest value of each key, with ``conflict`` where the latest time has several."""
-    newest = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(at)))
-    last = assertions.withColumn("_k", newest).where("_k = 1")
-    return last.groupBy(*keys).agg(F.max(at).alias(at), F.min(value).alias(value), (F.count_distinct(value) > 1).alias("conflict"))
+    """Latest value of each key, with ``conflict`` where the latest time has several.
+
+    Times are merged first and the latest is an aggregation, so a hot key isn't sorted anywhere.
+    """
+    least, most = F.min(value), F.max(value)
+    each = assertions.groupBy(*keys, at).agg(least.alias("least"), F.coalesce(least != most, F.lit(False)).alias("differs"))
+    last = each.groupBy(*keys).agg(F.max_by(F.struct(F.col(at).alias("at"), "least", "differs"), F.col(at)).alias("last"))
+    return last.select(*keys, F.col("last.at").alias(at), F.col("last.least").alias(value), F.col("last.differs").alias("conflict"))
 
 
 def checked(df: DataFrame, violations: DataFrame, what: str) -> DataFrame:

@@ -92,21 +92,17 @@ def facet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.scalar_facet(roles.papers(spark, sf_dir), "lifecycle_status")
 
 
-def _with_list(papers: DataFrame, pairs: DataFrame, value: str, name: str) -> DataFrame:
-    return papers.join(pairs.groupBy("paper_id").agg(F.array_sort(F.collect_set(value)).alias(name)), "paper_id", "left")
-
-
 @query("select slug as key, count(distinct paper_id) as papers from topics where paper_id in (select paper_id from papers where has_code_state = 'known' and has_code_value) group by 1", PAPERS, TOPICS)
 def facet_array_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the papers that a filter leaves; the facet isn't self-excluding."""
     left = catalog.filtered(roles.papers(spark, sf_dir).select("paper_id", "has_code_state", "has_code_value"), catalog.PaperQuery(has_code=True))
-    return catalog.array_facet(_with_list(left, roles.topics(spark, sf_dir), "slug", "topic_slugs"), "topic_slugs")
+    return catalog.pair_facet(roles.topics(spark, sf_dir), left, "paper_id", "slug")
 
 
 @query("select source as key, count(distinct paper_id) as papers from sources where paper_id in (select paper_id from topics where slug = 'brand-11') group by 1", SOURCES, TOPICS)
 def facet_array_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    about = roles.topics(spark, sf_dir).where("slug = 'brand-11'").select("paper_id").distinct()
-    return catalog.array_facet(_with_list(about, roles.sources(spark, sf_dir), "source", "source_names"), "source_names")
+    about = roles.topics(spark, sf_dir).where("slug = 'brand-11'").select("paper_id")
+    return catalog.pair_facet(roles.sources(spark, sf_dir), about, "paper_id", "source")
 
 
 @query("select count(*) as total from papers where has_code_state = 'known' and has_code_value and lifecycle_status = 'active'", PAPERS)
@@ -122,13 +118,19 @@ select count(*) as papers,
     case when bool_and(has_code_state = 'known') then cast(count(*) filter (has_code_value) as double) / count(*) end as has_code_ratio,
     'known' as has_data_ratio_state, count(*) filter (has_data_value) as has_data_true, count(*) as has_data_total,
     cast(count(*) filter (has_data_value) as double) / count(*) as has_data_ratio,
+    case when bool_and(has_benchmark_state = 'known') then 'known' when bool_and(has_benchmark_state = 'missing') then 'missing' else 'unknown' end as has_benchmark_ratio_state,
+    count(*) filter (has_benchmark_state = 'known' and has_benchmark_value) as has_benchmark_true, count(*) as has_benchmark_total,
+    case when bool_and(has_benchmark_state = 'known') then cast(count(*) filter (has_benchmark_value) as double) / count(*) end as has_benchmark_ratio,
+    (select count(distinct slug) from topics) as topics_total, (select count(distinct p_type) from part) as methods_total,
     case when bool_and(published_at_state = 'known') then 'known' else 'unknown' end as recent_state,
     coalesce(case when bool_and(published_at_state = 'known') then count(*) filter (published_at_value between timestamp '1998-06-01' - interval 7 day and timestamp '1998-06-01') end, -1) as papers_last_7_days
 from papers""",
     PAPERS,
+    TOPICS,
 )
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.statistics(roles.papers(spark, sf_dir), F.lit(datetime(1998, 6, 1))).withColumn("papers_last_7_days", F.coalesce("papers_last_7_days", F.lit(-1)))
+    methods = table(spark, sf_dir, "part").select(F.col("p_type").alias("slug"))
+    return catalog.statistics(roles.papers(spark, sf_dir), F.lit(datetime(1998, 6, 1)), roles.topics(spark, sf_dir), methods).withColumn("papers_last_7_days", F.coalesce("papers_last_7_days", F.lit(-1)))
 
 
 @query(
@@ -174,8 +176,7 @@ select place, slug, paper_count from r where place <= 10""",
 def taxonomy_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of topics after the largest ones."""
     counted = catalog.taxonomy(roles.topics(spark, sf_dir), "paper_id", "slug", "name").select("slug", "paper_count")
-    largest = counted.agg(F.max("paper_count").alias("most"))
-    rest = counted.join(largest, F.col("paper_count") < F.col("most")).orderBy(F.desc("paper_count"), "slug").limit(10)
+    rest = counted.where(F.col("paper_count") < counted.select(F.max("paper_count")).scalar()).orderBy(F.desc("paper_count"), "slug").limit(10)
     return rest.select(F.row_number().over(Window.orderBy(F.desc("paper_count"), "slug")).alias("place"), "slug", "paper_count")
 
 
@@ -300,11 +301,23 @@ def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.explode(checks).alias("violation")).groupBy("violation").agg(F.count("*").alias("rows"))
 
 
-@query("select sha256(string_agg(row_hash, ',' order by row_hash)) as revision, count(*) as rows from (select sha256(s_suppkey || '|' || s_name) as row_hash from supplier)")
+@query(
+    """
+with h as (select sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey) as h from lineitem),
+    b as (select h[1:4] as leaf, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from h group by 1),
+    c as (select leaf[1:2] as branch, sha256(string_agg(d, ',' order by leaf)) as d, sum(n) as n from b group by 1)
+select sha256(string_agg(d, ',' order by branch)) as revision, cast(sum(n) as bigint) as rows from c"""
+)
 def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content address of a small table: the hash of its sorted row hashes."""
-    hashed = table(spark, sf_dir, "supplier").select(F.sha2(F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name"), 256).alias("h"))
-    return hashed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("revision"), F.count("*").alias("rows"))
+    """Content address of a table: a tree of hashes by prefix, so that no task holds all of them.
+
+    65,536 leaves hash their sorted rows, 256 branches their leaves, and the root those.
+    """
+    hashed = table(spark, sf_dir, "lineitem").select(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256).alias("h"))
+    over = lambda order, d: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(d).alias("d")))), lambda x: x["d"]), ","), 256).alias("d")
+    leaves = hashed.groupBy(F.substring("h", 1, 4).alias("leaf")).agg(over("h", "h"), F.count("*").alias("n"))
+    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(over("leaf", "d"), F.sum("n").alias("n"))
+    return branches.agg(over("branch", "d").alias("revision"), F.sum("n").alias("rows"))
 
 
 @query(

@@ -90,11 +90,14 @@ def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 with r as (select p_partkey, lpad(cast(p_partkey * 7919 % 10000000 as varchar), 7, '0') || cast(p_partkey % 10 as varchar) as raw from part),
     d as (select p_partkey, raw, 8 * cast(raw[1] as int) + 7 * cast(raw[2] as int) + 6 * cast(raw[3] as int) + 5 * cast(raw[4] as int) + 4 * cast(raw[5] as int) + 3 * cast(raw[6] as int) + 2 * cast(raw[7] as int) + cast(raw[8] as int) as total from r)
-select p_partkey, case when total % 11 = 0 then raw[1:4] || '-' || raw[5:8] else 'none' end as issn from d"""
+select p_partkey, case when total % 11 = 0 and p_partkey % 4 <> 3 then raw[1:4] || '-' || raw[5:8] else 'none' end as issn from d"""
 )
 def issn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check digits; a form without hyphen isn't valid, whatever its digits."""
     k = F.col("p_partkey")
-    raw = F.concat(F.lpad((k * 7919 % 10000000).cast("string"), 7, "0"), (k % 10).cast("string"))
+    digits = F.concat(F.lpad((k * 7919 % 10000000).cast("string"), 7, "0"), (k % 10).cast("string"))
+    hyphenated = F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4))
+    raw = F.when(k % 4 == 3, digits).otherwise(hyphenated)
     return table(spark, sf_dir, "part").select("p_partkey", _none(identifiers.issn(raw)).alias("issn"))
 
 
@@ -158,14 +161,15 @@ def collapse_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.collapse_space(F.col("text")).alias("text"))
 
 
-@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(text, ' '), lambda x: x <> '')[1:50], ' ') as abstract from documents")
+@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(text, ' '), lambda x: x <> ''), ' ') as abstract from documents")
 def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text from its inverted index of word to positions (of the first 50 words)."""
-    words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 50)
-    places = F.sequence(F.lit(0), F.size("words") - 1)
-    index = F.map_from_arrays(F.array_distinct("words"), F.transform(F.array_distinct("words"), lambda w: F.filter(places, lambda i: F.get("words", i) == w)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    return rows.select("doc_id", text.inverted_index_text(index).alias("abstract"))
+    """Whole texts from their inverted indexes of word to positions."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("place", "word"))
+    entries = placed.groupBy("doc_id", "word").agg(F.collect_list("place").alias("places"))
+    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n")).join(index, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("n") == 0, "").otherwise(text.inverted_index_text(F.col("index"))).alias("abstract"))
 
 
 @query(

@@ -23,7 +23,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = F.when(k % 17 == 0, "unknown").otherwise("known")
     code = F.when(k % 7 == 0, "unknown").otherwise("known")
     trend = F.when(k % 3 == 0, "missing").otherwise("known")
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("research_article", "preprint", "review", "survey", "dataset"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("research_article", "preprint", "review", "benchmark", "dataset"))), F.substring("o_orderpriority", 1, 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
         k.alias("paper_id"),
         F.concat(F.lit("order:"), k.cast("string")).alias("canonical_key"),
@@ -39,7 +39,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cited == "known", F.floor(F.col("o_totalprice") / 1000)).alias("citation_count_value"),
         trend.alias("trend_score_state"),
         F.when(trend == "known", F.round(F.col("o_totalprice") / 500000, 4)).alias("trend_score_value"),
-        F.when(F.col("o_orderstatus") == "P", "retracted").otherwise("active").alias("lifecycle_status"),
+        F.when(F.col("o_orderstatus") == "P", F.element_at(F.array(*(F.lit(x) for x in ("withdrawn", "retracted", "rejected", "superseded"))), (k % 4 + 1).cast("int"))).otherwise("active").alias("lifecycle_status"),
+        F.when(k % 19 == 0, "unknown").otherwise("known").alias("has_benchmark_state"),
+        F.when(k % 19 != 0, F.col("o_custkey") % 4 == 0).alias("has_benchmark_value"),
         F.col("o_custkey").alias("author_id"),
     )
 
@@ -51,7 +53,7 @@ papers as (
         case when o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 then o_orderdate end as published_at_value,
         case when o_orderkey % 17 = 0 then 'unknown' else 'known' end as paper_type_state,
         case when o_orderkey % 17 <> 0 then case o_orderpriority[1] when '1' then 'research_article' when '2' then 'preprint'
-            when '3' then 'review' when '4' then 'survey' when '5' then 'dataset' end end as paper_type_value,
+            when '3' then 'review' when '4' then 'benchmark' when '5' then 'dataset' end end as paper_type_value,
         case when o_orderkey % 7 = 0 then 'unknown' else 'known' end as has_code_state,
         case when o_orderkey % 7 <> 0 then o_custkey % 2 = 0 end as has_code_value,
         'known' as has_data_state, o_custkey % 3 = 0 as has_data_value,
@@ -59,7 +61,8 @@ papers as (
         case when o_orderkey % 9 <> 0 and o_orderkey % 10 <> 0 then cast(floor(o_totalprice / 1000) as bigint) end as citation_count_value,
         case when o_orderkey % 3 = 0 then 'missing' else 'known' end as trend_score_state,
         case when o_orderkey % 3 <> 0 then round(o_totalprice / 500000, 4) end as trend_score_value,
-        case when o_orderstatus = 'P' then 'retracted' else 'active' end as lifecycle_status,
+        case when o_orderstatus <> 'P' then 'active' when o_orderkey % 4 = 0 then 'withdrawn' when o_orderkey % 4 = 1 then 'retracted' when o_orderkey % 4 = 2 then 'rejected' else 'superseded' end as lifecycle_status,
+        case when o_orderkey % 19 = 0 then 'unknown' else 'known' end as has_benchmark_state, case when o_orderkey % 19 <> 0 then o_custkey % 4 = 0 end as has_benchmark_value,
         o_custkey as author_id
     from orders)
 """

@@ -92,22 +92,27 @@ def winner_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-select event_key, coalesce(arg_min(case tie_break_key when 'error' then 'retracted' end, struct_pack(a := source_time, b := event_id)) filter (tie_break_key = 'error'), 'active') as status
-from source_events group by event_key""",
+with s as (select *, case when tie_break_key <> 'error' then 'active' when event_id % 4 = 0 then 'withdrawn' when event_id % 4 = 1 then 'retracted' when event_id % 4 = 2 then 'rejected' else 'superseded' end as status from source_events)
+select event_key, coalesce(arg_min(status, struct_pack(a := source_time, b := event_id)) filter (status <> 'active'), 'active') as status
+from s group by event_key""",
     SOURCE_EVENTS,
 )
 def status_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A terminal status is never left again."""
-    events = roles.source_events(spark, sf_dir).withColumn("status", F.when(F.col("tie_break_key") == "error", "retracted").otherwise("active"))
+    terminal = F.element_at(F.array(*(F.lit(s) for s in state.TERMINAL)), (F.col("event_id") % 4 + 1).cast("int"))
+    events = roles.source_events(spark, sf_dir).withColumn("status", F.when(F.col("tie_break_key") == "error", terminal).otherwise("active"))
     return state.monotonic_status(events, "event_key")
 
 
 @query(
     """
-select * from (values ('active', 'active'), ('active', 'retracted'), ('retracted', 'active'), ('retracted', 'retracted')) t(before, after)""".replace("select *", "select before, after, before = 'active' or before = after as allowed")
+with s as (select unnest(['active', 'withdrawn', 'retracted', 'rejected', 'superseded', 'deleted']) as status)
+select a.status as before, b.status as after, a.status <> 'deleted' and b.status <> 'deleted' and (a.status = 'active' or a.status = b.status) as allowed from s a, s b"""
 )
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(a, b) for a in ("active", "retracted") for b in ("active", "retracted")], "before string, after string")
+    """Which status may follow which; ``deleted`` isn't one."""
+    names = (*state.STATUSES, "deleted")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "before string, after string")
     return pairs.withColumn("allowed", state.allowed_transition(F.col("before"), F.col("after")))
 
 
@@ -198,33 +203,6 @@ def venue_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("resolution", F.when(F.col("identities") == 0, "insert").when(F.col("identities") == 1, "reuse").otherwise("conflict"))
 
 
-@query(
-    """
-with recursive edges as (select distinct l_orderkey as a, -l_partkey as b from lineitem where l_quantity > 45),
-    both_ways as (select a, b from edges union select b, a from edges),
-    reach as (select a as node, a as seen from both_ways union select r.node, e.b from reach r join both_ways e on r.seen = e.a)
-select node, min(seen) as component from reach group by node"""
-)
-def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and identifiers that hang together, named by their smallest member."""
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b"))
-    return connected_components(edges)
-
-
-@query(
-    """
-with recursive edges as (select distinct l_orderkey as a, -l_partkey as b from lineitem where l_quantity > 45),
-    both_ways as (select a, b from edges union select b, a from edges),
-    reach as (select a as node, a as seen from both_ways union select r.node, e.b from reach r join both_ways e on r.seen = e.a),
-    comp as (select node, min(seen) as component from reach group by node)
-select component, count(*) filter (node > 0) as records, count(distinct o_orderpriority) > 1 as conflict
-from comp left join orders on node = o_orderkey group by component"""
-)
-def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components, the records in each, and whether those disagree in one scheme."""
-    return _conflicts(spark, sf_dir, identity_components(spark, sf_dir))
-
-
 def _conflicts(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority")
     agg = found.join(kinds, "node", "left").groupBy("component")
@@ -240,8 +218,8 @@ recursive edges as (select distinct l_orderkey as a, -l_partkey as b from lineit
 
 
 @query("select node, component from comp", WHOLE_IDENTITIES)
-def identity_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``identity_components`` over every link of a record to an identifier."""
+def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and identifiers that hang together, named by their smallest member; every link counts."""
     return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b")))
 
 
@@ -251,9 +229,9 @@ select component, count(*) filter (node > 0) as records, count(distinct o_orderp
 from comp left join orders on node = o_orderkey group by component""",
     WHOLE_IDENTITIES,
 )
-def identity_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``identity_conflicts`` over every link of a record to an identifier."""
-    return _conflicts(spark, sf_dir, identity_components_whole(spark, sf_dir))
+def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components, the records in each, and whether those disagree in one scheme."""
+    return _conflicts(spark, sf_dir, identity_components(spark, sf_dir))
 
 
 @query(

@@ -38,21 +38,37 @@ class Store:
         if not self._fs.exists(self._path(f"{target}/_SUCCESS")):
             papers.write.mode("overwrite").parquet(target)
             self._put(f"{target}.json", json.dumps({"revision": name, "formula_version": formula_version, "generated_at": generated_at}))
-        self._put(f"{self.folder}/current.json", json.dumps({"revision": name}))
+        self._point(name)
         return name
 
     def _put(self, path: str, content: str) -> None:
-        staged = self._path(f"{path}.staged")
-        stream = self._fs.create(staged, True)
+        stream = self._fs.create(self._path(path), True)
         stream.write(content.encode())
         stream.close()
-        self._fs.delete(self._path(path), False)
-        self._fs.rename(staged, self._path(path))
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Pointers (number, revision) by their names alone, in order."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        return sorted((int(n.split("=")[1]), n.split("=")[2]) for n in names if n.startswith("current="))
+
+    def _point(self, name: str) -> None:
+        """A new numbered pointer: it appears at once, and readers find one at any time.
+
+        Its name says all, so a reader never sees half of one; the one before it stays for
+        readers that have just listed it.
+        """
+        found = self._pointers()
+        if found and found[-1][1] == name:
+            return
+        number = found[-1][0] + 1 if found else 1
+        if not self._fs.createNewFile(self._path(f"{self.folder}/current={number:012d}={name}")):
+            raise RuntimeError("another publication took this number")
+        for n, r in found[:-1]:
+            self._fs.delete(self._path(f"{self.folder}/current={n:012d}={r}"), False)
 
     def current(self) -> str:
         """The revision that readers get; read once for each query."""
-        rows = self.spark.read.text(f"{self.folder}/current.json", wholetext=True).collect()
-        return json.loads(rows[0][0])["revision"]
+        return self._pointers()[-1][1]
 
     def read(self, name: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/gen={name or self.current()}")

@@ -18,7 +18,7 @@ CASES = [
         ["https://arxiv.org/abs/2401.01234v2", "arXiv:0704.0001", "1412.12345", "1501.12345", "2413.00001", "hep-th/9901001v3", "hep-th/9107001", "foo/9901001", "2401.00000", "math.GT/0309136", "2401.01234v0"],
         ["2401.01234", "0704.0001", None, "1501.12345", None, "hep-th/9901001", None, None, None, "math.gt/0309136", None],
     ),
-    (identifiers.issn, ["0378-5955", "03785955", "2434-561x", "0378-5954", "abc"], ["0378-5955", "0378-5955", "2434-561X", None, None]),
+    (identifiers.issn, ["0378-5955", "03785955", " 2434-561x", "0378-5954", "abc", "037-85955"], ["0378-5955", None, "2434-561X", None, None, None]),
     (identifiers.orcid, ["https://orcid.org/0000-0002-1825-0097", "0000-0001-5109-3700", "0000-0002-1825-0098", "x"], ["0000-0002-1825-0097", "0000-0001-5109-3700", None, None]),
     (identifiers.pmid, ["https://pubmed.ncbi.nlm.nih.gov/12345678/", "PMID: 42", "0", "x"], ["12345678", "42", None, None]),
     (identifiers.pmcid, ["pmcid: pmc123", "PMC0"], ["PMC123", None]),
@@ -68,5 +68,6 @@ def test_tri_state(spark):
     df = spark.createDataFrame([("known", True), ("known", False), ("unknown", None)], "x_state string, x_value boolean")
     assert df.where(tristate.equals("x", True)).count() == df.where(tristate.equals("x", False)).count() == 1
     assert df.where(tristate.consistent("x")).count() == 3
+    assert spark.createDataFrame([("known", True), ("known", None)], df.schema).agg(*tristate.ratio("x")).first()["x_ratio_state"] == "unknown"
     share = lambda d: d.agg(*tristate.ratio("x")).first()["x_ratio_state"]
     assert (share(df), share(df.limit(0)), share(df.where("x_state = 'known'")), share(df.where("x_state = 'missing'"))) == ("unknown", "unknown", "known", "unknown")

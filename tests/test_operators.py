@@ -47,8 +47,10 @@ def test_opportunity_thresholds(spark):
     assert f(0.8, 0.25, 0.4, 0.7, 0.6, 0.75) == "worth_pursuing"
     assert f(0.79, 0.25, 0.4, 0.7, 0.6, 0.75) == f(0.8, 0.25, 0.4, 0.7, 0.6, 0.75, missing=True) == "insufficient_evidence"
     assert f(0.8, -0.1, 0.8, 0.3, 0.2, 0.7) == "not_recommended" and f(0.8, 0.0, 0.5, 0.5, 0.5, 0.9) == "proceed_with_caution"
-    with pytest.raises(ValueError):
-        analytics.OpportunityPolicy(avoid=(0.3, 0.8, 0.3, 0.2, 0.7)).validate()
+    analytics.OpportunityPolicy(avoid=(0.3, 0.8, 0.3, 0.2, 0.7)).validate()
+    for wrong in ({"avoid": (0.3, 0.3, 0.8, 0.7, 0.7)}, {"version": " "}, {"required": analytics.SIGNALS[:-1]}, {"required": (*analytics.SIGNALS, "growth_score")}):
+        with pytest.raises(ValueError):
+            analytics.OpportunityPolicy(**wrong).validate()
 
 
 def test_venue_policy(spark):
@@ -90,8 +92,8 @@ def test_components_of_every_link(spark, tmp_path):
     for record, identifier, _ in links:
         high, low = sorted((root(record), root(-identifier)), reverse=True)
         parent[high] = low
-    assert {tuple(r) for r in state_queries.identity_components_whole(spark, str(tmp_path)).collect()} == {(x, root(x)) for x in list(parent)}
-    rows = {r["component"]: (r["records"], r["conflict"]) for r in state_queries.identity_conflicts_whole(spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in state_queries.identity_components(spark, str(tmp_path)).collect()} == {(x, root(x)) for x in list(parent)}
+    rows = {r["component"]: (r["records"], r["conflict"]) for r in state_queries.identity_conflicts(spark, str(tmp_path)).collect()}
     assert rows == {-12: (4, True), -13: (1, False), -14: (1, False)}
 
 
@@ -120,7 +122,7 @@ def test_catalog_filters_pages_and_facets(spark):
     assert (stats["has_code_ratio_state"], stats["recent_state"], stats["papers_last_7_days"]) == ("unknown", "unknown", None)
 
 
-@pytest.mark.parametrize("bad", [[("q", "a"), ("q", "b")], [("x", "1")], [("limit", "101")], [("sort", "relevance")], [("topic", "Not A Slug")], [("has_code", "yes")], [("q", "漢" * 101)], [("published_from", "2026-02-01"), ("published_to", "2026-01-01")]])
+@pytest.mark.parametrize("bad", [[("q", "a"), ("q", "b")], [("x", "1")], [("limit", "101")], [("sort", "relevance")], [("topic", "Not A Slug")], [("paper_type", "survey")], [("paper_type", "other")], [("source", "blog")], [("has_code", "yes")], [("q", "漢" * 101)], [("published_from", "2026-02-01"), ("published_to", "2026-01-01")]])
 def test_invalid_parameters(bad):
     with pytest.raises(catalog.InvalidQuery):
         catalog.PaperQuery.from_parameters(bad)
