@@ -74,9 +74,75 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.struct(year.alias("year"), month.alias("month"), day.alias("day"), precision.alias("precision"), whole.alias("at"))
 
 
-def revision_time(*times: Column) -> Column:
-    """The first known of updated, revised, created and published times."""
-    return F.coalesce(*times)
+def revision_time(updated: Column, revised: Column, created: Column, published_online: Column, published: Column) -> Column:
+    """The first of these times that is known."""
+    return F.coalesce(updated, revised, created, published_online, published)
+
+
+def month_in_own_zone(time: Column) -> Column:
+    """First day, in UTC, of the calendar month that an RFC 3339 text names in its own zone."""
+    month = F.regexp_extract(time, r"^([0-9]{4}-[0-9]{2})-[0-9]{2}[Tt]", 1)
+    return F.when(month != "", F.try_to_timestamp(F.concat(month, F.lit("-01")), F.lit("yyyy-MM-dd")))
+
+
+def bibliographic_date(year: Column, month: Column, day: Column, season: Column, plain: Column) -> Column:
+    """struct(year, month, day, season, raw, precision, problem, at) of a date of an article.
+
+    A plain text excludes structured parts, a season excludes month and day, and a day needs
+    a month.  Only a whole date has a time.
+    """
+    blank = lambda c: F.coalesce(trim_space(c), F.lit("")) == ""
+    y = F.when(trim_space(year).rlike("^[0-9]{1,4}$"), trim_space(year).cast("int"))
+    m = month_number(month)
+    d = F.when(trim_space(day).rlike("^[0-9]{1,2}$"), trim_space(day).cast("int"))
+    at = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd"))
+    none = blank(year) & blank(month) & blank(day) & blank(season)
+    problem = (
+        F.when(~blank(plain), F.when(~none, "plain_and_structured"))
+        .when(none, F.lit(None))
+        .when(blank(year), "no_year")
+        .when(y.isNull() | (y <= 0), "year")
+        .when(~blank(season), F.when(~blank(month) | ~blank(day), "season_and_month"))
+        .when(blank(month), F.when(~blank(day), "day_without_month"))
+        .when(m.isNull(), "month")
+        .when(~blank(day) & at.isNull(), "day")
+    )
+    precision = F.when(~blank(plain), "text").when(none, F.lit(None)).when(~blank(season), "season").when(blank(month), "year").when(blank(day), "month").otherwise("day")
+    good = problem.isNull()
+    part = lambda c, *kinds: F.when(good & precision.isin(*kinds), c)
+    return F.struct(
+        part(y, "year", "season", "month", "day").alias("year"), part(m, "month", "day").alias("month"), part(d, "day").alias("day"), part(collapse_space(season), "season").alias("season"),
+        part(collapse_space(plain), "text").alias("raw"), F.when(good, precision).alias("precision"), problem.alias("problem"), part(at, "day").alias("at"),
+    )
+
+
+def no_nulls(v: Column) -> Column:
+    """Whether a list is there and holds no null."""
+    return F.coalesce(~F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+def licenses(named: list[tuple[str, Column]], lists: list[tuple[str, Column]]) -> Column:
+    """Licences of locations, array of struct(name, id, path): each once, with the path where it came first.
+
+    ``named`` are single locations (struct with license, license_id), ``lists`` arrays of them.
+    """
+
+    def one(path: Column, x: Column) -> Column:
+        return F.struct(F.coalesce(x["license"], F.lit("")).alias("name"), F.coalesce(x["license_id"], F.lit("")).alias("id"), path.alias("path"))
+
+    def numbered(path: str, xs: Column) -> Column:
+        return F.transform(xs, lambda x, i: one(F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]")), x))
+
+    empty = F.array().cast("array<struct<name:string,id:string,path:string>>")
+    found = [F.array(one(F.lit(path), x)) for path, x in named] + [F.coalesce(numbered(path, xs), empty) for path, xs in lists]
+    every = F.filter(F.concat(*found), lambda x: (x["name"] != "") | (x["id"] != ""))
+    keys = lambda: F.transform(every, lambda x: F.struct(x["name"], x["id"]))
+    return F.filter(every, lambda x, i: F.array_position(keys(), F.struct(x["name"], x["id"])) == i + 1)
+
+
+def in_range(score: Column) -> Column:
+    """Whether a score is from 0 to 1; a missing one is."""
+    return F.coalesce(score.between(0, 1), F.lit(True))
 
 
 def evidence(fields: dict[str, tuple[Column, str]]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.text import percent
 from folioscope.operators import analytics, catalog, search
+from folioscope.operators.ranking import placed
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import PAPERS, TOPICS, table
@@ -132,9 +133,9 @@ def trend_rank_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select slug, cast(cur - baseline as bigint) as score, row_number() over (order by cur - baseline desc, slug) as rank from growth", PAPERS, TOPICS, GROWTH)
 def trend_rank_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics by absolute growth; taxa are few, so that one window ranks them."""
+    """Topics by absolute growth."""
     scored = _growth(spark, sf_dir).select("slug", (F.col("cur") - F.col("baseline")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "slug")).cast("long"))
+    return placed(scored, [F.desc("score"), F.asc("slug")], "rank")
 
 
 @query(
@@ -147,9 +148,9 @@ select slug, before, now, before - now as change from r""",
 )
 def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places that each topic has won since the earlier window."""
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "slug")).cast("long")
-    ranked = _growth(spark, sf_dir).select("slug", rank("baseline").alias("before"), rank("cur").alias("now"))
-    return ranked.withColumn("change", F.col("before") - F.col("now"))
+    once = placed(_growth(spark, sf_dir), [F.desc("baseline"), F.asc("slug")], "before")
+    ranked = placed(once, [F.desc("cur"), F.asc("slug")], "now")
+    return ranked.select("slug", "before", "now", (F.col("before") - F.col("now")).alias("change"))
 
 
 SIGNALS = """
@@ -198,8 +199,7 @@ def opportunity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with r as (select topic, status, row_number() over (order by n desc, topic) as ordinal from opportunities where status = 'proceed_with_caution') select topic, status, ordinal from r where ordinal > 3 and ordinal <= 24", SIGNALS, OPPORTUNITIES)
 def opportunity_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after an ordinal, of one status."""
-    w = Window.orderBy(F.desc("n"), "topic")
-    numbered = _opportunities(spark, sf_dir).where("status = 'proceed_with_caution'").withColumn("ordinal", F.row_number().over(w).cast("long"))
+    numbered = placed(_opportunities(spark, sf_dir).where("status = 'proceed_with_caution'"), [F.desc("n"), F.asc("topic")], "ordinal")
     return numbered.where("ordinal > 3").orderBy("ordinal").limit(21).select("topic", "status", "ordinal")
 
 
