@@ -104,9 +104,9 @@ def crossref(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pubmed(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of XML files, gzipped or not."""
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(PUBMED_ARTICLE).load(path)
-    rows = rows.select(F.to_json(F.struct("*")).alias("raw"), F.col("MedlineCitation").alias("m"), F.col("PubmedData").alias("d"))
+    """Articles of XML files, gzipped or not; ``raw`` is the article's own text, which its hash is of."""
+    events = pubmed_events(spark, path).where("kind = 'upsert'")
+    rows = events.select("raw", F.from_xml("raw", PUBMED_ARTICLE).alias("r")).select("raw", F.col("r.MedlineCitation").alias("m"), F.col("r.PubmedData").alias("d"))
     date = F.col("m.Article.Journal.JournalIssue.PubDate")
     digits = lambda c: F.when(c.rlike("^[0-9]{1,4}$"), c.cast("int"))
     found = F.filter("d.ArticleIdList.ArticleId", lambda x: x["_IdType"] == "doi")
@@ -132,10 +132,38 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def pubmed_events(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sequence, position, kind, record_id, raw) of bulk files, in one scan.
+
+    Files are cut after each article, so no file is held whole; position orders the events
+    of a file as they stand in it.  What follows the last article may take ids back, one
+    event each.  ``sequence`` is the number in the file's name, or null.
+    """
+    end = "</PubmedArticle>"
+    pieces = spark.read.option("lineSep", end).text(path)
+    pieces = pieces.select("value", F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    start = r"(?s)<PubmedArticle[\s>].*"
+    article = F.concat(F.nullif(F.regexp_extract("value", start, 0), F.lit("")), F.lit(end))
+    upsert = F.struct(F.lit("upsert").alias("kind"), F.regexp_extract(article, r"<PMID[^>]*>\s*([0-9]+)\s*</PMID>", 1).alias("record_id"), article.alias("raw"))
+    lists = F.regexp_extract_all("value", F.lit(r"(?s)<DeleteCitation[\s>].*?</DeleteCitation>"), F.lit(0))
+    ids = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"<PMID[^>]*>\s*([0-9]+)\s*</PMID>"), F.lit(1))))
+    deletes = F.transform(ids, lambda i: F.struct(F.lit("delete").alias("kind"), i.alias("record_id"), F.lit(None).cast("string").alias("raw")))
+    events = pieces.select("file", "place", F.posexplode(F.concat(deletes, F.when(article.isNotNull(), F.array(upsert)).otherwise(F.array().cast("array<struct<kind:string,record_id:string,raw:string>>")))).alias("turn", "e"))
+    number = F.regexp_extract("file", r"n([0-9]{4})\.xml(?:\.gz)?$", 1)
+    return events.select("file", F.when(number != "", number.cast("int")).alias("sequence"), F.struct("place.block", "place.at", "turn").alias("position"), "e.*")
+
+
 def pubmed_deletions(spark: SparkSession, path: str) -> DataFrame:
     """Ids that bulk files take back."""
-    rows = spark.read.format("xml").option("rowTag", "DeleteCitation").schema("PMID array<string>").load(path)
-    return rows.select(F.explode("PMID").alias("record_id")).withColumn("source", F.lit("pubmed"))
+    return pubmed_events(spark, path).where("kind = 'delete'").select("record_id", F.lit("pubmed").alias("source"))
+
+
+def pubmed_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, scheme, value): identifiers that their source marks as not valid."""
+    schema = "MedlineCitation struct<PMID:string, Article:struct<ELocationID:array<struct<_EIdType:string,_ValidYN:string,_VALUE:string>>>>"
+    rows = pubmed_events(spark, path).where("kind = 'upsert'").select("record_id", F.explode(F.from_xml("raw", schema)["MedlineCitation"]["Article"]["ELocationID"]).alias("e"))
+    marked = rows.where((F.lower("e._EIdType") == "doi") & (F.upper("e._ValidYN") == "N"))
+    return marked.select("record_id", F.lit("doi").alias("scheme"), text.trim_space(F.col("e._VALUE")).alias("value"))
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import analytics, catalog, search, state
+from folioscope.operators import analytics, catalog, jobs, policies, ranking, search, state
 from folioscope.operators.components import connected_components
 from folioscope.plans import state_queries
 
@@ -146,3 +146,53 @@ def test_search_language(spark):
     assert hits('"all rights reserved"') == [True, False, False, False]
     assert hits("reserved -author") == [False, True, False, False] and hits("the of") == [False] * 4
     assert search.parse('a "x y" -"p q" or z') == [[(True, ["x", "y"]), (False, ["p", "q"])], [(True, ["z"])]]
+
+
+def test_windows_are_compared_in_order(spark):
+    day = lambda n: F.lit(datetime(2026, 1, n))
+    status = lambda *w: one(spark, analytics.topic_growth(F.lit(2), F.lit(3), tuple(w))[0])[0]
+    assert status(day(1), day(5), day(5), day(9)) == "ok"
+    assert status(day(1), day(5), day(4), day(8)) == status(day(1), day(5), day(6), day(8)) == "window_mismatch"
+    assert status(day(5), day(1), day(5), day(9)) == status(day(4), day(8), day(1), day(5)) == "reversed_time"
+    assert status(day(1), day(1), day(5), day(9)) == "zero_denominator"
+    assert status(F.lit(None).cast("timestamp"), day(5), day(5), day(9)) == "missing_signal"
+
+
+def test_decisions_are_immutable(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "event_id long, scope_policy string, status string, reason string, evidence string")
+    stored = rows((1, "v1", "included", "r", "e"))
+    assert policies.new_decisions(stored, rows((1, "v1", "included", "r", "e"), (2, "v1", "excluded", "r", None), (1, "v2", "excluded", "r", "e"))).count() == 2
+    with pytest.raises(state.ConflictError):
+        policies.new_decisions(stored, rows((1, "v1", "excluded", "r", "e")))
+    with pytest.raises(ValueError):
+        policies.ScopePolicy(" ", lambda: F.lit(None)).decided(stored)
+
+
+def test_job_states():
+    job = jobs.Job("b", "openalex", "k")
+    running = job.start(" 7 ").at("project")
+    assert (running.id, running.status, running.stage) == ("7", "running", "project")
+    assert running.end("failed").status == "failed"
+    for wrong in (lambda: job.at("raw"), lambda: job.end("failed"), lambda: running.start("7"), lambda: running.end("pending"), lambda: running.at("sleep"), lambda: running.end("succeeded").at("raw"), lambda: jobs.Job("", "s", "k"), lambda: job.start("")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_files_need_names_and_hashes(spark):
+    good = "0" * 64
+    rows = [(1, "pubmed26n0004.xml.gz", good), (2, "pubmed26n0005.xml.gz", "ABC"), (3, "pubmed25n0006.xml.gz", good), (4, "pubmed26n0004.xml.gz", good)]
+    found = jobs.sequence_problems(spark.createDataFrame(rows, "position int, name string, sha256 string"), 2026, 3).orderBy("position").collect()
+    assert [r["problem"] for r in found] == [None, "sha256", "name", "duplicate"]
+
+
+def test_places_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5)
+    got = ranking.placed(rows, [F.desc("k"), F.asc("id")], "place").collect()
+    assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(((r["k"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert sorted(r["place"] for r in got) == list(range(1, 1001))
+
+
+def test_statuses(spark):
+    allowed = lambda a, b: one(spark, state.allowed_transition(F.lit(a), F.lit(b)))[0]
+    assert allowed("active", "rejected") and allowed("superseded", "superseded")
+    assert not allowed("rejected", "active") and not allowed("active", "deleted") and not allowed("deleted", "deleted")

@@ -9,9 +9,9 @@ from folioscope.sources import records
 from folioscope.sources.generations import Store, revision
 from folioscope.streaming.state_stream import StateTable, follow
 
-WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.1234/AGENT.1", "title": " Agents  at work ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B"}}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False}
-ITEM = {"DOI": "10.1234/agent.1", "title": ["Agents at work"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-07-15T23:45:00-04:00"}}
-XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>42</PMID><Article><Journal><ISSN>0378-5955</ISSN><JournalIssue><PubDate><MedlineDate>2025 Nov-Dec</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>On mice</ArticleTitle><AuthorList><Author><LastName>C</LastName><ForeName>D</ForeName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.5555/mice</ArticleId></ArticleIdList></PubmedData></PubmedArticle><DeleteCitation><PMID>7</PMID></DeleteCitation></PubmedArticleSet>"""
+WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B"}}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False}
+ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-07-15T23:45:00-04:00"}}
+XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>42</PMID><Article><Journal><ISSN>0378-5955</ISSN><JournalIssue><PubDate><MedlineDate>2025 Nov-Dec</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>Otters in spring</ArticleTitle><AuthorList><Author><LastName>C</LastName><ForeName>D</ForeName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.4321/otters</ArticleId></ArticleIdList></PubmedData></PubmedArticle><DeleteCitation><PMID>7</PMID></DeleteCitation></PubmedArticleSet>"""
 
 
 @pytest.fixture()
@@ -25,9 +25,9 @@ def read(spark, tmp_path):
 
 def test_readers_give_one_shape(read):
     oa, cr, pm = (read[n].first() for n in ("openalex", "crossref", "pubmed"))
-    assert (oa["record_id"], oa["doi"], oa["title"], oa["urls"]) == ("W1", "10.1234/agent.1", "Agents at work", ["https://github.com/org/repo"])
-    assert (cr["doi"], cr["issns"], cr["published"]["precision"], cr["published"]["at"], str(cr["updated_at"])) == ("10.1234/agent.1", ["0378-5955"], "month", None, "2026-07-16 03:45:00")
-    assert (pm["record_id"], pm["doi"], pm["authors"], pm["retracted"], pm["published"]["year"]) == ("42", "10.5555/mice", ["D C"], True, 2025)
+    assert (oa["record_id"], oa["doi"], oa["title"], oa["urls"]) == ("W1", "10.4321/harbor.7", "Tides of the harbour", ["https://github.com/org/repo"])
+    assert (cr["doi"], cr["issns"], cr["published"]["precision"], cr["published"]["at"], str(cr["updated_at"])) == ("10.4321/harbor.7", ["0378-5955"], "month", None, "2026-07-16 03:45:00")
+    assert (pm["record_id"], pm["doi"], pm["authors"], pm["retracted"], pm["published"]["year"]) == ("42", "10.4321/otters", ["D C"], True, 2025)
     assert [r["record_id"] for r in read["gone"].collect()] == ["7"]
 
 
@@ -35,10 +35,10 @@ def test_two_sources_converge_and_publish(spark, read, tmp_path):
     events = publication.events_of(read["openalex"].unionByName(read["crossref"]).unionByName(read["pubmed"]))
     papers = publication.papers(publication.works(publication.current_records(events)))
     rows = {r["canonical_key"]: r for r in papers.collect()}
-    assert rows.keys() == {"doi:10.1234/agent.1", "doi:10.5555/mice"}
-    both = rows["doi:10.1234/agent.1"]
+    assert rows.keys() == {"doi:10.4321/harbor.7", "doi:10.4321/otters"}
+    both = rows["doi:10.4321/harbor.7"]
     assert both["source_names"] == ["crossref", "openalex"] and both["published_at_state"] == "missing" and not both["conflict"]
-    assert rows["doi:10.5555/mice"]["lifecycle_status"] == "retracted"
+    assert rows["doi:10.4321/otters"]["lifecycle_status"] == "retracted"
     store = Store(spark, str(tmp_path / "catalog"))
     first = store.publish(papers, "canonical_key", "v1", "2026-07-16T00:00:00Z")
     assert store.publish(papers.repartition(3), "canonical_key", "v1", "2026-07-17T00:00:00Z") == first == store.current()
@@ -85,3 +85,31 @@ def test_stream_equals_batch_and_survives_replays(spark, sf, tmp_path):
     assert got() == expected
     states.merge(roles.source_events(spark, sf).where("event_id % 3 = 0"), 2)
     assert got() == expected
+
+
+def test_raw_hashes_are_of_the_article_itself(spark, tmp_path):
+    """Articles that differ only in parts that aren't parsed have different hashes; order and sequence are kept."""
+    one = "<PubmedArticle><MedlineCitation><PMID Version='1'>{}</PMID><Article><ArticleTitle>same</ArticleTitle>{}</Article></MedlineCitation></PubmedArticle>"
+    body = one.format(1, "<Extra>a</Extra>") + "\n" + one.format(1, "<Extra>b</Extra>") + "<DeleteCitation>\n<PMID Version='1'>5</PMID><PMID>6</PMID></DeleteCitation>"
+    (tmp_path / "pubmed26n0003.xml").write_text(f"<PubmedArticleSet>\n{body}</PubmedArticleSet>")
+    rows = records.pubmed(spark, str(tmp_path)).collect()
+    assert len({r["raw_hash"] for r in rows}) == 2 and {r["record_id"] for r in rows} == {"1"} and {r["title"] for r in rows} == {"same"}
+    events = records.pubmed_events(spark, str(tmp_path)).orderBy("sequence", "position").collect()
+    assert [(r["sequence"], r["kind"], r["record_id"]) for r in events] == [(3, "upsert", "1"), (3, "upsert", "1"), (3, "delete", "5"), (3, "delete", "6")]
+    assert events[0]["raw"] == one.format(1, "<Extra>a</Extra>")
+
+
+def test_rejected_identifiers_are_kept_apart(spark, tmp_path):
+    article = "<PubmedArticle><MedlineCitation><PMID>8</PMID><Article><ArticleTitle>x</ArticleTitle><ELocationID EIdType='doi' ValidYN='N'> 10.4321/wrong </ELocationID><ELocationID EIdType='doi' ValidYN='Y'>10.4321/right</ELocationID></Article></MedlineCitation></PubmedArticle>"
+    (tmp_path / "a.xml").write_text(f"<PubmedArticleSet>{article}</PubmedArticleSet>")
+    assert [tuple(r) for r in records.pubmed_rejected(spark, str(tmp_path)).collect()] == [("8", "doi", "10.4321/wrong")]
+
+
+def test_pointers_appear_at_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "c"))
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    first, second = (store.publish(df, "k", f, "2026-01-01") for f in ("v1", "v2"))
+    assert store.current() == second != first
+    assert store.publish(df, "k", "v1", "2026-01-02") == first == store.current()
+    # the pointer before the current one stays for readers that have listed it
+    assert [r for _, r in store._pointers()] == [second, first]
