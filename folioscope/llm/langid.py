@@ -156,10 +156,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         return _blank()
     idf = (np.log((1 + documents) / (1 + having)) + 1).astype(np.float32)
     order = F.xxhash64("id", F.lit("language sample"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "of")
-    # a first cut by the hash alone leaves some four times the sample to rank
-    drawn = rows.join(sizes, F.col("label") == F.col("of")).where(F.pmod(order, F.lit(1_000_000)) < F.lit(4_000_000.0 * sample) / F.col("n"))
     window = Window.partitionBy("label").orderBy(order, "id", F.md5("text"))
+    # hashes are ranked without the texts; each label's last one then cuts the texts where they are read
+    ranked = rows.select("label", order.alias("o")).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("o"))).where(F.col("k") <= sample)
+    cuts = ranked.groupBy("label").agg(F.max("o").alias("last")).collect()
+    last = F.create_map(*(F.lit(x) for r in cuts for x in (r["label"], r["last"])))[F.col("label")]
+    drawn = rows.where(order <= last)
     drawn = checkpointed(drawn.select("label", "text", F.row_number().over(window).alias("k")).where(F.col("k") <= sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

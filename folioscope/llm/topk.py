@@ -9,7 +9,7 @@ to there as the group has vectors would meet nearly all of them: it meets the re
 in a block of such queries.
 
 Queries and candidates meet in units of a block of queries and a group of candidates.  A
-unit has some 2**22 pairs in a small table and 2**31 at most, so that vectors are shipped
+unit has some 2**24 pairs in a small table and 2**31 at most, so that vectors are shipped
 once for every 16,384 queries or 131,072 candidates of a large one.
 """
 
@@ -29,7 +29,7 @@ from folioscope.llm.batches import matrix, runs, small_batches
 #: Queries of a block and candidates of a group at most.
 QUERIES, CANDIDATES = 16_384, 131_072
 #: Units of a search at least, unless they would have fewer pairs than this.
-UNITS, PAIRS = 256, 1 << 22
+UNITS, PAIRS = 256, 1 << 24
 #: Depth of the first step over the lists, and by how much each step is deeper.
 FIRST_DEPTH, DEEPER = 2, 2
 #: Queries and candidates of a tile that is scored at once.
@@ -167,12 +167,15 @@ def _search_units(rows: DataFrame, k: int) -> DataFrame:
     return small_batches(rows.select("unit", "side", "ask", "id", "v")).mapInArrow(run, "ask long, query_id long, id long, score long, scored double")
 
 
-def grid(candidates: int, queries: int) -> tuple[int, int]:
-    """Blocks of queries and groups of candidates: square units of bounded size."""
+def grid(candidates: int, queries: int, k: int = 20) -> tuple[int, int]:
+    """Blocks of queries and groups of candidates, so that little is shipped in units of bounded size.
+
+    A block ships all candidates; a group ships all queries, and brings back k results of each.
+    """
     pairs = max(1, candidates) * max(1, queries)
     units = max(1, min(UNITS, pairs // PAIRS), pairs // (QUERIES * CANDIDATES))
-    side = math.sqrt(pairs / units)
-    blocks = max(1, round(queries / side), -(-queries // QUERIES))
+    blocks = round(math.sqrt(units * queries * (1 + k / 12) / max(1, candidates)))
+    blocks = max(1, min(blocks, units), -(-queries // QUERIES))
     return blocks, max(1, -(-units // blocks), -(-candidates // CANDIDATES))
 
 
@@ -201,7 +204,7 @@ def searched(df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vecto
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"), F.expr(is_query).alias("asks")).where(good)
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    blocks, groups = grid(counts["n"], counts["q"])
+    blocks, groups = grid(counts["n"], counts["q"], k)
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # rows of one id and vector ask for one result each, told apart by their number
     asked = rows.where("asks").groupBy("id", "v").agg(F.count("*").alias("times"))
