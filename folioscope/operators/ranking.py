@@ -21,3 +21,17 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = counts.select("range_of_rows", before.alias("rows_before"))
     within = F.row_number().over(Window.partitionBy("range_of_rows").orderBy(*order))
     return ranged.withColumn(name, within).join(F.broadcast(offsets), "range_of_rows").withColumn(name, F.col(name) + F.col("rows_before")).drop("range_of_rows", "rows_before")
+
+
+def best_before(rows: DataFrame, keys: list[str], order: str, value: str, width: int, name: str) -> DataFrame:
+    """``rows`` with the greatest ``value`` of their key before them in ``order``, a whole number; null for the first.
+
+    A key's rows are cut into spans of ``width`` numbers: maxima of whole spans are carried
+    over, so that a hot key is sorted span by span and not in one task.
+    """
+    spans = rows.withColumn("span_of_rows", F.floor(F.col(order) / width))
+    whole = spans.groupBy(*keys, "span_of_rows").agg(F.max(value).alias("whole"))
+    over = Window.partitionBy(*keys).orderBy("span_of_rows").rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select(*keys, "span_of_rows", F.max("whole").over(over).alias("carried"))
+    within = Window.partitionBy(*keys, "span_of_rows").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn(name, F.max(value).over(within)).join(carried, [*keys, "span_of_rows"]).withColumn(name, F.greatest(name, "carried")).drop("carried", "span_of_rows")

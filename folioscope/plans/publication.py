@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import identifiers, text, tristate
@@ -20,7 +20,7 @@ def events_of(records: DataFrame) -> DataFrame:
         F.col("raw_hash").alias("tie_break_key"),
         F.lit(1).cast("long").alias("position"),
         F.xxhash64("raw_hash", "source", "record_id").alias("event_id"),
-        F.struct("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id").alias("record"),
+        F.struct("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id", "abstract", "work_type", "topics", "citations", "licenses", "venue").alias("record"),
     )
 
 
@@ -41,9 +41,10 @@ def papers(resolved: DataFrame) -> DataFrame:
     """One wide row per work: the winner's fields, all sources, and whether they disagree in a scheme."""
     winner = F.max_by(F.struct("record", "event_key"), F.struct(*state.ORDER)).alias("w")
     sources = F.array_sort(F.collect_set("source")).alias("source_names")
+    provenance = F.array_sort(F.collect_set(F.struct("source", "record.record_id", "tie_break_key"))).alias("source_provenance")
     doi = F.min("record.doi").alias("doi")
     found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("record.identifiers")))).alias("found")
-    grouped = resolved.groupBy("work_id").agg(winner, sources, doi, F.bool_or("record.retracted").alias("retracted"), found)
+    grouped = resolved.groupBy("work_id").agg(winner, sources, provenance, doi, F.bool_or("record.retracted").alias("retracted"), found)
     values = lambda scheme: F.transform(F.filter("found", lambda x: x["scheme"] == scheme), lambda x: x["value"])
     grouped = grouped.withColumn("identity", identifiers.canonical_identity({s: values(s) for s in identifiers.SCHEMES})).withColumn("conflict", F.size("found") > F.size(F.array_distinct("found.scheme")))
     record = F.col("w.record")
@@ -58,7 +59,36 @@ def papers(resolved: DataFrame) -> DataFrame:
         F.when(record["urls"].isNull(), "unknown").otherwise("known").alias("has_code_state"),
         code.alias("has_code_value"),
         F.when(F.col("retracted"), "retracted").otherwise("active").alias("lifecycle_status"),
+        *(x for n, v in (("abstract", record["abstract"]), ("paper_type", paper_type(record["work_type"])), ("citation_count", record["citations"])) for x in _known(n, v)),
+        # no source tells of data, benchmarks or trends; formulas and curators do
+        *(x for n, kind, absent in (("has_data", "boolean", "unknown"), ("has_benchmark", "boolean", "unknown"), ("trend_score", "double", "missing"), ("curation", "string", "missing")) for x in _known(n, F.lit(None).cast(kind), absent)),
+        _slugs(record["topics"]).alias("topic_slugs"),
+        F.array().cast("array<string>").alias("method_slugs"),
+        record["authors"].alias("authors"),
+        record["licenses"].alias("licenses"),
+        record["venue"].alias("venue"),
+        "source_provenance",
         "source_names",
         "conflict",
-        text.search_text(record["title"], F.coalesce("doi", F.lit("")), F.array_join(record["authors"], " ")).alias("search_text"),
+        text.search_text(record["title"], F.coalesce("doi", F.lit("")), record["abstract"], F.array_join(record["authors"], " ")).alias("search_text"),
     )
+
+
+#: Kinds of works of sources in the catalog's terms.
+PAPER_TYPES = {"article": "research_article", "journal-article": "research_article", "proceedings-article": "research_article", "review": "review", "preprint": "preprint", "posted-content": "preprint", "dataset": "dataset"}
+
+
+def paper_type(kind: Column) -> Column:
+    """The catalog's type of a source's kind of work, or null."""
+    return F.create_map(*(F.lit(x) for pair in PAPER_TYPES.items() for x in pair))[kind]
+
+
+def _known(name: str, v: Column, absent: str = tristate.MISSING) -> tuple[Column, Column]:
+    state_of, value_of = tristate.known(v, absent)
+    return state_of.alias(f"{name}_state"), value_of.alias(f"{name}_value")
+
+
+def _slugs(topics: Column) -> Column:
+    """Slugs of named topics, sorted, each once, none empty."""
+    found = F.transform(F.coalesce(topics, F.array().cast("array<struct<id:string,name:string,score:double>>")), lambda t: text.slug(t["name"]))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda s: F.coalesce(s != "", F.lit(False)))))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.operators import state
 from folioscope.operators.components import connected_components, shared_checkpoint_dir
+from folioscope.operators.ranking import best_before
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import SOURCE_EVENTS, table
@@ -39,8 +40,8 @@ from ranked group by event_key""",
 def late_event_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events of a key arrived after one of a greater ordering tuple."""
     rank = F.struct("source_time", "tie_break_key", "position")
-    before = Window.partitionBy("event_key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = roles.source_events(spark, sf_dir).select("event_key", "event_id", rank.alias("r")).withColumn("best", F.max("r").over(before))
+    events = roles.source_events(spark, sf_dir).select("event_key", "event_id", rank.alias("r"))
+    seen = best_before(events, ["event_key"], "event_id", "r", 4096, "best")
     return seen.groupBy("event_key").agg(F.count("*").alias("events"), F.count_if(F.col("r") < F.col("best")).alias("late"))
 
 

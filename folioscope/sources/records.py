@@ -2,7 +2,8 @@
 
 Every reader has an explicit schema and gives rows of one shape:
 source, record_id, doi, identifiers, title, published, authors, issns, urls, retracted, updated_at,
-raw, raw_hash; identifiers are (scheme, value), in every controlled scheme.
+abstract, work_type, topics, citations, licenses, venue, raw, raw_hash; identifiers are (scheme, value),
+in every controlled scheme.  What a source doesn't tell is null.
 Network access is left to whoever brings the files; a page of an interface is a file here.
 """
 
@@ -11,22 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import identifiers, text
+from folioscope.functions import documents, identifiers, text
+from folioscope.operators import venues
 
 OPENALEX_WORK = (
     "id string, doi string, title string, display_name string, publication_date string, created_date string, updated_date string, "
     "abstract_inverted_index map<string,array<int>>, authorships array<struct<author:struct<id:string,display_name:string,orcid:string>,"
     "institutions:array<struct<id:string,display_name:string,ror:string>>>>, topics array<struct<id:string,display_name:string,score:double>>, "
     "cited_by_count int, is_retracted boolean, ids struct<openalex:string,doi:string,arxiv:string,pmid:string,pmcid:string>, "
-    "locations array<struct<landing_page_url:string,pdf_url:string,license:string>>"
+    "type string, primary_location struct<license:string,license_id:string,source:struct<display_name:string,type:string,issn:array<string>>>, best_oa_location struct<license:string,license_id:string>, "
+    "locations array<struct<landing_page_url:string,pdf_url:string,license:string,license_id:string>>"
 )
 CROSSREF_ITEM = (
     "DOI string, type string, title array<string>, author array<struct<given:string,family:string,name:string,ORCID:string>>, "
     "`container-title` array<string>, ISSN array<string>, published struct<`date-parts`:array<array<int>>>, "
-    "indexed struct<`date-time`:string>, abstract string, `update-to` array<struct<DOI:string,type:string,label:string>>"
+    "`is-referenced-by-count` long, license array<struct<URL:string>>, indexed struct<`date-time`:string>, abstract string, `update-to` array<struct<DOI:string,type:string,label:string>>"
 )
 PUBMED_ARTICLE = (
-    "MedlineCitation struct<PMID:string, Article:struct<ArticleTitle:string, Journal:struct<ISSN:string, JournalIssue:struct<PubDate:struct<Year:string,Month:string,Day:string,MedlineDate:string>>>,"
+    "MedlineCitation struct<PMID:string, Article:struct<ArticleTitle:string, Abstract:struct<AbstractText:array<string>>, Journal:struct<Title:string, ISSN:string, JournalIssue:struct<PubDate:struct<Year:string,Month:string,Day:string,Season:string,MedlineDate:string>>>,"
     "AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,CollectiveName:string>>>, PublicationTypeList:struct<PublicationType:array<string>>>>, "
     "PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
 )
@@ -34,7 +37,9 @@ METRICS = "title string, issn_l string, issn string, eissn string, metric_year i
 
 
 def _shape(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
-    names = ("record_id", "doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "updated_at")
+    absent = {"topics": "array<struct<id:string,name:string,score:double>>", "licenses": "array<struct<name:string,id:string,path:string>>", "citations": "long", "venue": "struct<kind:string,name:string>", "abstract": "string", "work_type": "string"}
+    columns = {**{n: F.lit(None).cast(kind) for n, kind in absent.items()}, **columns}
+    names = ("record_id", "doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "updated_at", *absent)
     return rows.select(F.lit(source).alias("source"), *(columns[n].alias(n) for n in names), F.col("raw"), F.sha2("raw", 256).alias("raw_hash"))
 
 
@@ -75,8 +80,15 @@ def openalex(spark: SparkSession, path: str) -> DataFrame:
         title=text.collapse_space(F.coalesce("r.title", "r.display_name")),
         published=text.partial_date(*(F.try_to_number(F.substring("r.publication_date", a, n), F.lit("9" * n)).cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))),
         authors=F.transform("r.authorships", lambda a: a["author"]["display_name"]),
-        issns=F.array().cast("array<string>"),
+        issns=F.coalesce(F.array_distinct(F.filter(F.transform("r.primary_location.source.issn", identifiers.issn), lambda x: x.isNotNull())), F.array().cast("array<string>")),
         urls=code,
+        abstract=text.inverted_index_text(F.col("r.abstract_inverted_index")),
+        work_type=F.col("r.type"),
+        # scores outside 0 to 1 aren't scores
+        topics=F.transform(F.filter("r.topics", lambda t: text.in_range(t["score"])), lambda t: F.struct(identifiers.openalex_entity(t["id"], "T").alias("id"), t["display_name"].alias("name"), t["score"].alias("score"))),
+        citations=F.col("r.cited_by_count").cast("long"),
+        licenses=text.licenses([("$.primary_location", F.col("r.primary_location")), ("$.best_oa_location", F.col("r.best_oa_location"))], [("$.locations", F.col("r.locations"))]),
+        venue=F.when(F.col("r.primary_location.source").isNotNull(), F.struct(venues.venue_type(F.col("r.primary_location.source.type")).alias("kind"), F.col("r.primary_location.source.display_name").alias("name"))),
         retracted=F.coalesce("r.is_retracted", F.lit(False)),
         updated_at=F.coalesce(*(F.try_to_timestamp(F.col(c)) for c in ("r.updated_date", "r.created_date", "r.publication_date"))),
     )
@@ -98,6 +110,11 @@ def crossref(spark: SparkSession, path: str) -> DataFrame:
         authors=F.filter(names, lambda n: n.isNotNull()),
         issns=F.array_distinct(F.filter(F.transform("r.ISSN", identifiers.issn), lambda x: x.isNotNull())),
         urls=F.array().cast("array<string>"),
+        abstract=documents.jats_text(F.col("r.abstract")),
+        work_type=F.col("r.type"),
+        citations=F.col("r.is-referenced-by-count"),
+        licenses=F.transform("r.license", lambda x, i: F.struct(F.lit("").alias("name"), x["URL"].alias("id"), F.concat(F.lit("$.license["), i.cast("string"), F.lit("]")).alias("path"))),
+        venue=F.when(F.size("r.container-title") > 0, F.struct(venues.type_of_work(F.col("r.type")).alias("kind"), F.get("r.container-title", F.lit(0)).alias("name"))),
         retracted=F.coalesce(F.exists("r.update-to", lambda u: F.lower(u["type"]) == "retraction"), F.lit(False)),
         updated_at=F.try_to_timestamp(F.col("r.indexed.date-time")),
     )
@@ -127,6 +144,8 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
         authors=F.filter(names, lambda n: n.isNotNull()),
         issns=F.array_compact(F.array(identifiers.issn(F.col("m.Article.Journal.ISSN")))),
         urls=F.array().cast("array<string>"),
+        abstract=F.nullif(text.collapse_space(F.array_join("m.Article.Abstract.AbstractText", " ")), F.lit("")),
+        venue=F.when(F.col("m.Article.Journal.Title").isNotNull(), F.struct(F.lit("journal").alias("kind"), F.col("m.Article.Journal.Title").alias("name"))),
         retracted=F.coalesce(F.array_contains("m.Article.PublicationTypeList.PublicationType", "Retracted Publication"), F.lit(False)),
         updated_at=F.lit(None).cast("timestamp"),
     )

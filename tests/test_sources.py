@@ -9,7 +9,7 @@ from folioscope.sources import records
 from folioscope.sources.generations import Store, revision
 from folioscope.streaming.state_stream import StateTable, follow
 
-WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B"}}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False}
+WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B"}}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False, "type": "article", "cited_by_count": 4, "abstract_inverted_index": {"Tides": [0], "turn": [1]}, "topics": [{"id": "https://openalex.org/T9", "display_name": "Marine Life", "score": 0.9}, {"id": "https://openalex.org/T8", "display_name": "Junk", "score": 7.0}], "primary_location": {"license": "cc-by", "license_id": None, "source": {"display_name": "J", "type": "journal", "issn": ["0378-5955"]}}}
 ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-07-15T23:45:00-04:00"}}
 XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>42</PMID><Article><Journal><ISSN>0378-5955</ISSN><JournalIssue><PubDate><MedlineDate>2025 Nov-Dec</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>Otters in spring</ArticleTitle><AuthorList><Author><LastName>C</LastName><ForeName>D</ForeName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.4321/otters</ArticleId></ArticleIdList></PubmedData></PubmedArticle><DeleteCitation><PMID>7</PMID></DeleteCitation></PubmedArticleSet>"""
 
@@ -39,6 +39,10 @@ def test_two_sources_converge_and_publish(spark, read, tmp_path):
     both = rows["doi:10.4321/harbor.7"]
     assert both["source_names"] == ["crossref", "openalex"] and both["published_at_state"] == "missing" and not both["conflict"]
     assert rows["doi:10.4321/otters"]["lifecycle_status"] == "retracted"
+    assert [s["source"] for s in both["source_provenance"]] == ["crossref", "openalex"] and both["has_data_state"] == "unknown" and both["trend_score_state"] == "missing"
+    alone = publication.papers(publication.works(publication.current_records(publication.events_of(read["openalex"])))).first()
+    assert (alone["abstract_value"], alone["paper_type_value"], alone["citation_count_value"], alone["topic_slugs"]) == ("Tides turn", "research_article", 4, ["marine-life"])
+    assert [tuple(x) for x in alone["licenses"]] == [("cc-by", "", "$.primary_location")] and tuple(alone["venue"]) == ("journal", "J") and "turn" in alone["search_text"]
     store = Store(spark, str(tmp_path / "catalog"))
     first = store.publish(papers, "canonical_key", "v1", "2026-07-16T00:00:00Z")
     assert store.publish(papers.repartition(3), "canonical_key", "v1", "2026-07-17T00:00:00Z") == first == store.current()
