@@ -94,12 +94,16 @@ select method, case when bt = 0 or ct = 0 then 'zero_denominator' else 'ok' end
     ADOPTION,
 )
 def method_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _adoption(spark, sf_dir)
+    status, v = analytics.method_adoption(F.col("ba"), F.col("bt"), F.col("ca"), F.col("ct"))
+    return counts.select("method", status.alias("status"), _shown(v).alias("adoption"))
+
+
+def _adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).alias("before"), (F.col("l_returnflag") == "R").alias("adopted"))
     joined = lines.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("method")), "p_partkey")
     early, adopted = F.col("before"), F.col("adopted")
-    counts = joined.groupBy("method").agg(F.count_if(early).alias("bt"), F.count_if(early & adopted).alias("ba"), F.count_if(~early).alias("ct"), F.count_if(~early & adopted).alias("ca"))
-    status, v = analytics.method_adoption(F.col("ba"), F.col("bt"), F.col("ca"), F.col("ct"))
-    return counts.select("method", status.alias("status"), _shown(v).alias("adoption"))
+    return joined.groupBy("method").agg(F.count_if(early).alias("bt"), F.count_if(early & adopted).alias("ba"), F.count_if(~early).alias("ct"), F.count_if(~early & adopted).alias("ca"))
 
 
 @query(
@@ -153,6 +157,35 @@ def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("slug", "before", "now", (F.col("before") - F.col("now")).alias("change"))
 
 
+@query(
+    """
+with c as (select distinct p.paper_id, slug, citation_count_value as v, paper_type_value as t, strftime(published_at_value, '%Y-%m') as m from papers p join topics o on p.paper_id = o.paper_id
+        where citation_count_state = 'known' and paper_type_state = 'known' and published_at_state = 'known' and lifecycle_status = 'active'),
+    r as (select paper_id, slug, count(*) over (partition by slug, t, m order by v range between unbounded preceding and current row) - 1 as below, count(*) over (partition by slug, t, m) - 1 as others from c)
+select paper_id, slug, others as cohort_size, case when others > 0 then round(cast(below * 100 as double) / others, 6) else -999.0 end as percentile from r""",
+    PAPERS,
+    TOPICS,
+)
+def citation_percentile_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``citation_percentile`` in cohorts of topic, month and type; a paper has one for each topic."""
+    rows = roles.papers(spark, sf_dir).where("citation_count_state = 'known' and paper_type_state = 'known' and published_at_state = 'known' and lifecycle_status = 'active'")
+    rows = rows.select("paper_id", F.col("citation_count_value").alias("v"), F.col("paper_type_value").alias("t"), F.date_format("published_at_value", "yyyy-MM").alias("m"))
+    about = roles.topics(spark, sf_dir).select("paper_id", "slug").distinct()
+    return analytics.citation_percentile(rows.join(about, "paper_id"), ["slug", "t", "m"], "v").select("paper_id", "slug", "cohort_size", _shown(F.col("percentile")).alias("percentile"))
+
+
+@query("select method, ca - ba as score, row_number() over (order by ca - ba desc, method) as rank from adoption", ADOPTION)
+def trend_rank_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods by how many more adopt them than before."""
+    return placed(_adoption(spark, sf_dir).select("method", (F.col("ca") - F.col("ba")).alias("score")), [F.desc("score"), F.asc("method")], "rank")
+
+
+@query("with r as (select method, row_number() over (order by ca - ba desc, method) as rank from adoption) select method, rank from r where rank > 5 and rank <= 16", ADOPTION)
+def trend_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a ranking after a place, and one row more."""
+    return trend_rank_methods(spark, sf_dir).where("rank > 5").orderBy("rank").limit(11).select("method", "rank")
+
+
 SIGNALS = """
 signals as (
     select p_type as topic, count(*) as n, round(avg(l_discount) * 10 - 0.25, 4) as growth, round(avg(case when l_returnflag = 'N' then 1.0 else 0.0 end), 4) as density,

@@ -257,14 +257,15 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-select count(*) as input, count(*) filter (event_type = 'purchase') as projected, count(*) filter (event_type = 'error') as deleted,
+select count(*) as input, count(*) filter (event_type = 'purchase') as projected, count(*) filter (value > 99) as failed, count(*) filter (event_id % 10 = 0) as raw_events, count(distinct user_id) as normalized, count(*) filter (event_type = 'error') as deleted,
     count(*) filter (event_type not in ('purchase', 'error') and value > 50) as excluded, count(*) filter (event_type not in ('purchase', 'error') and value <= 50) as unchanged
 from events"""
 )
 def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight counters of a job in one pass."""
     kind, value = F.col("event_type"), F.col("value")
     rest = ~kind.isin("purchase", "error")
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("input"), F.count_if(kind == "purchase").alias("projected"), F.count_if(kind == "error").alias("deleted"), F.count_if(rest & (value > 50)).alias("excluded"), F.count_if(rest & (value <= 50)).alias("unchanged"))
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("input"), F.count_if(value > 99).alias("failed"), F.count_if(F.col("event_id") % 10 == 0).alias("raw_events"), F.count_distinct("user_id").alias("normalized"), F.count_if(kind == "purchase").alias("projected"), F.count_if(kind == "error").alias("deleted"), F.count_if(rest & (value > 50)).alias("excluded"), F.count_if(rest & (value <= 50)).alias("unchanged"))
 
 
 @query("select distinct o_custkey from orders intersect select c_custkey from customer where c_acctbal > 5000")
@@ -273,6 +274,13 @@ def identity_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey").intersect(rich)
 
 
+@query("select o_custkey as work_id, list_has_any(list(o_orderpriority), ['1-URGENT', '2-HIGH']) as overlap from orders group by 1")
+def identity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any of a work's values is among those asked for."""
+    asked = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("work_id")).agg(F.arrays_overlap(F.collect_set("o_orderpriority"), asked).alias("overlap"))
+
+
 @query(
     """
 select s_suppkey as id, s_name as name, 'supplier' as source from supplier union all

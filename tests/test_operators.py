@@ -3,7 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import analytics, catalog, jobs, policies, ranking, search, state
+from folioscope.functions import documents
+from folioscope.operators import analytics, catalog, jobs, policies, ranking, search, state, venues
 from folioscope.operators.components import connected_components
 from folioscope.plans import state_queries
 
@@ -196,3 +197,25 @@ def test_statuses(spark):
     allowed = lambda a, b: one(spark, state.allowed_transition(F.lit(a), F.lit(b)))[0]
     assert allowed("active", "rejected") and allowed("superseded", "superseded")
     assert not allowed("rejected", "active") and not allowed("active", "deleted") and not allowed("deleted", "deleted")
+
+
+def test_stems_may_be_stored(spark):
+    df = spark.createDataFrame([("Rights reserved by all authors",), ("",), (None,)], "t string").withColumn("s", search.stems(F.col("t")))
+    q = 'author "right reserv"'
+    rows = df.select(search.matches(F.col("t"), q).alias("a"), search.stored_matches(F.col("s"), q).alias("b"), search.relevance(F.col("t"), q).eqNullSafe(search.stored_relevance(F.col("s"), q)).alias("c")).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in rows] == [(True, True, True), (False, False, True), (False, False, True)]
+
+
+def test_aliases_are_planned_once_and_got(spark):
+    rows = [("v1", " Nature ", "jcr"), ("v1", "Nature", "jcr"), ("v2", "Cell", "jcr"), ("v2", " ", "jcr"), ("v3", "X", "other")]
+    plan = venues.alias_plan(spark.createDataFrame(rows, "venue_id string, alias string, source string"), " jcr ")
+    assert sorted((r["key"], r["problem"]) for r in plan.collect()) == [("2:v1:6:Nature:3:jcr", None), ("2:v2:0::3:jcr", "blank"), ("2:v2:4:Cell:3:jcr", None), ("2:v3:1:X:5:other", "source")]
+    locks = [r["lock"] for r in plan.collect()]
+    assert locks == sorted(locks) and all(-(2**31) <= x < 2**31 for x in locks)
+    stored = spark.createDataFrame([("2:v1:6:Nature:3:jcr", 9)], "key string, alias_id long")
+    assert {r["key"]: r["alias_id"] for r in venues.aliases_got(plan, stored).collect()} == {"2:v1:6:Nature:3:jcr": 9, "2:v2:4:Cell:3:jcr": None}
+
+
+def test_json_values_are_compared_whatever_their_order(spark):
+    same = lambda a, b: one(spark, documents.same_json(F.lit(a), F.lit(b)))[0]
+    assert same('{"a": 1, "b": [2]}', '{"b":[2],"a":1}') and not same('{"a": 1}', '{"a": 2}') and not same("{", "{")
