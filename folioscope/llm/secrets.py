@@ -52,25 +52,27 @@ def ordinary_identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # the hashes are ranked without the texts
     last = rows.select(order.alias("o")).orderBy("o").limit(texts).agg(F.max("o")).first()[0]
     drawn = rows.select("t", order.alias("o")).where(F.col("o") <= F.lit(last))
-    words = drawn.select("o", F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.char_length(w).between(3, 12)).alias("w"))
-
-    def identifier(i: Column) -> Column:
-        three = F.transform(F.slice("w", i, F.lit(3)), F.lower)
-        number = F.pmod(F.xxhash64("o", i), F.lit(2000)).cast("string")
-        forms = (
-            F.concat(F.array_join(three, "_"), F.lit("_"), number),
-            F.concat(F.array_join(F.transform(three, F.initcap), ""), number),
-            F.concat(F.array_join(three, "-"), F.lit("-"), number),
-            F.concat(F.array_join(three, "/"), F.lit("/"), number),
-            F.upper(F.concat(F.array_join(three, "_"), number)),
-        )
-        return F.element_at(F.array(*forms), (F.pmod(F.xxhash64(i, "o"), F.lit(len(forms))) + 1).cast("int"))
-
-    step = F.greatest(F.lit(1), F.floor((F.size("w") - 2) / each)).cast("int")
-    places = F.slice(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)), step), F.lit(1), F.lit(each))
-    # the identifiers leave before the rows multiply, so that no text's words are copied
-    made = words.select(F.when(F.size("w") >= 3, F.transform(places, identifier)).alias("made"))
-    return made.select(F.explode("made").alias("text"), F.lit(False).alias("random"))
+
+    def made(w: Column) -> Column:
+        def identifier(i: Column) -> Column:
+            three = F.transform(F.slice(w, i, F.lit(3)), F.lower)
+            number = F.pmod(F.xxhash64("o", i), F.lit(2000)).cast("string")
+            forms = (
+                F.concat(F.array_join(three, "_"), F.lit("_"), number),
+                F.concat(F.array_join(F.transform(three, F.initcap), ""), number),
+                F.concat(F.array_join(three, "-"), F.lit("-"), number),
+                F.concat(F.array_join(three, "/"), F.lit("/"), number),
+                F.upper(F.concat(F.array_join(three, "_"), number)),
+            )
+            return F.element_at(F.array(*forms), (F.pmod(F.xxhash64(i, "o"), F.lit(len(forms))) + 1).cast("int"))
+
+        step = F.greatest(F.lit(1), F.floor((F.size(w) - 2) / each)).cast("int")
+        places = F.slice(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)), step), F.lit(1), F.lit(each))
+        return F.when(F.size(w) >= 3, F.transform(places, identifier))
+
+    # a text is taken apart once, and its identifiers leave before the rows multiply
+    words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.char_length(w).between(3, 12))
+    return drawn.select(F.explode(spans.let(words, made)).alias("text"), F.lit(False).alias("random"))
 
 
 def labelled_sample(spark: SparkSession, size: int = 4000) -> DataFrame:
