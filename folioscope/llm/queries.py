@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddedup, htmltext, langid, mixing, pii, secrets, spans
+from folioscope.llm import embeddedup, filteraudit, htmltext, langid, mixing, pii, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -89,6 +89,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, F.col("words"), max_repeats=2.0).select("doc_id", "source", "mix_tokens", "mix_pass", "mix_end")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -143,5 +148,43 @@ ranked as (
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
     from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+    "op13_filter_audit": """
+with read as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+        [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as words
+    from documents),
+told as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1),
+judged as (
+    select part, n_fails, coalesce(quality, 0) = 1 as good, coalesce(toxic, 0) = 1 as bad from (
+        select doc_id, part,
+            (case when len(words) < 50 then 1 else 0 end)
+            + (case when 100 * len(list_distinct(words)) < 65 * len(words) then 2 else 0 end)
+            + (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) then 4 else 0 end)
+            + (case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end)
+            + (case when doc_id > min(doc_id) over (partition by text) then 16 else 0 end) as n_fails
+        from read) left join told using (doc_id)),
+kinds as (select part, n_fails as m, good, bad, count(*) as n from judged group by all),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps as (
+    select filter_order, step, l.bit, coalesce((select sum(p.bit) from letters p where instr(filter_order, p.letter) < step), 0)::bigint as before
+    from orders, range(1, 6) r(step), letters l where l.letter = substr(filter_order, step, 1)),
+counted as (
+    select part, filter_order, step, s.bit,
+        sum(case when m & (before | s.bit) = 0 then n else 0 end) as kept,
+        sum(case when m & before = 0 and m & s.bit <> 0 then n else 0 end) as removed,
+        sum(case when m & before <> 0 and m & s.bit <> 0 then n else 0 end) as redundant,
+        sum(case when m = s.bit then n else 0 end) as unique_fails,
+        sum(case when m & before = 0 and m & s.bit <> 0 and good then n else 0 end) as good_lost,
+        sum(case when m & before = 0 and m & s.bit <> 0 and bad then n else 0 end) as toxic_lost
+    from kinds, steps s group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+    cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+    cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from counted
 """,
 }
