@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddedup, filteraudit, htmltext, langid, mixing, pii, secrets, spans
+from folioscope.llm import embeddedup, filteraudit, htmltext, langid, merkle, mixing, pii, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -89,6 +89,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, F.col("words"), max_repeats=2.0).select("doc_id", "source", "mix_tokens", "mix_pass", "mix_end")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering: half the documents, by crc32 of the id, lose their line feeds."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered={"text": text})
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -148,6 +156,44 @@ ranked as (
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
     from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+    "op12_merkle_manifest": """
+with recursive hashed as (
+    select doc_id, source, text, crc,
+        sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+        case when crc % 2 = 0 and text like '%' || chr(10) || '%' then sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) end as tampered
+    from (
+        select doc_id, source, text,
+            coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+            xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(doc_id::varchar, '')]),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) as crc
+        from documents)),
+placed as (select *, row_number() over (partition by source order by doc_id) - 1 as i, count(*) over (partition by source) as w from hashed),
+tree(source, level, i, h, w) as (
+    select source, 0, i, leaf, w from placed
+    union all
+    select source, level + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((w + 2) // 3) from tree where w > 1 group by source, level, i // 3),
+subroots as (select source, h, row_number() over (order by source nulls first) - 1 as i, count(*) over () as w from tree where w = 1),
+top(level, i, h, w) as (
+    select 0, i, h, w from subroots
+    union all
+    select level + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((w + 2) // 3) from top where w > 1 group by level, i // 3),
+low_runs as (select source, level, i // 3 as j, list(h order by i) as hs from tree where w > 1 group by all),
+top_runs as (select level, i // 3 as j, list(h order by i) as hs from top where w > 1 group by all),
+climb(doc_id, source, level, i, folded, siblings) as (
+    select doc_id, source, 0, i, coalesce(tampered, leaf), '' from placed
+    union all
+    select c.doc_id, c.source, c.level + 1, c.i // 3, sha256(array_to_string(r.hs[: c.i % 3] || [c.folded] || r.hs[c.i % 3 + 2 :], '')), c.siblings || array_to_string(r.hs[: c.i % 3] || r.hs[c.i % 3 + 2 :], '')
+    from climb c join low_runs r on r.source is not distinct from c.source and r.level = c.level and r.j = c.i // 3),
+climbed as (select doc_id, source, arg_max(folded, level) as folded, arg_max(siblings, level) as siblings from climb group by all),
+over_it(doc_id, level, i, folded, siblings) as (
+    select c.doc_id, 0, s.i, c.folded, c.siblings from climbed c join subroots s on s.source is not distinct from c.source
+    union all
+    select c.doc_id, c.level + 1, c.i // 3, sha256(array_to_string(r.hs[: c.i % 3] || [c.folded] || r.hs[c.i % 3 + 2 :], '')), c.siblings || array_to_string(r.hs[: c.i % 3] || r.hs[c.i % 3 + 2 :], '')
+    from over_it c join top_runs r on r.level = c.level and r.j = c.i // 3),
+ended as (select doc_id, arg_max(folded, level) as folded_root, sha256(arg_max(siblings, level)) as proof_sha256 from over_it group by all)
+select p.doc_id, p.leaf, s.h as subroot, t.h as root, proof_sha256, folded_root, folded_root = t.h as verified
+from placed p join ended using (doc_id) join subroots s on s.source is not distinct from p.source cross join (select h from top where w = 1) t
 """,
     "op13_filter_audit": """
 with read as (
