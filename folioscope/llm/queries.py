@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddedup, filteraudit, htmltext, langid, merkle, mixing, pii, secrets, spans
+from folioscope.llm import embeddedup, filteraudit, htmltext, langid, merkle, mixing, pii, postings, secrets, spans
 from folioscope.llm.bpecodec import encode_decode
 from folioscope.llm.minhash import near_duplicates
 from folioscope.llm.tokencount import count_tokens
@@ -89,6 +89,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, F.col("words"), max_repeats=2.0).select("doc_id", "source", "mix_tokens", "mix_pass", "mix_end")
 
 
+def op11_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.approximate_neighbours(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering: half the documents, by crc32 of the id, lose their line feeds."""
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op11_ann_postings": op11_ann_postings,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
