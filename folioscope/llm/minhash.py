@@ -8,7 +8,7 @@ confirmed on the full shingle sets.
 Steps, all of which grow with the documents rather than with pairs of them:
 
 1. signatures of each document, in one vectorised pass over the texts;
-2. documents with equal sets form a class, for which its smallest id stands;
+2. documents with equal sets form a class; what follows links classes, and ids come back last;
 3. a bucket's centre is the member that lies in the fullest buckets.  Each class joins the
    family of the centre that it meets most often, is confirmed against that centre, and
    the confirmed links give first components: a large group of copies costs one comparison
@@ -20,27 +20,44 @@ Steps, all of which grow with the documents rather than with pairs of them:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import families, textscan
 from folioscope.llm.batches import runs, small_batches
 from folioscope.operators.components import checkpointed, connected_components
 
-#: Bands of the signature and values in a band. A pair at similarity 0.85 shares a band but
-#: once in four million.
-BANDS, ROWS = 26, 5
+#: Chance that a pair at the threshold shares no band, and that a pair ``BELOW`` it shares one, at most.
+MISSED, CHANCE, BELOW = 1e-6, 0.125, 0.35
 #: Shingles of the members of one block, of which two are compared at once; a block also
 #: holds ``families.MEMBERS`` members at most, about.
 BLOCK_SHINGLES = 200_000
 #: Members that are compared with a copy of their family's centre.
 STAR = 500
 
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands of the signature, and values in a band, for links at ``percent`` or more.
+
+    Two sets of similarity s share one of b bands of r values with the chance 1 - (1 - s**r)**b.
+    These are the fewest values for which some number of bands keeps both bounds above.  At 85,
+    53 bands of 9: a pair at 0.85 is missed once in a million, and one at 0.5 meets in 10 % of
+    cases (0.4: 1 %).  At 80, 76 bands of 8: 0.8 once in a million; 0.45 meets in 12 %.
+    """
+    s = percent / 100
+    for rows in range(1, 64):
+        bands = max(1, math.ceil(math.log(MISSED) / math.log1p(-(s**rows)))) if s < 1 else 1
+        if 1 - (1 - max(0.0, s - BELOW) ** rows) ** bands <= CHANCE:
+            break
+    return bands, rows
+
+
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -116,8 +133,8 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int)
 
 
 def _sketch(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, digest, digest2, keys) for each row; keys are those of the bands."""
-    schema = "id long, n_shingles long, digest long, digest2 long, keys array<long>"
+    """(id, print, n_shingles, digest, digest2, keys) for each row; ``print`` is that of its text, keys those of the bands."""
+    schema = "id long, print long, n_shingles long, digest long, digest2 long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,21 +153,26 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, r
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array(sizes),
                         pa.array(digests[0].view(np.int64)),
                         pa.array(digests[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(key_at), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    names=["id", "n_shingles", "digest", "digest2", "keys"],
+                    names=["id", "print", "n_shingles", "digest", "digest2", "keys"],
                 )
 
-    return small_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
+    return small_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _print(text_col).alias("print"))).mapInArrow(run, schema)
+
+
+def _print(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the documents whose ids are in column ``node`` of ``wanted``."""
-    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where(_HAS_WORD)
-    return families.merged(docs, wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    """(node, text) of classes (node, id, print), of which each is a row's."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), _print(text_col).alias("print"), F.col(text_col).cast("string").alias("text")).where(_HAS_WORD)
+    return families.merged(docs, wanted, ["id", "print"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
 #: A text with a word in it.
@@ -249,30 +271,47 @@ def _compare_blocks(shipped: DataFrame, words: int, percent: int) -> DataFrame:
     return small_batches(shipped.select("unit", "side", "component", "text")).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _of_one_id(full: DataFrame, classes: DataFrame, digest: list[str]) -> DataFrame:
+    """(a, b): links between the classes of ids that have several texts."""
+    sets = F.struct(*digest)
+    several = full.groupBy("id").agg(F.min(sets).alias("least"), F.max(sets).alias("most")).where("least <> most").select("id")
+    rows = families.merged(full.select("id", *digest), several, "id", "left_semi").distinct()
+    rows = families.merged(rows, classes.select("node", *digest), digest).select("id", "node")
+    first = rows.groupBy("id").agg(F.min("node").alias("first"))
+    return families.merged(rows, first, "id").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """Rows (``id_col``, ``n_shingles``, ``component_id``, ``kept``), one for each input row.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets;
     ``component_id`` is the smallest id reachable over links, itself included, and ``kept``
     tells whether that is the row's own id.  A null or empty text, or one of white space
-    only, has no shingles and is linked with nothing.  Rows that share an id count as one
-    document with several texts.  A row without an id takes no part: its component is null
-    and it isn't kept.  An empty table gives an empty one; other columns, whatever their
-    names, are not read.  Texts are read whole, whatever their length.
+    only, has no shingles and is linked with nothing.  Rows that share an id are one document
+    with several texts: whatever any of them is linked with, all rows of the id have one
+    component.  A row without an id takes no part: its component is null and it isn't kept.
+    An empty table gives an empty one; other columns, whatever their names, are not read.
+    Texts are read whole, whatever their length.  Without ``bands`` and ``rows``, ``banding``
+    chooses them.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     sketch = checkpointed(_sketch(df, id_col, text_col, words, bands, rows))
     digest = ["n_shingles", "digest", "digest2"]
     full = sketch.where("n_shingles > 0 and id is not null")
-    classes = checkpointed(full.groupBy(*digest).agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
+    # a class is told by its set, not by an id: an id may have several texts
+    classes = full.groupBy(*digest).agg(F.min(F.struct("id", "print")).alias("own"), F.first("keys").alias("keys"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), *digest, "own", "keys"))
     slots = families.meeting_slots(classes.select("node", F.explode("keys").alias("key")))
     family = families.families(slots)
-    texts = checkpointed(_texts(df, id_col, text_col, family.select("node")))
+    wanted = families.merged(classes.select("node", "own.*"), family.select("node"), "node", "left_semi")
+    texts = checkpointed(_texts(df, id_col, text_col, wanted))
 
     stars = families.merged(families.stars(family, STAR), texts, "node")
     links = checkpointed(_stars(stars.repartition("unit").sortWithinPartitions("unit", "side"), words, percent))
 
     gathered = links.select(F.col("a").alias("node"), F.lit(True).alias("linked"))
-    member = families.merged(families.merged(family, gathered, "node", "left"), full.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
+    member = families.merged(families.merged(family, gathered, "node", "left"), classes.select("node", F.col("n_shingles").alias("n")), "node")
     member = member.withColumn("in_main", F.coalesce("linked", F.col("node") == F.col("family")))
     component = F.when(F.col("in_main"), F.col("family")).otherwise(F.col("node"))
     member = checkpointed(member.select("node", "n", "family", "in_main", F.col("family").alias("main"), component.alias("component")))
@@ -283,8 +322,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shipped = shipped.select("unit", "side", "component", "text").repartition("unit").sortWithinPartitions("unit", "side")
     more = checkpointed(_compare_blocks(shipped, words, percent))
 
-    component = connected_components(links.union(more))
-    labelled = families.merged(classes.select(*digest, "node"), component, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in digest), F.coalesce("component", "node").alias("component_id"))
-    out = sketch.select("id", *digest).join(labelled.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in digest], "left")
-    component_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
+    component = connected_components(links.union(more).union(_of_one_id(full, classes, digest)))
+    linked = families.merged(classes.select("node", F.col("own.id").alias("first_id")), component, "node")
+    least = families.merged(linked, linked.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")
+    labelled = families.merged(classes.select("node", *digest, F.col("own.id").alias("first_id")), least, "node", "left")
+    labelled = labelled.select(*(F.col(c).alias(f"_{c}") for c in digest), F.coalesce("component_id", "first_id").alias("component_id"))
+    found = full.select("id", *digest).join(labelled.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in digest]).select("id", "n_shingles", "component_id")
+    bare = sketch.where("n_shingles = 0 or id is null").select("id", "n_shingles")
+    # an empty text may stand beside others of its id
+    beside = families.merged(found.select("id", "component_id"), bare.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    bare = families.merged(bare, beside, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    out = found.union(bare)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

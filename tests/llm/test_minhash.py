@@ -36,6 +36,25 @@ def brute(rows, words, percent):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
+def brute_ids(rows, words, percent):
+    """Sorted (id, size, component, kept) of rows whose ids may have several texts."""
+    sets = [shingles(t, words) for _, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return sorted((i, len(s), root(i), root(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+
+
 def results(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
 
@@ -135,3 +154,35 @@ def test_joining_keeps_components_with_few_pairs():
 def test_meeting_slots_drop_lone_keys(spark):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "node long, key long")
     assert {r["node"] for r in families.meeting_slots(df).collect()} == {1, 2}
+
+
+def test_bands_keep_their_bounds():
+    for percent, shape in ((85, (53, 9)), (80, (76, 8))):
+        bands, rows = minhash.banding(percent)
+        shared = lambda s: 1 - (1 - s**rows) ** bands  # noqa: E731, B023
+        assert (bands, rows) == shape
+        assert 1 - shared(percent / 100) <= 1e-6 and shared(percent / 100 - 0.35) <= 0.125
+    assert minhash.banding(100)[0] == 1 and minhash.banding(20)[1] >= 1
+
+
+def test_no_text_of_an_id_is_lost(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(200)) for k in "abcd")
+    rows = [(1, a), (1, b), (2, b + " tail"), (5, c), (5, d), (3, d), (7, ""), (7, c + " end"), (9, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found) == brute_ids([*rows], 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3, 5: 3, 7: 3, 9: 9}
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    random.seed(11)
+    words = [f"w{i}" for i in range(400)]
+    origins = [random.choices(words, k=60) for _ in range(25)]
+    rows = []
+    for _ in range(300):
+        text = list(random.choice(origins))
+        for _ in range(random.choice([0, 0, 1, 2, 4])):
+            text[random.randrange(60)] = random.choice(words)
+        rows.append((random.randrange(200), random.choice([" ".join(text), " ".join(text), " ".join(random.choices(words, k=40)), "", None])))
+    rows += rows[:20]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found) == brute_ids(rows, 3, 85)
