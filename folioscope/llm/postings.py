@@ -12,8 +12,10 @@ Steps:
 2. Centroids are means of balanced cells: halves at the median between two means, again and
    again.  A first fit on a bounded sample cuts the space into cells; each cell is cut further
    by a task of its own on a bounded sample of its own.
-3. Lists are balanced twice: by the fit, and by cutting a list, and its queries, into units
-   of bounded size, which are searched apart.
+3. Lists are balanced twice: by the fit, and by units of bounded size.  Neighbouring short
+   lists make a shelf, in which a vector is stored once whatever lists it is in; a long list is
+   a shelf of several parts.  A query goes once to a shelf of which it searches lists, and each
+   shelf gives it no more than its best.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ COPIES, BOUNDARY = 8, 0.15
 RATIO = 0.15
 #: Neighbours of a centroid in the graph, and places where a walk begins.
 NEIGHBOURS, ENTRIES = 24, 16
-#: Queries and vectors of a unit.
-QUERIES, VECTORS = 1024, 16_384
+#: Queries of a unit, and numbers of its vectors.
+QUERIES, UNIT = 1024, 1 << 20
+#: Numbers that a short vector counts for at least.
+LEAST = 32
 #: Distances that a walk keeps at once.
 HELD = 1 << 22
 
@@ -136,9 +140,10 @@ class Graph:
 
 
 class Model(NamedTuple):
-    """For each length of vectors with several lists, their graph; list k has the key (length, k)."""
+    """For each length of vectors with several lists, their graph and how many lists make a shelf."""
 
     graphs: dict[int, Graph]
+    shelves: dict[int, int]
 
     def stored(self, vectors: np.ndarray) -> list[list[int]]:
         """Lists of each vector, the nearest first."""
@@ -177,7 +182,7 @@ def _fit(classes: DataFrame) -> Model:
     wanted = F.least(F.floor(F.col("n") / LIST), F.floor(F.lit(NUMBERS) * (F.col("n") / total) / F.col("d")))
     counts = {r["d"]: (r["n"], int(r["lists"])) for r in lengths.withColumn("lists", wanted).where("lists > 1").collect()} if total else {}
     if not counts:
-        return Model({})
+        return Model({}, {})
     drawn = F.xxhash64("v", F.lit("sample")) / F.lit(2.0**63)
     rows = classes.where(F.size("v").isin(list(counts))).select(F.size("v").alias("d"), "v", F.abs(drawn).alias("u"))
     first = {d: math.isqrt(lists - 1) + 1 for d, (n, lists) in counts.items()}
@@ -205,7 +210,8 @@ def _fit(classes: DataFrame) -> Model:
     more = rows.where((F.col("u") < of(lambda d: PER_CENTROID * counts[d][1] / counts[d][0])) & F.col("d").isin(list(tops)))
     found = small_batches(more.select("v")).mapInArrow(placed, "d int, cell int, v array<double>").groupBy("d", "cell").applyInArrow(fine, schema).collect()
     found.sort(key=lambda r: (r["d"], r["cell"]))
-    return Model({d: Graph(np.array([r["centroid"] for r in found if r["d"] == d], dtype=np.float32)) for d in {r["d"] for r in found}})
+    graphs = {d: Graph(np.array([r["centroid"] for r in found if r["d"] == d], dtype=np.float32)) for d in {r["d"] for r in found}}
+    return Model(graphs, {d: max(1, int(UNIT / max(d, LEAST) / (COPIES * counts[d][0] / len(g.centroids)))) for d, g in graphs.items()})
 
 
 def _centroid_table(d: int, cell: int, centroids: np.ndarray) -> pa.Table:
@@ -223,32 +229,56 @@ def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Reco
             yield d, own, matrix(own.column("v"))
 
 
-def _listed(rows: DataFrame, lists_of) -> DataFrame:
-    """(d, list, node) of rows (node, v): a row for each list that ``lists_of`` gives a vector."""
+def _listed(rows: DataFrame, lists_of, shelves: dict[int, int]) -> DataFrame:
+    """(d, shelf, node, lists, nearest) of rows (node, v): a row for each shelf that holds lists of a vector.
+
+    ``nearest`` is the first of a vector's lists, on one of its rows; -1 on others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, own, x in _by_length(batches):
-            lists = lists_of(x)
-            times = np.array([len(k) for k in lists])
-            nodes = np.repeat(own.column("node").to_numpy(), times)
-            first = np.concatenate([np.arange(t) == 0 for t in times])
-            yield pa.RecordBatch.from_arrays([pa.array([d] * len(nodes), pa.int32()), pa.array([j for k in lists for j in k], pa.int32()), pa.array(nodes), pa.array(first)], names=["d", "list", "node", "nearest"])
+            out: list[tuple[int, int, list[int], int]] = []
+            per = shelves.get(d, 1)
+            for node, lists in zip(own.column("node").to_pylist(), lists_of(x), strict=True):
+                by_shelf: dict[int, list[int]] = {}
+                for k in lists:
+                    by_shelf.setdefault(k // per, []).append(k)
+                out += [(shelf, node, held, held[0] if held[0] == lists[0] else -1) for shelf, held in by_shelf.items()]
+            shelf, nodes, held, nearest = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(out), pa.int32()), pa.array(shelf, pa.int32()), pa.array(nodes, pa.int64()), pa.array(held, pa.list_(pa.int32())), pa.array(nearest, pa.int32())], names=["d", "shelf", "node", "lists", "nearest"])
+
+    return small_batches(rows.select("node", "v")).mapInArrow(run, "d int, shelf int, node long, lists array<int>, nearest int")
 
-    return small_batches(rows.select("node", "v")).mapInArrow(run, "d int, list int, node long, nearest boolean")
 
+def _incidence(lists: pa.ChunkedArray, low: int, count: int) -> np.ndarray:
+    """Which rows have which of the lists from ``low``: shape (rows, lists)."""
+    lists = lists.combine_chunks()
+    out = np.zeros((len(lists), count), dtype=np.float32)
+    out[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() - low] = 1
+    return out
 
-def nearest(queries: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of the ``keep`` nearest vectors of each query, and of ties with the last."""
+
+def nearest(queries: np.ndarray, vectors: np.ndarray, keep: int, asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the ``keep`` nearest vectors of each query, and of ties with the last.
+
+    ``asked`` and ``held`` tell which lists the queries search and the vectors are in; only
+    vectors of searched lists count.
+    """
     rows, columns, distances = [], [], []
     scale = max(float((queries * queries).sum(axis=1).max()), float((vectors * vectors).sum(axis=1).max()))
-    for a in range(0, len(queries), 256):
-        square = _squares(queries[a : a + 256], vectors)
+    order = np.lexsort(asked.T)
+    for a in range(0, len(queries), 128):
+        block = order[a : a + 128]
+        # queries of like lists stand together, and vectors of no list of theirs are passed over
+        those = np.flatnonzero(held[:, asked[block].any(axis=0)].any(axis=1))
+        searched = asked[block] @ held[those].T > 0
+        square = np.where(searched, _squares(queries[block], vectors[those]), np.inf)
         bound = np.partition(square, keep - 1, axis=1)[:, keep - 1 : keep] if square.shape[1] > keep else np.full((len(square), 1), np.inf)
         # products lose digits that differences keep
-        r, c = np.nonzero(square <= bound + scale * queries.shape[1] * 1e-14)
-        gap = queries[a + r] - vectors[c]
-        rows.append(a + r)
-        columns.append(c)
+        r, c = np.nonzero(searched & (square <= bound + scale * queries.shape[1] * 1e-14))
+        gap = queries[block[r]] - vectors[those[c]]
+        rows.append(block[r])
+        columns.append(those[c])
         distances.append(np.sqrt((gap * gap).sum(axis=1)))
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(distances)
 
@@ -258,12 +288,14 @@ def _search(units: DataFrame, keep: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches):
-            side, nodes, vectors = unit.column(1).to_numpy(), unit.column(2).to_numpy(), matrix(unit.column(3))
+            side, nodes, vectors = unit.column(1).to_numpy(), unit.column(2).to_numpy(), matrix(unit.column(4))
             if (side == 0).any() and (side == 1).any():
-                q, c, score = nearest(vectors[side == 0], vectors[side == 1], keep)
+                every = unit.column(3).combine_chunks().flatten().to_numpy()
+                held = _incidence(unit.column(3), int(every.min()), int(every.max() - every.min()) + 1)
+                q, c, score = nearest(vectors[side == 0], vectors[side == 1], keep, held[side == 0], held[side == 1])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[side == 0][q]), pa.array(nodes[side == 1][c]), pa.array(score)], names=["query", "node", "score"])
 
-    return small_batches(units.select("unit", "side", "node", "v")).mapInArrow(run, "query long, node long, score double")
+    return small_batches(units.select("unit", "side", "node", "lists", "v")).mapInArrow(run, "query long, node long, score double")
 
 
 def approximate_neighbours(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ratio: float = RATIO) -> DataFrame:
@@ -293,23 +325,24 @@ def approximate_neighbours(df: DataFrame, is_query: str, k: int = 10, id_col: st
     asked = checkpointed(families.merged(asked, classes.select("node", "h1", "h2"), ["h1", "h2"]).select(F.col("id").alias("query_id"), F.col("node").alias("query")))
 
     model = _fit(classes)
-    stored = checkpointed(_listed(classes, model.stored))
+    stored = checkpointed(_listed(classes, model.stored, model.shelves))
     # lists of lengths with centroids are as many as centroids
     sizes = {d: np.zeros(len(g.centroids), dtype=np.int64) for d, g in model.graphs.items()}
     if sizes:
-        for r in stored.where(F.col("nearest") & F.col("d").isin(list(sizes))).groupBy("d", "list").agg(F.count("*").alias("n")).collect():
-            sizes[r["d"]][r["list"]] = r["n"]
+        for r in stored.where((F.col("nearest") >= 0) & F.col("d").isin(list(sizes))).groupBy("d", "nearest").agg(F.count("*").alias("n")).collect():
+            sizes[r["d"]][r["nearest"]] = r["n"]
     asking = classes.join(asked.select(F.col("query").alias("node")).distinct().hint("merge"), "node", "left_semi")
-    probes = checkpointed(_listed(asking, lambda x: model.searched(x, ratio, keep, sizes)))
+    probes = checkpointed(_listed(asking, lambda x: model.searched(x, ratio, keep, sizes), model.shelves))
 
-    cut = probes.groupBy("d", "list").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-    cut = checkpointed(families.merged(stored.groupBy("d", "list").agg(F.ceil(F.count("*") / VECTORS).alias("parts")), cut, ["d", "list"]))
+    place = ["d", "shelf"]
+    cut = probes.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    cut = checkpointed(families.merged(stored.groupBy(*place).agg(F.ceil(F.count("*") * F.greatest("d", F.lit(LEAST)) / UNIT).alias("parts")), cut, place))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    side0 = families.merged(probes, cut, ["d", "list"]).select("d", "list", dealt("blocks").alias("block"), upto("parts").alias("part"), F.lit(0).alias("side"), "node")
-    side1 = families.merged(stored, cut, ["d", "list"]).select("d", "list", upto("blocks").alias("block"), dealt("parts").alias("part"), F.lit(1).alias("side"), "node")
+    side0 = families.merged(probes, cut, place).select(*place, dealt("blocks").alias("block"), upto("parts").alias("part"), F.lit(0).alias("side"), "node", "lists")
+    side1 = families.merged(stored, cut, place).select(*place, upto("blocks").alias("block"), dealt("parts").alias("part"), F.lit(1).alias("side"), "node", "lists")
     shipped = families.merged(side0.union(side1), classes.select("node", "v"), "node")
-    units = shipped.select(F.xxhash64("d", "list", "block", "part").alias("unit"), "side", "node", "v")
+    units = shipped.select(F.xxhash64(*place, "block", "part").alias("unit"), "side", "node", "lists", "v")
     found = _search(units.repartition("unit").sortWithinPartitions("unit", "side"), keep)
 
     once = found.groupBy("query", "node").agg(F.min("score").alias("score"))

@@ -67,7 +67,7 @@ def test_recall_of_vectors_without_structure(spark):
 
 
 def test_clusters_copies_and_ties(spark, clustered, monkeypatch):
-    monkeypatch.setattr(postings, "VECTORS", 40)
+    monkeypatch.setattr(postings, "UNIT", 40 * 24)
     monkeypatch.setattr(postings, "QUERIES", 3)
     monkeypatch.setattr(postings, "LIST", 16)
     df = spark.createDataFrame(clustered, SCHEMA).repartition(4)
