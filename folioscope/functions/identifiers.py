@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,14 +83,21 @@ def pmcid(raw: Column) -> Column:
     return _if(v.rlike(r"^PMC[1-9][0-9]*$"), v)
 
 
-def _digits(v: Column, count: int) -> list[Column]:
-    return [F.when(F.substring(v, i + 1, 1) == "X", 10).otherwise(F.try_to_number(F.substring(v, i + 1, 1), F.lit("9")).cast("int")) for i in range(count)]
+def _check_value(c: Column) -> Column:
+    """The value of a digit, of which X is 10."""
+    return F.when(c == "X", 10).otherwise(c.try_cast("int"))
+
+
+def _folded(v: Column, begin: int, step: Callable[[Column, Column], Column]) -> Column:
+    """The characters of ``v`` taken in one after the other."""
+    return F.aggregate(F.split(v, ""), F.lit(begin), lambda total, c: step(total, _check_value(c)))
 
 
 def issn(raw: Column) -> Column:
     """``NNNN-NNNC``, hyphen included, with a valid check digit (weights 8 to 2, modulo 11)."""
     v = F.upper(trim_space(raw))
-    total = sum((d * (8 - i) for i, d in enumerate(_digits(F.replace(v, F.lit("-"), F.lit("")), 8))), F.lit(0))
+    digits = F.split(F.replace(v, F.lit("-"), F.lit("")), "")
+    total = F.aggregate(F.transform(digits, lambda c, i: _check_value(c) * (8 - i)), F.lit(0), lambda a, b: a + b)
     return _if(F.when(v.rlike(r"^[0-9]{4}-[0-9]{3}[0-9X]$"), total % 11 == 0).otherwise(False), v)
 
 
@@ -101,12 +110,9 @@ def openalex_entity(raw: Column, prefix: str) -> Column:
 def orcid(raw: Column) -> Column:
     """Four groups of four, without address, with a valid ISO 7064 mod 11-2 check character."""
     v = F.upper(F.regexp_replace(trim_space(raw), r"^(?i)https?://(?:www\.)?orcid\.org/", ""))
-    plain = F.regexp_replace(v, "-", "")
-    digits = _digits(plain, 16)
-    total = F.lit(0)
-    for d in digits[:15]:
-        total = (total + d) * 2 % 11
-    valid = F.when(v.rlike(r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"), (12 - total) % 11 == digits[15]).otherwise(False)
+    plain = F.replace(v, F.lit("-"), F.lit(""))
+    total = _folded(F.substring(plain, 1, 15), 0, lambda t, d: (t + d) * 2 % 11)
+    valid = F.when(v.rlike(r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"), (12 - total) % 11 == _check_value(F.substring(plain, 16, 1))).otherwise(False)
     return _if(valid, v)
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import identifiers, text, tristate
 from folioscope.operators import analytics, catalog, jobs, policies, projection, state, venues
-from folioscope.plans import roles
+from folioscope.operators.components import shared_checkpoint_dir
+from folioscope.plans import publication, roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import PAPERS, SOURCE_EVENTS, TOPICS, table
+from folioscope.sources import records
 
 
 def _key(name: str) -> Column:
@@ -213,6 +217,32 @@ def venue_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # files and small rules
 
 
+@query(
+    """
+with e as (select user_id + 1 as pmid, 1 + event_id % 3 as seq, event_id, event_type = 'error' as gone, date_trunc('day', ts) as revised, event_type || ' ' || event_id as title from events),
+    files as (select seq, max(max(case when not gone then revised end)) over (order by seq) as latest from e group by 1),
+    ranked as (select *, row_number() over (partition by pmid order by case when gone then latest else revised end desc, seq desc, event_id desc) as k from e join files using (seq))
+select 'pubmed:' || pmid as event_key, title, revised as source_time, cast(seq as integer) as sequence from ranked where k = 1 and not gone"""
+)
+def pubmed_file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and their deletions in three numbered bulk files of XML, read back as one stream of events: what is there in the end."""
+    folder = f"{shared_checkpoint_dir(spark)}/bulk-{uuid.uuid4().hex}"
+    k, day = F.col("event_id"), F.col("ts").cast("timestamp")
+    revised = F.concat(*(F.concat(F.lit(f"<{tag}>"), F.date_format(day, form), F.lit(f"</{tag}>")) for tag, form in (("Year", "yyyy"), ("Month", "MM"), ("Day", "dd"))))
+    pmid = F.concat(F.lit("<PMID>"), (F.col("user_id") + 1).cast("string"), F.lit("</PMID>"))
+    title = F.concat(F.lit("<Article><ArticleTitle>"), "event_type", F.lit(" "), k.cast("string"), F.lit("</ArticleTitle></Article>"))
+    article = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), pmid, F.lit("<DateRevised>"), revised, F.lit("</DateRevised>"), title, F.lit("</MedlineCitation></PubmedArticle>"))
+    gone = F.concat(F.lit("<DeleteCitation>"), pmid, F.lit("</DeleteCitation>"))
+    events = table(spark, sf_dir, "events")
+    for number in (1, 2, 3):
+        lines = events.where(k % 3 == number - 1).repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.when(F.col("event_type") == "error", gone).otherwise(article).alias("value"))
+        lines.write.text(f"{folder}/pubmed26n{number:04d}.xml")
+    path = f"{folder}/*.xml"
+    told = publication.events_of(records.pubmed(spark, path))
+    told = told.unionByName(publication.deletions_of(records.pubmed_deletions(spark, path), told))
+    return publication.current_records(told).select("event_key", "record.title", "source_time", F.substring("tie_break_key", 1, 8).cast("int").alias("sequence"))
+
+
 @query(
     """
 with f as (select n_nationkey as position, case when n_nationkey = 9 then 7 when n_nationkey > 14 then n_nationkey + 2 else n_nationkey + 1 end as s from nation where n_nationkey <> 20),

@@ -10,17 +10,38 @@ from folioscope.operators import state
 from folioscope.operators.components import connected_components
 
 
+RECORD = ("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id", "abstract", "work_type", "topics", "citations", "licenses", "venue", "relations", "raw_hash")
+_NO_TIME = "1970-01-01"
+
+
 def events_of(records: DataFrame) -> DataFrame:
-    """Upsert events of source records, with their ordering tuple."""
+    """Upsert events of source records, with their ordering tuple.
+
+    Of records of one time, the one later in numbered files wins; elsewhere the greater hash.
+    """
     return records.where("record_id is not null").select(
         "source",
         F.concat_ws(":", "source", "record_id").alias("event_key"),
         F.lit("upsert").alias("event_kind"),
-        F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp")).alias("source_time"),
-        F.col("raw_hash").alias("tie_break_key"),
+        F.coalesce("updated_at", F.lit(_NO_TIME).cast("timestamp")).alias("source_time"),
+        F.coalesce("order_key", "raw_hash").alias("tie_break_key"),
+        F.lit(1).cast("long").alias("position"),
+        F.xxhash64("raw_hash", "source", "record_id", "order_key").alias("event_id"),
+        F.struct(*RECORD).alias("record"),
+    )
+
+
+def deletions_of(deletions: DataFrame, like: DataFrame) -> DataFrame:
+    """Tombstones of (source, record_id, deleted_at, order_key), of the schema of the events ``like``."""
+    return deletions.where("record_id is not null").select(
+        "source",
+        F.concat_ws(":", "source", "record_id").alias("event_key"),
+        F.lit("delete").alias("event_kind"),
+        F.coalesce("deleted_at", F.lit(_NO_TIME).cast("timestamp")).alias("source_time"),
+        F.col("order_key").alias("tie_break_key"),
         F.lit(1).cast("long").alias("position"),
-        F.xxhash64("raw_hash", "source", "record_id").alias("event_id"),
-        F.struct("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id", "abstract", "work_type", "topics", "citations", "licenses", "venue").alias("record"),
+        F.xxhash64(F.lit("delete"), "source", "record_id", "order_key").alias("event_id"),
+        F.lit(None).cast(like.schema["record"].dataType).alias("record"),
     )
 
 
@@ -30,21 +51,38 @@ def current_records(events: DataFrame) -> DataFrame:
 
 
 def works(records: DataFrame) -> DataFrame:
-    """Records with the work they belong to: those that share an identifier of any scheme hang together."""
-    numbered = records.withColumn("node", F.xxhash64("event_key"))
-    edges = numbered.select(F.col("node").alias("a"), F.explode("record.identifiers").alias("i")).select("a", F.xxhash64("i.scheme", "i.value").alias("b"))
-    found = connected_components(edges)
-    return numbered.join(found, "node", "left").withColumn("work_id", F.coalesce("component", "node")).drop("component", "node")
+    """Records with the work they belong to: those that share an identifier of any scheme hang together.
+
+    A work is named by the smallest event key among its records.  Each identifier links its
+    records to the smallest of them: links are told by values, not by hashes of them.
+    """
+    held = records.select(F.col("event_key").alias("a"), F.explode("record.identifiers").alias("i"))
+    least = held.groupBy("i").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    found = connected_components(held.join(least, "i").where("a <> b"))
+    return records.join(found, F.col("event_key") == F.col("node"), "left").withColumn("work_id", F.coalesce("component", "event_key")).drop("component", "node")
+
+
+#: Relations by which a record says that another one is retracted.
+RETRACTIONS = ("retraction", "retractionof")
+
+
+def retracted_works(resolved: DataFrame) -> DataFrame:
+    """(work_id): works that a record of whatever source names as retracted."""
+    said = resolved.select(F.explode("record.relations").alias("r")).where(F.lower("r.type").isin(*RETRACTIONS) & F.col("r.target").isNotNull())
+    targets = said.select(F.struct(F.col("r.scheme").alias("scheme"), F.col("r.target").alias("value")).alias("i")).distinct()
+    return resolved.select("work_id", F.explode("record.identifiers").alias("i")).join(targets, "i", "left_semi").select("work_id").distinct()
 
 
 def papers(resolved: DataFrame) -> DataFrame:
     """One wide row per work: the winner's fields, all sources, and whether they disagree in a scheme."""
     winner = F.max_by(F.struct("record", "event_key"), F.struct(*state.ORDER)).alias("w")
     sources = F.array_sort(F.collect_set("source")).alias("source_names")
-    provenance = F.array_sort(F.collect_set(F.struct("source", "record.record_id", "tie_break_key"))).alias("source_provenance")
+    provenance = F.array_sort(F.collect_set(F.struct("source", "record.record_id", "record.raw_hash"))).alias("source_provenance")
     doi = F.min("record.doi").alias("doi")
     found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("record.identifiers")))).alias("found")
     grouped = resolved.groupBy("work_id").agg(winner, sources, provenance, doi, F.bool_or("record.retracted").alias("retracted"), found)
+    named = retracted_works(resolved).withColumn("named", F.lit(True))
+    grouped = grouped.join(named, "work_id", "left").withColumn("retracted", F.col("retracted") | F.coalesce("named", F.lit(False))).drop("named")
     values = lambda scheme: F.transform(F.filter("found", lambda x: x["scheme"] == scheme), lambda x: x["value"])
     grouped = grouped.withColumn("identity", identifiers.canonical_identity({s: values(s) for s in identifiers.SCHEMES})).withColumn("conflict", F.size("found") > F.size(F.array_distinct("found.scheme")))
     record = F.col("w.record")
@@ -70,10 +108,15 @@ def papers(resolved: DataFrame) -> DataFrame:
         "source_provenance",
         "source_names",
         "conflict",
-        text.search_text(record["title"], F.coalesce("doi", F.lit("")), record["abstract"], F.array_join(record["authors"], " ")).alias("search_text"),
+        text.search_text(record["title"], F.coalesce("doi", F.lit("")), record["abstract"], F.array_join(author_names(record["authors"]), " ")).alias("search_text"),
     )
 
 
+def author_names(authors: Column) -> Column:
+    """Names in order; a collective's where there is no person's."""
+    return F.filter(F.transform(authors, lambda a: F.coalesce(F.nullif(a["name"], F.lit("")), F.nullif(a["collective"], F.lit("")))), lambda n: n.isNotNull())
+
+
 #: Kinds of works of sources in the catalog's terms.
 PAPER_TYPES = {"article": "research_article", "journal-article": "research_article", "proceedings-article": "research_article", "review": "review", "preprint": "preprint", "posted-content": "preprint", "dataset": "dataset"}
 

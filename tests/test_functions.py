@@ -53,14 +53,14 @@ def test_identity_precedence_and_conflict(spark):
 def test_cohort_key_and_inverted_index(spark):
     row = spark.range(1).select(
         text.cohort_key(F.lit("machine-learning"), F.lit("2026-07"), F.lit("research_article")).alias("k"),
-        text.inverted_index_text(F.expr("map('Agents', array(0), 'are', array(1), 'reproducible', array(3), 'strictly', array(2))")).alias("whole"),
+        text.inverted_index_text(F.expr("map('Tides', array(0), 'the', array(2), 'turn', array(1, 4), 'moon', array(3))")).alias("whole"),
         text.inverted_index_text(F.expr("map('a', array(0), 'b', array(2))")).alias("gap"),
         text.inverted_index_text(F.expr("map('a', array(0), 'b', array(0))")).alias("twice"),
         text.partial_date(F.lit(2026), F.lit(2), F.lit(30)).alias("unreal"),
         text.partial_date(F.lit(2026), F.lit(7), F.lit(None).cast("int")).alias("month"),
     ).first()
     assert row["k"] == "t16:machine-learningm7:2026-07p16:research_article"
-    assert (row["whole"], row["gap"], row["twice"]) == ("Agents are strictly reproducible", None, None)
+    assert (row["whole"], row["gap"], row["twice"]) == ("Tides turn the moon turn", None, None)
     assert row["unreal"]["precision"] == row["month"]["precision"] == "month" and row["month"]["at"] is None
 
 

@@ -9,8 +9,8 @@ from folioscope.sources import records
 from folioscope.sources.generations import Store, revision
 from folioscope.streaming.state_stream import StateTable, follow
 
-WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B"}}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False, "type": "article", "cited_by_count": 4, "abstract_inverted_index": {"Tides": [0], "turn": [1]}, "topics": [{"id": "https://openalex.org/T9", "display_name": "Marine Life", "score": 0.9}, {"id": "https://openalex.org/T8", "display_name": "Junk", "score": 7.0}], "primary_location": {"license": "cc-by", "license_id": None, "source": {"display_name": "J", "type": "journal", "issn": ["0378-5955"]}}}
-ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-07-15T23:45:00-04:00"}}
+WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B", "orcid": "https://orcid.org/0000-0002-1825-0097"}, "is_corresponding": True, "institutions": [{"display_name": "Harbour School"}, {"id": "x"}]}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False, "type": "article", "cited_by_count": 4, "abstract_inverted_index": {"Tides": [0], "turn": [1]}, "topics": [{"id": "https://openalex.org/T9", "display_name": "Marine Life", "score": 0.9}, {"id": "https://openalex.org/T8", "display_name": "Marine life", "score": 0.1}], "primary_location": {"license": "cc-by", "license_id": None, "source": {"display_name": "J", "type": "journal", "issn": ["0378-5955"]}}}
+ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-08-02T21:10:30+05:30"}}
 XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>42</PMID><Article><Journal><ISSN>0378-5955</ISSN><JournalIssue><PubDate><MedlineDate>2025 Nov-Dec</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>Otters in spring</ArticleTitle><AuthorList><Author><LastName>C</LastName><ForeName>D</ForeName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.4321/otters</ArticleId></ArticleIdList></PubmedData></PubmedArticle><DeleteCitation><PMID>7</PMID></DeleteCitation></PubmedArticleSet>"""
 
 
@@ -26,8 +26,9 @@ def read(spark, tmp_path):
 def test_readers_give_one_shape(read):
     oa, cr, pm = (read[n].first() for n in ("openalex", "crossref", "pubmed"))
     assert (oa["record_id"], oa["doi"], oa["title"], oa["urls"]) == ("W1", "10.4321/harbor.7", "Tides of the harbour", ["https://github.com/org/repo"])
-    assert (cr["doi"], cr["issns"], cr["published"]["precision"], cr["published"]["at"], str(cr["updated_at"])) == ("10.4321/harbor.7", ["0378-5955"], "month", None, "2026-07-16 03:45:00")
-    assert (pm["record_id"], pm["doi"], pm["authors"], pm["retracted"], pm["published"]["year"]) == ("42", "10.4321/otters", ["D C"], True, 2025)
+    assert (cr["doi"], cr["issns"], cr["published"]["precision"], cr["published"]["at"], str(cr["updated_at"])) == ("10.4321/harbor.7", ["0378-5955"], "month", None, "2026-08-02 15:40:30")
+    assert (pm["record_id"], pm["doi"], [tuple(a) for a in pm["authors"]], pm["retracted"], pm["published"]["year"]) == ("42", "10.4321/otters", [("D C", None, None, 1, False, None)], True, 2025)
+    assert [tuple(a) for a in oa["authors"]] == [("A. B", None, "0000-0002-1825-0097", 1, True, ["Harbour School"])]
     assert [r["record_id"] for r in read["gone"].collect()] == ["7"]
 
 
@@ -117,3 +118,78 @@ def test_pointers_appear_at_once(spark, tmp_path):
     assert store.publish(df, "k", "v1", "2026-01-02") == first == store.current()
     # the pointer before the current one stays for readers that have listed it
     assert [r for _, r in store._pointers()] == [second, first]
+
+
+def test_malformed_pages_and_items_are_errors(spark, tmp_path):
+    good, bad = dict(WORK), {"id": "https://openalex.org/W9", "topics": [{"id": "https://openalex.org/T8", "display_name": "Junk", "score": 7.0}]}
+    pages = {"a": json.dumps({"results": [good, {"title": "no id"}]}), "b": json.dumps({"results": [good]})[:-30], "c": json.dumps({"results": [good, bad, 5, None, {**good, "cited_by_count": "many"}]}), "d": "", "e": json.dumps({"results": []})}
+    for name, text in pages.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    found = sorted(tuple(r) for r in records.malformed(spark, str(tmp_path), "openalex").collect())
+    assert found == [("a.json", 2, "id"), ("b.json", 0, "page"), ("c.json", 2, "topic_score"), ("c.json", 3, "form"), ("c.json", 4, "form"), ("c.json", 5, "form")]
+    # an empty file has no rows for a reader; it holds no page
+    with pytest.raises(Exception, match="malformed .*item"):
+        records.openalex(spark, str(tmp_path)).select("title").collect()
+    assert [r["record_id"] for r in records.openalex(spark, str(tmp_path), on_error="skip").collect()] == ["W1", "W1"]
+    (tmp_path / "cr.json").write_text(json.dumps({"message": {"items": [ITEM, {**ITEM, "update-to": [{"type": "retraction"}]}]}}))
+    assert [tuple(r) for r in records.malformed(spark, str(tmp_path / "cr.json"), "crossref").collect()] == [("cr.json", 2, "update_to")]
+
+
+def _article(pmid, title, revised="", more="", corrections=""):
+    date = "" if not revised else "<DateRevised><Year>{}</Year><Month>{}</Month><Day>{}</Day></DateRevised>".format(*revised.split("-"))
+    return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID>{date}<Article><ArticleTitle>{title}</ArticleTitle>{more}</Article>{corrections}</MedlineCitation></PubmedArticle>\n"
+
+
+def _write(folder, number, *parts):
+    (folder / f"pubmed26n{number:04d}.xml").write_text("<PubmedArticleSet>" + "".join(parts) + "</PubmedArticleSet>")
+
+
+def _titles(spark, folder):
+    events = publication.events_of(records.pubmed(spark, str(folder)))
+    events = events.unionByName(publication.deletions_of(records.pubmed_deletions(spark, str(folder)), events))
+    return {r["event_key"]: r["title"] for r in publication.current_records(events).select("event_key", "record.title").collect()}
+
+
+@pytest.mark.parametrize("files", [(1, 2), (2, 1)])
+def test_the_later_revision_wins_in_whatever_file(spark, tmp_path, files):
+    for turn in range(3):
+        folder = tmp_path / str(turn)
+        folder.mkdir()
+        _write(folder, files[0], _article(77, f"old {turn}", "2020-02-03"), _article(5, f"first {turn}", "2021-01-01"))
+        _write(folder, files[1], _article(77, f"new {turn}", "2024-5-06"), _article(5, f"second {turn}", "2021-01-01"))
+        # of one time, the later file wins
+        assert _titles(spark, folder) == {"pubmed:77": f"new {turn}", "pubmed:5": f"{'second' if files == (1, 2) else 'first'} {turn}"}
+
+
+def test_deletions_are_events_in_file_order(spark, tmp_path):
+    delete = "<DeleteCitation><PMID>{}</PMID></DeleteCitation>"
+    _write(tmp_path, 1, _article(1, "one", "2024-01-02"), _article(2, "two", "2024-01-02"), _article(3, "three", "2024-03-02"), _article(4, "undated"))
+    _write(tmp_path, 2, delete.format(1), delete.format(2), _article(2, "two again", "2024-03-02"), delete.format(4))
+    _write(tmp_path, 3, _article(1, "one again", "2024-04-02"), delete.format(3))
+    assert _titles(spark, tmp_path) == {"pubmed:1": "one again", "pubmed:2": "two again"}
+    _write(tmp_path, 4, delete.format(1), delete.format(99))
+    assert _titles(spark, tmp_path) == {"pubmed:2": "two again"}
+
+
+def test_dates_of_articles(spark, tmp_path):
+    online = "<ArticleDate DateType='Electronic'><Year>2023</Year><Month>Feb</Month><Day>3</Day></ArticleDate>"
+    _write(tmp_path, 1, _article(1, "a", "2024-01-02", online), _article(2, "b", "", online), _article(3, "c", "2024-13-02"))
+    assert {r["record_id"]: str(r["updated_at"]) for r in records.pubmed(spark, str(tmp_path)).collect()} == {"1": "2024-01-02 00:00:00", "2": "2023-02-03 00:00:00", "3": "None"}
+
+
+def test_a_notice_retracts_its_target_and_not_itself(spark, tmp_path):
+    items = [
+        {"DOI": "10.5555/notice", "title": ["Retraction note"], "update-to": [{"DOI": "https://doi.org/10.5555/X", "type": "Retraction", "label": " Retracted  here"}]},
+        {"DOI": "10.5555/x", "title": ["A paper"]},
+        {"DOI": "10.5555/fix", "title": ["A correction"], "update-to": [{"DOI": "10.5555/y", "type": "correction", "label": None}]},
+        {"DOI": "10.5555/y", "title": ["Another"]},
+    ]
+    (tmp_path / "cr.json").write_text(json.dumps({"message": {"items": items}}))
+    correct = "<CommentsCorrectionsList><CommentsCorrections RefType='{}'><RefSource>J 1</RefSource><PMID>{}</PMID></CommentsCorrections></CommentsCorrectionsList>"
+    _write(tmp_path, 1, _article(10, "notice", "2024-01-01", corrections=correct.format("RetractionOf", 11)), _article(11, "named", "2024-01-01"), _article(12, "own", "2024-01-01", corrections=correct.format("RetractionIn", 13)), _article(13, "other", "2024-01-01"))
+    rows = records.crossref(spark, str(tmp_path / "cr.json")).unionByName(records.pubmed(spark, str(tmp_path / "pubmed26n0001.xml")))
+    told = {r["record_id"]: [tuple(x) for x in r["relations"] or []] for r in rows.collect()}
+    assert told["10.5555/notice"] == [("Retraction", "doi", "10.5555/x", "Retracted here")] and told["10"] == [("RetractionOf", "pmid", "11", "J 1")]
+    papers = publication.papers(publication.works(publication.current_records(publication.events_of(rows)))).collect()
+    assert {r["canonical_key"] for r in papers if r["lifecycle_status"] == "retracted"} == {"doi:10.5555/x", "pubmed:11", "pubmed:12"}
+    assert len(papers) == 8
