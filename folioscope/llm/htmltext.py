@@ -7,9 +7,11 @@ aligned columns.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from folioscope.llm.batches import small_batches
 
 #: Fixed lists of elements, after the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object select datalist canvas audio video title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe object datalist canvas audio video title meta link base".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -63,9 +65,13 @@ FOREIGN = frozenset({"svg", "math"})
 #: An opening block closes a paragraph that is open in the same container.
 ENDS_PARAGRAPH = (frozenset({"p"}), frozenset("table td th li dd div section article blockquote button object caption".split()))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"'][^\s>]*|[^>])*+)>|<[!?/][^>]*>", re.S)
+OPENS = re.compile(r"</?[A-Za-z]|<[!?/]")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"'][^\s>]*|[^>])*+)>|<[!?/][^>]*>")
+#: A tag whose quotes don't count.
+BARE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-INVISIBLE = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 #: Rules of style sheets whose selector is one name, class or id, or a name with one of those.
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9]*|\*)?([.#][A-Za-z_-][A-Za-z0-9_-]*)?\Z")
@@ -80,132 +86,230 @@ class Element:
     children: list[Element | str] = field(default_factory=list)
 
     def shown(self, hiding: frozenset[str] = frozenset()) -> bool:
-        """Whether the page shows it; ``hiding`` has selectors of its style sheets that hide."""
+        """Whether the page has a place for it; ``hiding`` has selectors of its style sheets that leave out."""
         a = self.attributes
         if self.name in HIDDEN or self.name == "input" or "hidden" in a or (self.name == "dialog" and "open" not in a):
             return False
         style = a.get("style", "")
-        if style and INVISIBLE.search(style):
+        if style and GONE.search(style):
             return False
-        if hiding:
-            names = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
-            return not any(f"{e}{n}" in hiding for e in ("", self.name) for n in names if e or n)
-        return True
+        return not (hiding and self.selected(hiding))
 
+    def selected(self, selectors: frozenset[str]) -> bool:
+        a = self.attributes
+        names = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
+        return any(f"{e}{n}" in selectors for e in ("", self.name) for n in names if e or n)
 
-def hiding_selectors(sheets: list[str]) -> frozenset[str]:
-    """Simple selectors of style rules that hide what they match; other rules are passed over."""
+    def visible(self, blanking: frozenset[str] = frozenset()) -> bool | None:
+        """What its style says of the visibility of its text, which it hands on; None if nothing."""
+        last = None
+        style = self.attributes.get("style", "")
+        for m in VISIBILITY.finditer(style) if style else ():
+            last = m[1].lower() == "visible"
+        return False if last is None and blanking and self.selected(blanking) else last
+
+
+def _selectors(sheets: list[str], rule_hides: Callable[[str], bool]) -> frozenset[str]:
+    """Simple selectors of the style rules in question; other rules are passed over."""
     out = set()
     for sheet in sheets:
         for selectors, rule in RULE.findall(COMMENT.sub(" ", sheet)):
-            if INVISIBLE.search(rule):
+            if rule_hides(rule):
                 found = (SELECTOR.match(x.strip()) for x in selectors.split(","))
                 out |= {f"{'' if m[1] in (None, '*') else m[1].lower()}{m[2] or ''}" for m in found if m and m[0]}
     return frozenset(out - {""})
 
 
+def hiding_selectors(sheets: list[str]) -> frozenset[str]:
+    """Selectors of what has no place on the page."""
+    return _selectors(sheets, lambda rule: bool(GONE.search(rule)))
+
+
+def blanking_selectors(sheets: list[str]) -> frozenset[str]:
+    """Selectors of what has a place but isn't seen."""
+    return _selectors(sheets, lambda rule: any(m[1].lower() != "visible" for m in VISIBILITY.finditer(rule)))
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
+class _Open:
+    """The elements that are open, with the depths of each name: no step walks all of them."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.depths.setdefault(e.name, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from a depth on."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
+
+    def deepest(self, names: Iterable[str]) -> int:
+        """The depth of the innermost element of these names, 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def outermost(self, names: Iterable[str], beyond: int) -> int:
+        """The depth of the outermost element of these names below the depth ``beyond``, 0 if there is none."""
+        return min((d[bisect.bisect_right(d, beyond)] for n in names if (d := self.depths.get(n)) and d[-1] > beyond), default=0)
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1]
+
+
 def parse(page: str) -> Element:
-    """The tree of a page; tags that are implied or missing are put in."""
+    """The tree of a page; tags that are implied or missing are put in.
+
+    Takes time in proportion to the page: a tag's end is looked for once, and if there is none
+    up to the end of the page, quotes don't count from there on.
+    """
     root = Element("html")
-    stack = [root]
+    opened = _Open(root)
 
     def close(names: frozenset[str], stop: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].name in names:
-                del stack[depth:]
-                return close(names, stop)
-            if stack[depth].name in stop:
-                return
+        """All elements of these names that are open within the innermost one of ``stop``."""
+        depth = opened.outermost(names, opened.deepest(stop - names))
+        if depth:
+            opened.cut(depth)
 
     def add(child: Element | str) -> None:
         """Into the innermost element, or before the table whose cells it is outside of."""
-        if stack[-1].name in TABLE_PARTS and (child.strip() if isinstance(child, str) else child.name not in IN_TABLE):
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].name == "table"), 0)
+        if opened.top.name in TABLE_PARTS and (child.strip() if isinstance(child, str) else child.name not in IN_TABLE):
+            depth = opened.deepest(("table",))
             if depth:
-                around = stack[depth - 1].children
-                around.insert(next(i for i in range(len(around) - 1, -1, -1) if around[i] is stack[depth]), child)
+                around = opened.stack[depth - 1].children
+                around.insert(next(i for i in range(len(around) - 1, -1, -1) if around[i] is opened.stack[depth]), child)
                 return
-        stack[-1].children.append(child)
+        opened.top.children.append(child)
 
     def text(value: str) -> None:
         if value:
-            if stack[-1].name == "head" and value.strip():
-                stack.pop()
+            if opened.top.name == "head" and value.strip():
+                opened.cut(len(opened.stack) - 1)
             add(html.unescape(value) if "&" in value else value)
 
-    at, end = 0, len(page)
+    at, look, end, last, tag = 0, 0, len(page), page.rfind(">"), TAG
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", look)
+        if begin < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
+        if page.startswith("<!--", begin):
+            stop = page.find("-->", begin + 4)
+            text(page[at:begin])
+            at = look = stop + 3 if stop >= 0 else end
+            continue
+        if not OPENS.match(page, begin):
+            look = begin + 1
+            continue
+        if begin > last:
+            text(page[at:])
+            break
+        m = tag.match(page, begin)
+        if not m:
+            tag = BARE
+            m = tag.match(page, begin)
+        if not m:
+            look = begin + 1
+            continue
+        text(page[at:begin])
+        at = look = m.end()
         name = (m[2] or "").lower()
         if not name or name == "html":
             if name and not m[1]:
                 root.attributes.update(_attributes(m[3]))
             continue
         if m[1]:
-            if name in ("p", "br") and not any(e.name == name for e in stack):
+            depth = opened.deepest((name,))
+            if name in ("p", "br") and not depth:
                 add(Element(name))
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                if stack[depth].name in ("td", "th", "table") and name not in ("table", "tr", "thead", "tbody", "tfoot"):
-                    break
+            elif depth and (name in ("table", "tr", "thead", "tbody", "tfoot") or depth >= opened.deepest(("td", "th", "table"))):
+                opened.cut(depth)
             continue
         if name in CLOSES:
             close(*CLOSES[name])
         if name in BLOCK:
             close(*ENDS_PARAGRAPH)
-        if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
-        if name in CONTEXT and any(e.name == "table" for e in stack):
-            while stack[-1].name not in CONTEXT[name]:
-                stack.pop()
-        if stack[-1].name in TABLE_PARTS and any(e.name == "table" for e in stack):
+        if opened.top.name == "head" and name not in IN_HEAD:
+            opened.cut(len(opened.stack) - 1)
+        table = opened.deepest(("table",))
+        if name in CONTEXT and table:
+            while opened.top.name not in CONTEXT[name]:
+                opened.cut(len(opened.stack) - 1)
+        if opened.top.name in TABLE_PARTS and table:
             if name == "form":
                 continue
             if name == "table":
-                while stack.pop().name != "table":
-                    pass
-        if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
+                opened.cut(table)
+        if name in ("td", "th") and opened.top.name in ("table", "thead", "tbody", "tfoot"):
             row = Element("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            opened.top.children.append(row)
+            opened.push(row)
         element = Element(name, _attributes(m[3]))
         for drawing, parts in NOT_DRAWN.items():
-            if name in parts and any(e.name == drawing for e in stack):
+            if name in parts and opened.deepest((drawing,)):
                 element.attributes["hidden"] = ""
         add(element)
-        if name in VOID or (m[3].endswith("/") and (name in FOREIGN or any(e.name in FOREIGN for e in stack))):
+        if name in VOID or (m[3].endswith("/") and (name in FOREIGN or opened.deepest(FOREIGN))):
             continue
+        if name == "plaintext":
+            element.children.append(page[at:])
+            break
         if name in RAW:
             closing = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             stop = closing.start() if closing else end
             element.children.append(html.unescape(page[at:stop]) if name in ("textarea", "title") else page[at:stop])
-            at = page.find(">", stop) + 1 if closing and page.find(">", stop) >= 0 else (end if not closing else stop + len(name) + 2)
+            over = page.find(">", stop) if closing else -1
+            at = look = over + 1 if over >= 0 else (end if not closing else stop + len(name) + 2)
             continue
-        stack.append(element)
+        opened.push(element)
     return root
 
 
+def blank_unseen(root: Element, blanking: frozenset[str]) -> None:
+    """Takes the text out of what has a place on the page but isn't seen; a visible element within it is."""
+    todo = [(root, True)]
+    while todo:
+        e, seen = todo.pop()
+        own = e.visible(blanking)
+        seen = seen if own is None else own
+        if not seen:
+            e.attributes.pop("alt", None)
+            e.children = [c for c in e.children if isinstance(c, Element)]
+        todo.extend((c, seen) for c in e.children if isinstance(c, Element))
+
+
+#: Columns that lines are indented by at most, and tables within cells that are laid out as tables.
+MARGIN, TABLES = 160, 16
+
+
 class Layout:
-    """Lines of a block, with inline text flowing into the last one."""
+    """Lines of a block, with inline text flowing into the last one; in ``plain`` ones as it stands."""
 
-    def __init__(self) -> None:
+    def __init__(self, plain: bool = False, depth: int = 0) -> None:
+        self.plain, self.depth = plain, depth
         self.lines: list[str] = []
         self.open: list[str] = []
         self.gap = 0
+        #: Blank columns before lines; what the next line has instead, from a column on.
+        self.margin, self.marks, self.marked = 0, [], 0
+        #: Lines before the indented block that is open; there is no gap at its beginning.
+        self.base = 0
 
     def inline(self, value: str) -> None:
+        if self.plain:
+            for k, piece in enumerate(value.replace("\r\n", "\n").split("\n")):
+                if k:
+                    self.end_line(force=True)
+                if piece:
+                    self.open.append(piece)
+            return
         value = WHITE.sub(" ", value)
         if not self.open or self.open[-1].endswith(" "):
             value = value.lstrip(" ")
@@ -213,7 +317,7 @@ class Layout:
             self.open.append(value)
 
     def end_line(self, force: bool = False) -> None:
-        line = "".join(self.open).strip(" ")
+        line = "".join(self.open) if self.plain else "".join(self.open).strip(" ")
         self.open = []
         if line or force:
             self.put([line])
@@ -223,17 +327,41 @@ class Layout:
             if self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.lines += lines
+            head = " " * min(self.margin, MARGIN)
+            if self.marks:
+                self.lines.append(f"{' ' * min(self.marked, MARGIN)}{''.join(self.marks)}{lines[0]}")
+                self.marks, lines = [], lines[1:]
+            self.lines += [f"{head}{line}" if line else "" for line in lines] if head else lines
 
     def space(self, blank: bool) -> None:
         self.end_line()
-        self.gap = max(self.gap, 1 if blank else 0)
+        if len(self.lines) > self.base:
+            self.gap = max(self.gap, 1 if blank else 0)
+
+    def indent(self, mark: str, columns: int) -> Callable[[], None]:
+        """Begins an indented block whose first line has the mark; the result ends it."""
+        if mark or self.marks:
+            self.marked = self.marked if self.marks else self.margin
+            self.marks.append(mark or " " * columns)
+        before = self.base
+        self.base, self.margin = len(self.lines), self.margin + columns
+
+        def done() -> None:
+            self.end_line(force=bool(mark) and bool(self.marks))
+            if self.marks:
+                self.marks.pop()
+            if len(self.lines) > self.base:
+                self.gap = 0
+            self.base, self.margin = before, self.margin - columns
+
+        return done
 
 
 class Cells:
     """Rows of a table that is being walked; ``below`` has columns taken by cells from rows above."""
 
-    def __init__(self) -> None:
+    def __init__(self, plain: bool = False, depth: int = 0) -> None:
+        self.plain, self.depth = plain, depth
         self.rows: list[list[list[str]]] = []
         self.captions: list[str] = []
         self.below: dict[int, int] = {}
@@ -259,25 +387,52 @@ class Cells:
         widths: dict[int, int] = {}
         for row in self.rows:
             for i, cell in enumerate(row):
-                widths[i] = max(widths.get(i, 0), max(map(len, cell), default=0))
+                widths[i] = max(widths.get(i, 0), max(map(columns_of, cell), default=0))
         out = list(self.captions)
         for row in self.rows:
             for k in range(max((len(c) for c in row), default=0)):
-                parts = [(cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)]
+                texts = [cell[k] if k < len(cell) else "" for cell in row]
+                parts = [t + " " * (widths[i] - columns_of(t)) for i, t in enumerate(texts)]
                 out.append("  ".join(parts).rstrip(" "))
         return out
 
 
+def columns_of(text: str) -> int:
+    """How many columns a text takes where every character takes none, one or two."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def chosen_options(select: Element) -> list[Element]:
+    """Options that a closed list shows: the last selected one, else the first; those of an open list all."""
+    found: list[Element] = []
+    todo = select.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Element):
+            if c.name == "option":
+                found.append(c)
+            elif c.name == "optgroup":
+                todo.extend(reversed(c.children))
+    size = select.attributes.get("size", "")
+    if "multiple" in select.attributes or (size.isdecimal() and int(size) > 1):
+        return found
+    return ([o for o in found if "selected" in o.attributes] or found[:1])[-1:]
+
+
 def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
     """The rendered lines of an element's content.
 
-    Content is walked with a stack of its own, so that elements may nest to any depth.  The
-    stack holds elements still to come and what is to be done after an element's content:
+    Content is walked with a stack of its own, so that elements may nest to any depth.  Lines
+    are indented by ``MARGIN`` columns at most, and within ``TABLES`` tables the cells of a row
+    follow each other without columns: no line is handled at every level above it.  The stack
+    holds elements still to come and what is to be done after an element's content:
     (layout, element, parent) or (None, action, None).
     """
     top = Layout()
     todo: list[tuple] = []
-    numbers: dict[int, int] = {}
+    numbers: dict[int, tuple[int, int]] = {}
 
     def later(action: Callable[[], None]) -> None:
         todo.append((None, action, None))
@@ -285,18 +440,17 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
     def inside(e: Element, layout: Layout) -> None:
         todo.extend((layout, child, e) for child in reversed(e.children))
 
-    def block(e: Element, layout: Layout, blank: bool, shape: Callable[[list[str]], list[str]]) -> None:
-        """The content of ``e`` as lines of its own, put into ``layout`` once they are known."""
+    def block(e: Element, layout: Layout, blank: bool, mark: str, columns: int) -> None:
+        """The content of ``e`` as indented lines."""
         layout.space(blank)
-        inner = Layout()
+        end = layout.indent(mark, columns)
 
         def done() -> None:
-            inner.end_line()
-            layout.put(shape(inner.lines))
+            end()
             layout.space(blank)
 
         later(done)
-        inside(e, inner)
+        inside(e, layout)
 
     def rows_of(e: Element, cells: Cells) -> None:
         for child in reversed(e.children):
@@ -305,7 +459,7 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
 
     def table_part(cells: Cells, e: Element, parent: Element) -> None:
         if e.name in ("td", "th") and parent.name == "tr":
-            inner = Layout()
+            inner = Layout(cells.plain, cells.depth + 1)
 
             def done() -> None:
                 inner.end_line()
@@ -318,7 +472,7 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
             later(lambda: cells.skip(cells.rows[-1]))
             rows_of(e, cells)
         elif e.name == "caption":
-            inner = Layout()
+            inner = Layout(cells.plain, cells.depth + 1)
 
             def captioned() -> None:
                 inner.end_line()
@@ -354,13 +508,24 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
             layout.space(True)
         elif name == "img":
             layout.inline(child.attributes.get("alt", ""))
-        elif name == "pre":
+        elif name in ("pre", "plaintext") and not layout.plain:
             layout.space(True)
-            layout.put(_plain(child, hiding).strip("\n").split("\n"))
-            layout.space(True)
-        elif name == "table":
+            inner = Layout(True, layout.depth)
+
+            def set_out(inner: Layout = inner, layout: Layout = layout) -> None:
+                inner.end_line()
+                layout.put("\n".join(inner.lines).strip("\n").split("\n"))
+                layout.space(True)
+
+            later(set_out)
+            inside(child, inner)
+        elif name == "select":
+            for option in reversed(chosen_options(child)):
+                todo.append((layout, " ", child))
+                todo.append((layout, option, child))
+        elif name == "table" and layout.depth < TABLES:
             layout.space(True)
-            cells = Cells()
+            cells = Cells(layout.plain, layout.depth)
 
             def tabled(cells: Cells = cells, layout: Layout = layout) -> None:
                 layout.put(cells.lines())
@@ -369,15 +534,18 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
             later(tabled)
             rows_of(child, cells)
         elif name == "li":
-            number = numbers.get(id(parent))
-            if number is None:
-                number = int(parent.attributes["start"]) if parent.name == "ol" and re.fullmatch("-?[0-9]+", parent.attributes.get("start", "")) else 1
-            numbers[id(parent)] = number + 1
+            number, step = numbers.get(id(parent)) or _first_number(parent)
+            if re.fullmatch("-?[0-9]{1,9}", child.attributes.get("value", "")):
+                number = int(child.attributes["value"])
+            numbers[id(parent)] = number + step, step
             mark = f"{number}. " if parent.name == "ol" else "- "
-            block(child, layout, False, lambda lines, mark=mark: [(mark if k == 0 else " " * len(mark)) + line if line or k == 0 else "" for k, line in enumerate(lines or [""])])
+            block(child, layout, False, mark, len(mark))
         elif name in ("blockquote", "dd"):
-            block(child, layout, name in SPACED, lambda lines: ["    " + line if line else "" for line in lines])
-        elif name in BLOCK:
+            block(child, layout, name in SPACED, "", 4)
+        elif name in ("td", "th"):
+            layout.inline(" ")
+            inside(child, layout)
+        elif name in BLOCK or name in ("tr", "caption"):
             blank = name in SPACED and not (name in LISTS and parent.name == "li")
             layout.space(blank)
             later(lambda layout=layout, blank=blank: layout.space(blank))
@@ -388,18 +556,12 @@ def lines_of(root: Element, hiding: frozenset[str] = frozenset()) -> list[str]:
     return top.lines
 
 
-def _plain(root: Element, hiding: frozenset[str]) -> str:
-    out: list[str] = []
-    todo: list[Element | str] = root.children[::-1]
-    while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            out.append(c)
-        elif c.name == "br":
-            out.append("\n")
-        elif c.shown(hiding):
-            todo.extend(reversed(c.children))
-    return "".join(out)
+def _first_number(items: Element) -> tuple[int, int]:
+    """The number of a list's first item, and the step to the next."""
+    back = items.name == "ol" and "reversed" in items.attributes
+    if items.name == "ol" and re.fullmatch("-?[0-9]{1,9}", items.attributes.get("start", "")):
+        return int(items.attributes["start"]), -1 if back else 1
+    return (sum(isinstance(c, Element) and c.name == "li" for c in items.children), -1) if back else (1, 1)
 
 
 def style_sheets(root: Element) -> list[str]:
@@ -414,16 +576,32 @@ def style_sheets(root: Element) -> list[str]:
     return out
 
 
+def rendered(tree: Element) -> str:
+    sheets = style_sheets(tree)
+    blank_unseen(tree, blanking_selectors(sheets))
+    lines = [line.rstrip(" ") for line in lines_of(tree, hiding_selectors(sheets))]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+
+
 def render(page: str) -> str:
     """The visible text of a page."""
-    tree = parse(page)
-    lines = [line.rstrip(" ") for line in lines_of(tree, hiding_selectors(style_sheets(tree)))]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+    return rendered(parse(page))
+
+
+def title_in(tree: Element) -> str | None:
+    """The text of the first title that isn't a drawing's."""
+    todo = [tree]
+    while todo:
+        e = todo.pop()
+        if e.name == "title":
+            return WHITE.sub(" ", "".join(c for c in e.children if isinstance(c, str))).strip()
+        if e.name not in FOREIGN:
+            todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
+    return None
 
 
 def title_of(page: str) -> str | None:
-    m = re.search(r"<title[^>]*>(.*?)</title", page, re.I | re.S)
-    return WHITE.sub(" ", html.unescape(m[1])).strip() if m else None
+    return title_in(parse(page))
 
 
 def extract(df: DataFrame, html_col: str = "html", into: tuple[str, str] = ("title", "text")) -> DataFrame:
@@ -442,8 +620,9 @@ def extract(df: DataFrame, html_col: str = "html", into: tuple[str, str] = ("tit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = batch.column(batch.num_columns - 1).to_pylist()
-            titles = [None if p is None else title_of(p) for p in pages]
-            texts = [None if p is None else render(p) for p in pages]
+            trees = [None if p is None else parse(p) for p in pages]
+            titles = [None if t is None else title_in(t) for t in trees]
+            texts = [None if t is None else rendered(t) for t in trees]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=schema.names)
 
     return small_batches(ordered).mapInArrow(run, schema)
