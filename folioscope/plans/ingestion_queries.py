@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,10 @@ from pyspark.sql.window import Window
 from folioscope.functions import identifiers, text, tristate
 from folioscope.operators import analytics, catalog, jobs, policies, projection, state, venues
 from folioscope.operators.components import shared_checkpoint_dir
-from folioscope.plans import publication, roles
+from folioscope.plans import incremental, publication, roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import PAPERS, SOURCE_EVENTS, TOPICS, table
-from folioscope.sources import records
+from folioscope.sources import bulk, records
 
 
 def _key(name: str) -> Column:
@@ -214,6 +215,43 @@ def venue_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(venues.type_of_work(kind), F.lit("none")).alias("of_work"), F.coalesce(venues.venue_type(raw), F.lit("none")).alias("normal"))
 
 
+# a catalog kept up in batches
+
+
+@query(
+    """
+with told as (select *, (cast(event_key as bigint) + event_id % 3) % 50 as work_id, event_id % 5 <> 0 as included, struct_pack(a := source_time, b := tie_break_key, c := position, d := event_id) as r from source_events),
+    latest as (select event_key, unnest(arg_max(struct_pack(work_id := work_id, included := included, kind := event_kind, event_id := event_id, type := tie_break_key, r := r), r)) from told group by 1),
+    won as (select work_id, unnest(arg_max(struct_pack(winner := event_key, event_id := event_id, type := type), r)) from latest where included and kind <> 'delete' group by 1)
+select work_id, winner, event_id, type || ' ' || event_id as title, 'Author ' || event_id % 9 || ',' || winner as authors, type as topics,
+    case when event_id % 2 = 0 then 'https://github.com/org/r' || event_id % 7 else '' end as repositories, 6 + case when event_id % 4 = 0 then 1 else 0 end - case when event_id % 2 = 0 then 0 else 1 end as known_fields
+from won""",
+    SOURCE_EVENTS,
+)
+def incremental_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of events that came in three batches, each of which derived the works that it touched; records move between works."""
+    held = incremental_catalog(spark, sf_dir, f"{shared_checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    listed = lambda name, value: held.table(name).groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*value))), lambda x: x[value[-1]]), ",").alias(name))
+    known = held.table("assertions").where("state = 'known'").groupBy("work_id").agg(F.count("*").alias("known_fields"))
+    works = held.table("works").select("work_id", "winner", "event_id", "title")
+    for more in (listed("authors", ["position", "name"]), listed("topics", ["name"]), listed("repositories", ["repository"]), known):
+        works = works.join(more, "work_id", "left")
+    return works.withColumn("repositories", F.coalesce("repositories", F.lit("")))
+
+
+def incremental_catalog(spark: SparkSession, sf_dir: str, folder: str) -> incremental.Catalog:
+    """A catalog that took the events in by three batches, by their ids."""
+    event, key = F.col("event_id"), F.col("event_key")
+    fields = incremental.demonstration_record(key, event, F.col("value"), F.col("tie_break_key"))
+    work = (key.cast("long") + event % 3) % 50
+    told = roles.source_events(spark, sf_dir).select("event_id", "event_key", "event_kind", "source_time", "tie_break_key", "position", F.lit("events").alias("source"), work.alias("work_id"), *(v.alias(n) for n, v in fields.items()))
+    doi = identifiers.doi(F.when(event % 5 != 0, F.concat(F.lit("10.4321/"), event.cast("string"))))
+    held = incremental.Catalog(spark, folder, policies.controlled_identity("v1", {"doi": doi}), "p1")
+    for number in (1, 2, 3):
+        held.apply(told.where(event % 3 == 3 - number), number)
+    return held
+
+
 # files and small rules
 
 
@@ -226,6 +264,15 @@ select 'pubmed:' || pmid as event_key, title, revised as source_time, cast(seq a
 )
 def pubmed_file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and their deletions in three numbered bulk files of XML, read back as one stream of events: what is there in the end."""
+    folder = _bulk_files(spark, sf_dir)
+    path = f"{folder}/*.xml"
+    told = publication.events_of(records.pubmed(spark, path))
+    told = told.unionByName(publication.deletions_of(records.pubmed_deletions(spark, path), told))
+    return publication.current_records(told).select("event_key", "record.title", "source_time", F.substring("tie_break_key", 1, 8).cast("int").alias("sequence"))
+
+
+def _bulk_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the events as three numbered files of articles and deletions."""
     folder = f"{shared_checkpoint_dir(spark)}/bulk-{uuid.uuid4().hex}"
     k, day = F.col("event_id"), F.col("ts").cast("timestamp")
     revised = F.concat(*(F.concat(F.lit(f"<{tag}>"), F.date_format(day, form), F.lit(f"</{tag}>")) for tag, form in (("Year", "yyyy"), ("Month", "MM"), ("Day", "dd"))))
@@ -237,10 +284,22 @@ def pubmed_file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number in (1, 2, 3):
         lines = events.where(k % 3 == number - 1).repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.when(F.col("event_type") == "error", gone).otherwise(article).alias("value"))
         lines.write.text(f"{folder}/pubmed26n{number:04d}.xml")
-    path = f"{folder}/*.xml"
-    told = publication.events_of(records.pubmed(spark, path))
-    told = told.unionByName(publication.deletions_of(records.pubmed_deletions(spark, path), told))
-    return publication.current_records(told).select("event_key", "record.title", "source_time", F.substring("tie_break_key", 1, 8).cast("int").alias("sequence"))
+    return folder
+
+
+@query(
+    """
+select cast(1 + event_id % 3 as integer) as sequence, case when event_type = 'error' then 'delete' else 'upsert' end as kind, count(*) as events, count(distinct user_id) as articles
+from events group by 1, 2"""
+)
+def bulk_file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ledger of bulk files holds, after files out of order, with a wrong hash and twice over."""
+    folder = _bulk_files(spark, sf_dir)
+    held = bulk.Ledger(spark, f"{folder}/ledger")
+    for number, sha in ((2, None), (1, "0" * 64), (1, None), (1, None), (3, None), (2, None), (3, None)):
+        with contextlib.suppress(bulk.Refused):
+            held.take(f"{folder}/pubmed26n{number:04d}.xml", number, sha)
+    return held.events().groupBy("sequence", "kind").agg(F.count("*").alias("events"), F.count_distinct("record_id").alias("articles"))
 
 
 @query(

@@ -14,7 +14,8 @@ from folioscope.operators.ranking import best_before
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import SOURCE_EVENTS, table
-from folioscope.streaming.state_stream import StateTable, follow
+from folioscope.sources.keyed_log import KeyedLog
+from folioscope.streaming.state_stream import follow
 
 LATEST = """
 latest as (
@@ -300,7 +301,7 @@ def stream_state_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
-    states = StateTable(spark, f"{folder}/state", ["event_key"])
+    states = KeyedLog(spark, f"{folder}/state", ["event_key"])
     follow(roles.as_source_events(stream), states, f"{folder}/checkpoint")
     return states.read().select("event_key", "event_kind", "tie_break_key", "event_id", "value")
 

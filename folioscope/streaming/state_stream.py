@@ -1,91 +1,29 @@
-"""Current state kept up by Structured Streaming: micro-batches merge into a state table.
+"""Current state kept up by Structured Streaming: micro-batches are appended to a keyed log.
 
-A batch's winners are merged with the stored state by the ordering tuple, so late and
-repeated events change nothing, and a batch that runs again after a failure gives the same
-state.  The state lies in buckets of keys; a batch writes new versions of those buckets only
-that it touches, and readers take the newest whole version of each.
+Readers merge by the ordering tuple, so late and repeated events change nothing, and a batch
+that runs again after a failure gives the same state.  A batch writes its own keys only,
+whatever the size of the state; compaction rewrites a row a few times over its life.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from folioscope.operators import state
+from folioscope.sources.keyed_log import KeyedLog
 
-#: Buckets that keys are dealt to.
-BUCKETS = 64
 
-
-class StateTable:
-    """Folders ``v=<batch>/bucket=<n>`` of a keyed state; the number of buckets is fixed for a table's life."""
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), keys, buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str, prefix: str) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
-        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
-
-    def _held(self) -> dict[int, list[int]]:
-        """Buckets of each version that was written whole and has some."""
-        if not self._fs.exists(self._path(self.folder)):
-            return {}
-        whole = [v for v in self._names(self.folder, "v=") if self._fs.exists(self._path(f"{self.folder}/v={v}/_SUCCESS"))]
-        held = {v: self._names(f"{self.folder}/v={v}", "bucket=") for v in whole}
-        return {v: found for v, found in held.items() if found}
-
-    def versions(self) -> list[int]:
-        """Versions that were written whole and aren't replaced altogether."""
-        return list(self._held())
-
-    def _newest(self, held: dict[int, list[int]], wanted: set[int] | None = None) -> list[str]:
-        newest = {b: v for v, found in sorted(held.items()) for b in found if wanted is None or b in wanted}
-        return [f"{self.folder}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
-
-    def read(self) -> DataFrame | None:
-        paths = self._newest(self._held())
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Folds a micro-batch into the state as it was before that batch."""
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows = state.latest_by(batch, self.keys)
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}
-        before = {v: found for v, found in self._held().items() if v < batch_id}
-        paths = self._newest(before, touched)
-        if paths:
-            rows = state.latest_by(self.spark.read.parquet(*paths).unionByName(rows), self.keys)
-        if touched:
-            rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/v={batch_id}")
-        self._clear(batch_id)
-
-    def _clear(self, batch_id: int) -> None:
-        """Drops versions of a bucket that two newer ones replace: readers may have listed the one before."""
-        seen: dict[int, int] = {}
-        for v, found in sorted(self._held().items(), reverse=True):
-            for b in found:
-                seen[b] = seen.get(b, 0) + 1
-                if seen[b] > 2:
-                    self._fs.delete(self._path(f"{self.folder}/v={v}/bucket={b}"), True)
-            if v < batch_id and all(seen[b] > 2 for b in found):
-                self._fs.delete(self._path(f"{self.folder}/v={v}"), True)
-
-
-def follow(events: DataFrame, table: StateTable, checkpoint: str, hooks: list[Callable[[DataFrame, int], None]] | None = None) -> list[str]:
+def follow(events: DataFrame, table: KeyedLog, checkpoint: str, hooks: list[Callable[[DataFrame, int], None]] | None = None) -> list[str]:
     """Runs a stream of events into the table until its input is used up.
 
-    Hooks run after a batch is merged; their failures are returned and don't stop the stream.
+    Hooks run after a batch is taken in; their failures are returned and don't stop the stream.
     """
     failures: list[str] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        table.merge(batch, batch_id)
+        table.append(batch, batch_id)
+        table.compact()
         for hook in hooks or []:
             try:
                 hook(batch, batch_id)

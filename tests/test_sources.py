@@ -2,12 +2,9 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
-from folioscope.plans import publication, roles
+from folioscope.plans import publication
 from folioscope.sources import records
 from folioscope.sources.generations import Store, revision
-from folioscope.streaming.state_stream import StateTable, follow
 
 WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B", "orcid": "https://orcid.org/0000-0002-1825-0097"}, "is_corresponding": True, "institutions": [{"display_name": "Harbour School"}, {"id": "x"}]}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False, "type": "article", "cited_by_count": 4, "abstract_inverted_index": {"Tides": [0], "turn": [1]}, "topics": [{"id": "https://openalex.org/T9", "display_name": "Marine Life", "score": 0.9}, {"id": "https://openalex.org/T8", "display_name": "Marine life", "score": 0.1}], "primary_location": {"license": "cc-by", "license_id": None, "source": {"display_name": "J", "type": "journal", "issn": ["0378-5955"]}}}
 ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-08-02T21:10:30+05:30"}}
@@ -77,21 +74,6 @@ def test_metrics_are_checked(spark, tmp_path):
     assert [r["problem"] for r in records.metrics(spark, str(tmp_path / "m.csv")).orderBy("title").collect()] == [None, "issn_l", None, "known_without_value"]
 
 
-def test_stream_equals_batch_and_survives_replays(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    for k in range(3):
-        events.where(F.col("event_id") % 3 == 2 - k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = roles.as_source_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    states = StateTable(spark, str(tmp_path / "state"), ["event_key"])
-    failures = follow(stream, states, str(tmp_path / "ck"), [lambda d, i: 1 / 0 if i == 1 else None])
-    assert len(failures) == 1 and states.versions() == [1, 2]
-    expected = {tuple(r) for r in roles.source_events(spark, sf).groupBy("event_key").agg(F.max_by("event_id", F.struct("source_time", "tie_break_key", "position", "event_id"))).collect()}
-    got = lambda: {(r["event_key"], r["event_id"]) for r in states.read().collect()}
-    assert got() == expected
-    states.merge(roles.source_events(spark, sf).where("event_id % 3 = 0"), 2)
-    assert got() == expected
-
-
 def test_raw_hashes_are_of_the_article_itself(spark, tmp_path):
     """Articles that differ only in parts that aren't parsed have different hashes; order and sequence are kept."""
     one = "<PubmedArticle><MedlineCitation><PMID Version='1'>{}</PMID><Article><ArticleTitle>same</ArticleTitle>{}</Article></MedlineCitation></PubmedArticle>"
