@@ -1,6 +1,11 @@
 import random
 import re
+import time
+from html.parser import HTMLParser
 
+import pytest
+
+from folioscope.llm import htmltext
 from folioscope.llm.htmltext import extract, render
 from folioscope.llm.queries import op7_html_text
 
@@ -89,6 +94,9 @@ def flowed(nodes, inside=""):
         if name in ("b", "span"):
             yield from flowed(children)
             continue
+        if name == "br":
+            yield 0
+            continue
         blank = int(name in ("p", "ul", "table", "blockquote") and not (name == "ul" and inside == "li"))
         yield blank
         if name == "ul":
@@ -136,6 +144,83 @@ def test_random_pages_equal_an_independent_layout():
         assert render(page) == expected, page
 
 
+class Tree(HTMLParser):
+    """The pieces of the driver's pages, read by the standard library: blocks close paragraphs, items close items."""
+
+    NAMES = {"h1": "p", "nav": "div", "article": "div", "footer": "div", "a": "span", "b": "span"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.skip = [("root", [])], 0
+        self.feed(page)
+        self.close()
+
+    def leave(self, name):
+        if any(n == name for n, _ in self.stack):
+            while self.stack.pop()[0] != name:
+                pass
+
+    def handle_starttag(self, name, attributes):
+        if name in ("script", "style", "title"):
+            self.skip += 1
+        elif name == "br":
+            self.stack[-1][1].append(("br", []))
+        elif name not in ("html", "head", "body", "meta"):
+            name = self.NAMES.get(name, name)
+            if name in ("p", "div", "ul", "li"):
+                self.leave("p")
+            node = (name, [])
+            self.stack[-1][1].append(node)
+            self.stack.append(node)
+
+    def handle_endtag(self, name):
+        if name in ("script", "style", "title"):
+            self.skip -= 1
+        else:
+            self.leave(self.NAMES.get(name, name))
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.stack[-1][1].append(data)
+
+
+def test_pages_equal_an_independent_layout(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        expected = "\n".join(line.rstrip() for line in expected_lines(Tree(r["html"]).stack[0][1]))
+        assert render(r["html"]) == expected.strip("\n"), r["page_id"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<center>", "<title>x ", '<a b="', "<!x", "<ul><li>x", "<blockquote>x", "<table><tr><td>x", "<p>a<b>", "<pre>x\n", "</p>", "<td>", "&", "<select><option>"])
+def test_junk_takes_time_in_proportion(piece):
+    took = []
+    for n in (100_000, 400_000):
+        start = time.process_time()
+        render(piece * (n // len(piece)) + ">")
+        took.append(time.process_time() - start)
+    # four times the text: sixteen times the time if it were quadratic
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_layout_of_less_common_elements():
+    for page, text in (
+        ("<pre>a<table><tr><td>x<td>y</table>b\n  c</pre>", "a\n\nx  y\n\nb\n  c"),
+        ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+        ("<select><option>a<option selected>b<option>c</select> end", "b end"),
+        ("<select><option>a<option>b</select><select multiple><option>c<option>d</select>", "a c d"),
+        ("<div style='visibility:hidden'>x<p style='visibility: visible'>seen</p><img alt=no></div>", "seen"),
+        ("<style>.v{visibility:hidden}</style><p class=v>x</p><p>y</p>", "y"),
+        ("<div style='display:none'>x<p style='display:block'>still not</p></div>y", "y"),
+        ("a<plaintext><b>x</b>", "a\n\n<b>x</b>"),
+        ("<table><tr><td>漢字<td>b<tr><td>abcd<td>c</table>", "漢字  b\nabcd  c"),
+        ("<ul><li><blockquote>q<p>r</blockquote><li></ul>", "-     q\n\n      r\n-"),
+        ("x <title>late</title> y", "x y"),
+    ):
+        assert render(page) == text, page
+    assert htmltext.title_of("<svg><title>drawn</title></svg><title> A &amp;  b") == "A & b"
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "", None, None), (None, "<p>x" * 30000, "u", "t"), (2, "", None, None)], "page_id long, html string, url string, text string")
     rows = extract(df).collect()
