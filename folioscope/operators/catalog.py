@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import tristate as ts
-from folioscope.operators import search
+from folioscope.operators import search, textindex
 
 #: Fixed values.
 PAPER_TYPES = ("research_article", "review", "preprint", "dataset", "benchmark")
@@ -101,11 +101,18 @@ class PaperQuery:
         return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def filtered(papers: DataFrame, query: PaperQuery) -> DataFrame:
-    """Papers that meet all conditions; list, total and facets share this predicate."""
+def filtered(papers: DataFrame, query: PaperQuery, index: textindex.Index | None = None) -> DataFrame:
+    """Papers that meet all conditions; list, total and facets share this predicate.
+
+    With a text query they get their ``relevance``: from an index, or from their texts, which
+    is for small catalogs only.
+    """
     conditions: list[Column] = []
-    if query.q:
-        conditions.append(search.matches(F.col("search_text"), query.q))
+    if query.q and index:
+        papers = papers.join(index.search(query.q).withColumnRenamed("key", "canonical_key"), "canonical_key")
+    elif query.q:
+        papers = search.with_stems(papers, "search_text", "search_stems").withColumn("relevance", search.relevance(F.col("search_stems"), query.q))
+        papers = papers.where(search.matches(F.col("search_stems"), query.q)).drop("search_stems")
     if query.published_from:
         conditions.append(ts.is_known("published_at") & (ts.value("published_at") >= F.lit(query.published_from)))
     if query.published_to:
@@ -146,11 +153,9 @@ def after(sort: str, rank: int, value: object, key: str) -> Column:
     return later | ((r == rank) & (v.isNull() | (v < F.lit(value)) | ((v == F.lit(value)) & (F.col("canonical_key") > key))))
 
 
-def page(papers: DataFrame, query: PaperQuery, position: tuple[int, object, str] | None = None) -> DataFrame:
+def page(papers: DataFrame, query: PaperQuery, position: tuple[int, object, str] | None = None, index: textindex.Index | None = None) -> DataFrame:
     """One page and one row more, which tells that there are more."""
-    rows = filtered(papers, query)
-    if query.q:
-        rows = rows.withColumn("relevance", search.relevance(F.col("search_text"), query.q))
+    rows = filtered(papers, query, index)
     if position:
         rows = rows.where(after(query.sort, *position))
     return ordered(rows, query.sort).limit(query.limit + 1)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions import stemming
 from folioscope.functions.text import percent
-from folioscope.operators import analytics, catalog, search
+from folioscope.operators import analytics, catalog, search, textindex
+from folioscope.operators.components import shared_checkpoint_dir
 from folioscope.operators.ranking import placed
 from folioscope.plans import roles
 from folioscope.plans.registry import query
@@ -307,33 +312,63 @@ def receipt_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words_sql(extra: str) -> str:
-    stops = ", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS))
+    """Stems of the documents' words, in order, as CTEs before ``extra``."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    starts = f"regexp_extract(v, '^({stemming.BEGINNINGS})', 0)"
+    chain, last = [], "r2"
+    for k, (suffix, replaced) in enumerate(stemming.steps()):
+        fixed = "fixed" if k else f"case when v in ({quoted(stemming.AFTER_PLURAL)}) then v end as fixed"
+        chain.append(f"t{k} as (select x, p1, p2, {fixed if k else 'null as fixed'}, {replaced} as v from (select *, left(v, length(v) - length(b)) as u from (select *, {suffix} as b from {last})))")
+        last = f"t{k}"
+        if not k:
+            chain.append(f"t as (select x, p1, p2, {fixed}, v from t0)")
+            last = "t"
+    own = " ".join(f"when x = '{k}' then '{v}'" for k, v in {**stemming.EXCEPTIONS, **{w: w for w in stemming.INVARIANT}}.items())
     return f"""
-with w as (select doc_id, [case when len(x) > 4 then regexp_replace(x, '{search.SUFFIX}', '') else x end
-        for x in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> '' and x not in ({stops})] as s from documents)
+with told as (select doc_id, [x for x in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> '' and x not in ({quoted(sorted(search.STOP_WORDS))})] as xs from documents where text is not null),
+words as (select distinct unnest(xs) as x from told),
+r0 as (select x, regexp_replace(regexp_replace(x, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') as v from words),
+r1 as (select *, case when {starts} <> '' then length({starts}) else {stemming.region('v')} end as p1 from r0),
+r2 as (select x, v, p1, p1 + {stemming.region('r')} as p2 from (select *, substring(v, p1 + 1) as r from r1)),
+{", ".join(chain)},
+stems as (select x, case when length(x) <= 2 then x {own} else lower(coalesce(fixed, v)) end as y from {last}),
+w as (select doc_id, list(y order by i) as s from (select doc_id, unnest(xs) as x, unnest(range(1, len(xs) + 1)) as i from told) join stems using (x) group by doc_id)
 {extra}"""
 
 
-@query(_words_sql("select doc_id from w where list_contains(s, 'thtion') and list_contains(s, 'erthe') or list_contains(s, 'erhe') and not list_contains(s, 'ofer')"))
+def document_index(spark: SparkSession, sf_dir: str) -> textindex.Index:
+    """The index of all documents in the shared folder: written by the first query of an application that asks for it."""
+    return _written_index(spark.sparkContext.applicationId, sf_dir)
+
+
+@functools.lru_cache(maxsize=64)
+def _written_index(application: str, sf_dir: str) -> textindex.Index:
+    spark = SparkSession.active()
+    keyed = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("canonical_key"), "text")
+    return textindex.Index(spark, f"{shared_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}").write(keyed, "canonical_key", "text")
+
+
+def _found(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """(doc_id, relevance) of the documents that meet a query, by the index."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("canonical_key"))
+    return catalog.filtered(rows, catalog.PaperQuery(q=query).normalised(), document_index(spark, sf_dir)).select("doc_id", "relevance")
+
+
+@query(_words_sql("select doc_id from w where list_contains(s, 'thtion') and list_contains(s, 'erth') or list_contains(s, 'erh') and not list_contains(s, 'ofer')"))
 def search_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that must occur, an alternative, and one that must not."""
-    wanted = catalog.PaperQuery(q="thtion erthe or erhe -ofer").normalised()
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("search_text"))
-    return catalog.filtered(rows, wanted).select("doc_id")
+    return _found(spark, sf_dir, "thtion erthe or erhe -ofer").select("doc_id")
 
 
 @query(_words_sql("select doc_id from w where contains(' ' || array_to_string(s, ' ') || ' ', ' all right reserv ')"))
 def search_match_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("search_text"))
-    return catalog.filtered(rows, catalog.PaperQuery(q='"all rights reserved"').normalised()).select("doc_id")
+    return _found(spark, sf_dir, '"all rights reserved"').select("doc_id")
 
 
-@query(_words_sql("select doc_id, round(len([x for x in s if x in ('erhe', 'thtion')]) / (1.0 + ln(1.0 + len(s))), 6) as relevance from w where list_contains(s, 'erhe') and list_contains(s, 'thtion')"))
+@query(_words_sql("select doc_id, round(len([x for x in s if x in ('erh', 'thtion')]) / (1.0 + ln(1.0 + len(s))), 6) as relevance from w where list_contains(s, 'erh') and list_contains(s, 'thtion')"))
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented rank of each match."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("search_text"))
-    found = catalog.filtered(rows, catalog.PaperQuery(q="thtion erhe").normalised())
-    return found.select("doc_id", search.relevance(F.col("search_text"), "thtion erhe").alias("relevance"))
+    return _found(spark, sf_dir, "thtion erhe")
 
 
 @query(

@@ -410,15 +410,17 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _relevance_sql(where: str, limit: int) -> str:
     from folioscope.plans.analytics_queries import _words_sql
 
-    return _words_sql(f""", r as (select 'doc:' || doc_id as canonical_key, round(len([x for x in s if x in ('erhe', 'thtion')]) / (1.0 + ln(1.0 + len(s))), 6) as sort_value
-        from w where list_contains(s, 'erhe') or list_contains(s, 'thtion')),
+    return _words_sql(f""", r as (select 'doc:' || doc_id as canonical_key, round(len([x for x in s if x in ('erh', 'thtion')]) / (1.0 + ln(1.0 + len(s))), 6) as sort_value
+        from w where list_contains(s, 'erh') or list_contains(s, 'thtion')),
     p as (select *, row_number() over (order by sort_value desc, canonical_key) as place from r where {where})
 select place, canonical_key, sort_value from p where place <= {limit}""")
 
 
 def _relevance_page(spark: SparkSession, sf_dir: str, position: tuple[int, object, str] | None) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), _key("doc_id")).alias("canonical_key"), F.col("text").alias("search_text"))
-    page = catalog.page(rows, catalog.PaperQuery(q="thtion or erhe").normalised(), position)
+    from folioscope.plans.analytics_queries import document_index
+
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), _key("doc_id")).alias("canonical_key"))
+    page = catalog.page(rows, catalog.PaperQuery(q="thtion or erhe").normalised(), position, document_index(spark, sf_dir))
     # a page has a hundred rows at most, so one window numbers them
     order = Window.orderBy(F.desc("sort_value"), "canonical_key")
     return page.select(F.row_number().over(order).cast("long").alias("place"), "canonical_key", "sort_value")

@@ -1,10 +1,11 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.functions import documents
-from folioscope.operators import analytics, catalog, jobs, policies, ranking, search, state, venues
+from folioscope.functions import documents, stemming
+from folioscope.operators import analytics, catalog, jobs, policies, ranking, search, state, textindex, venues
 from folioscope.operators.components import connected_components
 from folioscope.plans import state_queries
 
@@ -142,8 +143,8 @@ def test_cursor_is_bound_and_signed():
 
 
 def test_search_language(spark):
-    df = spark.createDataFrame([("All rights reserved by the authors",), ("rights of all are reserved",), ("",), (None,)], "t string")
-    hits = lambda q: [r["h"] for r in df.select(search.matches(F.col("t"), q).alias("h")).collect()]
+    df = search.with_stems(spark.createDataFrame([("All rights reserved by the authors",), ("rights of all are reserved",), ("",), (None,)], "t string"), "t", "s")
+    hits = lambda q: [r["h"] for r in df.select(search.matches(F.col("s"), q).alias("h")).collect()]
     assert hits('"all rights reserved"') == [True, False, False, False]
     assert hits("reserved -author") == [False, True, False, False] and hits("the of") == [False] * 4
     assert search.parse('a "x y" -"p q" or z') == [[(True, ["x", "y"]), (False, ["p", "q"])], [(True, ["z"])]]
@@ -199,11 +200,40 @@ def test_statuses(spark):
     assert not allowed("rejected", "active") and not allowed("active", "deleted") and not allowed("deleted", "deleted")
 
 
-def test_stems_may_be_stored(spark):
-    df = spark.createDataFrame([("Rights reserved by all authors",), ("",), (None,)], "t string").withColumn("s", search.stems(F.col("t")))
-    q = 'author "right reserv"'
-    rows = df.select(search.matches(F.col("t"), q).alias("a"), search.stored_matches(F.col("s"), q).alias("b"), search.relevance(F.col("t"), q).eqNullSafe(search.stored_relevance(F.col("s"), q)).alias("c")).collect()
-    assert [(r["a"], r["b"], r["c"]) for r in rows] == [(True, True, True), (False, False, True), (False, False, True)]
+#: Words and their stems, from the stemmer's published description and sample vocabulary.
+STEMS = """
+consign consign consigned consign consignment consign consistency consist consistently consist consolation consol consolatory consolatori consolidate consolid
+consolingly consol conspicuously conspicu conspiracy conspiraci conspirators conspir constable constabl constancy constanc knackeries knackeri knavish knavish
+kneaded knead kneeling kneel knightly knight knives knive knocker knocker knotted knot generate generat generously generous communication communic arsenal arsenal
+skies sky dying die news news happy happi cry cri by by say say hopping hop hoping hope agreed agre feed feed luxuriated luxuri relational relat conditional condit
+rational ration digitizer digit radically radic analogous analog vileli vile hopefulness hope callousness callous formaliti formal sensibiliti sensibl triplicate triplic
+electriciti electr goodness good revival reviv airliner airlin adjustable adjust replacement replac adoption adopt controll control roll roll proceeded proceed
+succeed succeed inning inning youth youth enjoying enjoy yellow yellow ties tie cries cri gas gas gaps gap kiwis kiwi this this be be
+""".split()
+
+
+def test_stems_of_the_published_vocabulary(spark):
+    pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
+    row = spark.createDataFrame([([w for w, _ in pairs],)], "ws array<string>").select(stemming.stems("ws").alias("s")).first()
+    assert list(zip([w for w, _ in pairs], row["s"], strict=True)) == pairs
+    told = stemming.vocabulary(spark.createDataFrame(pairs, "w string, s string"), "w").collect()
+    assert {r["w"]: r["stem"] for r in told} == dict(pairs)
+    assert stemming.stems_of(("reserved", "o'clock\\")) == {"reserved": "reserv", "o'clock\\": "o'clock\\"}
+
+
+def test_the_index_equals_a_scan(spark, tmp_path):
+    rng = random.Random(5)
+    words = "tide tides turning turned harbour reserved rights author the of owner mood".split()
+    rows = [(f"k{i}", " ".join(rng.choices(words, k=rng.randrange(0, 14)))) for i in range(120)] + [("none", None), ("again", "tide")]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(3)
+    index = textindex.Index(spark, str(tmp_path / "i"), buckets=16).write(df, "key", "text")
+    scanned = search.with_stems(df, "text", "s")
+    for q in ("tide", "tides turn", '"rights reserved"', '"tide turning tides" or author', "-tide", "mood or -author", 'harbour -"rights reserved"', "the of", "nothing", '"tide tide"'):
+        expected = {(r["key"], r["v"]) for r in scanned.where(search.matches(F.col("s"), q)).select("key", search.relevance(F.col("s"), q).alias("v")).collect()}
+        assert {tuple(r) for r in index.search(q).collect()} == expected, q
+    plan = index.postings(["tide", "author"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [In(stem" in plan or "In(stem" in plan
 
 
 def test_aliases_are_planned_once_and_got(spark):
