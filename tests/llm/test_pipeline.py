@@ -1,11 +1,15 @@
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from folioscope.llm.queries import op8_pii
 from tests.llm.test_minhash import brute
+from tests.llm.test_mixing import brute as mixed_by_hand
 
 
 def test_stages_on_all_documents(spark, sf):
@@ -30,11 +34,16 @@ def test_stages_on_all_documents(spark, sf):
         assert r["text"] == old[r["doc_id"]] or re.search("<[A-Z_]+>", r["text"])
         assert "@mail" not in r["text"]
     before, after = held["source_mixing"]
-    assert {r["doc_id"] for r in before.collect()} == {r["doc_id"] for r in after.collect()} and after.count() >= before.count()
+    taken = Counter(i for i, *_ in mixed_by_hand(before))
+    assert Counter(r["doc_id"] for r in after.collect()) == taken and set(taken) == {r["doc_id"] for r in before.collect()}
+    assert {tuple(r) for r in after.collect()} == {tuple(r) for r in before.collect()}
     before, after = held["bpe_encode"]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    expected = sorted((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)) for r in before.collect())
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in after.collect()) == expected
+    expected = []
+    for r in before.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        expected.append((r["doc_id"], len(ids), np.array(ids, dtype="<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
+    assert sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in after.collect()) == sorted(expected)
 
 
 def test_run_gives_the_last_stage(spark, sf):
@@ -67,3 +76,23 @@ def test_the_pii_stage_equals_brute_force(spark, sf):
         got = after[r["doc_id"]]
         assert (got["text"] or "") == expected and got["n_chars"] == len(expected)
         assert (got["lang"], got["source"]) == (r["lang"], r["source"])
+
+
+def test_no_near_duplicate_of_a_second_text_stays(spark):
+    """Rows that share an id, one of which another document repeats."""
+    a, b = (" ".join(f"{k}{i}" for i in range(200)) for k in "ab")
+    rows = [(1, a, "en", "s", 9), (1, b, "en", "s", 9), (2, b + " tail", "en", "s", 9), (3, "an own text of some words more", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == sorted((i, t) for i, t, *_ in rows if i != 2)
+
+
+def test_the_language_stage_rejects_junk(spark):
+    """Rejection at work: junk and an unlearned script go, clean documents stay, with or without a language."""
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    letters = ["bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+    junk = [(10**6 + k, " ".join("".join(r.choice(letters[k % 3]) for _ in range(r.randint(2, 9))) for _ in range(300)), None, "junk", 1) for k in range(12)]
+    kept = corpus_pipeline.known_language(spark, docs.union(spark.createDataFrame(junk, docs.schema)), "").collect()
+    assert not {k for k, *_ in junk} & {x["doc_id"] for x in kept}
+    clean = {x["doc_id"] for x in docs.collect() if re.search(r"[^\W\d_]", x["text"] or "")}
+    assert len(clean - {x["doc_id"] for x in kept}) <= len(clean) // 200 and all(x["lang"] for x in kept)
