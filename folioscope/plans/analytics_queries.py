@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 
@@ -17,6 +18,7 @@ from folioscope.operators.ranking import placed
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import PAPERS, TOPICS, table
+from folioscope.sources import bulk, metric_import
 
 
 def _shown(value: Column) -> Column:
@@ -299,6 +301,39 @@ def metric_import_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incoming.join(stored, "k", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("rows"))
 
 
+@query(
+    """
+select 1 as number, 2 * count(*) as input, count(*) as inserted, count(*) as unchanged, true as first_time from supplier where s_suppkey % 2 = 0
+union all select 2, count(*), count(*) filter (s_suppkey % 2 <> 0), count(*) filter (s_suppkey % 2 = 0), true from supplier
+union all select 2, count(*), count(*) filter (s_suppkey % 2 <> 0), count(*) filter (s_suppkey % 2 = 0), false from supplier"""
+)
+def metric_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of files of metrics: one with repeated rows, one that is refused for a row that differs, one with more venues, and that one again."""
+    folder = f"{shared_checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    seven = F.lpad(k.cast("string"), 7, "0")
+    left = (11 - F.aggregate(F.transform(F.split(seven, ""), lambda c, i: c.cast("int") * (8 - i)), F.lit(0), lambda a, b: a + b) % 11) % 11
+    issn = F.concat(F.substring(seven, 1, 4), F.lit("-"), F.substring(seven, 5, 3), F.when(left == 10, "X").otherwise(left.cast("string")))
+    told = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("title"), issn.alias("issn_l"), F.lit(None).cast("string").alias("issn"), issn.alias("eissn"), F.lit(2025).alias("metric_year"), F.concat(F.lit("nation, "), "s_nationkey").alias("category"),
+        F.round(F.abs("s_acctbal") / 100, 2).cast("decimal(18,3)").cast("string").alias("jif"), F.concat(F.lit("Q"), (k % 4 + 1).cast("string")).alias("quartile"), F.lit("known").alias("status"), F.lit("supplier").alias("source"), k,
+    )
+    even = told.where(k % 2 == 0)
+    # of one venue the other file tells another impact
+    other = even.agg(F.min(k)).first()[0]
+    files = {"a": even.union(even.withColumn("jif", F.concat(F.lit("00"), "jif"))), "b": told.withColumn("jif", F.when(k == other, "99999").otherwise(F.col("jif"))), "c": told}
+    store, out = metric_import.MetricStore(spark, f"{folder}/store"), []
+    for name in ("a", "b", "c", "c"):
+        path = f"{folder}/{name}"
+        if name not in {r[0] for r in out}:
+            files[name].drop("s_suppkey").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        with contextlib.suppress(bulk.Refused):
+            known = {r.sha256 for r in store.receipts()}
+            r = store.take(path, "2026-01-01", metric_import.Limits(size=1 << 40, rows=1 << 40))
+            out.append((name, r.number, r.input, r.inserted, r.unchanged, r.sha256 not in known))
+    return spark.createDataFrame(out, "name string, number int, input long, inserted long, unchanged long, first_time boolean").drop("name")
+
+
 @query(
     """
 with c as (select l_orderkey as receipt, count(*) as input, count(*) filter (l_returnflag = 'N') as inserted, count(*) filter (l_returnflag <> 'N' and l_linenumber <> 7) as unchanged from lineitem group by 1)
