@@ -246,10 +246,29 @@ def json_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", documents.json_kind(raw).alias("kind"))
 
 
-@query("select p_partkey, p_brand || ' & co' || chr(10) || p_name || ' < ' || p_type as abstract from part")
+@query(
+    """
+with c as (select p_partkey, p_partkey % 9 as k, p_brand, p_name, p_type from part)
+select p_partkey, case k when 0 then p_brand || ' & co ' || p_name || ' < ' || p_type when 1 then '1 < 2 and 3 > 2 ' || p_name when 2 then p_name || ' – ' || p_brand || 'é' when 3 then 'a < b & ' || p_type when 8 then p_name end as abstract,
+    case k when 4 then 'nesting' when 5 then 'depth' when 6 then 'entity' when 7 then 'markup' end as problem
+from c"""
+)
 def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("<jats:sec><jats:title>"), F.col("p_brand"), F.lit(" &amp; <b>co</b></jats:title><jats:p>\n "), F.col("p_name"), F.lit("  &lt; "), F.col("p_type"), F.lit("</jats:p></jats:sec>"))
-    return table(spark, sf_dir, "part").select("p_partkey", documents.jats_text(raw).alias("abstract"))
+    """Abstracts: sections, plain text, entities, character data; unbalanced, too deep, with unknown entities and with comments."""
+    k, tag = F.col("p_partkey") % 9, lambda name, *inner: F.concat(F.lit(f"<jats:{name}>"), *inner, F.lit(f"</jats:{name}>"))
+    brand, name, kind = F.col("p_brand"), F.col("p_name"), F.col("p_type")
+    raw = (
+        F.when(k == 0, tag("sec", tag("title", brand, F.lit(" &amp; "), tag("bold", F.lit("co"))), tag("p", F.lit("\n "), name, F.lit("  &lt; "), kind)))
+        .when(k == 1, F.concat(F.lit(" 1 < 2  and 3 > 2 "), name))
+        .when(k == 2, tag("p", name, F.lit(" &#x2013; "), brand, F.lit("&#233;")))
+        .when(k == 3, tag("p", F.lit("<![CDATA[a < b & ]]>"), kind))
+        .when(k == 4, F.concat(F.lit("<jats:p><jats:bold>"), name, F.lit("</jats:p></jats:bold>")))
+        .when(k == 5, F.concat(F.repeat(F.lit("<jats:sec>"), 65), name, F.repeat(F.lit("</jats:sec>"), 65)))
+        .when(k == 6, tag("p", name, F.lit("&nbsp;")))
+        .when(k == 7, tag("p", name, F.lit("<!-- x -->")))
+        .otherwise(F.concat(F.lit('<j:p xmlns:j="http://jats.nlm.nih.gov" id="a>b">'), name, F.lit("<j:break/></j:p>")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", documents.marked_text(raw).alias("t")).select("p_partkey", F.col("t.text").alias("abstract"), "t.problem")
 
 
 @query(

@@ -97,7 +97,7 @@ def _openalex_items(spark: SparkSession, path: str) -> DataFrame:
 
 def _crossref_items(spark: SparkSession, path: str) -> DataFrame:
     target = F.exists("r.update-to", lambda u: identifiers.doi(u["DOI"]).isNull())
-    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to"))
+    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to").when(documents.marked_text(F.col("r.abstract"))["problem"].isNotNull(), "abstract"))
 
 
 def malformed(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -179,7 +179,7 @@ def crossref(spark: SparkSession, path: str, on_error: str = "fail") -> DataFram
         ),
         issns=F.array_distinct(F.filter(F.transform("r.ISSN", identifiers.issn), lambda x: x.isNotNull())),
         urls=F.array().cast("array<string>"),
-        abstract=documents.jats_text(F.col("r.abstract")),
+        abstract=documents.marked_text(F.col("r.abstract"))["text"],
         work_type=F.col("r.type"),
         citations=F.col("r.is-referenced-by-count"),
         licenses=F.transform("r.license", lambda x, i: F.struct(F.lit("").alias("name"), x["URL"].alias("id"), F.concat(F.lit("$.license["), i.cast("string"), F.lit("]")).alias("path"))),

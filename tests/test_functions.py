@@ -1,9 +1,12 @@
+import random
+from xml.etree import ElementTree
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscope.functions import identifiers, text, tristate
+from folioscope.functions import documents, identifiers, text, tristate
 
 
 def values(spark, raw, f):
@@ -71,3 +74,42 @@ def test_tri_state(spark):
     assert spark.createDataFrame([("known", True), ("known", None)], df.schema).agg(*tristate.ratio("x")).first()["x_ratio_state"] == "unknown"
     share = lambda d: d.agg(*tristate.ratio("x")).first()["x_ratio_state"]
     assert (share(df), share(df.limit(0)), share(df.where("x_state = 'known'")), share(df.where("x_state = 'missing'"))) == ("unknown", "unknown", "known", "unknown")
+
+
+def test_marked_up_abstracts_equal_an_xml_parser(spark):
+    r = random.Random(2)
+
+    def piece(depth):
+        if depth > 4 or r.random() < 0.4:
+            return r.choice(["a  b", " x ", "1 &lt; 2 &amp;&#x2013;", "&#233;\n", "<![CDATA[<raw> & ]]>", "&quot;q&apos;", "😀 &#x1F600;"])
+        name = r.choice(["p", "sec", "title", "bold", "italic", "list-item", "sup"])
+        if r.random() < 0.1:
+            return f"<jats:{name} a='1'/>"
+        return f"<jats:{name} id=\"x>y\">{''.join(piece(depth + 1) for _ in range(r.randint(0, 3)))}</jats:{name}>"
+
+    def text(e):
+        gap = " " if e.tag in documents.JATS_BLOCKS else ""
+        return gap + (e.text or "") + "".join(text(c) + (c.tail or "") for c in e) + gap
+
+    texts = [f"<jats:p>{''.join(piece(1) for _ in range(r.randint(1, 4)))}</jats:p>" for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", documents.marked_text(F.col("t")).alias("m")).collect()
+    for row in rows:
+        assert row["m"]["problem"] is None
+        assert row["m"]["text"] == " ".join(text(ElementTree.fromstring(row["t"].replace("jats:", ""))).split())
+
+
+def test_abstracts_that_are_not_well_formed_have_no_text(spark):
+    deep = "<jats:sec>" * 64 + "x" + "</jats:sec>" * 64
+    cases = {
+        "1 < 2 and 3 > 2": ("1 < 2 and 3 > 2", None), " a &amp;  b\n": ("a &amp; b", None), "": ("", None), deep: ("x", None),
+        f"<jats:p>{deep}</jats:p>": (None, "depth"), "<jats:p>" + "<jats:bold/>" * 9_999 + "</jats:p>": ("", None), "<jats:p>" + "<jats:bold/>" * 10_000 + "</jats:p>": (None, "elements"),
+        "<jats:p>" + "x" * (1 << 20) + "</jats:p>": ("x" * (1 << 20), None), "<jats:p>" + "x" * ((1 << 20) + 1) + "</jats:p>": (None, "text_bytes"),
+        "<jats:p>a": (None, "incomplete"), "<jats:p>a</jats:sec>": (None, "nesting"), "<jats:p>a</jats:p></jats:p>": (None, "nesting"), "<jats:p>a</jats:p> b": (None, "outside"),
+        "<jats:p>a</jats:p> <jats:p>b</jats:p>": ("a b", None), "<p>a</p>": (None, "element"), "<jats:p><b>a</b></jats:p>": (None, "element"), "<jats:bold>a</jats:bold>": (None, "root"),
+        "<jats:p>a<!-- c --></jats:p>": (None, "markup"), "<?x?><jats:p>a</jats:p>": (None, "markup"), "<jats:p>a &nbsp; b</jats:p>": (None, "entity"), "<jats:p>&#0;</jats:p>": (None, "entity"),
+        "<jats:p>&#xD800;</jats:p>": (None, "entity"), "<jats:p>a & b</jats:p>": (None, "entity"), "<jats:p>a < b</jats:p>": (None, "syntax"), "<jats:p id=x>a</jats:p>": (None, "syntax"), "<jats:p>a ]]> b</jats:p>": (None, "syntax"),
+        '<p xmlns="http://www.ncbi.nlm.nih.gov/JATS1">a<bold>b</bold></p>': ("ab", None), "<x:p xmlns:x='http://jats.nlm.nih.gov'>a</x:p>": ("a", None), "<x:p xmlns:x='http://other'>a</x:p>": (None, "element"),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", documents.marked_text(F.col("t")).alias("m")).collect()
+    assert {r["t"][:60]: tuple(r["m"]) for r in rows} == {t[:60]: told for t, told in cases.items()}
+    assert spark.sql("select cast(null as string) as t").select(documents.marked_text(F.col("t")).alias("m")).first()["m"] is None
