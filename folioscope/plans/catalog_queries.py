@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text, tristate
 from folioscope.operators import catalog
-from folioscope.plans import roles
+from folioscope.plans import publication, roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import KNOWLEDGE, PAPERS, SOURCES, TOPICS, table
+from folioscope.sources import generations
 
 
 def _page(df: DataFrame) -> DataFrame:
@@ -309,15 +310,32 @@ with h as (select sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey)
 select sha256(string_agg(d, ',' order by branch)) as revision, cast(sum(n) as bigint) as rows from c"""
 )
 def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content address of a table: a tree of hashes by prefix, so that no task holds all of them.
+    """Content address of a table, as generations of a catalog have: a tree of hashes by prefix."""
+    hashed = table(spark, sf_dir, "lineitem").select(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256).alias("h"))
+    return generations.tree_digest(hashed).select(F.col("d").alias("revision"), F.col("n").alias("rows"))
+
 
-    65,536 leaves hash their sorted rows, 256 branches their leaves, and the root those.
+@query(
     """
-    hashed = table(spark, sf_dir, "lineitem").select(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256).alias("h"))
-    over = lambda order, d: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(d).alias("d")))), lambda x: x["d"]), ","), 256).alias("d")
-    leaves = hashed.groupBy(F.substring("h", 1, 4).alias("leaf")).agg(over("h", "h"), F.count("*").alias("n"))
-    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(over("leaf", "d"), F.sum("n").alias("n"))
-    return branches.agg(over("branch", "d").alias("revision"), F.sum("n").alias("rows"))
+with told as (select p_partkey, p_partkey % 7 = 3 as untitled, p_partkey % 11 = 5 as unproven, p_partkey % 13 = 1 as stateless, 'part:' || p_partkey // 2 as slug from part),
+    shared as (select slug from told where p_partkey % 17 = 0 or (p_partkey - 1) % 17 = 0 group by 1 having count(*) > 1)
+select rule, cast(count(*) as bigint) as papers from (
+    select 'no title' as rule from told where untitled union all select 'no provenance' from told where unproven union all select 'state is invalid' from told where stateless
+    union all select 'slug is shared' from shared) group by 1"""
+)
+def publication_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a catalog isn't published: papers without a title, without provenance, with an invalid state, or with another's slug."""
+    k = F.col("p_partkey")
+    papers = table(spark, sf_dir, "part").select(
+        k.cast("string").alias("canonical_key"),
+        F.when(k % 7 == 3, " ").otherwise(F.col("p_name")).alias("title"),
+        *(x for n in publication.FIELDS for x in (F.when((k % 13 == 1) & F.lit(n == "has_code"), "pending").otherwise("known").alias(f"{n}_state"), F.lit("v").alias(f"{n}_value"))),
+        F.when(k % 11 != 5, F.array(F.struct(F.lit("s").alias("source"), k.cast("string").alias("record_id"), F.lit("h").alias("raw_hash")))).otherwise(F.array().cast("array<struct<source:string,record_id:string,raw_hash:string>>")).alias("source_provenance"),
+        F.lit("active").alias("lifecycle_status"),
+        F.when((k % 17 == 0) | ((k - 1) % 17 == 0), F.concat(F.lit("part:"), F.floor(k / 2).cast("string"))).otherwise(k.cast("string")).alias("slug"),
+    )
+    told = generations.verdict(papers, "canonical_key", publication.broken(), {"slug is shared": F.col("slug")})
+    return spark.createDataFrame([(rule, n) for rule, (n, _) in told.items()], "rule string, papers long")
 
 
 @query(

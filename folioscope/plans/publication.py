@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import identifiers, text, tristate
 from folioscope.operators import state
-from folioscope.operators.components import connected_components
+from folioscope.operators.components import checkpointed, connected_components
 
 
 RECORD = ("doi", "identifiers", "title", "published", "authors", "issns", "urls", "retracted", "record_id", "abstract", "work_type", "topics", "citations", "licenses", "venue", "relations", "raw_hash")
@@ -55,11 +55,13 @@ def works(records: DataFrame) -> DataFrame:
 
     A work is named by the smallest event key among its records.  Each identifier links its
     records to the smallest of them: links are told by values, not by hashes of them.
+    Records are written once, so that their files aren't parsed again for each use.
     """
+    records = checkpointed(records)
     held = records.select(F.col("event_key").alias("a"), F.explode("record.identifiers").alias("i"))
     least = held.groupBy("i").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
     found = connected_components(held.join(least, "i").where("a <> b"))
-    return records.join(found, F.col("event_key") == F.col("node"), "left").withColumn("work_id", F.coalesce("component", "event_key")).drop("component", "node")
+    return checkpointed(records.join(found, F.col("event_key") == F.col("node"), "left").withColumn("work_id", F.coalesce("component", "event_key")).drop("component", "node"))
 
 
 #: Relations by which a record says that another one is retracted.
@@ -135,3 +137,33 @@ def _slugs(topics: Column) -> Column:
     """Slugs of named topics, sorted, each once, none empty."""
     found = F.transform(F.coalesce(topics, F.array().cast("array<struct<id:string,name:string,score:double>>")), lambda t: text.slug(t["name"]))
     return F.array_sort(F.array_distinct(F.filter(found, lambda s: F.coalesce(s != "", F.lit(False)))))
+
+
+#: Fields of papers that are known, unknown or missing.
+FIELDS = ("published_at", "has_code", "abstract", "paper_type", "citation_count", "has_data", "has_benchmark", "trend_score", "curation")
+
+
+def broken() -> dict[str, Column]:
+    """Rules that a catalog's papers must not violate to be published."""
+    states = (tristate.KNOWN, tristate.UNKNOWN, tristate.MISSING)
+    invalid, without, beside = F.lit(False), F.lit(False), F.lit(False)
+    for name in FIELDS:
+        state_of, value = F.col(f"{name}_state"), F.col(f"{name}_value")
+        invalid = invalid | state_of.isNull() | ~state_of.isin(*states)
+        without = without | (state_of.eqNullSafe(tristate.KNOWN) & value.isNull())
+        beside = beside | (F.coalesce(state_of.isin(tristate.UNKNOWN, tristate.MISSING), F.lit(False)) & value.isNotNull())
+    incomplete = F.exists("source_provenance", lambda p: p["source"].isNull() | p["record_id"].isNull() | p["raw_hash"].isNull())
+    return {
+        "state is invalid": invalid,
+        "known without a value": without,
+        "a value that isn't known": beside,
+        "no provenance": F.coalesce(F.size("source_provenance"), F.lit(0)) < 1,
+        "provenance is incomplete": F.coalesce(incomplete, F.lit(False)),
+        "no title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "lifecycle is invalid": F.col("lifecycle_status").isNull() | ~F.col("lifecycle_status").isin(*state.STATUSES),
+    }
+
+
+def one_of_a_kind() -> dict[str, Column]:
+    """Values that papers must not share: the slugs of their keys."""
+    return {"slug is shared": text.slug(F.col("canonical_key"))}

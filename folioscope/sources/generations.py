@@ -4,22 +4,63 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def revision(papers: DataFrame, key: str, formula_version: str) -> str:
-    """Content hash: rows in any order give the same one; the time of publication isn't in it.
+class PublicationRefused(ValueError):
+    """A generation that must not be published: how many rows violate each rule, and some keys of theirs."""
 
-    Row hashes are summed in 64-bit lanes by Spark, so that no list of them is collected.
+    def __init__(self, verdict: dict[str, tuple[int, list[str]]]) -> None:
+        self.verdict = verdict
+        super().__init__("; ".join(f"{rule}: {n}, such as {', '.join(keys)}" for rule, (n, keys) in verdict.items()))
+
+
+def _digest_of(order: str, digest: str) -> Column:
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))))
+    return F.sha2(F.array_join(F.transform(held, lambda x: x["d"]), ","), 256).alias("d")
+
+
+def tree_digest(hashed: DataFrame, column: str = "h") -> DataFrame:
+    """One row (d, n): the digest of a table of hex hashes, whatever their order, and how many there are.
+
+    65,536 leaves hash their sorted hashes, 256 branches their leaves, and the root those, so
+    that no task holds all of them; unlike a sum of hashes it can't be met by other rows.
     """
+    leaves = hashed.groupBy(F.substring(column, 1, 4).alias("leaf")).agg(_digest_of(column, column), F.count("*").alias("n"))
+    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(_digest_of("leaf", "d"), F.sum("n").alias("n"))
+    return branches.agg(_digest_of("branch", "d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def revision(papers: DataFrame, formula_version: str) -> str:
+    """Content hash: rows in any order give the same one; the time of publication isn't in it."""
     row = F.sha2(F.to_json(F.struct(*sorted(papers.columns)), {"ignoreNullFields": "false"}), 256)
-    lanes = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(8)]
-    sums = papers.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), *lanes).first()
-    if sums["n"] != sums["keys"]:
-        raise ValueError(f"{key} isn't unique")
-    return hashlib.sha256(json.dumps([formula_version, *(str(x) for x in sums)]).encode()).hexdigest()
+    found = tree_digest(papers.select(row.alias("h"))).first()
+    return hashlib.sha256(json.dumps([formula_version, found["d"], found["n"]]).encode()).hexdigest()
+
+
+#: Keys that a refusal names for each rule.
+SAMPLES = 5
+
+
+def verdict(papers: DataFrame, key: str, rules: dict[str, Column], unique: dict[str, Column]) -> dict[str, tuple[int, list[str]]]:
+    """Rules that rows violate: how many, and the smallest keys.
+
+    ``rules`` are conditions that must not hold, all counted in one pass; values of ``unique``,
+    where not null, must not be shared by rows.  Aggregations alone: a hot value sends one row a task.
+    """
+    bad = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    rows = papers.select(F.col(key).cast("string").alias("k"), F.explode(bad).alias("rule")) if rules else None
+    for name, value in {f"{key} is shared": F.col(key), **unique}.items():
+        shared = papers.groupBy(value.cast("string").alias("v")).agg(F.count("*").alias("n"), F.min(F.col(key).cast("string")).alias("k")).where("n > 1 and v is not null").select("k", F.lit(name).alias("rule"))
+        rows = shared if rows is None else rows.union(shared)
+    counted = rows.groupBy("rule").agg(F.count("*").alias("n"))
+    first = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy("k"))).where(F.col("place") <= SAMPLES)
+    named = first.groupBy("rule").agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    return {r["rule"]: (r["n"], r["keys"]) for r in counted.join(named, "rule").collect()}
 
 
 class Store:
@@ -31,12 +72,27 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def publish(self, papers: DataFrame, key: str, formula_version: str, generated_at: str) -> str:
-        """Writes a generation, unless the same content is there, and points to it."""
-        name = revision(papers, key, formula_version)
+    def publish(self, papers: DataFrame, key: str, formula_version: str, generated_at: str, rules: dict[str, Column] | None = None, unique: dict[str, Column] | None = None) -> str:
+        """Writes a generation, unless the same content is there, and points to it.
+
+        The pointer moves only if the rows that were written have unique keys and violate none of
+        the rules (see ``verdict``); else the generation before stays the one that readers get.
+        """
+        stage = f"{self.folder}/stage-{uuid.uuid4().hex}"
+        papers.write.parquet(stage)
+        written = self.spark.read.parquet(stage)
+        told = verdict(written, key, rules or {}, unique or {})
+        if told:
+            self._fs.delete(self._path(stage), True)
+            raise PublicationRefused(told)
+        name = revision(written, formula_version)
         target = f"{self.folder}/gen={name}"
-        if not self._fs.exists(self._path(f"{target}/_SUCCESS")):
-            papers.write.mode("overwrite").parquet(target)
+        if self._fs.exists(self._path(f"{target}/_SUCCESS")):
+            self._fs.delete(self._path(stage), True)
+        else:
+            # what a writer left half done goes
+            self._fs.delete(self._path(target), True)
+            self._fs.rename(self._path(stage), self._path(target))
             self._put(f"{target}.json", json.dumps({"revision": name, "formula_version": formula_version, "generated_at": generated_at}))
         self._point(name)
         return name

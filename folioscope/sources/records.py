@@ -97,12 +97,17 @@ def _openalex_items(spark: SparkSession, path: str) -> DataFrame:
 
 def _crossref_items(spark: SparkSession, path: str) -> DataFrame:
     target = F.exists("r.update-to", lambda u: identifiers.doi(u["DOI"]).isNull())
-    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to").when(documents.marked_text(F.col("r.abstract"))["problem"].isNotNull(), "abstract"))
+    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to"))
 
 
 def malformed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(file, item, problem) of what ``openalex`` or ``crossref`` would stop at; item 0 is a whole page."""
+    """(file, item, problem) of what ``openalex`` or ``crossref`` would stop at; item 0 is a whole page.
+
+    Abstracts that aren't well-formed are listed too (``abstract: ..``); readers give null for them.
+    """
     items = {"openalex": _openalex_items, "crossref": _crossref_items}[source](spark, path)
+    if source == "crossref":
+        items = items.withColumn("problem", F.coalesce("problem", F.concat(F.lit("abstract: "), documents.marked_text(F.col("r.abstract"))["problem"])))
     return items.where("problem is not null").select("file", "item", "problem")
 
 

@@ -2,9 +2,11 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
+from folioscope.operators.components import checkpointed
 from folioscope.plans import publication
 from folioscope.sources import records
-from folioscope.sources.generations import Store, revision
+from folioscope.sources.generations import PublicationRefused, Store, revision
 
 WORK = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.4321/HARBOR.7", "title": " Tides  of the harbour ", "publication_date": "2026-07-08", "updated_date": "2026-07-10T01:02:03", "authorships": [{"author": {"display_name": "A. B", "orcid": "https://orcid.org/0000-0002-1825-0097"}, "is_corresponding": True, "institutions": [{"display_name": "Harbour School"}, {"id": "x"}]}], "locations": [{"landing_page_url": "https://github.com/Org/Repo", "pdf_url": None}], "is_retracted": False, "type": "article", "cited_by_count": 4, "abstract_inverted_index": {"Tides": [0], "turn": [1]}, "topics": [{"id": "https://openalex.org/T9", "display_name": "Marine Life", "score": 0.9}, {"id": "https://openalex.org/T8", "display_name": "Marine life", "score": 0.1}], "primary_location": {"license": "cc-by", "license_id": None, "source": {"display_name": "J", "type": "journal", "issn": ["0378-5955"]}}}
 ITEM = {"DOI": "10.4321/harbor.7", "title": ["Tides of the harbour"], "author": [{"given": "A.", "family": "B"}], "ISSN": ["0378-5955", "03785955"], "published": {"date-parts": [[2026, 7]]}, "indexed": {"date-time": "2026-08-02T21:10:30+05:30"}}
@@ -31,7 +33,7 @@ def test_readers_give_one_shape(read):
 
 def test_two_sources_converge_and_publish(spark, read, tmp_path):
     events = publication.events_of(read["openalex"].unionByName(read["crossref"]).unionByName(read["pubmed"]))
-    papers = publication.papers(publication.works(publication.current_records(events)))
+    papers = checkpointed(publication.papers(publication.works(publication.current_records(events))))
     rows = {r["canonical_key"]: r for r in papers.collect()}
     assert rows.keys() == {"doi:10.4321/harbor.7", "doi:10.4321/otters"}
     both = rows["doi:10.4321/harbor.7"]
@@ -46,8 +48,37 @@ def test_two_sources_converge_and_publish(spark, read, tmp_path):
     assert store.publish(papers.repartition(3), "canonical_key", "v1", "2026-07-17T00:00:00Z") == first == store.current()
     assert store.publish(papers, "canonical_key", "v2", "2026-07-17T00:00:00Z") != first
     assert store.read(first).count() == store.read().count() == 2
-    with pytest.raises(ValueError):
-        revision(papers.union(papers), "canonical_key", "v1")
+    with pytest.raises(PublicationRefused, match="canonical_key is shared: 2"):
+        store.publish(papers.union(papers), "canonical_key", "v1", "2026-07-17T00:00:00Z")
+
+
+def test_a_broken_catalog_is_not_published(spark, read, tmp_path):
+    papers = checkpointed(publication.papers(publication.works(publication.current_records(publication.events_of(read["openalex"].unionByName(read["pubmed"]))))))
+    store = Store(spark, str(tmp_path / "catalog"))
+    publish = lambda rows: store.publish(rows, "canonical_key", "v1", "2026-07-16T00:00:00Z", publication.broken(), publication.one_of_a_kind())
+    first = publish(papers)
+    for column, value, rule in (
+        ("has_code_state", F.lit("pending"), "state is invalid"),
+        ("citation_count_state", F.lit("known"), "known without a value"),
+        ("abstract_state", F.lit("unknown"), "a value that isn't known"),
+        ("source_provenance", F.filter("source_provenance", lambda p: F.lit(False)), "no provenance"),
+        ("source_provenance", F.transform("source_provenance", lambda p: p.withField("raw_hash", F.lit(None).cast("string"))), "provenance is incomplete"),
+        ("title", F.lit(" "), "no title"),
+        ("lifecycle_status", F.lit("gone"), "lifecycle is invalid"),
+        ("canonical_key", F.when(F.col("canonical_key").contains("harbor"), "DOI:10.4321/otters").otherwise(F.col("canonical_key")), "slug is shared"),
+    ):
+        with pytest.raises(PublicationRefused) as e:
+            publish(papers.withColumn(column, value))
+        assert set(e.value.verdict) == {rule} and e.value.verdict[rule][0] >= 1 and e.value.verdict[rule][1]
+        assert store.current() == first and store.read().count() == 2
+    assert publish(papers) == first
+
+
+def test_the_revision_is_that_of_the_rows(spark):
+    df = spark.createDataFrame([(k, str(k)) for k in range(300)], "k int, v string")
+    assert revision(df, "f") == revision(df.orderBy(F.desc("k")).repartition(7), "f") != revision(df, "g")
+    assert revision(df.where("k > 0"), "f") != revision(df, "f") != revision(df.withColumn("v", F.when(F.col("k") == 7, "x").otherwise(F.col("v"))), "f")
+    assert revision(df.limit(0), "f")
 
 
 def test_records_without_a_doi_meet_by_other_identifiers(spark, tmp_path):
@@ -113,8 +144,8 @@ def test_malformed_pages_and_items_are_errors(spark, tmp_path):
     with pytest.raises(Exception, match="malformed .*item"):
         records.openalex(spark, str(tmp_path)).select("title").collect()
     assert [r["record_id"] for r in records.openalex(spark, str(tmp_path), on_error="skip").collect()] == ["W1", "W1"]
-    (tmp_path / "cr.json").write_text(json.dumps({"message": {"items": [ITEM, {**ITEM, "update-to": [{"type": "retraction"}]}]}}))
-    assert [tuple(r) for r in records.malformed(spark, str(tmp_path / "cr.json"), "crossref").collect()] == [("cr.json", 2, "update_to")]
+    (tmp_path / "cr.json").write_text(json.dumps({"message": {"items": [ITEM, {**ITEM, "update-to": [{"type": "retraction"}]}, {**ITEM, "abstract": "<jats:p>cut"}]}}))
+    assert [tuple(r) for r in records.malformed(spark, str(tmp_path / "cr.json"), "crossref").collect()] == [("cr.json", 2, "update_to"), ("cr.json", 3, "abstract: incomplete")]
 
 
 def _article(pmid, title, revised="", more="", corrections=""):
