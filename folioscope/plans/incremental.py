@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import policies, projection, state
 from folioscope.operators.components import checkpointed
+from folioscope.sources import exclusive
 from folioscope.sources.keyed_log import KeyedLog, existing
 
 #: The newest commit's row of a key counts.
@@ -99,7 +100,7 @@ class Catalog:
         metric = counted.select("work_id", "source", "observed_at", F.col("citation_count").alias("value"))
         self._write(self.metrics, projection.citation_metrics(counted, existing(self._read(self.metrics, last), metric)), number)
 
-        if not self._fs.createNewFile(self._path(f"{self.folder}/commits/{number:012d}")):
+        if not exclusive.create(self.spark, f"{self.folder}/commits/{number:012d}", b""):
             raise RuntimeError("another writer took this number")
         for log in self._logs():
             log.compact(number)

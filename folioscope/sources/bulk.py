@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.sources import records
+from folioscope.sources import exclusive, records
 
 #: Bytes of a file at most: a task hashes one, which Spark hands over whole.
 LARGEST = 1 << 30
@@ -93,20 +93,16 @@ class Ledger:
             # of two writers of one file, either's events will do
             if not self._fs.exists(self._path(target)):
                 self._fs.rename(self._path(stage), self._path(target))
+                # beneath the other one's, if that came between
+                self._fs.delete(self._path(f"{target}/{stage.rsplit('/', 1)[1]}"), True)
         return self._commit(sequence, found)
 
     def _commit(self, sequence: int, sha256: str) -> bool:
-        mark = self._path(f"{self.folder}/commits/{sequence:012d}")
-        try:
-            stream = self._fs.create(mark, False)
-        except Exception as e:
-            known = {c.sequence: c.sha256 for c in self.checkpoints()}
-            if known.get(sequence) == sha256:
-                return False
-            raise Refused(f"another writer has number {sequence}") from e
-        stream.write(sha256.encode())
-        stream.close()
-        return True
+        if exclusive.create(self.spark, f"{self.folder}/commits/{sequence:012d}", sha256.encode()):
+            return True
+        if {c.sequence: c.sha256 for c in self.checkpoints()}.get(sequence) == sha256:
+            return False
+        raise Refused(f"another writer has number {sequence}")
 
     def recover(self) -> None:
         """Removes marks that their writers didn't finish; for when no writer is at work."""

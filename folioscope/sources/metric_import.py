@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import identifiers
 from folioscope.functions.text import trim_space
+from folioscope.sources import exclusive
 from folioscope.sources.bulk import Refused, digest
 
 #: Columns that a file must have.
@@ -175,11 +176,9 @@ class MetricStore:
             self._fs.mkdirs(self._path(f"{self.folder}/rows"))
             if not self._fs.exists(self._path(target)):
                 self._fs.rename(self._path(stage), self._path(target))
+                # beneath the other one's, if that came between
+                self._fs.delete(self._path(f"{target}/{stage.rsplit('/', 1)[1]}"), True)
         receipt = Receipt(number, sha, told["least"], imported_at, told["n"], sums["fresh"], told["n"] - sums["fresh"])
-        try:
-            stream = self._fs.create(self._path(f"{self.folder}/receipts/{number:012d}"), False)
-        except Exception as e:
-            raise Refused(f"another import has number {number}; try again") from e
-        stream.write(json.dumps(receipt._asdict()).encode())
-        stream.close()
+        if not exclusive.create(self.spark, f"{self.folder}/receipts/{number:012d}", json.dumps(receipt._asdict()).encode()):
+            raise Refused(f"another import has number {number}; try again")
         return receipt
