@@ -1,8 +1,8 @@
 """Exact trend formulas and decisions, as typed outcomes rather than errors.
 
 Each formula has a status column: ``ok`` or the first check that fails, in order; a value is
-there only where the status is ``ok``.  Quotients of whole numbers below 10**20 are rounded
-once, half away from zero, at 18 decimals.
+there only where the status is ``ok``.  Quotients of whole numbers are rounded once, half away
+from zero, at 18 decimals; products are divided in up to 38 digits.
 """
 
 from __future__ import annotations
@@ -13,14 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions import exact
+
 DAY_MICROS = 86_400_000_000
 
 
 def quotient(numerator: Column, denominator: Column) -> Column:
-    """Exact quotient of whole numbers at 18 decimals; null for a zero denominator."""
+    """Exact quotient of whole numbers below 10**20 at 18 decimals; null for a zero denominator."""
     return F.try_divide(numerator.cast("decimal(20,0)"), denominator.cast("decimal(20,0)"))
 
 
+def _product(a: Column, b: Column) -> Column:
+    """Product of longs, which a long may not hold."""
+    return a.cast("decimal(20,0)") * b.cast("decimal(19,0)")
+
+
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
 
@@ -41,7 +48,7 @@ def citation_velocity(start: Column, end: Column, start_at: Column, end_at: Colu
     """Change of a count per day."""
     absent = start.isNull() | end.isNull() | start_at.isNull() | end_at.isNull()
     status = _outcome([(absent, "missing_signal"), (end_at < start_at, "reversed_time"), (end_at == start_at, "zero_denominator"), ((start < 0) | (end < 0), "invalid_metric")])
-    return status, F.when(status == "ok", quotient((end - start) * DAY_MICROS, _micros(end_at) - _micros(start_at)))
+    return status, F.when(status == "ok", exact.quotient(_product(end.cast("decimal(20,0)") - start.cast("decimal(20,0)"), F.lit(DAY_MICROS)), _micros(end_at) - _micros(start_at)))
 
 
 def code_growth(start: Column, end: Column, start_at: Column, end_at: Column) -> tuple[Column, Column]:
@@ -81,7 +88,7 @@ def method_adoption(b_adopted: Column, b_total: Column, c_adopted: Column, c_tot
     absent = b_adopted.isNull() | b_total.isNull() | c_adopted.isNull() | c_total.isNull()
     wrong = (b_adopted < 0) | (b_total < 0) | (c_adopted < 0) | (c_total < 0) | (b_adopted > b_total) | (c_adopted > c_total)
     status = _outcome([(absent, "missing_signal"), *window_checks(windows), ((b_total == 0) | (c_total == 0), "zero_denominator"), (wrong, "invalid_metric")])
-    return status, F.when(status == "ok", quotient(c_adopted * b_total - b_adopted * c_total, c_total * b_total))
+    return status, F.when(status == "ok", exact.quotient(_product(c_adopted, b_total) - _product(b_adopted, c_total), _product(c_total, b_total)))
 
 
 def citation_percentile(works: DataFrame, cohort: list[str], value: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import tristate as ts
 from folioscope.operators import search, textindex
+from folioscope.operators.ranking import placed_within
 
 #: Fixed values.
 PAPER_TYPES = ("research_article", "review", "preprint", "dataset", "benchmark")
@@ -188,13 +189,31 @@ def pair_facet(pairs: DataFrame, papers: DataFrame, paper: str, key: str) -> Dat
     return kept.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("papers")).orderBy(F.desc("papers"), "key")
 
 
-def taxonomy(pairs: DataFrame, paper: str, slug: str, name: str) -> DataFrame:
-    """Papers of each taxon, and whether its rows disagree about its name.
+def taxonomy(pairs: DataFrame, paper: str, slug: str, name: str, description: str | None = None) -> DataFrame:
+    """Papers of each taxon, and whether its rows disagree about its name or description.
 
-    Rows of a paper and taxon are merged first, so that no row is counted twice or expanded.
+    A description beside none is a disagreement.  Rows of a paper and taxon are merged first, so
+    that no row is counted twice or expanded.
     """
-    each = pairs.groupBy(slug, paper).agg(F.min(name).alias("least"), F.max(name).alias("most"))
-    return each.groupBy(slug).agg(F.count("*").alias("paper_count"), F.min("least").alias("name"), (F.min("least") != F.max("most")).alias("conflict"))
+    told = [F.min(name).alias("least"), F.max(name).alias("most")]
+    conflict = F.min("least") != F.max("most")
+    if description:
+        told += [F.min(description).alias("least_told"), F.max(description).alias("most_told"), F.bool_or(F.col(description).isNull()).alias("untold")]
+        differs = F.coalesce(F.min("least_told") != F.max("most_told"), F.lit(False))
+        conflict = F.coalesce(conflict, F.lit(False)) | differs | (F.bool_or("untold") & F.max("most_told").isNotNull())
+    each = pairs.groupBy(slug, paper).agg(*told)
+    return each.groupBy(slug).agg(F.count("*").alias("paper_count"), F.min("least").alias("name"), conflict.alias("conflict"))
+
+
+def taxon_papers(pairs: DataFrame, paper: str, slug: str, width: int = 10_000) -> DataFrame:
+    """(slug, chunk, papers, paper_ids): the papers of each taxon in order, each once, in lists of at most ``width``.
+
+    Lists are numbered from 0, and all but a taxon's last are full.  A hot taxon is sorted
+    range by range, and never lies in one row or task.
+    """
+    once = pairs.select(slug, paper).where(F.col(slug).isNotNull() & F.col(paper).isNotNull()).distinct()
+    numbered = placed_within(once, [slug], [paper], "place").withColumn("chunk", F.floor((F.col("place") - 1) / width))
+    return numbered.groupBy(slug, "chunk").agg(F.count("*").alias("papers"), F.array_sort(F.collect_list(paper)).alias("paper_ids"))
 
 
 def lookup(rows: DataFrame, key: str, wanted: object, pattern: re.Pattern[str] | None = None) -> DataFrame:

@@ -35,3 +35,15 @@ def best_before(rows: DataFrame, keys: list[str], order: str, value: str, width:
     carried = whole.select(*keys, "span_of_rows", F.max("whole").over(over).alias("carried"))
     within = Window.partitionBy(*keys, "span_of_rows").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn(name, F.max(value).over(within)).join(carried, [*keys, "span_of_rows"]).withColumn(name, F.greatest(name, "carried")).drop("carried", "span_of_rows")
+
+
+def placed_within(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 1 among the rows of their keys, of which no two are equal in ``order``.
+
+    A place in the table by keys and order, less the places before the keys' first row: a hot
+    key lies in several ranges.  Null is a key like others.
+    """
+    everywhere = placed(rows, [F.col(c) for c in (*keys, *order)], name)
+    first = everywhere.groupBy(*(F.col(k).alias(f"first_{k}") for k in keys)).agg(F.min(name).alias("first_place"))
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
+    return everywhere.join(first, same).withColumn(name, F.col(name) - F.col("first_place") + 1).drop("first_place", *(f"first_{k}" for k in keys))

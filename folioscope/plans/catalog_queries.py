@@ -166,6 +166,30 @@ def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.taxonomy(roles.topics(spark, sf_dir), "paper_id", "slug", "name")
 
 
+@query(
+    """
+with t as (select l_orderkey as paper_id, p_type as slug, p_brand as name, case when p_size <= 48 then 'sized' end as description from lineitem join part on l_partkey = p_partkey)
+select slug, count(distinct paper_id) as paper_count, min(name) as name, count(distinct name) > 1 or count(distinct coalesce('=' || description, '')) > 1 as conflict from t group by slug"""
+)
+def taxonomy_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taxa whose rows disagree about name or description."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("slug"), F.col("p_brand").alias("name"), F.when(F.col("p_size") <= 48, "sized").alias("description"))
+    return catalog.taxonomy(lines.join(parts, "p_partkey"), "paper_id", "slug", "name", "description")
+
+
+@query(
+    """
+with t as (select distinct slug, paper_id from topics), n as (select *, (row_number() over (partition by slug order by paper_id) - 1) // 1000 as chunk from t)
+select slug, cast(chunk as bigint) as chunk, count(*) as papers, string_agg(paper_id, ',' order by paper_id) as paper_ids from n group by 1, 2""",
+    TOPICS,
+)
+def taxonomy_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of each topic, in lists of at most a thousand."""
+    lists = catalog.taxon_papers(roles.topics(spark, sf_dir), "paper_id", "slug", 1000)
+    return lists.withColumn("paper_ids", F.array_join(F.col("paper_ids").cast("array<string>"), ","))
+
+
 @query(
     """
 with t as (select slug, count(distinct paper_id) as paper_count from topics group by slug),

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.operators import state
 from folioscope.operators.components import connected_components, shared_checkpoint_dir
-from folioscope.operators.ranking import best_before
+from folioscope.operators.ranking import best_before, placed_within
 from folioscope.plans import roles
 from folioscope.plans.registry import query
 from folioscope.plans.roles import SOURCE_EVENTS, table
@@ -108,14 +108,22 @@ def status_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with s as (select unnest(['active', 'withdrawn', 'retracted', 'rejected', 'superseded', 'deleted']) as status)
-select a.status as before, b.status as after, a.status <> 'deleted' and b.status <> 'deleted' and (a.status = 'active' or a.status = b.status) as allowed from s a, s b"""
+with s as (select event_key, source_time, event_id, case when tie_break_key <> 'error' then 'active' when event_id % 4 = 0 then 'withdrawn' when event_id % 4 = 1 then 'retracted' when event_id % 4 = 2 then 'rejected' else 'superseded' end as status from source_events),
+    pairs as (select lag(status) over (partition by event_key order by source_time, event_id) as before, status as after from s)
+select before, after, before = 'active' or before = after as allowed, count(*) as moves from pairs where before is not null group by 1, 2""",
+    SOURCE_EVENTS,
 )
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which status may follow which; ``deleted`` isn't one."""
-    names = (*state.STATUSES, "deleted")
-    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "before string, after string")
-    return pairs.withColumn("allowed", state.allowed_transition(F.col("before"), F.col("after")))
+    """How often a status follows another one, and whether it may.
+
+    Neighbours are joined by their places, so that no key's events are sorted in one task.
+    """
+    terminal = F.element_at(F.array(*(F.lit(s) for s in state.TERMINAL)), (F.col("event_id") % 4 + 1).cast("int"))
+    events = roles.source_events(spark, sf_dir).select("event_key", "source_time", "event_id", F.when(F.col("tie_break_key") == "error", terminal).otherwise("active").alias("status"))
+    numbered = placed_within(events, ["event_key"], ["source_time", "event_id"], "place")
+    before = numbered.select("event_key", (F.col("place") + 1).alias("place"), F.col("status").alias("before"))
+    pairs = numbered.select("event_key", "place", F.col("status").alias("after")).join(before, ["event_key", "place"])
+    return pairs.groupBy("before", "after").agg(F.count("*").alias("moves")).withColumn("allowed", state.allowed_transition(F.col("before"), F.col("after")))
 
 
 @query(
@@ -158,9 +166,9 @@ select l_orderkey, l_linenumber, duplicate_rank from r where duplicate_rank > 1"
 )
 def duplicate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after the first of each compound key."""
-    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.withColumn("duplicate_rank", F.row_number().over(w).cast("long")).where("duplicate_rank > 1").select("l_orderkey", "l_linenumber", "duplicate_rank")
+    ranked = placed_within(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"], "duplicate_rank")
+    return ranked.where("duplicate_rank > 1").select("l_orderkey", "l_linenumber", "duplicate_rank")
 
 
 @query(
