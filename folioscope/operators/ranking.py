@@ -47,3 +47,19 @@ def placed_within(rows: DataFrame, keys: list[str], order: list[str], name: str)
     first = everywhere.groupBy(*(F.col(k).alias(f"first_{k}") for k in keys)).agg(F.min(name).alias("first_place"))
     same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
     return everywhere.join(first, same).withColumn(name, F.col(name) - F.col("first_place") + 1).drop("first_place", *(f"first_{k}" for k in keys))
+
+
+def summed_before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value``, not negative, of the rows of their keys before them in ``order``.
+
+    As in ``placed_within``: sums within ranges, sums of the ranges before, less the first of a key.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    ranged = checkpointed(rows.repartitionByRange(*by).withColumn("range_of_rows", F.spark_partition_id()))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range_of_rows").agg(F.sum(value).alias("n"))
+    offsets = sums.select("range_of_rows", F.coalesce(F.sum("n").over(until(Window.orderBy("range_of_rows"))), F.lit(0)).alias("sum_before"))
+    within = F.coalesce(F.sum(value).over(until(Window.partitionBy("range_of_rows").orderBy(*by))), F.lit(0))
+    everywhere = ranged.withColumn(name, within).join(F.broadcast(offsets), "range_of_rows").withColumn(name, F.col(name) + F.col("sum_before")).drop("range_of_rows", "sum_before")
+    first = everywhere.groupBy(*(F.col(k).alias(f"first_{k}") for k in keys)).agg(F.min(name).alias("first_sum"))
+    return everywhere.join(first, [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]).withColumn(name, F.col(name) - F.col("first_sum")).drop("first_sum", *(f"first_{k}" for k in keys))

@@ -62,13 +62,13 @@ def _identifiers(**found: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*(pairs(s, v) for s, v in found.items())), lambda x: x["value"].isNotNull()))
 
 
-def _items(spark: SparkSession, path: str, schema: str, wrong: Column) -> DataFrame:
+def _items(spark: SparkSession, path: str, schema: str, wrong: Column, name: str = "file_name") -> DataFrame:
     """(file, item, raw, r, problem) for each element of each page's array of works, by its number in the page.
 
     ``wrong`` tells what is the matter with a work ``r``, or null.  A page without an array is
     one row whose item is 0.
     """
-    pages = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    pages = spark.read.text(path, wholetext=True).select("value", F.col(f"_metadata.{name}").alias("file"))
     form = "results array<string>, message struct<items:array<string>>, _corrupt_record string"
     page = pages.withColumn("p", F.from_json("value", form, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     found = F.when(F.col("p._corrupt_record").isNull(), F.coalesce("p.results", "p.message.items"))
@@ -90,14 +90,14 @@ def _sound(items: DataFrame, on_error: str) -> DataFrame:
     return items.where(sound).select("raw", "r")
 
 
-def _openalex_items(spark: SparkSession, path: str) -> DataFrame:
+def _openalex_items(spark: SparkSession, path: str, name: str = "file_name") -> DataFrame:
     score = F.exists("r.topics", lambda t: ~text.in_range(t["score"]))
-    return _items(spark, path, OPENALEX_WORK, F.when(identifiers.openalex_work(F.col("r.id")).isNull(), "id").when(score, "topic_score"))
+    return _items(spark, path, OPENALEX_WORK, F.when(identifiers.openalex_work(F.col("r.id")).isNull(), "id").when(score, "topic_score"), name)
 
 
-def _crossref_items(spark: SparkSession, path: str) -> DataFrame:
+def _crossref_items(spark: SparkSession, path: str, name: str = "file_name") -> DataFrame:
     target = F.exists("r.update-to", lambda u: identifiers.doi(u["DOI"]).isNull())
-    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to"))
+    return _items(spark, path, CROSSREF_ITEM, F.when(identifiers.doi(F.col("r.DOI")).isNull(), "id").when(target, "update_to"), name)
 
 
 def malformed(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -120,9 +120,9 @@ def _authors(rows: Column, name, orcid, corresponding, institutions) -> Column:
     return F.transform(rows, one).cast(no_one)
 
 
-def openalex(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """Works of pages of an interface, stored as JSON files."""
-    rows = _sound(_openalex_items(spark, path), on_error)
+def openalex(spark: SparkSession, path: str, on_error: str = "fail", items: DataFrame | None = None) -> DataFrame:
+    """Works of pages of an interface, stored as JSON files, or of ``items`` of such (see ``page_chains``)."""
+    rows = _sound(_openalex_items(spark, path), on_error) if items is None else items.select("raw", "r")
     links = F.flatten(F.transform("r.locations", lambda x: F.array(x["landing_page_url"], x["pdf_url"])))
     code = F.array_distinct(F.filter(F.transform(links, identifiers.github_repository), lambda x: x.isNotNull()))
     return _shape(
@@ -159,13 +159,13 @@ def openalex(spark: SparkSession, path: str, on_error: str = "fail") -> DataFram
     )
 
 
-def crossref(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """Items of work lists, stored as JSON files.
+def crossref(spark: SparkSession, path: str, on_error: str = "fail", items: DataFrame | None = None) -> DataFrame:
+    """Items of work lists, stored as JSON files, or ``items`` of such (see ``page_chains``).
 
     ``update-to`` stands on a notice and names the work that it updates: it is kept as a
     relation, and says nothing of the notice itself.
     """
-    rows = _sound(_crossref_items(spark, path), on_error)
+    rows = _sound(_crossref_items(spark, path), on_error) if items is None else items.select("raw", "r")
     parts = F.get("r.published.date-parts", F.lit(0))
     return _shape(
         rows,
