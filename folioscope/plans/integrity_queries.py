@@ -208,31 +208,34 @@ def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with numbered as (select doc_id, source, row_number() over (partition by source order by doc_id) as k from documents),
-    d as (select *, cast((k - 1) // 20 + 1 as integer) as page, (k - 1) % 20 + 1 as item, doc_id % 211 = 17 as wrong from numbered),
-    pages as (select source, page, count(*) as n, min(item) filter (wrong) as wrong_item, page % 13 = 2 and page > 1 as repeats from d group by source, page),
-    stops as (select source, page, case when wrong_item is not null then wrong_item else n + 1 end as at, case when wrong_item is not null then 'id' else 'cursor repeated' end as problem, wrong_item, repeats,
-        coalesce(sum(n) over (partition by source order by page rows between unbounded preceding and 1 preceding), 0) as items_before, max(page) over (partition by source) as last_page, sum(n) over (partition by source) as items from pages),
-    f as (select *, row_number() over (partition by source order by page) as stop from stops where wrong_item is not null or (repeats and page < last_page))
-select w.source as chain, cast(max(w.last_page) as bigint) as pages, cast(coalesce(max(f.items_before + f.at - 1), max(w.items)) as bigint) as items, max(f.page) as page, cast(max(f.at) as bigint) as item, max(f.problem) as problem
-from stops w left join f on f.source = w.source and f.stop = 1 group by w.source"""
+with numbered as (select doc_id, doc_id % 4 as c, row_number() over (partition by doc_id % 4 order by doc_id) as k from documents),
+    d as (select *, cast((k - 1) // 50 + 1 as integer) as page, (k - 1) % 50 + 1 as item, doc_id % 211 = 17 as wrong from numbered),
+    pages as (select c, page, count(*) as n, min(item) filter (wrong) as wrong_item, page % 5 = c + 1 and page > 1 as repeats from d group by c, page),
+    stops as (select c, page, case when wrong_item is not null then wrong_item else n + 1 end as at, case when wrong_item is not null then 'id' else 'cursor repeated' end as problem, wrong_item, repeats,
+        coalesce(sum(n) over (partition by c order by page rows between unbounded preceding and 1 preceding), 0) as items_before, max(page) over (partition by c) as last_page, sum(n) over (partition by c) as items from pages),
+    f as (select *, row_number() over (partition by c order by page) as stop from stops where wrong_item is not null or (repeats and page < last_page))
+select 'c' || w.c as chain, cast(max(w.last_page) as bigint) as pages, cast(coalesce(max(f.items_before + f.at - 1), max(w.items)) as bigint) as items, max(f.page) as page, cast(max(f.at) as bigint) as item, max(f.problem) as problem
+from stops w left join f on f.c = w.c and f.stop = 1 group by w.c"""
 )
 def page_chain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of an interface, a chain for each source, some with a repeated cursor or a malformed item: how far each chain goes."""
+    """Documents as pages of an interface, in four chains, some with a repeated cursor or a malformed item: how far each chain goes."""
     return Chains(spark, _pages(spark, sf_dir), "openalex").verdicts()
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of pages of 20 documents, each naming the next; every thirteenth names itself, and an id is wrong now and then."""
+    """A folder of pages of 50 documents, each naming the next; every fifth names itself, and an id is wrong now and then.
+
+    Documents are numbered without their texts, which are shuffled once, into their pages.
+    """
     folder = f"{shared_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("chain"))
-    placed = placed_within(documents, ["chain"], ["doc_id"], "k").withColumn("page", F.floor((F.col("k") - 1) / 20).cast("int") + 1)
+    documents, chain = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    placed = placed_within(documents.select("doc_id", chain.alias("c")), ["c"], ["doc_id"], "k").withColumn("page", F.floor((F.col("k") - 1) / 50).cast("int") + 1)
+    last = placed.groupBy("c").agg(F.max("page").alias("last"))
     ident = F.concat(F.when(F.col("doc_id") % 211 == 17, "X").otherwise("https://openalex.org/W"), (F.col("doc_id") + 1).cast("string"))
-    work = F.struct(ident.alias("id"), F.col("text").alias("title"))
-    pages = placed.groupBy("chain", "page").agg(F.sort_array(F.collect_list(F.struct("k", work.alias("w")))).alias("works"))
-    last = pages.groupBy("chain").agg(F.max("page").alias("last"))
-    number = F.when((F.col("page") % 13 == 2) & (F.col("page") > 1), F.col("page") - 1).otherwise(F.col("page"))
+    works = documents.select("doc_id", F.col("text").alias("title")).join(placed.join(last, "c"), "doc_id").select("c", "page", "last", "k", F.struct(ident.alias("id"), "title").alias("w"))
+    pages = works.groupBy("c", "page", "last").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("works"))
+    number = F.when((F.col("page") % 5 == F.col("c") + 1) & (F.col("page") > 1), F.col("page") - 1).otherwise(F.col("page"))
     cursor = F.when(F.col("page") < F.col("last"), F.concat(F.lit("c"), number.cast("string")))
     body = F.to_json(F.struct(F.struct(cursor.alias("next_cursor")).alias("meta"), F.transform("works", lambda x: x["w"]).alias("results")))
-    pages.join(last, "chain").select("chain", "page", body.alias("value")).write.partitionBy("chain", "page").text(folder)
+    pages.select(F.concat(F.lit("c"), F.col("c").cast("string")).alias("chain"), "page", body.alias("value")).write.partitionBy("chain", "page").text(folder)
     return folder
