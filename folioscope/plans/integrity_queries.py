@@ -208,8 +208,8 @@ def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with numbered as (select doc_id, doc_id % 4 as c, row_number() over (partition by doc_id % 4 order by doc_id) as k from documents),
-    d as (select *, cast((k - 1) // 50 + 1 as integer) as page, (k - 1) % 50 + 1 as item, doc_id % 211 = 17 as wrong from numbered),
+with d as (select doc_id, doc_id % 4 as c, cast(dense_rank() over (partition by doc_id % 4 order by doc_id // 200) as integer) as page,
+        row_number() over (partition by doc_id % 4, doc_id // 200 order by doc_id) as item, doc_id % 211 = 17 as wrong from documents),
     pages as (select c, page, count(*) as n, min(item) filter (wrong) as wrong_item, page % 5 = c + 1 and page > 1 as repeats from d group by c, page),
     stops as (select c, page, case when wrong_item is not null then wrong_item else n + 1 end as at, case when wrong_item is not null then 'id' else 'cursor repeated' end as problem, wrong_item, repeats,
         coalesce(sum(n) over (partition by c order by page rows between unbounded preceding and 1 preceding), 0) as items_before, max(page) over (partition by c) as last_page, sum(n) over (partition by c) as items from pages),
@@ -225,15 +225,16 @@ def page_chain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> str:
     """A folder of pages of 50 documents, each naming the next; every fifth names itself, and an id is wrong now and then.
 
-    Documents are numbered without their texts, which are shuffled once, into their pages.
+    A page is a range of ids; ranges that hold documents are numbered.  Texts are shuffled once,
+    by page, and the numbers are joined to pages where these are.
     """
     folder = f"{shared_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
-    documents, chain = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
-    placed = placed_within(documents.select("doc_id", chain.alias("c")), ["c"], ["doc_id"], "k").withColumn("page", F.floor((F.col("k") - 1) / 50).cast("int") + 1)
-    last = placed.groupBy("c").agg(F.max("page").alias("last"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("c"), F.floor(F.col("doc_id") / 200).alias("ids"), F.col("text").alias("title"))
+    numbers = placed_within(documents.select("c", "ids").distinct(), ["c"], ["ids"], "page").withColumn("page", F.col("page").cast("int"))
+    last = numbers.groupBy("c").agg(F.max("page").alias("last"))
     ident = F.concat(F.when(F.col("doc_id") % 211 == 17, "X").otherwise("https://openalex.org/W"), (F.col("doc_id") + 1).cast("string"))
-    works = documents.select("doc_id", F.col("text").alias("title")).join(placed.join(last, "c"), "doc_id").select("c", "page", "last", "k", F.struct(ident.alias("id"), "title").alias("w"))
-    pages = works.groupBy("c", "page", "last").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("works"))
+    works = documents.groupBy("c", "ids").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.struct(ident.alias("id"), "title").alias("w")))).alias("works"))
+    pages = works.join(numbers.join(last, "c"), ["c", "ids"])
     number = F.when((F.col("page") % 5 == F.col("c") + 1) & (F.col("page") > 1), F.col("page") - 1).otherwise(F.col("page"))
     cursor = F.when(F.col("page") < F.col("last"), F.concat(F.lit("c"), number.cast("string")))
     body = F.to_json(F.struct(F.struct(cursor.alias("next_cursor")).alias("meta"), F.transform("works", lambda x: x["w"]).alias("results")))
