@@ -2,7 +2,7 @@
 
 import random
 
-from folioscope.operators import venues
+from folioscope.operators import textindex, venues
 
 
 def most_rows(df):
@@ -47,3 +47,22 @@ def test_venues_equal_brute_force(spark):
         expected.add((record, len(met), min(met) if len(met) == 1 and not skipped else None, told))
     found = venues.resolved(spark.createDataFrame(asked, RECORDS), spark.createDataFrame(known, VENUES))
     assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_an_index_shuffles_no_posting(spark, tmp_path):
+    rows = [(f"k{i}", " ".join(f"w{(i * 7 + j) % 50}s" for j in range(40))) for i in range(50)] + [("empty", ""), ("stop", "the of"), ("none", None)]
+    index = textindex.Index(spark, str(tmp_path / "i"), buckets=4)
+    tracker, group = spark.sparkContext.statusTracker(), "index"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        index.write(spark.createDataFrame(rows, "key string, text string").repartition(2).localCheckpoint(), "key", "text")
+        jobs = tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    # the postings are written by the stage that reads the texts, whose job has no other
+    folders = spark.read.parquet(f"{index.folder}/postings")
+    assert folders.where("word <> ''").count() == 2000 and min(len(tracker.getJobInfo(j).stageIds) for j in sorted(jobs)[1:]) == 1
+    assert {tuple(r) for r in folders.where("bucket = -1").select("key", "place").collect()} == {*((f"k{i}", 40) for i in range(50)), ("empty", 0), ("stop", 0)}
+    assert {r["key"] for r in index.search("-w1s").collect()} >= {"empty", "stop"} and index.search("absent").count() == 0
+    assert index.search("w3s").count() == 40
+    assert most_rows(index.postings(["w3s"])) < 2000
