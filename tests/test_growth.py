@@ -2,7 +2,9 @@
 
 import random
 
-from folioscope.operators import textindex, venues
+from pyspark.sql import functions as F
+
+from folioscope.operators import components, textindex, venues
 
 
 def most_rows(df):
@@ -66,3 +68,18 @@ def test_an_index_shuffles_no_posting(spark, tmp_path):
     assert {r["key"] for r in index.search("-w1s").collect()} >= {"empty", "stop"} and index.search("absent").count() == 0
     assert index.search("w3s").count() == 40
     assert most_rows(index.postings(["w3s"])) < 2000
+
+
+def test_a_centre_of_a_component_is_dealt_over_tasks(spark):
+    rows = spark.range(4000).selectExpr("case when id < 3000 then 0L else id end as u", "id + 5 as v")
+    found = components.with_least(rows, 8, components.hot_keys(rows, 500))
+    assert found.where("m <> case when u = 0 then 5 else v end").count() == 0 and found.count() == 4000
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 100)
+    monkeypatch.setattr(components, "HOT_ROWS", 50)
+    edges = spark.range(2000).selectExpr("id % 7 as a", "id + 7 as b").union(spark.range(300).selectExpr("id + 5000 as a", "id + 5001 as b"))
+    found = components.connected_components(edges)
+    assert {tuple(r) for r in found.collect()} == {*((k, k % 7) for k in range(7)), *((k + 7, k % 7) for k in range(2000)), *((k + 5000, 5000) for k in range(301))}
