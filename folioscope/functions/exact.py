@@ -91,14 +91,20 @@ def quotient(numerator: Column, denominator: Column) -> Column:
 
 def decimal_text(raw: Column) -> Column:
     """A decimal that isn't negative in its shortest form, of any length; null for other texts."""
-    v = trim_space(raw)
-    whole = F.regexp_replace(F.regexp_extract(v, r"^([0-9]+)", 1), "^0+(?=.)", "")
-    fraction = F.regexp_replace(F.regexp_extract(v, r"\.([0-9]+)$", 1), "0+$", "")
-    return F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise("")))
+
+    def shortest(v: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(v, r"^([0-9]+)", 1), "^0+(?=.)", "")
+        fraction = F.regexp_replace(F.regexp_extract(v, r"\.([0-9]+)$", 1), "0+$", "")
+        return F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?$"), _with(fraction, lambda f: F.concat(whole, F.when(f != "", F.concat(F.lit("."), f)).otherwise(""))))
+
+    return _with(trim_space(raw), shortest)
 
 
 def decimal_order(raw: Column) -> Column:
     """What decimals of any length and scale compare by; null for what isn't one."""
-    v = decimal_text(raw)
-    whole = F.substring_index(v, ".", 1)
-    return F.when(v.isNotNull(), F.struct(F.length(whole).alias("size"), whole.alias("whole"), F.substring(v, F.length(whole) + 2, F.length(v)).alias("fraction")))
+
+    def order(v: Column) -> Column:
+        whole = F.substring_index(v, ".", 1)
+        return F.when(v.isNotNull(), F.struct(F.length(whole).alias("size"), whole.alias("whole"), F.substring(v, F.length(whole) + 2, F.length(v)).alias("fraction")))
+
+    return _with(decimal_text(raw), order)

@@ -201,8 +201,8 @@ def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.lpad((F.col(c) % 1000).cast("string"), 3, "0")
     a = F.concat(F.lit("00"), whole.cast("string"), F.lit("."), part("l_orderkey"), F.lit("0"))
     b = F.concat((whole + F.when(F.col("l_linenumber") == 2, 1).otherwise(0)).cast("string"), F.lit("."), part("l_partkey"), F.repeat(F.lit("0"), F.col("l_linenumber")))
-    x, y = exact.decimal_order(a), exact.decimal_order(b)
-    compared = F.when(x < y, "less").when(x == y, "equal").otherwise("greater")
+    both = F.struct(exact.decimal_order(a).alias("x"), exact.decimal_order(b).alias("y"))
+    compared = F.get(F.transform(F.array(both), lambda o: F.when(o["x"] < o["y"], "less").when(o["x"] == o["y"], "equal").otherwise("greater")), F.lit(0))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", compared.alias("compared"), exact.decimal_text(a).alias("shortest"))
 
 

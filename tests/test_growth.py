@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import exact
 from folioscope.operators import components, textindex, venues
 
 
@@ -83,3 +84,8 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     edges = spark.range(2000).selectExpr("id % 7 as a", "id + 7 as b").union(spark.range(300).selectExpr("id + 5000 as a", "id + 5001 as b"))
     found = components.connected_components(edges)
     assert {tuple(r) for r in found.collect()} == {*((k, k % 7) for k in range(7)), *((k + 7, k % 7) for k in range(2000)), *((k + 5000, 5000) for k in range(301))}
+
+
+def test_a_decimal_is_read_once_for_its_order(spark):
+    plan = spark.range(1).select(exact.decimal_order(F.col("id").cast("string")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(id") == 1
