@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def evaluated_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_space(v: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
@@ -39,13 +46,30 @@ def search_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def inverted_index(words: Column) -> Column:
+    """Map from each word of a list to its places, from 0 and in order."""
+
+    def spans(xs: Column) -> Column:
+        """Where each word begins among its places."""
+        return F.filter(F.transform(xs, lambda _, i: i), lambda i: ~F.get(xs, i)["w"].eqNullSafe(F.get(xs, i - 1)["w"]))
+
+    def entries(xs: Column, starts: Column) -> Column:
+        last = lambda j: F.coalesce(F.get(starts, j + 1), F.size(xs)) - 1
+        return F.transform(starts, lambda s, j: F.struct(F.get(xs, s)["w"].alias("key"), F.transform(F.sequence(s, last(j)), lambda i: F.get(xs, i)["p"]).alias("value")))
+
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.map_from_entries(evaluated_once(placed, lambda xs: evaluated_once(spans(xs), lambda starts: entries(xs, starts))))
+
+
 def inverted_index_text(index: Column) -> Column:
     """Text of a map from word to positions; null if a position is missing, negative or taken twice."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    placed = F.array_sort(pairs)
-    n = F.size(placed)
-    whole = F.transform(placed, lambda x: x["p"]) == F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    return F.when(n == 0, "").when(whole, F.array_join(F.transform(placed, lambda x: x["w"]), " "))
+
+    def joined(placed: Column) -> Column:
+        whole = F.forall(F.transform(placed, lambda x, i: x["p"].eqNullSafe(i)), lambda same: same)
+        return F.when(F.size(placed) == 0, "").when(whole, F.array_join(F.transform(placed, lambda x: x["w"]), " "))
+
+    return evaluated_once(F.sort_array(pairs), joined)
 
 
 def person_name(given: Column, family: Column, collective: Column | None = None) -> Column:

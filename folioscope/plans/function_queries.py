@@ -163,13 +163,9 @@ def collapse_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, array_to_string(list_filter(regexp_split_to_array(text, ' '), lambda x: x <> ''), ' ') as abstract from documents")
 def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts from their inverted indexes of word to positions."""
+    """Whole texts from their inverted indexes of word to positions; a text is read and written within its row."""
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("place", "word"))
-    entries = placed.groupBy("doc_id", "word").agg(F.collect_list("place").alias("places"))
-    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n")).join(index, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("n") == 0, "").otherwise(text.inverted_index_text(F.col("index"))).alias("abstract"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.inverted_index_text(text.inverted_index(words)).alias("abstract"))
 
 
 @query(

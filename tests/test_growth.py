@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import exact
+from folioscope.functions import exact, text
 from folioscope.operators import components, textindex, venues
+from folioscope.plans import load_queries
 
 
 def most_rows(df):
@@ -89,3 +90,19 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
 def test_a_decimal_is_read_once_for_its_order(spark):
     plan = spark.range(1).select(exact.decimal_order(F.col("id").cast("string")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("cast(id") == 1
+
+
+def test_an_inverted_index_shuffles_no_word(spark, sf):
+    plan = load_queries()[0]["inverted_index_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_an_inverted_index_equals_brute_force(spark):
+    pick = random.Random(3)
+    lists = [None, [], ["a"], *([pick.choice(["a", "b", "B", "é", "", "\U0001f600"]) for _ in range(pick.randint(0, 30))] for _ in range(60))]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i int, w array<string>")
+    index = text.inverted_index(F.col("w"))
+    for r in df.select("i", index.alias("x"), text.inverted_index_text(index).alias("t")).collect():
+        words = lists[r["i"]]
+        assert r["x"] == (None if words is None else {w: [k for k, v in enumerate(words) if v == w] for w in words})
+        assert r["t"] == (None if words is None else " ".join(words))
