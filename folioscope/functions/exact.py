@@ -11,6 +11,8 @@ SCALE = 18
 #: Digits of a limb: three limbs hold ten times a number of 38 digits.
 DIGITS = 13
 LIMB = 10**DIGITS
+#: Digits that are divided at a time, four times for 38 and the decimals; denominators of so many digits at most leave room for them.
+CHUNK, NARROW = 14, 24
 
 
 def _unsigned(v: Column) -> Column:
@@ -50,10 +52,51 @@ def _minus(x: Column, y: Column) -> Column:
 def quotient_text(numerator: Column, denominator: Column) -> Column:
     """Quotient of whole numbers of up to 38 digits as text with 18 decimals, rounded once, half away from zero.
 
-    Long division, a digit at a time, in limbs of 13 digits.  Null for a zero denominator and
-    for nulls.
+    Long division: 14 digits at a time by Spark's decimals, or, by denominators of more than 24
+    digits, a digit at a time in limbs of 13 digits.  Null for a zero denominator and for nulls.
     """
-    n, d = numerator.cast("decimal(38,0)"), denominator.cast("decimal(38,0)")
+    both = F.struct(numerator.cast("decimal(38,0)").alias("n"), denominator.cast("decimal(38,0)").alias("d"))
+
+    def shown(x: Column) -> Column:
+        n, d = x["n"], x["d"]
+        narrow = F.lit("9" * NARROW).cast("decimal(38,0)")
+
+        def signed(q: Column) -> Column:
+            whole = F.regexp_replace(F.substring(q, F.lit(1), F.length(q) - SCALE), "^0+(?=.)", "")
+            negative = ((n < 0) != (d < 0)) & q.rlike("[1-9]")
+            return F.concat(F.when(negative, "-").otherwise(""), whole, F.lit("."), F.right(q, F.lit(SCALE)))
+
+        digits = F.when(d.between(-narrow, narrow), _by_chunks(n, d)).otherwise(_by_digits(n, d))
+        return F.when(d.isNotNull() & n.isNotNull() & (d != 0), _with(digits, signed))
+
+    return _with(both, shown)
+
+
+def _by_chunks(n: Column, d: Column) -> Column:
+    """Digits of the rounded quotient, by a denominator of up to ``NARROW`` digits, which isn't zero."""
+    raised = F.concat(F.lpad(_unsigned(n), 4 * CHUNK - SCALE, "0"), F.lit("0" * SCALE))
+    operands = F.struct(raised.alias("n"), _unsigned(d).cast(f"decimal({NARROW},0)").alias("d"))
+
+    def divided(x: Column, k: int, rest: Column, *quotients: Column) -> Column:
+        if k == 4:
+            return rounded(rest * 2 >= x["d"], quotients)
+        chunk = F.substring(x["n"], 1 + k * CHUNK, CHUNK).cast(f"decimal({CHUNK},0)")
+        shifted = (rest * F.lit(10**CHUNK).cast(f"decimal({CHUNK + 1},0)") + chunk).cast("decimal(38,0)")
+        taken = lambda s: F.struct(F.call_function("div", s, x["d"]).alias("q"), (s % x["d"]).cast(f"decimal({NARROW},0)").alias("r"))
+        return _with(shifted, lambda s: _with(taken(s), lambda t: divided(x, k + 1, t["r"], *quotients, t["q"])))
+
+    def rounded(up: Column, quotients: tuple[Column, ...]) -> Column:
+        carry, shown = up.cast("long"), []
+        for q in reversed(quotients):
+            shown.insert(0, F.lpad(((q + carry) % 10**CHUNK).cast("string"), CHUNK, "0"))
+            carry = F.when(q + carry == 10**CHUNK, 1).otherwise(0)
+        return F.concat(*shown)
+
+    return _with(operands, lambda x: divided(x, 0, F.lit(0).cast(f"decimal({NARROW},0)")))
+
+
+def _by_digits(n: Column, d: Column) -> Column:
+    """Digits of the rounded quotient, by any denominator but zero."""
     digits = F.split(F.concat(_unsigned(n), F.lit("0" * SCALE)), "")
     none = F.struct(*(F.lit(0).cast("long").alias(x) for x in "abc"))
 
@@ -72,13 +115,8 @@ def quotient_text(numerator: Column, denominator: Column) -> Column:
 
         return F.aggregate(digits, F.struct(none.alias("r"), F.lit("0").alias("q")), step, rounded)
 
-    def shown(q: Column) -> Column:
-        whole = F.regexp_replace(F.substring(q, F.lit(1), F.length(q) - SCALE), "^0+(?=.)", "")
-        negative = ((n < 0) != (d < 0)) & q.rlike("[1-9]")
-        return F.concat(F.when(negative, "-").otherwise(""), whole, F.lit("."), F.right(q, F.lit(SCALE)))
-
     by = _limbs(_unsigned(d))
-    return F.when(d.isNotNull() & n.isNotNull() & (d != 0), _with(_with(_with(by, lambda x: F.array(*(_times(x, k) for k in range(10)))), divided), shown))
+    return _with(_with(by, lambda x: F.array(*(_times(x, k) for k in range(10)))), divided)
 
 
 def quotient(numerator: Column, denominator: Column) -> Column:

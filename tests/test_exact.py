@@ -58,3 +58,16 @@ def test_decimals_as_text(spark):
     for r in a.join(b, F.lit(True)).where(x.isNotNull() & y.isNotNull()).select("x", "y", (x < y).alias("less"), (x == y).alias("same")).collect():
         left, right = Decimal(r["x"].strip()), Decimal(r["y"].strip())
         assert (r["less"], r["same"]) == (left < right, left == right), (r["x"], r["y"])
+
+
+def test_quotients_by_chunks_of_digits(spark):
+    rng = random.Random(8)
+    ends = [10**k + j for k in (1, 10, 14, 19, 20, 23) for j in (-1, 0, 1)] + [10**24 - 1]
+    pairs = [(a * 10**14 + b, d) for d in ends for a, b in ((0, 1), (10**23, 10**14 - 1), (rng.randrange(10**24), rng.randrange(10**14)))]
+    # rounding that carries over all chunks
+    pairs += [(10**24 - 2, 10**24 - 1), (2 * 10**20 - 1, 2 * 10**20), (10**37 - 1, 10**20), (10**38 - 1, 10**24 - 1), (10**38 - 1, 1)]
+    df = spark.createDataFrame([(i, str(n), str(d)) for i, (n, d) in enumerate(pairs)], "i int, n string, d string")
+    n, d = F.col("n").cast("decimal(38,0)"), F.col("d").cast("decimal(38,0)")
+    for r in df.select("i", exact._by_chunks(n, d).alias("c"), exact._by_digits(n, d).alias("q")).collect():
+        expected = int(Decimal(rounded(*pairs[r["i"]])).scaleb(18, WIDE))
+        assert len(r["c"]) == 56 and int(r["c"]) == int(r["q"]) == expected, pairs[r["i"]]
