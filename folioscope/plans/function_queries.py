@@ -264,7 +264,8 @@ def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 7, tag("p", name, F.lit("<!-- x -->")))
         .otherwise(F.concat(F.lit('<j:p xmlns:j="http://jats.nlm.nih.gov" id="a>b">'), name, F.lit("<j:break/></j:p>")))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", documents.marked_text(raw).alias("t")).select("p_partkey", F.col("t.text").alias("abstract"), "t.problem")
+    # a small file with much work a row
+    return roles.spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", documents.marked_text(raw).alias("t")).select("p_partkey", F.col("t.text").alias("abstract"), "t.problem")
 
 
 @query(

@@ -106,3 +106,9 @@ def test_an_inverted_index_equals_brute_force(spark):
         words = lists[r["i"]]
         assert r["x"] == (None if words is None else {w: [k for k, v in enumerate(words) if v == w] for w in words})
         assert r["t"] == (None if words is None else " ".join(words))
+
+
+def test_abstracts_of_a_small_file_are_read_in_several_tasks(spark, sf):
+    rows = load_queries()[0]["markup_text"](spark, sf)
+    tasks = rows.groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > spark.sparkContext.defaultParallelism and tasks.agg(F.max("count")).first()[0] < rows.count() / 4
