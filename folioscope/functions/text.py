@@ -113,31 +113,42 @@ def bibliographic_date(year: Column, month: Column, day: Column, season: Column,
     """struct(year, month, day, season, raw, precision, problem, at) of a date of an article.
 
     A plain text excludes structured parts, a season excludes month and day, and a day needs
-    a month.  Only a whole date has a time.
+    a month.  Only a whole date has a time.  Each part is trimmed and read once.
     """
-    blank = lambda c: F.coalesce(trim_space(c), F.lit("")) == ""
-    y = F.when(trim_space(year).rlike("^[0-9]{1,4}$"), trim_space(year).cast("int"))
-    m = month_number(month)
-    d = F.when(trim_space(day).rlike("^[0-9]{1,2}$"), trim_space(day).cast("int"))
-    at = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd"))
-    none = blank(year) & blank(month) & blank(day) & blank(season)
-    problem = (
-        F.when(~blank(plain), F.when(~none, "plain_and_structured"))
-        .when(none, F.lit(None))
-        .when(blank(year), "no_year")
-        .when(y.isNull() | (y <= 0), "year")
-        .when(~blank(season), F.when(~blank(month) | ~blank(day), "season_and_month"))
-        .when(blank(month), F.when(~blank(day), "day_without_month"))
-        .when(m.isNull(), "month")
-        .when(~blank(day) & at.isNull(), "day")
-    )
-    precision = F.when(~blank(plain), "text").when(none, F.lit(None)).when(~blank(season), "season").when(blank(month), "year").when(blank(day), "month").otherwise("day")
-    good = problem.isNull()
-    part = lambda c, *kinds: F.when(good & precision.isin(*kinds), c)
-    return F.struct(
-        part(y, "year", "season", "month", "day").alias("year"), part(m, "month", "day").alias("month"), part(d, "day").alias("day"), part(collapse_space(season), "season").alias("season"),
-        part(collapse_space(plain), "text").alias("raw"), F.when(good, precision).alias("precision"), problem.alias("problem"), part(at, "day").alias("at"),
-    )
+    names = ("year", "month", "day", "season", "plain")
+    trimmed = F.struct(*(F.coalesce(trim_space(c), F.lit("")).alias(n) for n, c in zip(names, (year, month, day, season, plain))))
+
+    def read(v: Column) -> Column:
+        number = lambda n, digits: F.when(v[n].rlike(f"^[0-9]{{1,{digits}}}$"), v[n].cast("int"))
+        return F.struct(*(v[n].alias(n) for n in names), number("year", 4).alias("y"), F.when(v["month"] != "", month_number(v["month"])).alias("m"), number("day", 2).alias("d"))
+
+    def dated(v: Column) -> Column:
+        return evaluated_once(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", v["y"], v["m"], v["d"]), F.lit("yyyy-MM-dd")), lambda at: evaluated_once(judged(v, at), lambda x: told(v, at, x)))
+
+    def judged(v: Column, at: Column) -> Column:
+        blank = lambda n: v[n] == ""
+        none = blank("year") & blank("month") & blank("day") & blank("season")
+        problem = (
+            F.when(~blank("plain"), F.when(~none, "plain_and_structured"))
+            .when(none, F.lit(None))
+            .when(blank("year"), "no_year")
+            .when(v["y"].isNull() | (v["y"] <= 0), "year")
+            .when(~blank("season"), F.when(~blank("month") | ~blank("day"), "season_and_month"))
+            .when(blank("month"), F.when(~blank("day"), "day_without_month"))
+            .when(v["m"].isNull(), "month")
+            .when(~blank("day") & at.isNull(), "day")
+        )
+        precision = F.when(~blank("plain"), "text").when(none, F.lit(None)).when(~blank("season"), "season").when(blank("month"), "year").when(blank("day"), "month").otherwise("day")
+        return F.struct(problem.alias("problem"), precision.alias("precision"))
+
+    def told(v: Column, at: Column, x: Column) -> Column:
+        part = lambda c, *kinds: F.when(x["problem"].isNull() & x["precision"].isin(*kinds), c)
+        return F.struct(
+            part(v["y"], "year", "season", "month", "day").alias("year"), part(v["m"], "month", "day").alias("month"), part(v["d"], "day").alias("day"), part(collapse_space(v["season"]), "season").alias("season"),
+            part(collapse_space(v["plain"]), "text").alias("raw"), F.when(x["problem"].isNull(), x["precision"]).alias("precision"), x["problem"].alias("problem"), part(at, "day").alias("at"),
+        )
+
+    return evaluated_once(evaluated_once(trimmed, read), dated)
 
 
 def no_nulls(v: Column) -> Column:

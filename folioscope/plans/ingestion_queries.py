@@ -268,7 +268,8 @@ def pubmed_file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder}/*.xml"
     told = publication.events_of(records.pubmed(spark, path))
     told = told.unionByName(publication.deletions_of(records.pubmed_deletions(spark, path), told))
-    return publication.current_records(told).select("event_key", "record.title", "source_time", F.substring("tie_break_key", 1, 8).cast("int").alias("sequence"))
+    # titles are asked for; what else a record holds is neither derived nor shuffled
+    return publication.current_records(told.withColumn("record", F.struct("record.title"))).select("event_key", "record.title", "source_time", F.substring("tie_break_key", 1, 8).cast("int").alias("sequence"))
 
 
 def _bulk_files(spark: SparkSession, sf_dir: str) -> str:

@@ -275,10 +275,11 @@ def pubmed_deletions(spark: SparkSession, path: str) -> DataFrame:
     """(source, record_id, deleted_at, order_key): ids that bulk files take back.
 
     A deletion has no date; it counts from the latest revision in its file and those before it,
-    by their numbers, so that it comes after what the files had told of the article.
+    by their numbers, so that it comes after what the files had told of the article.  Each date of
+    a file is read once.
     """
     events = pubmed_events(spark, path)
-    dated = events.where("kind = 'upsert'").select(F.coalesce("sequence", F.lit(0)).alias("sequence"), F.from_xml("raw", f"MedlineCitation struct<DateRevised:{_DATE}>")["MedlineCitation"]["DateRevised"].alias("d"))
+    dated = events.where("kind = 'upsert'").select(F.coalesce("sequence", F.lit(0)).alias("sequence"), F.from_xml("raw", f"MedlineCitation struct<DateRevised:{_DATE}>")["MedlineCitation"]["DateRevised"].alias("d")).distinct()
     gone = events.where("kind = 'delete'").withColumn("sequence", F.coalesce("sequence", F.lit(0)))
     times = dated.groupBy("sequence").agg(F.max(_day(F.col("d"))).alias("t")).unionByName(gone.select("sequence", F.lit(None).cast("timestamp").alias("t"))).groupBy("sequence").agg(F.max("t").alias("t"))
     # one row for each file

@@ -112,3 +112,14 @@ def test_abstracts_of_a_small_file_are_read_in_several_tasks(spark, sf):
     rows = load_queries()[0]["markup_text"](spark, sf)
     tasks = rows.groupBy(F.spark_partition_id()).count()
     assert tasks.count() > spark.sparkContext.defaultParallelism and tasks.agg(F.max("count")).first()[0] < rows.count() / 4
+
+
+def test_titles_of_bulk_files_derive_no_other_field(spark, sf):
+    plan = load_queries()[0]["pubmed_file_revisions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "institutions" not in plan and "identifiers" not in plan
+
+
+def test_a_part_of_a_date_is_read_once(spark):
+    parts = [F.col("id").cast("string") for _ in range(3)] + [F.lit(None).cast("string")] * 2
+    plan = spark.range(1).select(text.bibliographic_date(*parts)["at"].alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(id") == 3
