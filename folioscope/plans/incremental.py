@@ -55,36 +55,30 @@ class Catalog:
         """Takes in batch ``number``, which follows the newest commit; null if it was taken in before.
 
         ``events`` have event_key, event_kind, source, the ordering tuple, work_id, the columns that the
-        policy reads, and ``FIELDS``.  Returns how many records changed and works were derived.
+        policy reads, and ``FIELDS``; they are computed twice, for decisions and for states, and must be the same.  Returns how many records changed and works were derived.
         """
         last = self.committed()
         if number <= last:
             return None
         if number != last + 1:
             raise ValueError(f"batch {number} doesn't follow {last}")
-        decided = checkpointed(self.policy.decided(events).withColumn("projection_policy", F.lit(self.projection_policy)))
+        decided = self.policy.decided(events).withColumn("projection_policy", F.lit(self.projection_policy))
         told = decided.select("event_id", "scope_policy", "status", "reason", "evidence")
-        stored = existing(self._read(self.decisions, last), told).join(told.select("event_id", "scope_policy").distinct(), ["event_id", "scope_policy"], "left_semi")
-        self._write(self.decisions, policies.new_decisions(stored, told), number)
+        self._write(self.decisions, policies.new_decisions(existing(self._stored(self.decisions, last), told), told), number)
 
         incoming = decided.select("event_key", *state.ORDER, "event_kind", "work_id", F.col("status").alias("scope_status"), "scope_policy", "projection_policy")
-        keys = incoming.select("event_key").distinct()
-        before = existing(self._read(self.states, last), incoming).join(keys, "event_key", "left_semi")
-        after = policies.projected_states(before, incoming, ["event_key"])
-        was = before.select("event_key", F.col("work_id").alias("old_work"))
-        changed = checkpointed(after.where("outcome <> 'unchanged'").join(was, "event_key", "left"))
-        self._write(self.states, changed.drop("outcome", "old_work"), number)
-
-        rank = [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("event_key", "event_id", "position", "tie_break_key")]
-        same = rank[0]
-        for more in rank[1:]:
-            same = same & more
-        payload = decided.dropDuplicates(["event_key", "event_id", "position", "tie_break_key"])
-        # a record whose policy alone has changed brings its fields again
-        now = changed.alias("c").join(payload.alias("e"), same).select("c.event_key", "c.event_kind", *(f"c.{c}" for c in state.ORDER), "c.work_id", (F.col("c.scope_status") == policies.INCLUDED).alias("included"), "e.source", *(f"e.{c}" for c in FIELDS), F.lit(False).alias("gone"))
-        moved = changed.where("old_work is not null and not (old_work <=> work_id)").select("event_key", F.col("old_work").alias("work_id"), F.lit(True).alias("gone"))
-        moved = now.join(moved.withColumnRenamed("work_id", "left_work").withColumnRenamed("gone", "left"), "event_key").select(*(F.col("left_work").alias(c) if c == "work_id" else F.lit(True).alias(c) if c == "gone" else F.col(c) for c in now.columns))
-        fresh = checkpointed(now.where("work_id is not null").unionByName(moved))
+        before = existing(self._read(self.states, last), incoming)
+        # fields come with the latest event of a record, which is all that is shuffled of them; where its
+        # policy alone has changed, it brings them again
+        fields = decided.select(*(F.col("status").alias(c) if c == "scope_status" else F.col(c) for c in incoming.columns), F.struct("source", *FIELDS).alias("fields"))
+        changed = checkpointed(policies.projected_states(before, fields, ["event_key"], carried=("fields",)).where("outcome <> 'unchanged'"))
+        self._write(self.states, changed.select(*incoming.columns), number)
+
+        # a record is a member of its work now, and is gone from the one that it has left
+        now = F.when(F.col("work_id").isNotNull(), F.struct("work_id", F.lit(False).alias("gone")))
+        left = F.when(F.col("old_work").isNotNull() & ~F.col("old_work").eqNullSafe(F.col("work_id")), F.struct(F.col("old_work").alias("work_id"), F.lit(True).alias("gone")))
+        works = F.filter(F.array(now, left), lambda w: w.isNotNull())
+        fresh = changed.withColumn("w", F.explode(works)).select("event_key", "event_kind", *state.ORDER, "w.work_id", (F.col("scope_status") == policies.INCLUDED).alias("included"), "fields.*", "w.gone")
         self._write(self.members, fresh, number)
 
         touched = checkpointed(fresh.select("work_id").distinct())
@@ -108,12 +102,18 @@ class Catalog:
 
     def _write(self, log: KeyedLog, rows: DataFrame, number: int) -> None:
         # what a batch left behind that didn't come to its commit is overwritten
-        log.append(rows.withColumn("commit", F.lit(number).cast("long")), number, again=True)
+        # every table of a batch is an aggregation by its keys, or made of one
+        log.append(rows.withColumn("commit", F.lit(number).cast("long")), number, again=True, unique=True)
 
     def _read(self, log: KeyedLog, upto: int) -> DataFrame | None:
         rows = log.read(upto)
         return None if rows is None else rows.drop("commit")
 
+    def _stored(self, log: KeyedLog, upto: int) -> DataFrame | None:
+        """Rows of a log as batches wrote them, for a reader that merges those of a key itself."""
+        rows = log.rows(upto)
+        return None if rows is None else rows.drop("commit")
+
     def table(self, name: str) -> DataFrame:
         """A table as of the newest commit: ``states``, ``works``, ``metrics`` or one of ``CHILDREN``; works without a winner are left out."""
         last = self.committed()

@@ -53,18 +53,21 @@ class KeyedLog:
     def rows(self, upto: int | None = None) -> DataFrame | None:
         """Rows of all live segments, several of a key among them; null before the first batch."""
         paths = [self._of(a, b) for a, b in self.segments(upto)]
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+        return self.spark.read.option("mergeSchema", str(len(paths) > 1).lower()).parquet(*paths) if paths else None
 
     def read(self, upto: int | None = None) -> DataFrame | None:
         """The row of each key."""
         rows = self.rows(upto)
         return None if rows is None else state.latest_by(rows, self.keys, self.order)
 
-    def append(self, rows: DataFrame, number: int, again: bool = False) -> bool:
-        """Writes a batch's rows, one of each key; a number that was taken in is passed over, unless ``again``."""
+    def append(self, rows: DataFrame, number: int, again: bool = False, unique: bool = False) -> bool:
+        """Writes a batch's rows, one of each key; a number that was taken in is passed over, unless ``again``.
+
+        ``unique`` rows have one of each key already, and are written without a shuffle.
+        """
         if not again and self.covers(number):
             return False
-        state.latest_by(rows, self.keys, self.order).write.mode("overwrite").parquet(self._of(number, number))
+        (rows if unique else state.latest_by(rows, self.keys, self.order)).write.mode("overwrite").parquet(self._of(number, number))
         return True
 
     def compact(self, upto: int | None = None) -> list[tuple[int, int]]:

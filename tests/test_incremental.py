@@ -115,6 +115,29 @@ def test_a_batch_without_its_commit_counts_for_nothing(spark, tmp_path):
     assert [r["winner"] for r in held.table("works").collect()] == ["b"]
 
 
+def test_decisions_that_are_new_are_computed_once(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "event_id long, scope_policy string, status string, reason string, evidence string")
+    new = policies.new_decisions(rows((1, "v", "included", "r", None)), rows((1, "v", "included", "r", None), (2, "v", "excluded", "r", None), (2, "v", "excluded", "r", None)))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in new.collect()] == [(2, "v", "excluded", "r", None)] and "Exchange" not in plan and "Join" not in plan
+
+
+def test_fields_come_with_the_latest_event_of_a_record(spark, tmp_path):
+    """Of events that differ by their time alone, too; and fields are aggregated with the state, not shuffled event by event."""
+    held = incremental.Catalog(spark, str(tmp_path / "c"), policies.controlled_identity("v1", {"doi": identifiers.doi(F.col("doi"))}), "p1")
+    events = told(spark, [(1, f"k{k}", "upsert", hour, k, "10.4321/x") for k in range(20) for hour in (3, 9, 5)])
+    events = events.withColumn("title", F.date_format("source_time", "H"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("batch", "batch")
+    try:
+        assert held.apply(events, 1) == {"records": 20, "works": 20}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {(r["work_id"], r["title"]) for r in held.table("works").collect()} == {(k, "9") for k in range(20)}
+    jobs = len(tracker.getJobIdsForGroup("batch"))
+    assert jobs < 45, jobs
+
+
 def article(pmid, title="x"):
     return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID><Article><ArticleTitle>{title}</ArticleTitle></Article></MedlineCitation></PubmedArticle>\n"
 
