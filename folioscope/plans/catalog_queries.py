@@ -97,13 +97,15 @@ def facet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facet_array_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the papers that a filter leaves; the facet isn't self-excluding."""
     left = catalog.filtered(roles.papers(spark, sf_dir).select("paper_id", "has_code_state", "has_code_value"), catalog.PaperQuery(has_code=True))
-    return catalog.pair_facet(roles.topics(spark, sf_dir), left, "paper_id", "slug")
+    tasks = catalog.pair_tasks(table(spark, sf_dir, "lineitem"))
+    return catalog.pair_facet(roles.topics(spark, sf_dir, tasks), left, "paper_id", "slug", tasks)
 
 
 @query("select source as key, count(distinct paper_id) as papers from sources where paper_id in (select paper_id from topics where slug = 'brand-11') group by 1", SOURCES, TOPICS)
 def facet_array_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    about = roles.topics(spark, sf_dir).where("slug = 'brand-11'").select("paper_id")
-    return catalog.pair_facet(roles.sources(spark, sf_dir), about, "paper_id", "source")
+    tasks = catalog.pair_tasks(table(spark, sf_dir, "lineitem"))
+    about = roles.topics(spark, sf_dir, tasks).where("slug = 'brand-11'").select("paper_id")
+    return catalog.pair_facet(roles.sources(spark, sf_dir), about, "paper_id", "source", tasks)
 
 
 @query("select count(*) as total from papers where has_code_state = 'known' and has_code_value and lifecycle_status = 'active'", PAPERS)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.functions import exact, text
-from folioscope.operators import components, textindex, venues
+from folioscope.operators import catalog, components, textindex, venues
 from folioscope.plans import load_queries
 
 
@@ -123,3 +123,19 @@ def test_a_part_of_a_date_is_read_once(spark):
     parts = [F.col("id").cast("string") for _ in range(3)] + [F.lit(None).cast("string")] * 2
     plan = spark.range(1).select(text.bibliographic_date(*parts)["at"].alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("cast(id") == 3
+
+
+def test_pairs_of_a_facet_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_PAIRS", 100)
+    rows = [(i % 700, f"t{i % 13}" if i % 5 else None) for i in range(3000)] + [(1, "t1")] * 50 + [(None, "t1")]
+    facet = catalog.pair_facet(spark.createDataFrame(rows, "paper long, key string"), spark.range(0, 2000, 3).withColumnRenamed("id", "paper"), "paper", "key")
+    papers = {}
+    for paper, key in rows:
+        if paper is not None and paper % 3 == 0:
+            papers.setdefault(key, set()).add(paper)
+    assert {tuple(r) for r in facet.collect()} == {(k, len(v)) for k, v in papers.items()}
+    assert "hashpartitioning(paper" in (plan := facet._jdf.queryExecution().executedPlan().toString()) and ", 31), REPARTITION_BY_NUM" in plan
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for name in ("facet_array_topics", "facet_array_sources"):
+        plan = load_queries()[0][name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan
